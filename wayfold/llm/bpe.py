@@ -21,8 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import kept_in_worker
+
 #: Entries after which a memo of a worker is emptied; it bounds memory, not results.
-MEMO = 300_000
+MEMO = 200_000
 #: Where a text may be cut before matching: between something that is no white space and a space or line feed.
 CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Other white space, next to which such a cut could part a run of white space.
@@ -73,7 +75,7 @@ class Encoder:
         key = left * self.size + right
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) > 4 * MEMO:
+            if len(self.compatible) > MEMO:
                 self.compatible.clear()
             known = self.compatible[key] = self._fits(left, right)
         return known
@@ -144,9 +146,6 @@ class _Memo(dict):
         return value
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def _list_array(flat: list[bytes]) -> pa.Array:
     ends = np.cumsum([0, *(len(x) // 4 for x in flat)], dtype=np.int64)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(flat), "<i4"), pa.int32()))
@@ -156,12 +155,10 @@ def encoder_udf(df: DataFrame, ranks_path: str, pattern: str) -> Callable[[Colum
     """text -> array<int> of token ids. The rank table goes out by broadcast: its size is the vocabulary's, not the data's."""
     ranks = load_ranks(ranks_path)
     shared = df.sparkSession.sparkContext.broadcast((ranks, halves_of(ranks)))
-    key = (ranks_path, pattern)
+    key = ("bpe", ranks_path, pattern)
 
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if key not in _encoders:
-            _encoders[key] = Encoder(*shared.value, pattern)
-        one = _encoders[key].encode
+        one = kept_in_worker(key, lambda: Encoder(*shared.value, pattern)).encode
         for column in texts:
             yield _list_array([one(text.as_py()) for text in column])
 

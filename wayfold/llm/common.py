@@ -67,6 +67,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+_kept: dict = {}
+
+
+def kept_in_worker(key: object, make: Callable[[], object]) -> object:
+    """What `make()` gave when this worker process first asked for `key`.
+
+    Functions nested in others travel to workers with copies of the globals they name, so what should outlive
+    a task is kept behind this module-level function, which workers import.
+    """
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def add_columns(df: DataFrame, source: str, fields: list[T.StructField], start: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
     """`df` with columns computed from `source`, batch by batch.
 

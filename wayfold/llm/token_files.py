@@ -6,9 +6,11 @@ without copying from a memory map. A second file beside it says where each docum
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -18,50 +20,98 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import new_path, write_table
+from .common import kept_in_worker, new_path, write_table
 
 SEQUENCE = 2048
 #: Sequences in a batch of a file.
 BATCH = 256
 END_ID = 0
-MEMO = 300_000
-#: Where a text may be cut before encoding, and white space that forbids it: see `bpe`.
-CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+#: Entries after which a memo of a worker is emptied, and words encoded in one call; they bound memory, not results.
+MEMO = 600_000
+SOME = 10_000
+LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 
-class Words:
-    """Ids of texts by the tokenizers library, each distinct chunk of a text encoded once.
+def _written_bytes() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others) if b != 10}  # words have no line feed
+
+
+_WRITTEN = _written_bytes()
+
 
-    The vocabulary's own splitting always cuts between something that is no white space and a space or line
-    feed, so a text's ids are its chunks' ids in a row. Texts with other white space are encoded whole.
+class Words:
+    """Ids of texts by the tokenizers library, each distinct word encoded once while it is remembered.
+
+    The vocabulary splits a text before it merges, and always between a word and white space; a single space
+    goes to the word after it, a single line feed stands alone. So a text's ids are its words' ids in a row,
+    where no white space stands next to other white space and all of it is spaces and line feeds (all
+    else that is printable is no white space); other texts are encoded whole. A
+    word of Latin letters is one piece of that splitting and needs no splitting by the library, and so
+    does what stands before a last dot or comma.
     """
 
     def __init__(self, definition: str, dtype: np.dtype) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
-        self.library, self.dtype, self.known = Tokenizer.from_str(definition), dtype, {}
+        self.library, self.dtype = Tokenizer.from_str(definition), dtype
         self.library.encode_special_tokens = True
+        self.model = Tokenizer(self.library.model)  # merges alone, on bytes written as the vocabulary writes them
+        self.young: dict[str, bytes] = {}  # words seen lately; those seen before them are `old`
+        self.old: dict[str, bytes] = {}
+        self.line_feed, self.dot, self.comma = self._encode(["\n", ".", ","])
+
+    def _packed(self, found: list) -> list[bytes]:
+        lists = [e.ids for e in found]
+        flat = np.array(list(chain.from_iterable(lists)), self.dtype).tobytes()
+        ends = list(accumulate((len(x) * self.dtype.itemsize for x in lists), initial=0))
+        return [flat[a:b] for a, b in pairwise(ends)]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._packed(self.library.encode_batch_fast(texts, add_special_tokens=False))
+
+    def _merge(self, words: list[str]) -> list[bytes]:
+        """Ids of Latin words, each behind a space."""
+        written = (" " + "\n ".join(words)).encode().decode("latin-1").translate(_WRITTEN).split("\n")
+        return self._packed(self.model.encode_batch_fast(written, add_special_tokens=False))
+
+    def _learn(self, words: set[str]) -> None:
+        """Words are behind a space, or begin with a line feed and stand as they are."""
+        if len(self.young) + len(words) > MEMO:
+            self.old, self.young = self.young, {}
+        known = self.young
+        again = [w for w in words if w in self.old]
+        known.update((w, self.old[w]) for w in again)
+        words = words.difference(again)
+        stems = {w: w[:-1] for w in words if w[-1:] in (".", ",") and LATIN.fullmatch(w, 0, len(w) - 1)}
+        need = {stems.get(w, w) for w in words}.difference(known)
+        latin = [w for w in need if LATIN.fullmatch(w)]
+        other = list(need.difference(latin))
+        for at in range(0, len(latin), SOME):
+            part = latin[at : at + SOME]
+            known.update(zip(part, self._merge(part), strict=True))
+        for at in range(0, len(other), SOME):
+            part = other[at : at + SOME]
+            known.update(zip(part, self._encode([w if w[:1] == "\n" else " " + w for w in part]), strict=True))
+        for w, stem in stems.items():
+            known[w] = known[stem] + (self.dot if w[-1] == "." else self.comma)
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, self.dtype)
-        if ODD_SPACE.search(text):
+        if not text.replace("\n", "").isprintable() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return np.frombuffer(self._encode([text])[0], self.dtype)
-        chunks, known = CHUNK.findall(text), self.known
-        new = list(set(chunks).difference(known))
-        if new:
-            if len(known) > MEMO:
-                known.clear()
-                new = list(set(chunks))
-            known.update(zip(new, self._encode(new), strict=True))
-        return np.frombuffer(b"".join(map(known.__getitem__, chunks)), self.dtype)
-
-
-_words: dict[tuple, Words] = {}
+        words = ("\n" + text).replace("\n", " \n").split(" ")[1:]
+        got = list(map(self.young.get, words))
+        if None in got:
+            new = [i for i, ids in enumerate(got) if ids is None]
+            self._learn({words[i] for i in new})
+            for i in new:
+                got[i] = self.young[words[i]]
+        return np.frombuffer(b"".join(got)[len(self.line_feed) :], self.dtype)
 
 
 class SequenceWriter:
@@ -130,7 +180,7 @@ def write_token_files(docs: DataFrame, definition_path: str, folder: str, length
 
     dtype = np.dtype("<u2" if Tokenizer.from_str(definition).get_vocab_size() <= 1 << 16 else "<u4")
     shared = docs.sparkSession.sparkContext.broadcast(definition)  # the vocabulary's size
-    key = (definition_path, dtype.str)
+    key = ("token files", definition_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)
@@ -138,9 +188,7 @@ def write_token_files(docs: DataFrame, definition_path: str, folder: str, length
             first = next(batches, None)
         if first is None:
             return
-        if key not in _words:
-            _words[key] = Words(shared.value, dtype)
-        encode, task = _words[key].encode, TaskContext.get()
+        encode, task = kept_in_worker(key, lambda: Words(shared.value, dtype)).encode, TaskContext.get()
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
