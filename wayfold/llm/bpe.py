@@ -10,18 +10,18 @@ once at most, so the time is linear in the length.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import kept_in_worker
+from .common import add_columns, kept_in_worker
 
 #: Entries after which a memo of a worker is emptied; it bounds memory, not results.
 MEMO = 200_000
@@ -68,7 +68,7 @@ class Encoder:
                 self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
         self.words = _Memo(self._word)
-        self.chunks = _Memo(lambda chunk: b"".join(map(self.words.__getitem__, self.find(chunk))))
+        self.chunks = _Memo(self._chunk)
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merges leave this boundary alone. Memoised by pair."""
@@ -124,6 +124,10 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         return np.array(self.ids(word.encode()), "<u4").tobytes()
 
+    def _chunk(self, chunk: str) -> bytes:
+        words = self.find(chunk)
+        return self._word(chunk) if len(words) == 1 else b"".join(map(self.words.__getitem__, words))
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers."""
         if not text:
@@ -134,14 +138,19 @@ class Encoder:
 
 
 class _Memo(dict):
+    """Remembers what was asked for lately, and the generation before it."""
+
     def __init__(self, make: Callable[[str], bytes]) -> None:
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) > MEMO:
-            self.clear()
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) < 64:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
             self[key] = value
         return value
 
@@ -151,42 +160,63 @@ def _list_array(flat: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(flat), "<i4"), pa.int32()))
 
 
-def encoder_udf(df: DataFrame, ranks_path: str, pattern: str) -> Callable[[Column], Column]:
-    """text -> array<int> of token ids. The rank table goes out by broadcast: its size is the vocabulary's, not the data's."""
+def _decode_array(ids: pa.Array, token: Callable[[int], bytes]) -> list[bytes]:
+    flat = ids.flatten().to_numpy(zero_copy_only=False).tolist()
+    ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    return [b"".join(map(token, flat[a:b])) for a, b in zip([0, *ends], ends)]
+
+
+def _encoder(df: DataFrame, ranks_path: str, pattern: str) -> Callable[[], Encoder]:
+    """Makes a worker's encoder. The rank table goes out by broadcast: its size is the vocabulary's, not the data's."""
     ranks = load_ranks(ranks_path)
     shared = df.sparkSession.sparkContext.broadcast((ranks, halves_of(ranks)))
     key = ("bpe", ranks_path, pattern)
+    return lambda: kept_in_worker(key, lambda: Encoder(*shared.value, pattern))
+
+
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
+    """`docs` with the token ids of `text` in column `ids`, replacing a column of that name.
+
+    Each match of `pattern` is encoded by itself, special tokens are ordinary text. Null and empty texts have
+    no ids. Rows are independent: repeated rows give repeated results, an empty table an empty one.
+    """
+    made = _encoder(docs, ranks_path, pattern)
 
-    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        one = kept_in_worker(key, lambda: Encoder(*shared.value, pattern)).encode
-        for column in texts:
-            yield _list_array([one(text.as_py()) for text in column])
+    def start() -> Callable[[pa.Array], list[pa.Array]]:
+        encode = made().encode
+        return lambda texts: [_list_array([encode(text.as_py()) for text in texts])]
 
-    return F.arrow_udf(encode, T.ArrayType(T.IntegerType(), False))
+    return add_columns(docs.drop(ids), "text", [T.StructField(ids, T.ArrayType(T.IntegerType(), False))], start)
 
 
-def decoder_udf(df: DataFrame, ranks_path: str) -> Callable[[Column], Column]:
-    """array<int> of token ids -> the bytes they stand for."""
-    shared = df.sparkSession.sparkContext.broadcast({rank: token for token, rank in load_ranks(ranks_path).items()})
+def decode_documents(encoded: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """`encoded` with the bytes of its token ids in column `decoded`. Null ids give no bytes."""
+    shared = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in load_ranks(ranks_path).items()})
 
-    def decode(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def start() -> Callable[[pa.Array], list[pa.Array]]:
         token = shared.value.__getitem__
-        for column in lists:
-            flat, ends = column.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
-            yield pa.array([b"".join(map(token, flat[a:b])) for a, b in zip([0, *ends], ends)], pa.binary())
+        return lambda lists: [pa.array(_decode_array(lists, token), pa.binary())]
 
-    return F.arrow_udf(decode, T.BinaryType())
+    return add_columns(encoded.drop(decoded), ids, [T.StructField(decoded, T.BinaryType())], start)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """`docs` with the token ids of `text` in column `ids`, replacing a column of that name.
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str]) -> DataFrame:
+    """The columns `keep` with n_tokens, and SHA-256 of the ids (little-endian 32-bit) and of what they decode to.
 
-    Each match of `pattern` is encoded by itself, special tokens are ordinary text. Null and empty texts have
-    no ids. Rows are independent: repeated rows give repeated results, an empty table an empty one.
+    Encodes and decodes in one pass, so that ids needn't travel between processes.
     """
-    return docs.withColumn(ids, encoder_udf(docs, ranks_path, pattern)(F.col("text")))
+    made = _encoder(docs, ranks_path, pattern)
+    fields = T._parse_datatype_string("n_tokens bigint, ids_sha256 string, decoded_sha256 string").fields
 
+    def start() -> Callable[[pa.Array], list[pa.Array]]:
+        encoder = made()
+        token, sha = encoder.token.__getitem__, lambda x: hashlib.sha256(x).hexdigest()
 
-def decode_documents(encoded: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """`encoded` with the bytes of its token ids in column `decoded`. Null ids give no bytes."""
-    return encoded.withColumn(decoded, decoder_udf(encoded, ranks_path)(F.col(ids)))
+        def work(texts: pa.Array) -> list[pa.Array]:
+            packed = [encoder.encode(text.as_py()) for text in texts]
+            decoded = _decode_array(_list_array(packed), token)
+            return [pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(map(sha, packed), pa.string()), pa.array(map(sha, decoded), pa.string())]
+
+        return work
+
+    return add_columns(docs.select(*keep, "text"), "text", fields, start).drop("text")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
+#: Rows of a batch that are worked on at a time, to bound a worker's memory.
+SOME_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -91,8 +93,10 @@ def add_columns(df: DataFrame, source: str, fields: list[T.StructField], start:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
-            made = work(batch.column(source))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
+        for whole in batches:
+            for at in range(0, max(1, whole.num_rows), SOME_ROWS):
+                batch = whole.slice(at, SOME_ROWS)
+                made = work(batch.column(source))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
 
     return df.mapInArrow(run, schema)

@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import bpe, chat, decontam, langid, licenses, quality, rollup, simhash, token_files, warc
 from .common import new_path, read_table, write_table
@@ -18,21 +13,8 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 DEFINITION = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _ids_sha256(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for column in lists:
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-        out, at = [], 0
-        for n in column.value_lengths().fill_null(0).to_pylist():
-            out.append(hashlib.sha256(flat[at : at + 4 * n]).hexdigest())
-            at += 4 * n
-        yield pa.array(out, pa.string())
-
-
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN).drop("text")
-    decoded = bpe.decode_documents(encoded, RANKS).withColumn("ids_sha256", F.arrow_udf(_ids_sha256, T.StringType())("ids"))
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, public_tokenizers.PATTERN, ["doc_id"])
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
