@@ -214,12 +214,13 @@ def test_automaton_against_brute_force(spark, block):
         assert {k for s in got[doc_id]["spans"] for k in range(s["start"], s["end"])} == hit
 
 
-def test_removal_cuts_passages_and_keeps_the_rest(spark):
+@pytest.mark.parametrize("block", [3, 1000])
+def test_removal_cuts_passages_and_keeps_the_rest(spark, block):
     item = "one two three four five six seven eight nine ten eleven"
     clean = "Nothing, of the kind; here!\n"
     df = spark.createDataFrame([(1, f"Before, {item.upper()}! After it come {'more ' * 20}", "en"), (2, clean, "en"), (3, item, "en"), (4, None, "en")], "doc_id long, text string, spans string")
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in decontam.remove_contamination(df, bench).collect()}
+    got = {r["doc_id"]: r["text"] for r in decontam.remove_contamination(df, bench, block_words=block).collect()}
     assert got == {1: f"Before, ! After it come {'more ' * 20}", 2: clean, 4: None}
 
 

@@ -57,7 +57,7 @@ def halves_of(ranks: dict[bytes, int]) -> dict[int, tuple[int, int]]:
 class Encoder:
     """Encodes the matches of `pattern` one by one; made once in a worker and kept."""
 
-    def __init__(self, ranks: dict[bytes, int], halves: dict[int, tuple[int, int]], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], halves: dict[int, tuple[int, int]], pattern: str, memo: int = MEMO) -> None:
         self.ranks, self.halves, self.find = ranks, halves, regex.compile(pattern).findall
         self.token = {rank: token for token, rank in ranks.items()}
         self.size = max(ranks.values(), default=0) + 1
@@ -67,15 +67,16 @@ class Encoder:
             if len(token) == 1 or rank in halves:
                 self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
-        self.words = _Memo(self._word)
-        self.chunks = _Memo(self._chunk)
+        self.memo = memo
+        self.words = _Memo(self._word, memo)
+        self.chunks = _Memo(self._chunk, memo)
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merges leave this boundary alone. Memoised by pair."""
         key = left * self.size + right
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) > MEMO:
+            if len(self.compatible) > self.memo:
                 self.compatible.clear()
             known = self.compatible[key] = self._fits(left, right)
         return known
@@ -140,15 +141,15 @@ class Encoder:
 class _Memo(dict):
     """Remembers what was asked for lately, and the generation before it."""
 
-    def __init__(self, make: Callable[[str], bytes]) -> None:
-        self.make, self.old = make, {}
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
         if len(key) < 64:
-            if len(self) >= MEMO:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
@@ -166,12 +167,12 @@ def _decode_array(ids: pa.Array, token: Callable[[int], bytes]) -> list[bytes]:
     return [b"".join(map(token, flat[a:b])) for a, b in zip([0, *ends], ends)]
 
 
-def _encoder(df: DataFrame, ranks_path: str, pattern: str) -> Callable[[], Encoder]:
+def _encoder(df: DataFrame, ranks_path: str, pattern: str, memo: int = MEMO) -> Callable[[], Encoder]:
     """Makes a worker's encoder. The rank table goes out by broadcast: its size is the vocabulary's, not the data's."""
     ranks = load_ranks(ranks_path)
     shared = df.sparkSession.sparkContext.broadcast((ranks, halves_of(ranks)))
-    key = ("bpe", ranks_path, pattern)
-    return lambda: kept_in_worker(key, lambda: Encoder(*shared.value, pattern))
+    key = ("bpe", ranks_path, pattern, memo)
+    return lambda: kept_in_worker(key, lambda: Encoder(*shared.value, pattern, memo))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -200,22 +201,29 @@ def decode_documents(encoded: DataFrame, ranks_path: str, ids: str = "ids", deco
     return add_columns(encoded.drop(decoded), ids, [T.StructField(decoded, T.BinaryType())], start)
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str]) -> DataFrame:
-    """The columns `keep` with n_tokens, and SHA-256 of the ids (little-endian 32-bit) and of what they decode to.
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], ids: str | None = None, memo: int = MEMO) -> DataFrame:
+    """The columns `keep` with n_tokens, SHA-256 of the ids (little-endian 32-bit) and of what they decode to, and
+    decodes (whether that is the text, a null text being empty); with the ids too where `ids` names a column.
 
-    Encodes and decodes in one pass, so that ids needn't travel between processes.
+    Encodes and decodes in one pass, so that ids needn't travel between processes. `memo` bounds what a worker
+    remembers, about 1 KB of memory for each entry of it, and changes no result.
     """
-    made = _encoder(docs, ranks_path, pattern)
-    fields = T._parse_datatype_string("n_tokens bigint, ids_sha256 string, decoded_sha256 string").fields
+    made = _encoder(docs, ranks_path, pattern, memo)
+    fields = T._parse_datatype_string("n_tokens bigint, ids_sha256 string, decoded_sha256 string, decodes boolean").fields
+    fields += [T.StructField(ids, T.ArrayType(T.IntegerType(), False))] if ids else []
 
     def start() -> Callable[[pa.Array], list[pa.Array]]:
         encoder = made()
         token, sha = encoder.token.__getitem__, lambda x: hashlib.sha256(x).hexdigest()
 
-        def work(texts: pa.Array) -> list[pa.Array]:
-            packed = [encoder.encode(text.as_py()) for text in texts]
-            decoded = _decode_array(_list_array(packed), token)
-            return [pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(map(sha, packed), pa.string()), pa.array(map(sha, decoded), pa.string())]
+        def work(column: pa.Array) -> list[pa.Array]:
+            texts = [text or "" for text in column.to_pylist()]
+            packed = [encoder.encode(text) for text in texts]
+            lists = _list_array(packed)
+            decoded = _decode_array(lists, token)
+            same = [a == b.encode("utf-8", "surrogatepass") for a, b in zip(decoded, texts, strict=True)]
+            out = [pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(map(sha, packed), pa.string()), pa.array(map(sha, decoded), pa.string()), pa.array(same, pa.bool_())]
+            return [*out, lists] if ids else out
 
         return work
 

@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 _own: dict[str, str] = {}
 #: Rows of a batch that are worked on at a time, to bound a worker's memory.
 SOME_ROWS = 500
+#: Rows of an Arrow batch between the JVM and a worker, where the session has Spark's default of 10,000, which
+#: with long texts takes much memory on both sides.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,11 +86,19 @@ def kept_in_worker(key: object, make: Callable[[], object]) -> object:
     return _kept[key]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of the session, unless it has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def add_columns(df: DataFrame, source: str, fields: list[T.StructField], start: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
     """`df` with columns computed from `source`, batch by batch.
 
     `start()` runs once in each task and returns the function from a batch's column to the new columns.
     """
+    small_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, *fields])
     names = [f.name for f in schema.fields]
 

@@ -127,14 +127,17 @@ def contamination(words: list[bytes], automaton: Automaton) -> tuple[list[list[i
     return spans, sorted(found)
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, words: int) -> list[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of about `words` words; one block at a time is asked of Spark."""
+def _parts(benchmark: DataFrame, text: str, words: int) -> int:
+    """Number of blocks of about `words` item words."""
     size = F.octet_length(F.coalesce(F.col(text), F.lit(""))) / 2 + 1  # words at most
-    total = benchmark.agg(F.sum(size)).first()[0] or 0
-    parts = int(total // words) + 1
-    for part in range(parts):
-        rows = benchmark.where(F.pmod(F.xxhash64(text), F.lit(parts)) == part).select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).collect()
-        yield [(r["item"] if r["item"] is not None else "", w) for r in sorted(rows, key=lambda r: (r["item"] or "", r["text"] or "")) if (w := normal_words(r["text"]))]
+    return int((benchmark.agg(F.sum(size)).first()[0] or 0) // words) + 1
+
+
+def _block(benchmark: DataFrame, item_id: str, text: str, part: int, parts: int) -> list[tuple[str, list[bytes]]]:
+    """Items of one block, in a fixed order."""
+    rows = benchmark.where(F.pmod(F.xxhash64(text), F.lit(parts)) == part).select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).collect()
+    ordered = sorted(rows, key=lambda r: (r["item"] or "", r["text"] or ""))
+    return [(r["item"] or "", w) for r in ordered if (w := normal_words(r["text"]))]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -148,9 +151,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     docs = docs.drop(*[c for c in docs.columns if c in ("n_words", "spans", "items")])
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     fields = T._parse_datatype_string("n_words bigint, spans array<struct<start:int,end:int>>, items array<string>").fields
-    out, earlier = docs, None
-    for items in _blocks(benchmark, item_id, text, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    out, parts = docs, _parts(benchmark, text, block_words)
+    for part in range(parts):
+        shared = docs.sparkSession.sparkContext.broadcast(_block(benchmark, item_id, text, part, parts))
 
         def start(shared=shared) -> Callable[[pa.Array], list[pa.Array]]:
             automaton = Automaton(shared.value, window)
@@ -167,13 +170,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
             return work
 
-        if earlier is None:
+        if not part:
             out = add_columns(out, text, fields, start)
         else:  # a further block: its finds join those so far
             names = {f.name: fresh(f"more_{f.name}", out.columns) for f in fields}
             out = add_columns(out, text, [T.StructField(names[f.name], f.dataType) for f in fields], start)
             out = out.withColumn("spans", _union(F.concat("spans", names["spans"]))).withColumn("items", F.array_sort(F.array_union("items", names["items"]))).drop(*names.values())
-        earlier = shared
     return out
 
 
@@ -206,25 +208,42 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, longest: int = WINDOW, most_share: float = 0.5, text: str = "text") -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, longest: int = WINDOW, most_share: float = 0.5, text: str = "text", item_id: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The columns of `docs`; texts lose their hit spans of `longest` words or more, and spans that are a whole
     shorter item; a document with more than `most_share` of its words hit goes, and so does one that has no
     words left. Other texts, null ones too, stay as they are."""
-    n_words, n_hit, spans = (fresh(x, docs.columns) for x in ("doc_words", "doc_hit", "doc_spans"))
     names = docs.columns
-    found = find_contamination(docs.select([F.col(c).alias(f"c{i}") if c != text else F.col(c) for i, c in enumerate(names)]), benchmark, longest, text)
-    found = found.select(*[F.col(f"c{i}" if c != text else text).alias(c) for i, c in enumerate(names)], F.col("n_words").alias(n_words), hit_words("spans").alias(n_hit), F.col("spans").alias(spans))
-    kept = found.where((F.col(n_hit) == 0) | ((F.col(n_hit) <= most_share * F.col(n_words)) & (F.col(n_hit) < F.col(n_words))))
-    at = names.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = batch.column(len(names)).to_pylist()
-            if any(found):
-                texts = [cut(t.as_py(), [(s["start"], s["end"]) for s in x]) if x else t.as_py() for t, x in zip(batch.column(at), found, strict=True)]
-                column = pa.array(texts, batch.column(at).type)
-            else:
-                column = batch.column(at)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], column, *batch.columns[at + 1 : len(names)]], names=names)
-
-    return kept.select(*names, spans).mapInArrow(run, docs.schema)
+    clean, kept = fresh("clean_text", names), fresh("kept_row", names)
+    fields = [T.StructField(clean, T.StringType()), T.StructField(kept, T.BooleanType())]
+
+    def judged(value: str | None, n_words: int, spans: list) -> tuple[str | None, bool]:
+        hit = sum(b - a for a, b in spans)
+        return (cut(value, spans), hit <= most_share * n_words and hit < n_words) if hit else (value, True)
+
+    def columns(rows: list[tuple[str | None, bool]]) -> list[pa.Array]:
+        return [pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.bool_())]
+
+    if _parts(benchmark, text, block_words) == 1:  # found and cut in one pass
+        shared = docs.sparkSession.sparkContext.broadcast(_block(benchmark, item_id, text, 0, 1))
+
+        def start() -> Callable[[pa.Array], list[pa.Array]]:
+            automaton = Automaton(shared.value, longest)
+
+            def work(texts: pa.Array) -> list[pa.Array]:
+                split = ((value, normal_words(value)) for value in texts.to_pylist())
+                return columns([judged(value, len(words), contamination(words, automaton)[0]) for value, words in split])
+
+            return work
+
+        done = add_columns(docs, text, fields, start)
+    else:
+        plain = [F.col(c).alias(f"c{i}") if c != text else F.col(c) for i, c in enumerate(names)]
+        found = find_contamination(docs.select(*plain), benchmark, longest, text, item_id, block_words)
+        both = fresh("both", names)
+        found = found.select(*[F.col(f"c{i}" if c != text else text).alias(c) for i, c in enumerate(names)], F.struct(F.col(text).alias("t"), "n_words", "spans").alias(both))
+
+        def start_cut() -> Callable[[pa.Array], list[pa.Array]]:
+            return lambda rows: columns([judged(r["t"], r["n_words"], [(s["start"], s["end"]) for s in r["spans"]]) for r in rows.to_pylist()])
+
+        done = add_columns(found, both, fields, start_cut)
+    return done.where(kept).select(*[F.col(clean if c == text else c).alias(c) for c in names])

@@ -14,7 +14,7 @@ DEFINITION = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, public_tokenizers.PATTERN, ["doc_id"])
+    return bpe.round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, public_tokenizers.PATTERN, ["doc_id"]).drop("decodes")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
