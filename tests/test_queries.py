@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, vision
-from wayfold.operators import folds, solve
+from wayfold.operators import folds, georef, solve
 from wayfold.operators import relational as rel
-from wayfold.plans import registry, store, streams, trips  # noqa: F401
-from wayfold.sources import exports, logs
+from wayfold.plans import details, registry, store, streams, trips  # noqa: F401
+from wayfold.sources import clouds, exports, logs
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
@@ -161,3 +161,74 @@ def test_geojson_round_trip_and_nan_altitude(spark):
     df = spark.createDataFrame([(1, 1, 10.0, 20.0, float("nan")), (1, 2, 11.0, 21.0, 5.0), (2, 1, 0.0, 0.0, 0.0)], "trip_id long, ts_ns long, lat double, lon double, alt double")
     got = [tuple(r) for r in exports.parse_geojson(exports.geojson_lines(df, "trip_id", "ts_ns"), "trip_id").orderBy("n").collect()]
     assert got == [(1, 0, 20.0, 10.0, 0.0), (1, 1, 21.0, 11.0, 5.0)]
+
+
+def bend(n=21):
+    """A walk of 10 m one way and 10 m the other: the true places, and what odometry saw (turned, and drifting)."""
+    true = [(0.5 * i * 2, 0.0) if i <= n // 2 else (10.0, (i - n // 2) * 1.0) for i in range(n)]
+    return [(1, i, i * 10**9, x + 0.05 * i, 0.0, -y) for i, (x, y) in enumerate(true)], true
+
+
+def test_refinement_pulls_a_drifting_walk_to_its_fixes(spark, monkeypatch):
+    poses, true = bend()
+    df = spark.createDataFrame(poses, "trip_id long, pose_id long, ts_ns long, vio_x double, vio_y double, vio_z double")
+    origin = [F.lit(x) for x in (12.97, 77.59, 900.0)]
+    fixes = spark.createDataFrame([(1, i, i * 10**9, *true[i], 1.0) for i in (0, 5, 10, 15, 20)], "trip_id long, fix_id long, ts_ns long, e double, n double, h_acc_m double")
+    lat, lon, alt = geo.from_enu(F.col("e"), F.col("n"), F.lit(0.0), *origin)
+    fixes = fixes.select("trip_id", "fix_id", "ts_ns", lat.alias("lat"), lon.alias("lon"), alt.alias("alt"), "h_acc_m")
+    check = lambda: {r["pose_id"]: (r["east"], r["north"]) for r in georef.refine(df, fixes).collect()}
+    whole = check()
+    assert len(whole) == 21 and max(math.dist(whole[i], true[i]) for i in whole) < 0.6
+    monkeypatch.setattr(georef, "PIECE", 8)
+    monkeypatch.setattr(georef, "MARGIN", 6)
+    pieces = check()
+    assert len(pieces) == 21 and max(math.dist(pieces[i], whole[i]) for i in whole) < 0.3
+    assert not georef.refine(df, fixes.where("fix_id = 0")).collect()
+
+
+def test_chain_optimum_is_exact_without_noise():
+    import numpy as np
+
+    true = np.array([(i, 0.0, 0.0) for i in range(11)] + [(10.0, i, math.pi / 2) for i in range(1, 11)], float)
+    heading = np.concatenate([np.zeros(10), np.full(11, math.pi / 2)])
+    steps = np.stack([np.ones(20), np.zeros(20), np.diff(heading)], axis=1)
+    start = np.column_stack([true[:, 0] + 0.5 * np.arange(21), true[:, 1], heading])
+    anchors = np.zeros((21, 3))
+    for i in (0, 5, 10, 15, 20):
+        anchors[i] = (1.0, *true[i, :2])
+    assert np.abs(georef.optimise(start, steps, anchors)[:, :2] - true[:, :2]).max() < 0.2
+
+
+def online_events(late_ns, vps_at=None):
+    rows = []
+    for i in range(200):
+        at = i * 10_000_000
+        x, z = (i * 0.1, 0.0) if i < 100 else (10.0, -(i - 100) * 0.1)
+        rows.append((1, at, "pose", i, at, x, 0.0, z, True, None))
+        if i % 10 == 0:
+            rows.append((1, at + late_ns, "fix", i, at, x + 3.0, -z - 2.0, 0.0, False, None))
+    if vps_at is not None:
+        pairs = [[0.0, 0.0, 0.0, 50.0, 0.0, 0.0], [1.0, 0.0, 0.0, 51.0, 0.0, 0.0], [0.0, 0.0, -1.0, 50.0, 1.0, 0.0], [0.0, 1.0, 0.0, 50.0, 0.0, 1.0]]
+        rows.append((1, vps_at, "vps", 0, vps_at, None, None, None, False, pairs))
+    return rows
+
+
+@pytest.mark.parametrize("late_ns", [0, 300_000_000, -300_000_000])
+def test_online_alignment_with_late_and_early_fixes(spark, late_ns):
+    schema = "trip_id long, at_ns long, kind string, id long, ts_ns long, a double, b double, c double, tracking boolean, pairs array<array<double>>"
+    got = georef.online(spark.createDataFrame(online_events(late_ns), schema)).orderBy("pose_id").collect()
+    last = got[-1]
+    # An early fix is paired as soon as a pose is within 100 ms, which at this speed is up to 1 m away.
+    assert last["pose_id"] == 199 and math.dist((last["east"], last["north"], last["up"]), (13.0, 7.9, 0.0)) < (1.0 if late_ns < 0 else 0.2)
+    vps = georef.online(spark.createDataFrame(online_events(late_ns, 1_000_000_000), schema)).orderBy("pose_id").collect()
+    assert math.dist((vps[-1]["east"], vps[-1]["north"]), (60.0, 9.9)) < 0.01 and vps[-1]["transform_id"] == vps[110]["transform_id"]
+
+
+@pytest.mark.parametrize("kind", ["ply", "pcd"])
+def test_binary_clouds(spark, tmp_path, kind):
+    rows = [(1.0, 2.0, 3.0, 0.9), (-4.5, 5.5, -6.5, 0.4), (0.0, 0.0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "x double, y double, z double, confidence double").coalesce(1)
+    files = clouds.write_clouds(df, f"file://{tmp_path}/{kind}", kind, most=2).cache()
+    assert sorted(r["n_points"] for r in files.collect()) == [1, 2]
+    assert sorted(tuple(round(x, 5) for x in r) for r in clouds.read_clouds(files).collect()) == sorted(rows)
+    assert clouds.parse(clouds.header(kind, 5) + b"\0" * 40).shape == (2, 4)

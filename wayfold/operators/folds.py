@@ -150,3 +150,53 @@ def track_assets(detections: DataFrame, merge_m: float = 3.0) -> DataFrame:
         return step
 
     return ordered_fold(detections, "trip_id", ["ts_ns", "pose_id"], start, "trip_id long, pose_id long, track_id long")
+
+
+#: A kind of warning comes at most once in so many samples.
+WARN_EVERY = 64
+
+
+def warnings(samples: DataFrame, budget_ns: int) -> DataFrame:
+    """Samples that warn of latency above a budget, WARN_EVERY samples or more after the stream's last warning."""
+
+    def start():
+        n, told = 0, None
+
+        def step(r):
+            nonlocal n, told
+            n += 1
+            if r["arrival_ns"] - r["raw_ns"] <= budget_ns or (told is not None and n - told < WARN_EVERY):
+                return None
+            told = n
+            return {"stream_id": r["stream_id"], "seq": r["seq"]}
+
+        return step
+
+    return ordered_fold(samples, "stream_id", ["raw_ns", "seq"], start, "stream_id string, seq long")
+
+
+#: Share of the old value in smoothed speeds.
+SMOOTH = 0.8
+
+
+def smoothed_speed(poses: DataFrame, most_ns: int) -> DataFrame:
+    """Exponential mean of speed from zero; pairs of poses with no time or more than `most_ns` between are left out."""
+
+    def start():
+        last, mean = None, 0.0
+
+        def step(r):
+            nonlocal last, mean
+            before, last = last, (r["ts_ns"], (r["vio_x"], r["vio_y"], r["vio_z"]))
+            gap = 0 if before is None else last[0] - before[0]
+            if not 0 < gap <= most_ns:
+                return None
+            speed = math.dist(before[1], last[1]) / (gap / 1e9)
+            if not math.isfinite(speed):
+                return None
+            mean = SMOOTH * mean + (1 - SMOOTH) * speed
+            return {"trip_id": r["trip_id"], "pose_id": r["pose_id"], "speed": mean}
+
+        return step
+
+    return ordered_fold(poses, "trip_id", ["ts_ns", "pose_id"], start, "trip_id long, pose_id long, speed double")

@@ -15,6 +15,25 @@ from pyspark.sql import functions as F
 from ..functions.geo import clamp
 
 
+def _best(n: int, mu_s: np.ndarray, mu_t: np.ndarray, var_s: float, var_t: float, cov: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float] | None:
+    """Scale, rotation, translation and root mean square error from means, variances and covariance."""
+    if n < 3 or var_s < 1e-9:
+        return None
+    u, d, vt = np.linalg.svd(cov)
+    sign = np.array([1.0, 1.0, np.sign(np.linalg.det(u) * np.linalg.det(vt)) or 1.0])
+    rotation = u @ np.diag(sign) @ vt
+    scale = float((d * sign).sum() / var_s)
+    error = var_t + scale * scale * var_s - 2 * scale * float((d * sign).sum())
+    return scale, rotation, mu_t - scale * rotation @ mu_s, float(np.sqrt(max(0.0, error)))
+
+
+def align(source: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float] | None:
+    """Scale, rotation, translation and error that best map rows of `source` to rows of `target`, or None."""
+    mu_s, mu_t = source.mean(axis=0), target.mean(axis=0)
+    s, t = source - mu_s, target - mu_t
+    return _best(len(s), mu_s, mu_t, float((s * s).sum() / len(s)), float((t * t).sum() / len(t)), t.T @ s / len(s))
+
+
 def similarity_solve(pairs: DataFrame, key: str, source: tuple[str, str, str], target: tuple[str, str, str]) -> DataFrame:
     """For each key the scale, rotation (row-major) and translation that best map source to target points, and
     the root mean square error; no row for fewer than 3 pairs or a source without extent."""
@@ -33,15 +52,11 @@ def similarity_solve(pairs: DataFrame, key: str, source: tuple[str, str, str], t
                 mu_s, mu_t = (np.array([r[f"{k}{i}"] for i in range(3)]) / n for k in "st")
                 var_s = sum(r[f"ss{i}"] for i in range(3)) / n - mu_s @ mu_s
                 var_t = sum(r[f"tt{i}"] for i in range(3)) / n - mu_t @ mu_t
-                if n < 3 or var_s < 1e-9:
-                    continue
                 cov = np.array([[r[f"c{i}{j}"] for j in range(3)] for i in range(3)]) / n - np.outer(mu_t, mu_s)
-                u, d, vt = np.linalg.svd(cov)
-                sign = np.array([1.0, 1.0, np.sign(np.linalg.det(u) * np.linalg.det(vt)) or 1.0])
-                rotation = u @ np.diag(sign) @ vt
-                scale = float((d * sign).sum() / var_s)
-                error = var_t + scale * scale * var_s - 2 * scale * float((d * sign).sum())
-                made.append((r[key], n, scale, rotation.ravel().tolist(), (mu_t - scale * rotation @ mu_s).tolist(), float(np.sqrt(max(0.0, error)))))
+                found = _best(n, mu_s, mu_t, var_s, var_t, cov)
+                if found is not None:
+                    scale, rotation, shift, rms = found
+                    made.append((r[key], n, scale, rotation.ravel().tolist(), shift.tolist(), rms))
             kinds = [batch.schema.field(key).type, pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], names=[key, "n", "scale", "rotation", "translation", "rms"])
 

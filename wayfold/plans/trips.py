@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import solve
-from ..sources import exports
+from ..functions import geo
+from ..operators import georef, solve
+from ..sources import clouds, exports
 from .registry import QUERIES, query
 from ..views import table
 
@@ -107,3 +108,67 @@ def _is_folder(spark, path):
 
 query("stream_rate_live", "select stream_id, cast(raw_ns // 3600000000000 * 3600 as bigint) as hour_s, count(*) as n from v_sample group by all")(None)
 QUERIES["stream_rate_live"] = stream_rate_live
+
+
+@query("refined_trajectory")
+def refined_trajectory(t):
+    refined = georef.refine(t("v_pose"), t("v_fix"))
+    return refined.select("trip_id", "pose_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "alt")
+
+
+@query("georeference_online")
+def georeference_online(t):
+    """Every pose also has a fix, moved by (3, -2) m, which arrives an hour late. Times are shrunk a million times, as
+    the table's poses are hours apart."""
+    poses = t("v_pose").withColumn("ts_ns", F.expr("ts_ns div 1000000"))
+    lat, lon, alt = geo.from_enu(F.col("vio_x") + 3, -F.col("vio_z") - 2, F.col("vio_y"), F.lit(12.97), F.lit(77.59), F.lit(900.0))
+    fixes = poses.select("trip_id", F.col("pose_id").alias("fix_id"), "ts_ns", lat.alias("lat"), lon.alias("lon"), alt.alias("alt"), F.lit(3.0).alias("h_acc_m"))
+    found = georef.online(georef.events_of(poses, fixes, 3_600_000))
+    return found.select("trip_id", "pose_id", *[F.round(c, 3).alias(c) for c in ("east", "north", "up")], "transform_id")
+
+
+def _shared(spark, label):
+    import tempfile
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="wayfold-")
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _cloud_roundtrip(kind):
+    def run(spark, sf_dir):
+        folder = _shared(spark, kind)
+        points = table(spark, sf_dir, "v_landmark")
+        clouds.write_clouds(points, folder, kind).write.parquet(f"{folder}/files")
+        back = clouds.read_clouds(spark.read.schema("path string, n_points long").parquet(f"{folder}/files"))
+        return back.select(*[F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "confidence")])
+
+    return run
+
+
+for _kind in ("ply", "pcd"):
+    query(f"{_kind}_roundtrip", "select " + ", ".join(f"cast(cast({c} as float) as double) as {c}" for c in ("x", "y", "z", "confidence")) + " from v_landmark")(None)
+    QUERIES[f"{_kind}_roundtrip"] = _cloud_roundtrip(_kind)
+
+
+def _live_events(spark, sf_dir):
+    """The events as a stream, with their time `at`."""
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{sf_dir}/events.parque[t]")
+    return events.withColumn("at", F.col("ts").cast("timestamp")).drop("ts")
+
+
+def pose_fix_stream_join(spark, sf_dir):
+    """Fixes (even events) with poses (odd ones) of their trip within an hour, stream with stream."""
+    live = _live_events(spark, sf_dir)
+    fixes = live.where("event_id % 2 = 0").select(F.col("user_id").alias("trip_id"), F.col("event_id").alias("fix_id"), F.col("at").alias("fix_at")).withWatermark("fix_at", "2 hours")
+    poses = live.where("event_id % 2 = 1").select(F.col("user_id").alias("pose_trip"), F.col("event_id").alias("pose_id"), F.col("at").alias("pose_at")).withWatermark("pose_at", "2 hours")
+    near = F.expr("trip_id = pose_trip and pose_at between fix_at - interval 1 hour and fix_at + interval 1 hour")
+    joined = fixes.join(poses, near).select("trip_id", "fix_id", "pose_id")
+    folder = _shared(spark, "paired")
+    joined.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(joined.schema).parquet(f"{folder}/out")
+
+
+query("pose_fix_stream_join", "select f.trip_id, f.fix_id, p.pose_id from v_fix f join v_pose p on f.trip_id = p.trip_id and abs(f.ts_ns - p.ts_ns) <= 3600000000000 where f.fix_id % 2 = 0 and p.pose_id % 2 = 1")(None)
+QUERIES["pose_fix_stream_join"] = pose_fix_stream_join
