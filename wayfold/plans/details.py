@@ -244,11 +244,11 @@ def finite_or_default(t):
     return t("v_fix").select("fix_id", bad.alias("raw")).select("fix_id", F.when(geo.is_finite(F.col("raw")), F.col("raw")).otherwise(-1.0).alias("accuracy"))
 
 
-@query("vertex_buffer", "select v.trip_id, l_orderkey, l_linenumber, round(x - mx, 4) as vx, round(y - my, 4) as vy, round(z - mz, 4) as vz from v_landmark v join (select trip_id, avg(x) as mx, avg(y) as my, avg(z) as mz from v_landmark group by trip_id) c on v.trip_id = c.trip_id")
+@query("vertex_buffer", "select v.trip_id, l_orderkey, l_linenumber, round(x - mx, 9) as vx, round(y - my, 9) as vy, round(z - mz, 9) as vz from v_landmark v join (select trip_id, avg(x) as mx, avg(y) as my, avg(z) as mz from v_landmark group by trip_id) c on v.trip_id = c.trip_id")
 def vertex_buffer(t):
     points = t("v_landmark")
     centres = points.groupBy("trip_id").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
-    return points.join(centres, "trip_id").select("trip_id", "l_orderkey", "l_linenumber", *[F.round(F.col(c) - F.col(f"m{c}"), 4).alias(f"v{c}") for c in "xyz"])
+    return points.join(centres, "trip_id").select("trip_id", "l_orderkey", "l_linenumber", *[F.round(F.col(c) - F.col(f"m{c}"), 9).alias(f"v{c}") for c in "xyz"])
 
 
 @query("counter_poll", "select seq, value from v_sample where seq > 100 and seq <= 400 order by seq")
