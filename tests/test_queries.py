@@ -4,14 +4,15 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.functions import geo, vision
-from wayfold.operators import folds, georef, solve
+from wayfold.functions import geo, images, vision
+from wayfold.operators import folds, georef, monitor, solve
 from wayfold.operators import relational as rel
-from wayfold.plans import details, registry, store, streams, trips  # noqa: F401
-from wayfold.sources import clouds, exports, logs
+from wayfold.plans import details, live, registry, store, streams, trips  # noqa: F401
+from wayfold.sources import clouds, exports, logs, payloads
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
@@ -232,3 +233,79 @@ def test_binary_clouds(spark, tmp_path, kind):
     assert sorted(r["n_points"] for r in files.collect()) == [1, 2]
     assert sorted(tuple(round(x, 5) for x in r) for r in clouds.read_clouds(files).collect()) == sorted(rows)
     assert clouds.parse(clouds.header(kind, 5) + b"\0" * 40).shape == (2, 4)
+
+
+def test_monitor_batches_give_what_one_batch_gives(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), i, i * 10_000_000 + rng.randrange(-3, 3) * 6_000_000 + (i > 300) * 10**9, i * 10_000_000 + rng.randrange(4_000_000)) for i in range(600)]
+    schema = "stream_id string, seq long, raw_ns long, arrival_ns long"
+    none = spark.createDataFrame([], monitor.STATE)
+    whole = monitor.advance(spark.createDataFrame(rows, schema), none, 10_000_000)
+    first = monitor.advance(spark.createDataFrame(rows[:250], schema), none, 10_000_000)
+    both = monitor.advance(spark.createDataFrame(rows[250:], schema), first, 10_000_000)
+    assert sorted(whole.collect()) == sorted(both.collect())
+    assert sorted(monitor.advance(spark.createDataFrame([], schema), first, 1).collect()) == sorted(first.collect())
+    assert all(r["out_of_order"] and r["gaps"] and r["base_ns"] is not None and len(r["recent"]) == 64 for r in whole.collect())
+
+
+def test_monitor_of_known_streams():
+    steady = monitor.State("s")
+    for i in range(100):
+        steady.take(i * 10_000_000, i * 10_000_000, 10_000_000)
+    assert (steady.received, steady.gaps, steady.drift_ns, steady.offset_ns) == (100, 0, 0, 0)
+    steady.take(1_090_000_000, 1_090_000_000, 10_000_000)
+    assert (steady.gaps, steady.dropped) == (1, 9)
+    drifting = monitor.State("d")
+    for i in range(1000):
+        drifting.take(i * 10_000_000, i * 10_020_000, 10_000_000)
+    assert drifting.drift_ns > 5_000_000
+    late = monitor.State("o")
+    for raw in (1_000_000_000, 1_010_000_000, 1_005_000_000):
+        late.take(raw, raw, 10_000_000)
+    assert (late.out_of_order, late.last_ns) == (1, 1_010_000_000)
+    shifted = monitor.State("b")
+    shifted.take(500_000_000, 1_500_000_000, 0)
+    assert shifted.offset_ns == 10**9
+
+
+def test_payloads_in_their_binary_form():
+    assert payloads.encode({"timestamp_ns": 300, "x": 1.0, "accuracy": -1}, payloads.INERTIAL) == b"\x08\xac\x02\x15\x00\x00\x80\x3f\x28" + b"\xff" * 9 + b"\x01"
+    assert payloads.encode({"timestamp_ns": 0, "type": "", "payload": None}, payloads.EVENT) == b""
+    for row in ({"timestamp_ns": -5, "type": "\u00e9\u4e2d", "payload": "x" * 300}, {"timestamp_ns": 2**63 - 1, "type": "", "payload": ""}):
+        assert payloads.decode(payloads.encode(row, payloads.EVENT), payloads.EVENT) == row
+    pose = {"timestamp_ns": 1, "position": {"x": 0.0, "y": -0.0, "z": 2.5}, "orientation": None, "tracking_state": "PAUSED", "confidence": 0.5}
+    assert payloads.decode(payloads.encode(pose, payloads.POSE), payloads.POSE) == pose
+    assert payloads.decode(b"\xa2\x06\x01x" + payloads.encode(pose, payloads.POSE), payloads.POSE) == pose
+    with pytest.raises(ValueError):
+        payloads.decode(payloads.encode({"timestamp_ns": 1, "type": "abc"}, payloads.EVENT)[:-1], payloads.EVENT)
+
+
+def test_payloads_of_null_messages(spark):
+    rows = spark.sql("select 1 as k, named_struct('timestamp_ns', 7L, 'type', 'a') as message union all select 2, null")
+    back = payloads.decode_payloads(payloads.encode_payloads(rows, "/events"), "/events")
+    assert sorted((r["k"], r["message"] and r["message"]["type"]) for r in back.collect()) == [(1, "a"), (2, None)]
+
+
+def test_head_of_one_object(spark):
+    head = [0.0] * (84 * 20)
+    for channel, value in ((0, 0.5), (1, 0.5), (2, 0.2), (3, 0.4), (4 + 9, 0.9)):
+        head[channel * 20 + 7] = value
+    found = spark.createDataFrame([(head,)], "head array<float>").select(F.inline(images.decode_head(F.col("head"), 20, 80, 640, 0.35))).collect()
+    assert [(r["anchor"], r["class"]) for r in found] == [(7, 9)]
+    assert [round(found[0][c]) for c in ("left_px", "top_px", "right_px", "bottom_px")] == [256, 192, 384, 448]
+
+
+def test_frames(spark):
+    frame = np.arange(2 * 4 * 3, dtype=np.uint8).reshape(2, 4, 3)
+    boxed = images.letterbox(frame, 8)
+    assert boxed.shape == (8, 8, 3) and np.allclose(boxed[0], images.GREY) and np.allclose(boxed[7], images.GREY)
+    assert np.allclose(boxed[2:6, ::2] * 255, frame[[0, 0, 1, 1]]) and np.allclose(boxed[2:6, 1::2] * 255, frame[[0, 0, 1, 1]])
+    assert images.crop_resize(frame, (1.9, 0, 3.2, 1), 2).tolist() == frame[[0, 0]][:, [1, 2]].tolist()
+    assert images.crop_resize(frame, (9, 9, 9, 9), 1).tolist() == frame[1:, 3:].tolist()
+    grey = images.nv21_to_rgb(bytes([16, 235, 16, 235, 126, 126, 126, 126] + [128] * 4), 4, 2)
+    assert grey[0, 0].tolist() == [0, 0, 0] and grey[0, 1].tolist() == [254, 254, 254] and grey[1, 0].tolist() == [128, 128, 128]
+    red = images.nv21_to_rgb(bytes([81] * 4 + [240, 90]), 2, 2)
+    assert red[0, 0, 0] > 250 and red[0, 0, 1] < 5 and red[0, 0, 2] < 5
+    rows = spark.createDataFrame([(1, bytearray(frame.tobytes()), 4, 2), (2, None, 4, 2)], "k int, frame binary, width int, height int")
+    got = {r["k"]: r["values"] for r in images.map_frames(rows, lambda f: images.letterbox(f, 8)).collect()}
+    assert got[2] is None and np.allclose(got[1], boxed.ravel())

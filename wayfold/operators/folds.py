@@ -92,7 +92,7 @@ def drift(samples: DataFrame) -> DataFrame:
             offset = float(r["arrival_ns"] - r["raw_ns"])
             n += 1
             ema = offset if n == 1 else ema + ALPHA * (offset - ema)
-            if base is None and n >= WARM_UP:
+            if base is None and n > WARM_UP:
                 base = int(ema)
             return {"stream_id": r["stream_id"], "seq": r["seq"], "drift_ns": 0 if base is None else int(ema) - base}
 

@@ -74,7 +74,7 @@ _NUMBERED = "n as (select *, row_number() over (partition by stream_id order by
 @query("stream_drift_ema", f"""with recursive {_NUMBERED}, e as (
     select stream_id, seq, rn, cast(arrival_ns - raw_ns as double) as ema, cast(null as bigint) as base from n where rn = 1
     union all select n.stream_id, n.seq, n.rn, e.ema + cast(0.05 as double) * (cast(n.arrival_ns - n.raw_ns as double) - e.ema),
-        case when e.base is null and n.rn >= 32 then cast(trunc(e.ema + cast(0.05 as double) * (cast(n.arrival_ns - n.raw_ns as double) - e.ema)) as bigint) else e.base end
+        case when e.base is null and n.rn > 32 then cast(trunc(e.ema + cast(0.05 as double) * (cast(n.arrival_ns - n.raw_ns as double) - e.ema)) as bigint) else e.base end
     from e join n on n.stream_id = e.stream_id and n.rn = e.rn + 1)
     select stream_id, seq, case when base is null then 0 else cast(trunc(ema) as bigint) - base end as drift_ns from e""")
 def stream_drift_ema(t):
