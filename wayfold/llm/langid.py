@@ -144,8 +144,9 @@ def _sample(rows: DataFrame, text: str, lang: str, doc_id: str, most: int) -> tu
         return [], []
     each = max(1, most // len(languages))
     share = F.create_map(*[F.lit(x) for r in per_language for x in (r["lang"], min(1.0, each / r["count"]))])
-    draw = F.pmod(F.xxhash64(F.lit(7), F.col(doc_id)), F.lit(1_000_003)) / 1_000_003.0
+    draw = F.pmod(F.xxhash64(F.lit(7), F.col(doc_id), F.col(text)), F.lit(1 << 53)) / float(1 << 53)
     drawn = rows.where(draw < F.element_at(share, F.col(lang))).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), (F.pmod(F.xxhash64(F.lit(11), F.col(doc_id)), F.lit(5)) == 0).alias("calibrates"))
+    drawn = drawn.distinct()  # a row that repeats is drawn always or never, so its repeats must not count
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,15 +160,16 @@ def _sample(rows: DataFrame, text: str, lang: str, doc_id: str, most: int) -> tu
 
     schema = T.StructType([drawn.schema["doc_id"], T.StructField("lang", T.StringType()), T.StructField("calibrates", T.BooleanType()), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("shares", T.ArrayType(T.FloatType()))])
     got = drawn.mapInArrow(sparse, schema).toArrow()
-    got = got.take(pa.array(np.random.default_rng(5).permutation(got.num_rows)) if got.num_rows == 0 else _order(got))
+    got = got.take(_order(got))
     number = {x: i for i, x in enumerate(languages)}
     rows_out = [(got["buckets"][i].values.to_numpy(), got["shares"][i].values.to_numpy(), number[got["lang"][i].as_py()], got["calibrates"][i].as_py()) for i in range(got.num_rows)]
     return languages, rows_out
 
 
 def _order(got: pa.Table) -> pa.Array:
-    """The same order each time, whatever the tasks' order: by id, then mixed with a fixed seed."""
-    by_id = np.argsort(np.array([str(x) for x in got["doc_id"].to_pylist()]), kind="stable")
+    """The same order each time, whatever the tasks' order: by id and buckets, then mixed with a fixed seed."""
+    ids, sizes = got["doc_id"].to_pylist(), got["buckets"].to_pylist()
+    by_id = np.array(sorted(range(len(ids)), key=lambda i: (str(ids[i]), sizes[i])), np.int64)
     return pa.array(by_id[np.random.default_rng(5).permutation(len(by_id))])
 
 
