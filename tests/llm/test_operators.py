@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from wayfold.llm import bpe, chat, decontam, langid, licenses, queries, quality, rollup, simhash, token_files, warc
+from wayfold.llm import bpe, chat, decontam, langid, licenses, queries, quality, rollup, similar, simhash, token_files, warc
 from wayfold.llm.common import new_path, write_table
 
 SF = "/root/testdata/sf0.001"
@@ -399,3 +399,38 @@ def test_pipeline_stages_keep_the_columns_and_clean_documents(spark, table):
         assert docs.columns == columns, name
     last = corpus_pipeline.STAGES[-1][1](spark, docs, table)
     assert all(r["decodes"] for r in last.collect()) and last.count() == docs.count() > 0
+
+
+def test_near_dedup_stage_against_brute_force(spark):
+    """Clusters of near copies at 5-word similarities on both sides of 0.8, chains, short and empty texts."""
+    draw = random.Random(3)
+    texts = ["", "two words", "Two  words", "one two three four five six"]
+    for _ in range(25):
+        words = [f"w{draw.randrange(5000)}" for _ in range(draw.choice((30, 80, 200)))]
+        texts.append(" ".join(words))
+        for _ in range(draw.randint(0, 8)):
+            words = list(words) if draw.random() < 0.5 else texts[-1].split()
+            for at in draw.sample(range(len(words)), max(1, len(words) // draw.choice((30, 60, 90)))):
+                words[at] = f"v{draw.randrange(5000)}"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    want = sorted(min(i for i in range(len(texts)) if group[i] == g) for g in set(group))
+    assert len(want) < len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert got == want
+    assert got != sorted(r["doc_id"] for r in simhash.keep_one_each(df).collect())
+
+
+def test_near_dedup_verifies_what_it_merges(spark):
+    """Members of one MinHash cell that are not similar to its smallest still meet each other."""
+    words = [f"w{i}" for i in range(90)]
+    texts = [" ".join(words[:60] + [f"{c}{i}" for i in range(25)] + [x]) for c in "abcdefgh" for x in "xy"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert got == list(range(0, 16, 2))

@@ -182,11 +182,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return marked.join(found, "fp").select("doc_id", "text_hash", "fp", "component_id", "component")
 
 
-def keep_one_each(docs: DataFrame) -> DataFrame:
+def keep_one_each(docs: DataFrame, grouped: DataFrame | None = None) -> DataFrame:
     """The rows of `docs` (columns doc_id, text and any others, unchanged) but for one document of each
-    component: that with the smallest id, a null id last. Rows that repeat its id and text are dropped too."""
+    component: that with the smallest id, a null id last. Rows that repeat its id and text are dropped too.
+    `grouped` has doc_id, text_hash and component of each row; by default those of `near_duplicates`."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    keepers = near_duplicates(docs).groupBy("component").agg(first)
+    keepers = (near_duplicates(docs) if grouped is None else grouped).groupBy("component").agg(first)
     key, text_hash = fresh("kept_id", docs.columns), fresh("kept_hash", docs.columns)
     keepers = write_table(keepers.select(F.col("first.doc_id").alias(key), F.col("first.text_hash").alias(text_hash)), "simhash-keepers")
     kept = docs.join(keepers, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(text_hash)), "left_semi")
