@@ -176,6 +176,40 @@ def test_containment_join_finds_all_that_brute_force_finds(spark):
         assert got == want
 
 
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the Software)"
+BSD = "Redistribution and use in source and binary\nforms, with or without modification,\nare permitted"
+MPL = " * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy"
+GPL = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License"
+
+
+def test_op4_finds_wrapped_notices_and_no_scattered_words(spark, tmp_path):
+    filler = " ".join(f"word{i}" for i in range(3000))
+    texts = [MIT, BSD, MPL, GPL, f"{filler}\n{BSD}\n{filler}", f"all {filler} rights {filler} reserved", "All rights\nreserved."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["labels"] for r in queries.op4_license_scan(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(7)] == ["mit", "bsd", "mpl-2.0", "gpl", "bsd", "", "proprietary"]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_windows_find_all_that_brute_force_finds(spark, threshold):
+    draw = random.Random(6)
+    vocabulary = "abcdefghij"
+    templates = [(" ".join(draw.sample(vocabulary, n)), f"t{i}") for i, n in enumerate((3, 5, 5, 8, 10))]
+    texts = [" ".join(draw.choice(vocabulary + "uvwxyz" * 2) + draw.choice(("", "\n")) for _ in range(draw.randint(0, 60))) for _ in range(200)]
+    want = []
+    for i, text in enumerate(texts):
+        w, best = text.split(), {}
+        for t, name in templates:
+            t = set(t.split())
+            most = max((len(t & set(w[k : k + 2 * len(t)])) for k in range(len(w))), default=0) / len(t)
+            if most >= threshold - 1e-9:
+                best[name] = most
+        want.append((i, sorted(best), max(best.values(), default=0.0)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["template_labels"], r["containment"]) for r in licenses.scan(df, templates, threshold, window=2).collect())
+    assert got == want
+
+
 def brute_hits(words, items, window):
     hit, found = set(), set()
     for item, w in items:

@@ -1,6 +1,8 @@
 """License scans in DataFrame functions only: fixed phrases, and an exact set-similarity join with templates.
 
-The join finds every text block (line) that holds at least THRESHOLD of a template's distinct words. Words are
+The join finds every text block that holds at least THRESHOLD of a template's distinct words. A block is a line,
+or, in the registered query, a run of WINDOW times as many words as the template has, wherever lines break, so
+that wrapped notices are found and words scattered over a long line are not. Words are
 ordered from rare to frequent over the whole table; a block and a template that share enough words must share
 one among the first few of each (prefix filter), the block must be long enough (length filter), and what
 remains behind the shared word must suffice (positional filter). Words that no template has match nothing; they
@@ -34,6 +36,7 @@ TEMPLATES = [
     ("all rights reserved", "proprietary"),
 ]
 THRESHOLD = 0.8
+WINDOW = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -86,11 +89,52 @@ def template_index(docs: DataFrame, order: list[str], templates: list[tuple[str,
     return docs.sparkSession.createDataFrame(rows, "word string, template int, label string, place int, size int, least int, words array<string>")
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def _scan_windows(base: DataFrame, keep: list[str], row: str, words: str, index: DataFrame, order: list[str], prefixes: list[str], window: int) -> DataFrame:
+    """`scan` with runs of words as blocks. A run that holds enough of a template holds one of its prefix words, so
+    each place of a prefix word becomes a row with the words around it, as far as a run over that place can reach."""
+    near, hit_word, held, at, here = (fresh(x, base.columns) for x in ("near_words", "hit_word", "held", "at", "here"))
+    prefix_words = F.array(*[F.lit(w) for w in prefixes])
+    longest = max((len(r["words"]) for r in index.select("words").collect()), default=1) * window
+    w, none = F.col(words), F.array().cast("array<struct<word:string,at:int,near:array<string>>>")
+
+    def around(i: Column) -> Column:
+        first = F.greatest(i - (longest - 1), F.lit(0))
+        return F.named_struct(F.lit("word"), F.get(w, i), F.lit("at"), i - first, F.lit("near"), F.slice(w, first + 1, i - first + longest))
+
+    places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(prefix_words, F.get(w, i)))
+    hits = F.when(F.arrays_overlap(w, prefix_words), F.transform(places, around)).otherwise(none)
+    found = base.select(*keep, row, F.size(w).cast("long").alias("n_words"), phrase_places(w).alias("places"), F.explode_outer(hits).alias(here))
+    found = found.select(*keep, row, "n_words", "places", F.col(here)["word"].alias(hit_word), F.col(here)["at"].alias(at), F.col(here)["near"].alias(near))
+    index = index.select(*[F.col(c).alias(f"template_{c}") for c in index.columns])
+    joined = found.join(F.broadcast(index), F.col(hit_word) == F.col("template_word"), "left")
+    # The row of a run's rarest shared word has all its other shared words behind that in the order.
+    size, least, run = F.col("template_size"), F.col("template_least"), F.col("template_size") * window
+    first = F.greatest(F.col(at) - (run - 1), F.lit(0))
+    reach = F.slice(F.col(near), first + 1, F.col(at) - first + run)
+    joined = joined.withColumn(near, F.when(F.col("template_word").isNotNull(), reach)).withColumn(at, F.col(at) - first)
+    joined = joined.withColumn(held, F.array_intersect(F.array(*[F.lit(x) for x in order]), F.col(near)))
+    behind = F.size(held) - F.array_position(held, F.col(hit_word)) + 1
+    enough = (F.size(F.array_intersect(held, F.col("template_words"))) >= least) & (behind >= least)
+
+    def share(start: Column) -> Column:
+        return F.size(F.array_intersect(F.slice(F.col(near), start + 1, run), F.col("template_words")))
+
+    best = F.when(enough, F.array_max(F.transform(F.sequence(F.lit(0), F.col(at)), share)))
+    best = F.when(best >= least, best)
+    return (
+        joined.select(row, *keep, "n_words", "places", "template_label", (best / size).alias(here))
+        .groupBy(row, *keep, "n_words", "places")
+        .agg(F.array_sort(F.collect_set(F.when(F.col(here).isNotNull(), F.col("template_label")))).alias("template_labels"), F.coalesce(F.max(here), F.lit(0.0)).alias("containment"))
+        .drop(row)
+    )
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text", keep: list[str] | None = None, window: int | None = None) -> DataFrame:
     """The columns `keep` of each row (default: all but the text), with
 
     n_words, places (array of start and label of each phrase), template_labels (sorted distinct labels of the
-    templates that some line contains to `threshold`) and containment (the highest such share, else 0).
+    templates that some block contains to `threshold`) and containment (the highest such share, else 0).
+    Blocks are lines, or with `window` the runs of `window` times a template's words, across lines.
     Columns of these names are replaced. A null or empty text has no words and no finds. Each row stands for
     itself, so repeated rows and repeated ids stay apart. An empty table gives an empty result.
     """
@@ -102,6 +146,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     row, words, block, held, size, at, word = (fresh(x, docs.columns) for x in ("row_key", "row_words", "block", "held", "block_size", "at", "found_word"))
 
     base = docs.select(*keep, F.col(text).alias(block), words_of(F.col(text)).alias(words), F.monotonically_increasing_id().alias(row))
+    if window:
+        return _scan_windows(base, keep, row, words, index, order, prefixes, window)
     # Most documents have no prefix word and stay one row; of the others each line becomes one.
     may = F.arrays_overlap(words, F.array(*[F.lit(w) for w in prefixes]))
     lines = base.select(*keep, row, F.size(words).cast("long").alias("n_words"), phrase_places(F.col(words)).alias("places"), F.explode(F.when(may, F.split(block, "\n")).otherwise(F.array(F.lit("")))).alias(block))

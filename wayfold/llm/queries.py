@@ -29,7 +29,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"), window=licenses.WINDOW)
     starts, base = F.transform("places", lambda p: p["start"]), F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
     return found.select(
         "doc_id",
