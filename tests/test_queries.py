@@ -309,3 +309,9 @@ def test_frames(spark):
     rows = spark.createDataFrame([(1, bytearray(frame.tobytes()), 4, 2), (2, None, 4, 2)], "k int, frame binary, width int, height int")
     got = {r["k"]: r["values"] for r in images.map_frames(rows, lambda f: images.letterbox(f, 8)).collect()}
     assert got[2] is None and np.allclose(got[1], boxed.ravel())
+
+
+def test_radius_joins_take_every_fix(spark):
+    for name in ("radius_join_all_fixes", "association_3m_all_fixes"):
+        near = registry.QUERIES[name](spark, SF)
+        assert near.where("fix_id % 10 != 0").count() > near.where("fix_id % 10 = 0").count() > 0

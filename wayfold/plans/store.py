@@ -64,6 +64,21 @@ def association_3m_grid(t):
     return rel.radius_join(fixes, t("v_asset").select("id", "lat", "lon"), 3.0, ("flat", "lat"), ("flon", "lon")).select("fix_id", "id")
 
 
+def _near_assets(t, radius_m):
+    fixes = t("v_fix").select("fix_id", F.col("lat").alias("flat"), F.col("lon").alias("flon"))
+    return rel.radius_join(fixes, t("v_asset").select("id", "lat", "lon"), radius_m, ("flat", "lat"), ("flon", "lon"))
+
+
+@query("radius_join_all_fixes", f"select f.fix_id, a.id, round({sql_dist('f.lat', 'f.lon', 'a.lat', 'a.lon')}, 6) as distance_m from v_fix f, v_asset a where {sql_dist('f.lat', 'f.lon', 'a.lat', 'a.lon')} <= 50")
+def radius_join_all_fixes(t):
+    return _near_assets(t, 50.0).select("fix_id", "id", F.round("distance_m", 6).alias("distance_m"))
+
+
+@query("association_3m_all_fixes", f"select f.fix_id, a.id from v_fix f, v_asset a where {sql_dist('f.lat', 'f.lon', 'a.lat', 'a.lon')} <= 3")
+def association_3m_all_fixes(t):
+    return _near_assets(t, 3.0).select("fix_id", "id")
+
+
 @query("assets_by_class", "select * from v_asset where asset_class = 'MACHINERY'")
 def assets_by_class(t):
     return t("v_asset").where("asset_class = 'MACHINERY'")
