@@ -315,3 +315,9 @@ def test_radius_joins_take_every_fix(spark):
     for name in ("radius_join_all_fixes", "association_3m_all_fixes"):
         near = registry.QUERIES[name](spark, SF)
         assert near.where("fix_id % 10 != 0").count() > near.where("fix_id % 10 = 0").count() > 0
+
+
+def test_joins_in_time_take_every_fix(spark):
+    fixes = registry.table(spark, SF, "v_fix").count()
+    for name in ("nearest_pose_all_fixes", "latest_pose_all_fixes", "pose_fix_stream_join_all"):
+        assert registry.QUERIES[name](spark, SF).select("fix_id").distinct().count() == fixes

@@ -199,6 +199,25 @@ def latest_pose_asof(t):
     return rel.latest_before(fixes, poses, "trip_id", "ts_ns", "pose_id").select("trip_id", "fix_id", "ts_ns", F.col("matched_id").alias("pose_id"))
 
 
+_SHIFT_ALL = "(select trip_id, fix_id, ts_ns + (fix_id % 7) * 1000000000 as ts_ns from v_fix)"
+
+
+def _shifted(t):
+    return t("v_fix").select("trip_id", "fix_id", (F.col("ts_ns") + F.col("fix_id") % 7 * 1_000_000_000).alias("ts_ns"))
+
+
+@query("nearest_pose_all_fixes", f"select f.trip_id, f.fix_id, f.ts_ns, arg_min(p.pose_id, (abs(p.ts_ns - f.ts_ns), p.ts_ns, p.pose_id)) as pose_id from {_SHIFT_ALL} f left join v_pose p on p.trip_id = f.trip_id and abs(p.ts_ns - f.ts_ns) <= {_TOL} group by all")
+def nearest_pose_all_fixes(t):
+    found = rel.nearest_in_time(_shifted(t), t("v_pose").select("trip_id", "ts_ns", "pose_id"), "trip_id", "ts_ns", "pose_id", _TOL)
+    return found.select("trip_id", "fix_id", "ts_ns", F.col("matched_id").alias("pose_id"))
+
+
+@query("latest_pose_all_fixes", f"select f.trip_id, f.fix_id, f.ts_ns, arg_max(p.pose_id, (p.ts_ns, p.pose_id)) as pose_id from {_SHIFT_ALL} f left join v_pose p on p.trip_id = f.trip_id and p.ts_ns <= f.ts_ns group by all")
+def latest_pose_all_fixes(t):
+    found = rel.latest_before(_shifted(t), t("v_pose").select("trip_id", "ts_ns", "pose_id"), "trip_id", "ts_ns", "pose_id")
+    return found.select("trip_id", "fix_id", "ts_ns", F.col("matched_id").alias("pose_id"))
+
+
 @query("sliding_pairs_600", "select trip_id, fix_id from v_fix qualify row_number() over (partition by trip_id order by ts_ns desc, fix_id desc) <= 600")
 def sliding_pairs_600(t):
     w = W.partitionBy("trip_id").orderBy(F.col("ts_ns").desc(), F.col("fix_id").desc())

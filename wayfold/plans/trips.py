@@ -160,9 +160,18 @@ def _live_events(spark, sf_dir):
 
 def pose_fix_stream_join(spark, sf_dir):
     """Fixes (even events) with poses (odd ones) of their trip within an hour, stream with stream."""
+    return _stream_join(spark, sf_dir, "event_id % 2 = 0", "event_id % 2 = 1")
+
+
+def pose_fix_stream_join_all(spark, sf_dir):
+    """All fixes with all poses of their trip within an hour, stream with stream."""
+    return _stream_join(spark, sf_dir, "true", "true")
+
+
+def _stream_join(spark, sf_dir, is_fix, is_pose):
     live = _live_events(spark, sf_dir)
-    fixes = live.where("event_id % 2 = 0").select(F.col("user_id").alias("trip_id"), F.col("event_id").alias("fix_id"), F.col("at").alias("fix_at")).withWatermark("fix_at", "2 hours")
-    poses = live.where("event_id % 2 = 1").select(F.col("user_id").alias("pose_trip"), F.col("event_id").alias("pose_id"), F.col("at").alias("pose_at")).withWatermark("pose_at", "2 hours")
+    fixes = live.where(is_fix).select(F.col("user_id").alias("trip_id"), F.col("event_id").alias("fix_id"), F.col("at").alias("fix_at")).withWatermark("fix_at", "2 hours")
+    poses = live.where(is_pose).select(F.col("user_id").alias("pose_trip"), F.col("event_id").alias("pose_id"), F.col("at").alias("pose_at")).withWatermark("pose_at", "2 hours")
     near = F.expr("trip_id = pose_trip and pose_at between fix_at - interval 1 hour and fix_at + interval 1 hour")
     joined = fixes.join(poses, near).select("trip_id", "fix_id", "pose_id")
     folder = _shared(spark, "paired")
@@ -172,3 +181,5 @@ def pose_fix_stream_join(spark, sf_dir):
 
 query("pose_fix_stream_join", "select f.trip_id, f.fix_id, p.pose_id from v_fix f join v_pose p on f.trip_id = p.trip_id and abs(f.ts_ns - p.ts_ns) <= 3600000000000 where f.fix_id % 2 = 0 and p.pose_id % 2 = 1")(None)
 QUERIES["pose_fix_stream_join"] = pose_fix_stream_join
+query("pose_fix_stream_join_all", "select f.trip_id, f.fix_id, p.pose_id from v_fix f join v_pose p on f.trip_id = p.trip_id and abs(f.ts_ns - p.ts_ns) <= 3600000000000")(None)
+QUERIES["pose_fix_stream_join_all"] = pose_fix_stream_join_all
