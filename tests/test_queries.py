@@ -321,3 +321,9 @@ def test_joins_in_time_take_every_fix(spark):
     fixes = registry.table(spark, SF, "v_fix").count()
     for name in ("nearest_pose_all_fixes", "latest_pose_all_fixes", "pose_fix_stream_join_all"):
         assert registry.QUERIES[name](spark, SF).select("fix_id").distinct().count() == fixes
+
+
+def test_counter_poll_has_no_upper_bound(spark):
+    samples = registry.table(spark, SF, "v_sample")
+    got = [r["seq"] for r in registry.QUERIES["counter_poll_all"](spark, SF).collect()]
+    assert got == sorted(r["seq"] for r in samples.where("seq > 100").collect()) and max(got) > 400

@@ -257,6 +257,12 @@ def counter_poll(t):
     return t("v_sample").where("seq > 100 and seq <= 400").select("seq", "value").orderBy("seq")
 
 
+@query("counter_poll_all", "select seq, value from v_sample where seq > 100 order by seq")
+def counter_poll_all(t):
+    """All records whose counter is beyond the last one seen, in order."""
+    return t("v_sample").where("seq > 100").select("seq", "value").orderBy("seq")
+
+
 @query("epoch_enrich", "select stream_id, seq, coalesce(last_value(case when seq % 4 = 0 then value end ignore nulls) over (partition by stream_id order by raw_ns, seq rows between unbounded preceding and current row), -1) as sats from v_sample")
 def epoch_enrich(t):
     w = W.partitionBy("stream_id").orderBy("raw_ns", "seq").rowsBetween(W.unboundedPreceding, 0)
