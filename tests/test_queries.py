@@ -327,3 +327,11 @@ def test_counter_poll_has_no_upper_bound(spark):
     samples = registry.table(spark, SF, "v_sample")
     got = [r["seq"] for r in registry.QUERIES["counter_poll_all"](spark, SF).collect()]
     assert got == sorted(r["seq"] for r in samples.where("seq > 100").collect()) and max(got) > 400
+
+
+def test_landmark_map_keeps_the_references_number_and_evicts_the_oldest(spark):
+    rows = [(1, k, k % 60, 1, float(k)) for k in range(120)]
+    points = spark.createDataFrame(rows, "trip_id long, l_orderkey long, l_partkey long, l_linenumber long, x double")
+    assert details.latest_capped(points).count() == 60
+    got = sorted((r["l_partkey"], r["x"]) for r in details.latest_capped(points, 3).collect())
+    assert got == [(57, 117.0), (58, 118.0), (59, 119.0)]

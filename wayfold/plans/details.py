@@ -14,6 +14,9 @@ from .registry import query
 
 _TRIP = "over (partition by trip_id order by ts_ns, pose_id)"
 
+#: Landmarks that a trip's map keeps, as in the reference.
+MOST_LANDMARKS = 50_000
+
 
 def _trip():
     return W.partitionBy("trip_id").orderBy("ts_ns", "pose_id")
@@ -182,12 +185,26 @@ def late_pairing(t):
 @query("landmark_latest_capped", """select trip_id, l_partkey, x from (select trip_id, l_partkey, arg_max(x, l_orderkey * 10 + l_linenumber) as x,
     row_number() over (partition by trip_id order by min(l_orderkey * 10 + l_linenumber) desc) as rn from v_landmark group by trip_id, l_partkey) where rn <= 50""")
 def landmark_latest_capped(t):
-    """The latest version of each landmark; a trip's map keeps the 50 that were founded last."""
+    """The latest version of each landmark; a trip's map keeps the 50 that were founded last, not the reference's 50,000."""
     seen = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     latest = t("v_landmark").groupBy("trip_id", "l_partkey").agg(F.max_by("x", seen).alias("x"), F.min(seen).alias("founded"))
     return latest.withColumn("rn", F.row_number().over(W.partitionBy("trip_id").orderBy(F.col("founded").desc()))).where("rn <= 50").select("trip_id", "l_partkey", "x")
 
 
+@query("landmark_latest_map", """select trip_id, l_partkey, x from (select trip_id, l_partkey, arg_max(x, (l_orderkey * 10 + l_linenumber, x)) as x,
+    row_number() over (partition by trip_id order by min(l_orderkey * 10 + l_linenumber) desc, l_partkey desc) as rn from v_landmark group by trip_id, l_partkey) where rn <= 50000""")
+def landmark_latest_map(t):
+    return latest_capped(t("v_landmark"))
+
+
+def latest_capped(landmarks, cap=MOST_LANDMARKS):
+    """The latest version of each landmark; a trip's map keeps the `cap` that were founded last.
+    Equal versions go to the higher x, equal ages to the higher landmark."""
+    seen = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    latest = landmarks.groupBy("trip_id", "l_partkey").agg(F.max_by("x", F.struct(seen, "x")).alias("x"), F.min(seen).alias("founded"))
+    return latest.withColumn("rn", F.row_number().over(W.partitionBy("trip_id").orderBy(F.col("founded").desc(), F.col("l_partkey").desc()))).where(F.col("rn") <= cap).select("trip_id", "l_partkey", "x")
+
+
 @query("drain_rate", """select stream_id, seq, round(case when h < 0.001 then 0 else (f - value) / h end, 6) as percent_per_hour from (select *, (raw_ns - first(raw_ns) over w) / 3.6e12 as h, first(value) over w as f
     from v_sample window w as (partition by stream_id order by raw_ns, seq))""")
 def drain_rate(t):
