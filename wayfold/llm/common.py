@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_own: dict[str, str] = {}
+from ..sources.shared import new_path, shared_dir  # noqa: F401
+
 #: Rows of a batch that are worked on at a time, to bound a worker's memory.
 SOME_ROWS = 500
 #: Rows of an Arrow batch between the JVM and a worker, where the session has Spark's default of 10,000, which
@@ -19,25 +18,6 @@ SOME_ROWS = 500
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir` of the session.
-
-    Only where that is unset (local tests) a folder of our own is made, once per application.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="wayfold-")
-    return _own[app]
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nobody else uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def write_table(df: DataFrame, label: str) -> DataFrame:
     """Write as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -67,6 +47,12 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """`df` without its columns of these names, which compare without case, as Spark's do."""
+    lower = {x.lower() for x in names}
+    return df.drop(*[c for c in df.columns if c.lower() in lower])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` computed once, however often and deep the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -75,12 +61,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 _kept: dict = {}
 
 
-def kept_in_worker(key: object, make: Callable[[], object]) -> object:
+def kept_in_worker(key: object, make: Callable[[], object], alone: str | None = None) -> object:
     """What `make()` gave when this worker process first asked for `key`.
 
     Functions nested in others travel to workers with copies of the globals they name, so what should outlive
-    a task is kept behind this module-level function, which workers import.
+    a task is kept behind this module-level function, which workers import. Of all keys with the same `alone`
+    only the last is kept, to bound memory.
     """
+    if alone is not None:
+        slot = (alone,)
+        if _kept.get(slot, (None,))[0] != key:
+            _kept.pop(slot, None)
+            _kept[slot] = (key, make())
+        return _kept[slot][1]
     if key not in _kept:
         _kept[key] = make()
     return _kept[key]
