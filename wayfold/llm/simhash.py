@@ -6,11 +6,16 @@ their unary words. That distance never exceeds the fingerprints' own. The vector
 fall into BLOCKS blocks, and where the Manhattan distance is MOST_BITS or less, at least BLOCKS - MOST_BITS
 blocks have distance zero; so each choice of that many blocks is a grid whose cells hold equal counts, and
 linked fingerprints share a cell of some grid. In a cell the lower bound is asked first, then the fingerprints.
+
+A cell of more than CELL fingerprints is laid on finer grids in the same way: its MOST_BITS open blocks are halved
+and of the halves again all but MOST_BITS must be equal. Once the open blocks are single segments, counts say no
+more, and the grids go on over the fingerprints' bits, of which likewise at most MOST_BITS differ.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +31,7 @@ SHINGLE = 3
 SEED = 42
 MOST_BITS = 3
 BLOCKS = 6
-#: Cells of at most so many fingerprints are compared inside one task; larger ones by flipped bits, just as exactly.
+#: Cells of more fingerprints are split by finer grids, so that no task compares more at once; 8 at least.
 CELL = 4096
 PIECE = 1 << 16
 
@@ -67,20 +72,81 @@ def popcount_vector(fp: Column) -> Column:
     return F.shiftleft(both, 1).bitwiseOR(any_)
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _root(unit: int) -> list[range]:
+    """BLOCKS ranges of bits, whose ends are multiples of `unit`."""
+    edges = (np.linspace(0, 64 // unit, BLOCKS + 1).round().astype(int) * unit).tolist()
+    return [range(a, b) for a, b in zip(edges, edges[1:])]
+
+
+def _name(level: int, parts: tuple[range, ...]) -> int:
+    """A grid as a number: at level 0 the counts, at level 1 the bits, outside the open ranges are equal in a cell."""
+    out = level
+    for part in parts:
+        out = (out << 14) | (part.start << 7) | part.stop
+    return out
+
+
+def _mask(grid: int) -> int:
+    """The bits, as a signed long, that are equal within a cell of the grid."""
+    return _signed(((1 << 64) - 1) & ~sum(1 << i for part in _open(grid) for i in part))
+
+
+def _open(grid: int) -> list[range]:
+    return [range(grid >> (14 * k + 7) & 127, grid >> (14 * k) & 127) for k in reversed(range(MOST_BITS))]
+
+
+@lru_cache(maxsize=1 << 16)
+def _finer(grid: int) -> list[tuple[int, int, int]]:
+    """(number, level, mask) of the grids into which a grid's cells are split; none if its open ranges are bits."""
+    level, parts = grid >> (14 * MOST_BITS), _open(grid)
+    unit = 1 if level else 2
+    if all(len(part) <= unit for part in parts):
+        level, pieces = 1, [] if level else _root(1)
+    else:
+        cuts = [part.start + (len(part) // unit + 1) // 2 * unit for part in parts]
+        pieces = [x for part, cut in zip(parts, cuts, strict=True) for x in (range(part.start, cut), range(cut, part.stop)) if len(x)]
+    return [(g := _name(level, chosen), level, _mask(g)) for chosen in combinations(pieces, MOST_BITS)]
+
+
+#: The first grids.
+FIRST = [_name(0, parts) for parts in combinations(_root(2), MOST_BITS)]
+
+
 def grids() -> list[int]:
-    """For each choice of blocks the mask, as a signed long, of the unary words' bits that it keeps."""
-    edges = np.linspace(0, 32, BLOCKS + 1).round().astype(int).tolist()
-    block = [sum(3 << (2 * s) for s in range(a, b)) for a, b in zip(edges, edges[1:])]
-    masks = [sum(block[i] for i in chosen) for chosen in combinations(range(BLOCKS), BLOCKS - MOST_BITS)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    """For each first grid the mask, as a signed long, of the unary words' bits that it keeps."""
+    return [_mask(g) for g in FIRST]
+
+
+def _with_sizes(laid: DataFrame) -> DataFrame:
+    """`laid` (grid, cell, fp) without cells of one, and with k, the members of a row's cell."""
+    sizes = laid.groupBy("grid", "cell").agg(F.count("*").alias("k")).where("k > 1")
+    return laid.join(sizes, ["grid", "cell"])
 
 
 def _cells(fps: DataFrame) -> DataFrame:
-    """grid, cell, fp, and of its cell: k members and the bits in which they differ. Cells of one are left out."""
-    laid = fps.select("fp", popcount_vector(F.col("fp")).alias("vector"))
-    laid = laid.select("fp", F.posexplode(F.array(*[F.col("vector").bitwiseAND(F.lit(m)) for m in grids()])).alias("grid", "cell"))
-    stats = laid.groupBy("grid", "cell").agg(F.count("*").alias("k"), F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("varies")).where("k > 1")
-    return laid.join(stats, ["grid", "cell"])
+    """grid, cell, fp and k over the first grids."""
+    vector = popcount_vector(F.col("fp"))
+    places = [F.struct(F.lit(g).alias("grid"), vector.bitwiseAND(F.lit(_mask(g))).alias("cell")) for g in FIRST]
+    return _with_sizes(fps.select("fp", F.explode(F.array(*places)).alias("at")).select("at.*", "fp"))
+
+
+def _split_cells(large: DataFrame) -> DataFrame:
+    """Members of large cells on finer grids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grid, fp = (batch.column(c).to_numpy() for c in ("grid", "fp"))
+            for g in np.unique(grid).tolist():
+                mine = fp[grid == g]
+                code = [_unary(mine.view(np.uint64)).view(np.int64), mine]
+                for to, level, mask in _finer(g):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), to)), pa.array(code[level] & mask), pa.array(mine)], names=["grid", "cell", "fp"])
+
+    return _with_sizes(large.select("grid", "fp").mapInArrow(run, "grid long, cell long, fp long").distinct())
 
 
 def _links_within(values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -105,8 +171,8 @@ def _unary(fp: np.ndarray) -> np.ndarray:
     return ((fp & high & odd) << np.uint64(1)) | ((fp | high) & odd)
 
 
-def _small_cell_links(cells: DataFrame) -> DataFrame:
-    lists = cells.where(F.col("k") <= CELL).groupBy("grid", "cell").agg(F.collect_list("fp").alias("fps")).select("fps")
+def _cell_links(cells: DataFrame) -> DataFrame:
+    lists = cells.groupBy("grid", "cell").agg(F.collect_list("fp").alias("fps")).select("fps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,30 +182,21 @@ def _small_cell_links(cells: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "a long, b long")
 
 
-def _large_cell_links(cells: DataFrame) -> DataFrame:
-    """Fingerprints x and y differ in 3 bits or fewer exactly if some z differs from x in one at most and from y
-    in two at most; only bits that vary in the cell can be flipped. All that meet at a z are linked to one of
-    the near ones, so links stay in proportion to the members, however large the cell."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for grid, cell, fp, varies in zip(*(batch.column(c).to_pylist() for c in ("grid", "cell", "fp", "varies")), strict=True):
-                bits = [np.uint64(1) << np.uint64(i) for i in range(64) if varies >> i & 1]
-                one = np.array([0, *bits], np.uint64)
-                two = np.array([a | b for a, b in combinations(bits, 2)], np.uint64)
-                z = (np.concatenate([one, two]) ^ np.array([fp], np.int64).view(np.uint64)).view(np.int64)
-                near = np.arange(len(z)) < len(one)
-                yield pa.RecordBatch.from_arrays([pa.array([x] * len(z), k) for x, k in ((grid, pa.int32()), (cell, pa.int64()))] + [pa.array(z), pa.array([fp] * len(z), pa.int64()), pa.array(near)], names=["grid", "cell", "z", "fp", "near"])
-
-    flipped = cells.where(F.col("k") > CELL).select("grid", "cell", "fp", "varies").mapInArrow(run, "grid int, cell long, z long, fp long, near boolean")
-    centres = flipped.where("near").groupBy("grid", "cell", "z").agg(F.min("fp").alias("a"))
-    return flipped.join(centres, ["grid", "cell", "z"]).where("a != fp").select("a", F.col("fp").alias("b"))
-
-
 def links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) among distinct fingerprints (column fp) that connect all that MOST_BITS connects."""
-    cells = write_table(_cells(fps), "simhash-cells")
-    return _small_cell_links(cells).unionByName(_large_cell_links(cells)).distinct()
+    """Links (a, b) among distinct fingerprints (column fp) that connect all that MOST_BITS connects. Each round
+    splits the cells that are still too large; most tables have none after the first, and after nine rounds no
+    grid is finer and a cell has eight members at most."""
+    cells, found = write_table(_cells(fps), "simhash-cells"), []
+    while True:
+        found.append(_cell_links(cells.where(F.col("k") <= CELL)))
+        large = cells.where(F.col("k") > CELL)
+        if large.isEmpty():
+            break
+        cells = write_table(_split_cells(large), "simhash-cells")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -184,14 +241,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def keep_one_each(docs: DataFrame, grouped: DataFrame | None = None) -> DataFrame:
     """The rows of `docs` (columns doc_id, text and any others, unchanged) but for one document of each
-    component: that with the smallest id, a null id last. Rows that repeat its id and text are dropped too.
-    `grouped` has doc_id, text_hash and component of each row; by default those of `near_duplicates`."""
+    component: that with the smallest id, a null id last. Of rows that repeat its id and text the least by all
+    columns stays. `grouped` has doc_id, text_hash and component of each row; by default those of `near_duplicates`."""
+    grouped = near_duplicates(docs) if grouped is None else grouped
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    keepers = (near_duplicates(docs) if grouped is None else grouped).groupBy("component").agg(first)
+    texts = write_table(grouped.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n")), "simhash-texts")
     key, text_hash = fresh("kept_id", docs.columns), fresh("kept_hash", docs.columns)
-    keepers = write_table(keepers.select(F.col("first.doc_id").alias(key), F.col("first.text_hash").alias(text_hash)), "simhash-keepers")
-    kept = docs.join(keepers, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(text_hash)), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    keepers = texts.groupBy("component").agg(first).select(F.col("first.doc_id").alias(key), F.col("first.text_hash").alias(text_hash))
+    kept = docs.join(write_table(keepers, "simhash-keepers"), F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(text_hash)), "left_semi")
+    # Rows that repeat are found by the hashes alone, so that the other texts need not be moved again.
+    twice = texts.where("n > 1").select(F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash))
+    if twice.isEmpty():
+        return kept
+    repeats = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(text_hash))
+    names = [f.name for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    one = F.min_by(F.struct(*docs.columns), F.struct(*names)).alias("row")
+    once = kept.join(twice, repeats, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(one).select("row.*")
+    return kept.join(twice, repeats, "left_anti").unionByName(once)
 
 
 def to_hex(fp: Column) -> Column:
