@@ -11,15 +11,18 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, fresh
+from .common import add_columns, fresh, kept_in_worker, new_path, without
 
 WINDOW = 10
-#: Item words in one automaton; more items make more automata, each streamed over the documents in turn.
-BLOCK_WORDS = 2_000_000
+#: Item words in one automaton, about 150 MB of a worker; more items make more automata, each streamed over the
+#: documents in turn.
+BLOCK_WORDS = 200_000
 #: A-Z to a-z; bytes below 0x80 that are no digit or letter to spaces.
 _NORMAL = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -133,11 +136,30 @@ def _parts(benchmark: DataFrame, text: str, words: int) -> int:
     return int((benchmark.agg(F.sum(size)).first()[0] or 0) // words) + 1
 
 
-def _block(benchmark: DataFrame, item_id: str, text: str, part: int, parts: int) -> list[tuple[str, list[bytes]]]:
-    """Items of one block, in a fixed order."""
-    rows = benchmark.where(F.pmod(F.xxhash64(text), F.lit(parts)) == part).select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).collect()
-    ordered = sorted(rows, key=lambda r: (r["item"] or "", r["text"] or ""))
-    return [(r["item"] or "", w) for r in ordered if (w := normal_words(r["text"]))]
+def _blocks(benchmark: DataFrame, item_id: str, text: str, parts: int) -> str:
+    """A written table of the items (item, text), a folder for each block; nothing of it passes the driver."""
+    path = new_path(benchmark.sparkSession, "benchmark")
+    block = F.pmod(F.xxhash64(text), F.lit(parts)).alias("block")
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"), block)
+    items.repartition(parts, "block").write.partitionBy("block").parquet(path)
+    return path
+
+
+def _items(folder: str) -> list[tuple[str, list[bytes]]]:
+    """Items of one block, in a fixed order; an absent folder has none."""
+    fs, place = pyarrow.fs.FileSystem.from_uri(folder)
+    found: list[tuple[str, str]] = []
+    for info in fs.get_file_info(pyarrow.fs.FileSelector(place, allow_not_found=True)):
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as source:
+                rows = pyarrow.parquet.ParquetFile(source).read(["item", "text"])
+            found += zip(rows["item"].to_pylist(), rows["text"].to_pylist(), strict=True)
+    return [(item, w) for item, text in sorted(found) if (w := normal_words(text))]
+
+
+def _automaton(folder: str, window: int) -> Automaton:
+    """A block's automaton, made once in a worker; it takes the place of the one before."""
+    return kept_in_worker(("decontam", folder, window), lambda: Automaton(_items(folder), window), alone="decontam")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -145,18 +167,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     Columns of these names are replaced. A window is `window` consecutive words of an item, or a whole shorter
     item. Null and empty texts have no words; items without words match nothing; repeated items count once by
-    id; a null item id counts as the empty id. Empty tables give no finds. The items go out in blocks of
-    bounded size, so no broadcast grows with the benchmark.
+    id; a null item id counts as the empty id. Empty tables give no finds. The items are written in blocks of
+    bounded size, which workers read, so that nothing sent to the driver or by it grows with the benchmark.
     """
-    docs = docs.drop(*[c for c in docs.columns if c in ("n_words", "spans", "items")])
+    docs = without(docs, ["n_words", "spans", "items"])
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     fields = T._parse_datatype_string("n_words bigint, spans array<struct<start:int,end:int>>, items array<string>").fields
     out, parts = docs, _parts(benchmark, text, block_words)
+    path = _blocks(benchmark, item_id, text, parts)
     for part in range(parts):
-        shared = docs.sparkSession.sparkContext.broadcast(_block(benchmark, item_id, text, part, parts))
 
-        def start(shared=shared) -> Callable[[pa.Array], list[pa.Array]]:
-            automaton = Automaton(shared.value, window)
+        def start(folder=f"{path}/block={part}") -> Callable[[pa.Array], list[pa.Array]]:
+            automaton = _automaton(folder, window)
 
             def work(texts: pa.Array) -> list[pa.Array]:
                 sizes, spans, found = [], [], []
@@ -224,10 +246,10 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, longest: int = W
         return [pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.bool_())]
 
     if _parts(benchmark, text, block_words) == 1:  # found and cut in one pass
-        shared = docs.sparkSession.sparkContext.broadcast(_block(benchmark, item_id, text, 0, 1))
+        folder = f"{_blocks(benchmark, item_id, text, 1)}/block=0"
 
         def start() -> Callable[[pa.Array], list[pa.Array]]:
-            automaton = Automaton(shared.value, longest)
+            automaton = _automaton(folder, longest)
 
             def work(texts: pa.Array) -> list[pa.Array]:
                 split = ((value, normal_words(value)) for value in texts.to_pylist())
