@@ -6,6 +6,7 @@ without copying from a memory map. A second file beside it says where each docum
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -42,10 +43,22 @@ def _written_bytes() -> dict[int, str]:
 _WRITTEN = _written_bytes()
 
 
+def splits_at_spaces(definition: str) -> bool:
+    """Whether a definition is one whose texts `Words` may encode word by word: byte-level splitting by its usual
+    pattern without a space put first, no normaliser, plain merges, and no added token but special ones."""
+    d = json.loads(definition)
+    model, before, after = d["model"], d.get("pre_tokenizer") or {}, d.get("post_processor")
+    plain = not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    added = all(x["special"] for x in d.get("added_tokens") or [])
+    return bool(model["type"] == "BPE" and plain and byte_level and added and not d.get("normalizer") and not d.get("truncation") and (not after or after["type"] == "ByteLevel"))
+
+
 class Words:
     """Ids of texts by the tokenizers library, each distinct word encoded once while it is remembered.
 
-    The vocabulary splits a text before it merges, and always between a word and white space; a single space
+    This holds for definitions that `splits_at_spaces` knows; all texts of any other are encoded whole. The
+    vocabulary splits a text before it merges, and always between a word and white space; a single space
     goes to the word after it, a single line feed stands alone. So a text's ids are its words' ids in a row,
     where no white space stands next to other white space and all of it is spaces and line feeds (all
     else that is printable is no white space); other texts are encoded whole. A
@@ -59,6 +72,9 @@ class Words:
 
         self.library, self.dtype = Tokenizer.from_str(definition), dtype
         self.library.encode_special_tokens = True
+        self.by_word = splits_at_spaces(definition)
+        if not self.by_word:
+            return
         self.model = Tokenizer(self.library.model)  # merges alone, on bytes written as the vocabulary writes them
         self.young: dict[str, bytes] = {}  # words seen lately; those seen before them are `old`
         self.old: dict[str, bytes] = {}
@@ -102,7 +118,7 @@ class Words:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, self.dtype)
-        if not text.replace("\n", "").isprintable() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        if not self.by_word or not text.replace("\n", "").isprintable() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return np.frombuffer(self._encode([text])[0], self.dtype)
         words = ("\n" + text).replace("\n", " \n").split(" ")[1:]
         got = list(map(self.young.get, words))
@@ -171,8 +187,8 @@ def write_token_files(docs: DataFrame, definition_path: str, folder: str, length
     """Encode `text`, append `end_id`, and write in ascending doc_id order; returns a written table
     part, path, index, n_tokens, n_docs, start (ids of all files before).
 
-    The order is by range partitions of doc_id, nulls first, ties by text, so the files follow one another in
-    order of `part`. Only attempts that succeed are in the table.
+    The order is by range partitions of doc_id and a hash of the text, nulls first, so that rows of one id may be
+    parted too; ties by text. The files follow one another in order of `part`. Only attempts that succeed are in the table.
     """
     with open(definition_path, encoding="utf-8") as source:
         definition = source.read()
@@ -211,7 +227,8 @@ def write_token_files(docs: DataFrame, definition_path: str, folder: str, length
             docs_out.close()
         yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [f"{folder}/{name}.arrow"], "index": [f"{folder}/{name}.docs"], "n_tokens": [total], "n_docs": [n_docs]})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    ordered = keyed.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text").drop("text_hash")
     files = write_table(ordered.mapInArrow(run, "part long, path string, index string, n_tokens long, n_docs long"), "token-files")
     before = F.sum("n_tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))  # a row for each file
     return write_table(files.withColumn("start", F.coalesce(before, F.lit(0))), "token-starts")
