@@ -72,19 +72,27 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read_table(spark, sf_dir, "documents"), DEFINITION)
 
 
+#: Tokenizer versions of the rollup: op9's vocabulary and op1's.
+VERSIONS = {"byte_bpe_50k": public_tokenizers.path("byte_bpe_50k.tiktoken"), "byte_bpe_multi_50k": RANKS}
+
+
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted by white-space words, revised to words of letters and digits, and those of
-    under 20 such words deleted; the first batch is then sent again and must change nothing."""
-    docs = read_table(spark, sf_dir, "documents")
-    spaced = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), quality.SPACE), lambda w: w != ""))
-    counted = write_table(docs.select("source", "lang", spaced.alias("spaced"), F.size(licenses.words_of(F.col("text"))).alias("words")), "rollup-counts")
-    first = counted.select("source", "lang", F.lit("space-1").alias("tokenizer"), F.col("spaced").alias("n_tokens"))
-    second = counted.select("source", "lang", F.lit("word-1").alias("tokenizer"), F.col("words").alias("n_tokens"))
+    """All documents are inserted with their token counts by one vocabulary, then by another; the first's counts are
+    revised to hold the end id as well; documents of under 20 tokens of the second are deleted; the totals are
+    compacted; and the first batch is sent again and must change nothing."""
+    old, new = VERSIONS
+    docs = read_table(spark, sf_dir, "documents").select("source", "lang", "text")
+    counted = write_table(rollup.count_tokens(docs, VERSIONS, public_tokenizers.PATTERN).drop("text"), "rollup-counts")
+    by = lambda rows, name, n: rows.select("source", "lang", F.lit(name).alias("tokenizer"), n.alias("n_tokens"))
+    first, second, revised = (lambda rows: by(rows, old, F.col(old))), (lambda rows: by(rows, new, F.col(new))), (lambda rows: by(rows, old, F.col(old) + 1))
     totals = rollup.Rollup(spark, new_path(spark, "rollup"))
-    totals.commit("1-load", rollup.inserts(first))
-    totals.commit("2-revise", rollup.revisions(first, second))
-    totals.commit("3-short", rollup.deletes(second.where("n_tokens < 20")))
-    totals.commit("1-load", rollup.inserts(first))
+    totals.commit("1-load", rollup.inserts(first(counted)))
+    totals.commit("2-load", rollup.inserts(second(counted)))
+    totals.commit("3-revise", rollup.revisions(first(counted), revised(counted)))
+    short = counted.where(F.col(new) < 20)
+    totals.commit("4-short", rollup.deletes(revised(short).unionByName(second(short))))
+    totals.compact()
+    totals.commit("1-load", rollup.inserts(first(counted)))
     return totals.totals()
 
 
@@ -108,9 +116,6 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-_SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-
 ORACLES = {
     "op6_warc": """
         with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
@@ -131,7 +136,4 @@ ORACLES = {
                sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
                cast(sum(length(role) + length(safe) + 17) as bigint) as formatted_chars
         from e group by conv_id""",
-    "op10_token_rollup": f"""
-        select source, lang, 'word-1' as tokenizer, cast(count(*) as bigint) as n_docs, cast(sum(n) as bigint) as n_tokens
-        from (select source, lang, len({_WORDS}) as n from documents) where n >= 20 group by source, lang""",
 }
