@@ -81,14 +81,20 @@ def parse_record(raw: bytes) -> dict:
 
 
 def inflate(source: pa.NativeFile) -> Iterator[bytes]:
-    """The content of a gzip file, whether of one member or many, piece by piece."""
-    stream = zlib.decompressobj(31)
+    """The content of a gzip file, whether of one member or many, in pieces of PIECE bytes at most, however far it
+    was compressed. A file that ends inside a member, its trailer included, is refused."""
+    stream, begun = zlib.decompressobj(31), False
     while data := source.read(PIECE):
-        while data:
-            yield stream.decompress(data)
-            data = stream.unused_data
+        more = True
+        while data or more:
+            out = stream.decompress(data, PIECE)
+            yield out
+            begun, more = not stream.eof, len(out) == PIECE
+            data = stream.unconsumed_tail
             if stream.eof:
-                stream = zlib.decompressobj(31)
+                data, more, stream = stream.unused_data, False, zlib.decompressobj(31)
+    if begun:
+        raise ValueError("the archive ends inside a gzip member")
 
 
 def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
@@ -160,7 +166,7 @@ def write_archives(linked: DataFrame, folder: str, date: str = "1970-01-01T00:00
 
 def _spread(files: DataFrame) -> DataFrame:
     """One file to a task."""
-    return files.repartition(max(1, files.count()))
+    return files.repartitionByRange(max(1, files.count()), "path")
 
 
 def normalise_archives(files: DataFrame, folder: str) -> DataFrame:
