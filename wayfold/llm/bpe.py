@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import add_columns, kept_in_worker
+from .common import add_columns, kept_in_worker, without
 
 #: Entries after which a memo of a worker is emptied; it bounds memory, not results.
 MEMO = 200_000
@@ -187,7 +187,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: str =
         encode = made().encode
         return lambda texts: [_list_array([encode(text.as_py()) for text in texts])]
 
-    return add_columns(docs.drop(ids), "text", [T.StructField(ids, T.ArrayType(T.IntegerType(), False))], start)
+    return add_columns(without(docs, [ids]), "text", [T.StructField(ids, T.ArrayType(T.IntegerType(), False))], start)
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -198,7 +198,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, ids: str = "ids", deco
         token = shared.value.__getitem__
         return lambda lists: [pa.array(_decode_array(lists, token), pa.binary())]
 
-    return add_columns(encoded.drop(decoded), ids, [T.StructField(decoded, T.BinaryType())], start)
+    return add_columns(without(encoded, [decoded]), ids, [T.StructField(decoded, T.BinaryType())], start)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], ids: str | None = None, memo: int = MEMO) -> DataFrame:

@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, fresh
+from .common import add_columns, fresh, without
 
 BUCKETS = 1 << 16
 LONGEST = 3
 #: Bound on the labelled rows that the weights are fitted on, shared out evenly among the languages.
 SAMPLE_ROWS = 6000
-#: Languages told apart; more distinct values than this are refused.
+#: Languages told apart: those with the most rows, ties by name; a bound on the model's size. Others aren't learned.
 MOST_LANGUAGES = 1000
 UNDETERMINED = "und"
 #: Characters of a text that are hashed at a time; it bounds memory, all of the text is read.
@@ -54,21 +54,23 @@ def ngrams(text: str) -> Iterator[np.ndarray]:
     if not _table:
         _table.append(_letters())
     lower = f" {text.lower()} "
+    tail = np.zeros(0, np.uint64)
     for at in range(0, len(lower), PIECE):
-        codes = np.frombuffer(lower[at : at + PIECE + LONGEST - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = np.where(codes < (1 << 16), _table[0][np.minimum(codes, 0xFFFF)], codes)
+        codes = np.frombuffer(lower[at : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.where(codes < (1 << 16), _table[0][np.minimum(codes, 0xFFFF)], codes).astype(np.uint64)
+        codes = np.concatenate([tail, codes])  # the end of the piece before, of which only n-grams that reach on count
         space = codes == 32
-        codes = codes[~(space & np.roll(space, 1) & (np.arange(len(codes)) > 0))].astype(np.uint64)
+        codes = codes[~(space & np.roll(space, 1) & (np.arange(len(codes)) > 0))]
         value = np.zeros(len(codes), np.uint64)
         for n in range(1, LONGEST + 1):
             m = len(codes) - n + 1
             if m <= 0:
                 break
             value = value[:m] * np.uint64(0x100000001B3) + codes[n - 1 :] + np.uint64(n)
-            if n == 1:
-                yield ((value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48))[codes != 32].astype(np.int64)
-            else:
-                yield ((value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+            bucket = ((value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+            new = max(0, len(tail) - n + 1)
+            yield bucket[new:] if n > 1 else bucket[new:][codes[new:] != 32]
+        tail = codes[-(LONGEST - 1) :]
 
 
 def may_learn(doc_id: str = "doc_id") -> Column:
@@ -136,16 +138,15 @@ def document_frequencies(rows: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 def _sample(rows: DataFrame, text: str, lang: str, doc_id: str, most: int) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray, int, bool]]]:
     """The languages, and for each sampled row its buckets, their shares, its language and whether it calibrates."""
-    per_language = rows.groupBy(F.col(lang).alias("lang")).count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(per_language) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    most_rows = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    per_language = sorted(most_rows, key=lambda r: r["lang"])
     languages = [r["lang"] for r in per_language]
     if not languages:
         return [], []
     each = max(1, most // len(languages))
     share = F.create_map(*[F.lit(x) for r in per_language for x in (r["lang"], min(1.0, each / r["count"]))])
     draw = F.pmod(F.xxhash64(F.lit(7), F.col(doc_id), F.col(text)), F.lit(1 << 53)) / float(1 << 53)
-    drawn = rows.where(draw < F.element_at(share, F.col(lang))).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), (F.pmod(F.xxhash64(F.lit(11), F.col(doc_id)), F.lit(5)) == 0).alias("calibrates"))
+    drawn = rows.where(draw < F.try_element_at(share, F.col(lang))).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), (F.pmod(F.xxhash64(F.lit(11), F.col(doc_id)), F.lit(5)) == 0).alias("calibrates"))
     drawn = drawn.distinct()  # a row that repeats is drawn always or never, so its repeats must not count
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +241,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", pred: str = "lan
 
         return work
 
-    docs = docs.drop(*[c for c in docs.columns if c in (pred, score)])
+    docs = without(docs, [pred, score])
     return add_columns(docs, text, [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())], start)
 
 

@@ -139,7 +139,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     itself, so repeated rows and repeated ids stay apart. An empty table gives an empty result.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    keep = [c for c in keep if c not in ("n_words", "places", "template_labels", "containment")]
+    keep = [c for c in keep if c.lower() not in ("n_words", "places", "template_labels", "containment")]
     order = rare_to_frequent(docs, templates, text)
     index = template_index(docs, order, templates, threshold)
     prefixes = sorted({w for t, _ in templates for w in sorted(set(t.split()), key=order.index)[: len(set(t.split())) - math.ceil(threshold * len(set(t.split())) - 1e-9) + 1]})
