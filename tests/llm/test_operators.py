@@ -620,8 +620,10 @@ def test_near_dedup_stage_against_brute_force(spark):
     assert got != sorted(r["doc_id"] for r in simhash.keep_one_each(df).collect())
 
 
-def test_near_dedup_verifies_what_it_merges(spark):
-    """Members of one MinHash cell that are not similar to its smallest still meet each other."""
+@pytest.mark.parametrize("block", [2048, 3])
+def test_near_dedup_verifies_what_it_merges(spark, monkeypatch, block):
+    """Members of one MinHash cell that are not similar to its smallest still meet each other, in one block or many."""
+    monkeypatch.setattr(similar, "BLOCK", block)
     words = [f"w{i}" for i in range(90)]
     texts = [" ".join(words[:60] + [f"{c}{i}" for i in range(25)] + [x]) for c in "abcdefgh" for x in "xy"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
