@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, images, vision
-from wayfold.operators import folds, georef, monitor, solve
+from wayfold.operators import folds, georef, monitor, ordered, solve
 from wayfold.operators import relational as rel
 from wayfold.plans import details, live, registry, store, streams, trips  # noqa: F401
 from wayfold.sources import clouds, exports, logs, payloads
@@ -87,11 +87,106 @@ def test_voxel_cells_of_negative_points_differ(spark):
     assert r["a"] != r["b"]
 
 
+POSE = "trip_id long, pose_id long, ts_ns long, vio_x double, vio_y double, vio_z double, qx double, qy double, qz double, qw double, state string"
+
+
+def pose(number, ns, x=0.0, turned=0.0, state="TRACKING"):
+    half = math.radians(turned) / 2
+    return (1, number, ns, x, 0.0, 0.0, 0.0, math.sin(half), 0.0, math.cos(half), state)
+
+
 def test_keyframe_gates(spark):
-    ns = 10**9
-    poses = [(1, 1, 0, 0.0, "TRACKING"), (1, 2, ns, 0.1, "TRACKING"), (1, 3, 2 * ns, 0.4, "PAUSED"), (1, 4, 3 * ns, 0.4, "TRACKING"), (1, 5, 3 * ns + 1, 9.0, "TRACKING")]
-    df = spark.createDataFrame(poses, "trip_id long, pose_id long, ts_ns long, vio_x double, state string").withColumn("vio_y", F.lit(0.0)).withColumn("vio_z", F.lit(0.0))
-    assert [r["pose_id"] for r in folds.keyframes(df, 250_000_000, 0.3).collect()] == [1, 4]
+    ms = 10**6
+    poses = [pose(1, 0), pose(2, 400 * ms, 0.1), pose(3, 800 * ms, 0.7, state="PAUSED"), pose(4, 900 * ms, 0.7), pose(5, 1000 * ms, 9.0), pose(6, 1400 * ms, 0.8, 5.0), pose(7, 1800 * ms, 0.8, 11.0), pose(8, 1900 * ms, 0.8, 90.0), pose(9, 2400 * ms, 0.8, 372.0)]
+    df = spark.createDataFrame(poses, POSE)
+    assert [r["pose_id"] for r in folds.keyframes(df, 250 * ms, 0.3, 8.0).orderBy("ts_ns").collect()] == [1, 4, 7]
+    turn = spark.createDataFrame([pose(i, i * 300 * ms, 0.0, 9.0 * i) for i in range(4)], POSE)
+    assert folds.keyframes(turn, 250 * ms, 0.3, 8.0).count() == 4 and folds.keyframes(turn, 250 * ms, 0.3, 400.0).count() == 1
+
+
+def test_angle_between_orientations(spark):
+    for turned, want in ((0.0, 0.0), (40.0, 40.0), (350.0, 10.0), (180.0, 180.0)):
+        p, q = (pose(1, 0, 0.0, x)[6:10] for x in (20.0, 20.0 + turned))
+        assert abs(one(spark, d=vision.angle_deg([F.lit(x) for x in p], [F.lit(-x) for x in q]))["d"] - want) < 1e-5
+
+
+def test_capture_health(spark):
+    ns = 10**8
+    on_spot = spark.createDataFrame([pose(i, i * ns, 0.01 * i, 6.0 * i) for i in range(60)], POSE)
+    last = folds.capture_health(on_spot).orderBy("pose_id").collect()[-1]
+    assert last["turns_on_spot"] and not last["too_fast"] and abs(last["turn_dps"] - 60) < 0.1 and abs(last["speed"] - 0.1) < 1e-3
+    fast = spark.createDataFrame([pose(i, i * ns, 0.9 * i) for i in range(60)] + [pose(60, 70 * ns, 500.0), pose(61, 70 * ns, 0.0)], POSE)
+    rows = folds.capture_health(fast).orderBy("pose_id").collect()
+    assert len(rows) == 59 and rows[-1]["too_fast"] and not rows[-1]["turns_on_spot"]
+
+
+def globe(lat, lon, n, spread, draw):
+    return [(i, lat + draw.uniform(-spread, spread), lon + draw.uniform(-spread, spread) / max(0.02, math.cos(math.radians(lat)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("place", [(85.0, 20.0), (0.0, 180.0), (-89.9995, 30.0), (60.0, -180.0), (90.0, 0.0)])
+def test_radius_join_anywhere(spark, place):
+    """Near the poles and across the 180th meridian the join finds what all pairs do."""
+    draw = random.Random(str(place))
+    wrap = lambda rows: [(i, max(-90.0, min(90.0, la)), (lo + 180) % 360 - 180) for i, la, lo in rows]
+    left, right = (wrap(globe(*place, 60, 0.002, draw)) for _ in range(2))
+
+    def apart(a, b):
+        dla, dlo = math.radians(b[1] - a[1]), math.radians(b[2] - a[2])
+        h = math.sin(dla / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(dlo / 2) ** 2
+        return 2 * geo.EARTH_RADIUS_M * math.asin(min(1, math.sqrt(h)))
+
+    a, b = spark.createDataFrame(left, "a long, alat double, alon double"), spark.createDataFrame(right, "b long, blat double, blon double")
+    for radius in (5.0, 50.0, 400.0):
+        want = sorted((x[0], y[0]) for x in left for y in right if apart(x, y) <= radius)
+        got = rel.radius_join(a, b, radius, ("alat", "blat"), ("alon", "blon")).select("a", "b").collect()
+        assert sorted(map(tuple, got)) == want and (want or radius < 50)
+
+
+def test_running_values_of_one_hot_key_over_many_buckets(spark):
+    """A key with all rows, in buckets of some rows each, against windows over the whole key."""
+    from pyspark.sql import Window as W
+
+    draw = random.Random(2)
+    rows = [("s" if draw.random() < 0.9 else None, draw.randrange(4000), i, draw.random()) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, at long, seq long, value double")
+    order, width = ["at", "seq"], 100
+    w = W.partitionBy("k").orderBy(*order)
+    same = lambda got, want: sorted(got.select("k", "at", "seq", "v").collect(), key=str) == sorted(want.select("k", "at", "seq", "v").collect(), key=str)
+    assert same(ordered.numbered(df, "k", order, "v", width), df.withColumn("v", (F.row_number().over(w) - 1).cast("long")))
+    assert same(ordered.with_previous(df, "k", order, "at", "v", width), df.withColumn("v", F.lag("at").over(w)))
+    assert same(ordered.with_running_max(df, "k", order, "value", "v", width), df.withColumn("v", F.max("value").over(w.rowsBetween(W.unboundedPreceding, -1))))
+    assert same(ordered.with_first(df, "k", order, {"v": F.col("value")}), df.withColumn("v", F.first("value").over(w)))
+    assert same(ordered.with_nth_before(df, "k", order, 7, "value", "v", width), df.withColumn("v", F.first("value").over(w.rowsBetween(-7, 0))))
+    last = df.withColumn("r", F.row_number().over(W.partitionBy("k").orderBy(F.desc("at"), F.desc("seq")))).where("r <= 5")
+    assert same(ordered.last_rows(df, "k", order, 5, width).withColumn("v", F.lit(0)), last.withColumn("v", F.lit(0)))
+
+
+SAMPLES = "stream_id string, seq long, raw_ns long, arrival_ns long"
+
+
+def test_warnings_of_each_kind_are_rate_limited(spark):
+    ms = 10**6
+    late = [("late", i, i * 10 * ms, i * 10 * ms + (20 * ms if i else 0)) for i in range(200)]
+    slow = [("slow", i, i * 10 * ms, i * 10 * ms + i * 20_000) for i in range(600)]
+    odd = [("odd", i, (i - 5 * (i % 2)) * 10 * ms, i * 10 * ms) for i in range(100)]
+    got = monitor.warnings(spark.createDataFrame(late + slow + odd, SAMPLES), 5 * ms, 8 * ms).collect()
+    by = lambda stream, kind: sorted(r["seq"] for r in got if r["stream_id"] == stream and r[kind])
+    assert by("late", "late") == [1, 65, 129, 193]
+    assert all(b - a >= 64 for a, b in zip(by("slow", "drifts"), by("slow", "drifts")[1:])) and by("slow", "drifts")
+    assert not by("odd", "late")  # samples out of order are not asked
+
+
+def test_watch_goes_on_after_a_restart(spark, tmp_path):
+    source, folder = f"{tmp_path}/in", f"file://{tmp_path}/monitor"
+    rows = [("a", i, i * 10, i * 10 + 1) for i in range(50)]
+    spark.createDataFrame(rows[:20], SAMPLES).write.parquet(f"{source}/one")
+    live = lambda: spark.readStream.schema(SAMPLES).option("recursiveFileLookup", "true").parquet(source)
+    first = monitor.watch(live(), folder, 10).collect()
+    assert monitor.watch(live(), folder, 10).collect() == first and first[0]["received"] == 20
+    for k in range(3):
+        spark.createDataFrame(rows[20 + 10 * k : 30 + 10 * k], SAMPLES).write.parquet(f"{source}/more{k}")
+        assert monitor.watch(live(), folder, 10).collect()[0]["received"] == 30 + 10 * k
 
 
 def test_suppression(spark):
@@ -100,10 +195,49 @@ def test_suppression(spark):
     assert sorted(r["id"] for r in folds.suppress(df).collect()) == [1, 3, 4]
 
 
+DETECTED = "trip_id long, ts_ns long, id long, x double, y double, z double, asset_class string, confidence double, depth_m double, frame_id long, semantic_label string"
+
+
+def seen(number, x, kind="SIGN", confidence=0.5, depth=4.0, label=None, y=0.0):
+    return (1, number, number, x, y, 0.0, kind, confidence, depth, 100 + number, label)
+
+
+def track(spark, rows, merge=3.0):
+    return [r.asDict() for r in folds.track_assets(spark.createDataFrame(rows, DETECTED), merge).orderBy("id").collect()]
+
+
 def test_tracker_merges_near_and_splits_far(spark):
-    rows = [(1, i, i, x) for i, x in enumerate([0.0, 1.0, 10.0, 0.5])]
-    df = spark.createDataFrame(rows, "trip_id long, pose_id long, ts_ns long, vio_x double").withColumn("vio_y", F.lit(0.0)).withColumn("vio_z", F.lit(0.0))
-    assert [r["track_id"] for r in folds.track_assets(df).orderBy("pose_id").collect()] == [1, 1, 2, 1]
+    got = track(spark, [seen(1, 0.0), seen(2, 1.0), seen(3, 10.0), seen(4, 0.5)])
+    assert [(r["track_id"], r["is_new"], r["observations"]) for r in got] == [(1, True, 1), (1, False, 2), (2, True, 1), (1, False, 3)]
+    assert got[3]["x"] == 0.5 and got[3]["last_frame_id"] == 104
+
+
+def test_tracker_statistics(spark):
+    got = track(spark, [seen(1, 0.0, "POLE", 0.3, 2.0, "ROAD"), seen(2, 2.0, "SIGN", 0.7, 6.0, None), seen(3, 1.0, "POLE", 0.5, 7.0, "SKY"), seen(4, 1.0, "POLE", 0.1, 1.0, "SKY")])
+    assert got[0]["position_std_m"] is None and got[0]["semantic_label"] == "ROAD"
+    assert (got[1]["asset_class"], got[2]["asset_class"]) == ("SIGN", "POLE")
+    assert got[1]["position_std_m"] == math.sqrt(2 / 3) and abs(got[2]["position_std_m"] - math.sqrt(2 / 6)) < 1e-12
+    assert got[3]["max_confidence"] == 0.7 and got[3]["depth_avg_m"] == 4.0 and got[3]["semantic_label"] == "SKY"
+    last = folds.landmarks(folds.track_assets(spark.createDataFrame([seen(1, 0.0), seen(2, 1.0), seen(3, 9.0)], DETECTED))).collect()
+    assert sorted((r["track_id"], r["observations"]) for r in last) == [(1, 2), (2, 1)]
+
+
+def test_tracker_against_a_search_of_all_landmarks(spark):
+    draw = random.Random(11)
+    rows = [seen(i, draw.uniform(-30, 30), y=draw.uniform(-30, 30)) for i in range(300)] + [seen(300, math.nan)]
+    means, counts, want = [], [], []
+    for r in rows[:300]:
+        p = r[3:6]
+        best = min(range(len(means)), key=lambda i: math.dist(means[i], p), default=None)
+        if best is None or math.dist(means[best], p) > 4.0:
+            best = len(means)
+            means.append(list(p))
+            counts.append(1)
+        else:
+            counts[best] += 1
+            means[best] = [m + (x - m) / counts[best] for m, x in zip(means[best], p, strict=True)]
+        want.append(best + 1)
+    assert [r["track_id"] for r in track(spark, rows, 4.0)] == want
 
 
 def test_similarity_is_recovered(spark):
@@ -312,20 +446,20 @@ def test_frames(spark):
 
 
 def test_radius_joins_take_every_fix(spark):
-    for name in ("radius_join_all_fixes", "association_3m_all_fixes"):
+    for name in ("radius_join_grid", "association_3m_grid"):
         near = registry.QUERIES[name](spark, SF)
         assert near.where("fix_id % 10 != 0").count() > near.where("fix_id % 10 = 0").count() > 0
 
 
 def test_joins_in_time_take_every_fix(spark):
     fixes = registry.table(spark, SF, "v_fix").count()
-    for name in ("nearest_pose_all_fixes", "latest_pose_all_fixes", "pose_fix_stream_join_all"):
+    for name in ("nearest_pose_100ms", "latest_pose_asof", "pose_fix_stream_join"):
         assert registry.QUERIES[name](spark, SF).select("fix_id").distinct().count() == fixes
 
 
 def test_counter_poll_has_no_upper_bound(spark):
     samples = registry.table(spark, SF, "v_sample")
-    got = [r["seq"] for r in registry.QUERIES["counter_poll_all"](spark, SF).collect()]
+    got = [r["seq"] for r in registry.QUERIES["counter_poll"](spark, SF).collect()]
     assert got == sorted(r["seq"] for r in samples.where("seq > 100").collect()) and max(got) > 400
 
 

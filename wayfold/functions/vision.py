@@ -21,6 +21,12 @@ def rotate(q: tuple[Column, Column, Column, Column], v: tuple[Column, Column, Co
     return a + w * tx + y * tz - z * ty, b + w * ty + z * tx - x * tz, c + w * tz + x * ty - y * tx
 
 
+def angle_deg(p: list[Column], q: list[Column]) -> Column:
+    """Smallest angle between two orientations, unit quaternions, in degrees; q and -q are the same."""
+    dot_ = sum((a * b for a, b in zip(p, q, strict=True)), F.lit(0.0))
+    return F.degrees(2 * F.acos(F.least(F.lit(1.0), F.abs(dot_))))
+
+
 def iou(a: Column, b: Column) -> Column:
     """Intersection over union of box structs, in 32-bit floats; 0 for an empty union."""
     f = lambda s, n: s[n].cast("float")

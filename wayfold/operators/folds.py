@@ -1,7 +1,7 @@
-"""Operators whose next step depends on their own output: keyframes, throttles, drift, tracking, suppression.
+"""Operators whose next step depends on their own output: keyframes, throttles, smoothing, tracking, suppression.
 
-Rows are dealt by key and sorted, then stream through in Arrow batches with one small state, so a key of any
-length takes constant memory.
+Rows are dealt by key and sorted, then stream through in Arrow batches with one state, so a key of any length takes
+constant memory; but suppression remembers the boxes that a frame and class keeps, and tracking a trip's landmarks.
 """
 
 from __future__ import annotations
@@ -38,8 +38,14 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], start: Callable[[],
     return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
-def keyframes(poses: DataFrame, min_ns: int, min_m: float) -> DataFrame:
-    """Tracking poses: the first, then each that is `min_ns` and `min_m` or more from the last selected."""
+def _turned(q: tuple, p: tuple) -> float:
+    """Smallest angle between two orientations, in degrees."""
+    return math.degrees(2 * math.acos(min(1.0, abs(sum(a * b for a, b in zip(q, p, strict=True))))))
+
+
+def keyframes(poses: DataFrame, min_ns: int, min_m: float, min_deg: float) -> DataFrame:
+    """Tracking poses: the first, then each that is `min_ns` or more from the last selected, and also `min_m` away
+    from it or turned by `min_deg`."""
 
     def start():
         last = None
@@ -48,10 +54,10 @@ def keyframes(poses: DataFrame, min_ns: int, min_m: float) -> DataFrame:
             nonlocal last
             if r["state"] != "TRACKING":
                 return None
-            here = (r["vio_x"], r["vio_y"], r["vio_z"])
-            if last is not None and (r["ts_ns"] - last[0] < min_ns or math.dist(here, last[1]) < min_m):
+            here, turn = (r["vio_x"], r["vio_y"], r["vio_z"]), (r["qx"], r["qy"], r["qz"], r["qw"])
+            if last is not None and (r["ts_ns"] - last[0] < min_ns or (math.dist(here, last[1]) < min_m and _turned(turn, last[2]) < min_deg)):
                 return None
-            last = (r["ts_ns"], here)
+            last = (r["ts_ns"], here, turn)
             return {"trip_id": r["trip_id"], "pose_id": r["pose_id"], "ts_ns": r["ts_ns"]}
 
         return step
@@ -77,30 +83,6 @@ def throttle(samples: DataFrame, min_ns: int) -> DataFrame:
     return ordered_fold(samples, "stream_id", ["raw_ns", "seq"], start, "stream_id string, seq long, raw_ns long")
 
 
-#: Fixed values of the stream monitor.
-ALPHA, WARM_UP = 0.05, 32
-
-
-def drift(samples: DataFrame) -> DataFrame:
-    """Exponential mean of arrival minus raw time, and its drift since the stream's warm-up."""
-
-    def start():
-        ema, n, base = 0.0, 0, None
-
-        def step(r):
-            nonlocal ema, n, base
-            offset = float(r["arrival_ns"] - r["raw_ns"])
-            n += 1
-            ema = offset if n == 1 else ema + ALPHA * (offset - ema)
-            if base is None and n > WARM_UP:
-                base = int(ema)
-            return {"stream_id": r["stream_id"], "seq": r["seq"], "drift_ns": 0 if base is None else int(ema) - base}
-
-        return step
-
-    return ordered_fold(samples, "stream_id", ["raw_ns", "seq"], start, "stream_id string, seq long, drift_ns long")
-
-
 def suppress(boxes: DataFrame, most_iou: float = 0.45) -> DataFrame:
     """Greedy suppression: in each frame and class, by falling score, boxes that overlap no kept box too much."""
     import numpy as np
@@ -127,76 +109,106 @@ def suppress(boxes: DataFrame, most_iou: float = 0.45) -> DataFrame:
     return ordered_fold(keyed, "group_key", ["falling", "id"], start, "frame_id long, class string, id long, score double")
 
 
-def track_assets(detections: DataFrame, merge_m: float = 3.0) -> DataFrame:
-    """Online clustering in time order: a detection joins the nearest landmark within `merge_m`, whatever its
-    class, and moves its mean; else it founds one. Gives each detection its landmark's number in its trip."""
+TRACKED = "trip_id long, id long, track_id long, is_new boolean, observations long, x double, y double, z double, position_std_m double, max_confidence double, depth_avg_m double, asset_class string, semantic_label string, last_frame_id long"
 
-    def start():
-        means: list[list[float]] = []
-        counts: list[int] = []
 
-        def step(r):
-            p = (r["vio_x"], r["vio_y"], r["vio_z"])
-            best = min(range(len(means)), key=lambda i: math.dist(means[i], p), default=None)
-            if best is None or math.dist(means[best], p) > merge_m:
-                best = len(means)
-                means.append(list(p))
-                counts.append(1)
-            else:
-                counts[best] += 1
-                means[best] = [m + (x - m) / counts[best] for m, x in zip(means[best], p, strict=True)]
-            return {"trip_id": r["trip_id"], "pose_id": r["pose_id"], "track_id": best + 1}
+class _Landmark:
+    """What all detections of a landmark say: running mean and spread, and votes."""
 
-        return step
+    def __init__(self, number: int) -> None:
+        self.number, self.n, self.mean, self.spread, self.depth, self.top = number, 0, [0.0, 0.0, 0.0], 0.0, 0.0, -math.inf
+        self.classes: dict[str, float] = {}
+        self.labels: dict[str, int] = {}
 
-    return ordered_fold(detections, "trip_id", ["ts_ns", "pose_id"], start, "trip_id long, pose_id long, track_id long")
+    def add(self, p: tuple, r: dict) -> None:
+        self.n += 1
+        for i, x in enumerate(p):
+            off = x - self.mean[i]
+            self.mean[i] += off / self.n
+            self.spread += off * (x - self.mean[i])
+        self.depth += r["depth_m"]
+        self.top = max(self.top, r["confidence"])
+        self.classes[r["asset_class"]] = self.classes.get(r["asset_class"], 0.0) + r["confidence"]
+        if r["semantic_label"] is not None:
+            self.labels[r["semantic_label"]] = self.labels.get(r["semantic_label"], 0) + 1
 
+    def row(self) -> dict:
+        won = lambda votes: min(votes, key=lambda x: (-votes[x], x), default=None)
+        std = math.sqrt(self.spread / (3 * (self.n - 1))) if self.n > 1 else None
+        return dict(zip("xyz", self.mean, strict=True)) | {"track_id": self.number, "is_new": self.n == 1, "observations": self.n, "position_std_m": std, "max_confidence": self.top, "depth_avg_m": self.depth / self.n, "asset_class": won(self.classes), "semantic_label": won(self.labels)}
 
-#: A kind of warning comes at most once in so many samples.
-WARN_EVERY = 64
 
+def track_assets(detections: DataFrame, merge_m: float = 3.0) -> DataFrame:
+    """Online clustering in order of time, then id: a detection joins the nearest landmark of its trip within
+    `merge_m`, whatever its class, and moves its mean; else it founds one. Gives each detection its landmark as it then
+    stands: its number, mean, spread, highest confidence, mean depth, the class with the most confidence and the most
+    frequent semantic label, and the frame that it was last seen in; votes that tie go to the first name, equal
+    distances to the older landmark.
 
-def warnings(samples: DataFrame, budget_ns: int) -> DataFrame:
-    """Samples that warn of latency above a budget, WARN_EVERY samples or more after the stream's last warning."""
+    `detections` has trip_id, ts_ns, id, x, y, z, asset_class, confidence, depth_m, frame_id and semantic_label (may be
+    null). Means lie in cells of `merge_m`, so that only 27 cells are searched for each detection.
+    """
 
     def start():
-        n, told = 0, None
+        cells: dict[tuple, list[_Landmark]] = {}
+        count = 0
+        cell_of = lambda p: tuple(math.floor(x / merge_m) for x in p)
+        beside = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 
         def step(r):
-            nonlocal n, told
-            n += 1
-            if r["arrival_ns"] - r["raw_ns"] <= budget_ns or (told is not None and n - told < WARN_EVERY):
+            nonlocal count
+            p = (r["x"], r["y"], r["z"])
+            if not all(map(math.isfinite, p)):
                 return None
-            told = n
-            return {"stream_id": r["stream_id"], "seq": r["seq"]}
+            at = cell_of(p)
+            near = [m for d in beside for m in cells.get((at[0] + d[0], at[1] + d[1], at[2] + d[2]), ())]
+            best = min(near, key=lambda m: (math.dist(m.mean, p), m.number), default=None)
+            if best is None or math.dist(best.mean, p) > merge_m:
+                count += 1
+                best = _Landmark(count)
+            else:
+                cells[cell_of(best.mean)].remove(best)
+            best.add(p, r)
+            cells.setdefault(cell_of(best.mean), []).append(best)
+            return {"trip_id": r["trip_id"], "id": r["id"], "last_frame_id": r["frame_id"], **best.row()}
 
         return step
 
-    return ordered_fold(samples, "stream_id", ["raw_ns", "seq"], start, "stream_id string, seq long")
+    return ordered_fold(detections, "trip_id", ["ts_ns", "id"], start, TRACKED)
+
+
+def landmarks(tracked: DataFrame) -> DataFrame:
+    """Each landmark as its last detection left it, without the detection's own columns."""
+    from pyspark.sql import functions as F
+
+    last = F.max_by(F.struct(*[c for c in tracked.columns if c not in ("id", "is_new")]), "observations").alias("last")
+    return tracked.groupBy("trip_id", "track_id").agg(last).select("last.*")
 
 
-#: Share of the old value in smoothed speeds.
+#: Share of the old value in smoothed speeds; what counts as turning on the spot, and as too fast.
 SMOOTH = 0.8
+TURN_DPS, TURN_MPS, FAST_MPS = 25.0, 0.35, 5.0
 
 
-def smoothed_speed(poses: DataFrame, most_ns: int) -> DataFrame:
-    """Exponential mean of speed from zero; pairs of poses with no time or more than `most_ns` between are left out."""
+def capture_health(poses: DataFrame, most_ns: int = 500_000_000) -> DataFrame:
+    """Exponential means, from zero, of speed and rate of turning, and whether they say that the device turns on the
+    spot or moves too fast; pairs of poses with no time or more than `most_ns` between are left out."""
 
     def start():
-        last, mean = None, 0.0
+        last, speed, turn = None, 0.0, 0.0
 
         def step(r):
-            nonlocal last, mean
-            before, last = last, (r["ts_ns"], (r["vio_x"], r["vio_y"], r["vio_z"]))
+            nonlocal last, speed, turn
+            before, last = last, (r["ts_ns"], (r["vio_x"], r["vio_y"], r["vio_z"]), (r["qx"], r["qy"], r["qz"], r["qw"]))
             gap = 0 if before is None else last[0] - before[0]
             if not 0 < gap <= most_ns:
                 return None
-            speed = math.dist(before[1], last[1]) / (gap / 1e9)
-            if not math.isfinite(speed):
+            now = math.dist(before[1], last[1]) / (gap / 1e9), _turned(before[2], last[2]) / (gap / 1e9)
+            if not all(map(math.isfinite, now)):
                 return None
-            mean = SMOOTH * mean + (1 - SMOOTH) * speed
-            return {"trip_id": r["trip_id"], "pose_id": r["pose_id"], "speed": mean}
+            speed, turn = SMOOTH * speed + (1 - SMOOTH) * now[0], SMOOTH * turn + (1 - SMOOTH) * now[1]
+            return {"trip_id": r["trip_id"], "pose_id": r["pose_id"], "speed": speed, "turn_dps": turn, "turns_on_spot": turn > TURN_DPS and speed < TURN_MPS, "too_fast": speed > FAST_MPS}
 
         return step
 
-    return ordered_fold(poses, "trip_id", ["ts_ns", "pose_id"], start, "trip_id long, pose_id long, speed double")
+    return ordered_fold(poses, "trip_id", ["ts_ns", "pose_id"], start, "trip_id long, pose_id long, speed double, turn_dps double, turns_on_spot boolean, too_fast boolean")

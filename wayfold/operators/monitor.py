@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Fixed values of the monitor: smoothing, samples before the baseline, periods that make a gap, rate window.
-ALPHA, WARM_UP, GAP_PERIODS, RECENT = 0.05, 32, 2.5, 64
+from .folds import ordered_fold
+
+#: Fixed values of the monitor: smoothing, samples before the baseline, periods that make a gap, rate window; a kind of
+#: warning comes at most once in WARN_EVERY samples.
+ALPHA, WARM_UP, GAP_PERIODS, RECENT, WARN_EVERY = 0.05, 32, 2.5, 64, 64
 
 STATE = "stream_id string, offset_ns long, received long, dropped long, out_of_order long, gaps long, last_ns long, latency_ns long, smooth_ns double, base_ns long, drift_ns long, recent array<long>"
 
@@ -40,8 +43,8 @@ class State:
     drift_ns: int = 0
     recent: deque = field(default_factory=lambda: deque(maxlen=RECENT))
 
-    def take(self, raw_ns: int, arrival_ns: int, nominal_ns: int) -> None:
-        """A sample before the newest accepted one is counted and otherwise ignored."""
+    def take(self, raw_ns: int, arrival_ns: int, nominal_ns: int = 0) -> bool:
+        """A sample before the newest accepted one is counted and otherwise ignored; whether it was accepted."""
         if self.offset_ns is None:
             self.offset_ns = arrival_ns - raw_ns
         before, now = self.received, raw_ns + self.offset_ns
@@ -50,7 +53,7 @@ class State:
             step = now - self.last_ns
             if step < 0:
                 self.out_of_order += 1
-                return
+                return False
             if nominal_ns > 0 and step > int(nominal_ns * GAP_PERIODS):
                 self.gaps += 1
                 self.dropped += max(0, step // nominal_ns - 1)
@@ -60,6 +63,7 @@ class State:
             self.base_ns = int(self.smooth_ns)
         self.drift_ns = 0 if self.base_ns is None else int(self.smooth_ns) - self.base_ns
         self.recent.append(now)
+        return True
 
 
 def advance(samples: DataFrame, states: DataFrame, nominal_ns: int) -> DataFrame:
@@ -102,21 +106,74 @@ def snapshot(states: DataFrame) -> DataFrame:
     return states.withColumn("rate_hz", rate).drop("recent", "smooth_ns", "base_ns")
 
 
+_ORDER = ["arrival_ns", "seq"]
+
+
+def drift(samples: DataFrame) -> DataFrame:
+    """stream_id, seq and the drift after each accepted sample, in order of arrival: how far the smoothed latency has
+    gone from what it was after the stream's warm-up."""
+
+    def start():
+        state = State(None)
+
+        def step(r):
+            if state.take(r["raw_ns"], r["arrival_ns"]):
+                return {"stream_id": r["stream_id"], "seq": r["seq"], "drift_ns": state.drift_ns}
+            return None
+
+        return step
+
+    return ordered_fold(samples, "stream_id", _ORDER, start, "stream_id string, seq long, drift_ns long")
+
+
+def warnings(samples: DataFrame, budget_ns: int, threshold_ns: int) -> DataFrame:
+    """stream_id, seq, late and drifts of accepted samples that warn, in order of arrival: `late` of a latency above
+    `budget_ns`, `drifts` of a drift beyond `threshold_ns` either way. Each kind comes WARN_EVERY received samples or
+    more after its last."""
+
+    def start():
+        state, told = State(None), {"late": -WARN_EVERY, "drifts": -WARN_EVERY}
+
+        def step(r):
+            before = state.received
+            if not state.take(r["raw_ns"], r["arrival_ns"]):
+                return None
+            wrong = {"late": state.latency_ns > budget_ns, "drifts": abs(state.drift_ns) > threshold_ns}
+            says = {kind: bad and before - told[kind] >= WARN_EVERY for kind, bad in wrong.items()}
+            told.update({kind: before for kind, yes in says.items() if yes})
+            return {"stream_id": r["stream_id"], "seq": r["seq"], **says} if any(says.values()) else None
+
+        return step
+
+    return ordered_fold(samples, "stream_id", _ORDER, start, "stream_id string, seq long, late boolean, drifts boolean")
+
+
 def watch(samples: DataFrame, folder: str, nominal_ns: int) -> DataFrame:
     """Run the monitor over a stream of samples until its source is used up; snapshot of the states then.
 
     Each micro-batch writes its states under its own number from those of the one before, so that a batch that
-    is tried again overwrites its own alone.
+    is tried again overwrites its own alone. A later run in the same folder goes on from there, and with nothing new
+    gives the last states again. Of the states only the last two are kept, as a batch is tried again at most.
     """
     spark = samples.sparkSession
-    done: list[int] = []
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def numbers() -> list[int]:
+        if not fs.exists(at):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(at)]
+        done = [x for x in names if x.startswith("states-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{x}/_SUCCESS"))]
+        return sorted(int(x.removeprefix("states-")) for x in done)
 
     def keep(batch: DataFrame, number: int) -> None:
         here = batch.sparkSession
         before = here.read.schema(STATE).parquet(f"{folder}/states-{number - 1}") if number else here.createDataFrame([], STATE)
         advance(batch, before, nominal_ns).write.mode("overwrite").parquet(f"{folder}/states-{number}")
-        done.append(number)
+        for old in numbers():
+            if old < number - 1:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/states-{old}"), True)
 
     samples.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.schema(STATE).parquet(f"{folder}/states-{done[-1]}") if done else spark.createDataFrame([], STATE)
-    return snapshot(last)
+    done = numbers()
+    return snapshot(spark.read.schema(STATE).parquet(f"{folder}/states-{done[-1]}") if done else spark.createDataFrame([], STATE))

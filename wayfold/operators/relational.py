@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,18 +23,33 @@ def within_radius(df: DataFrame, lat: float, lon: float, radius_m: float) -> Dat
     return near.where(F.col("distance_m") <= radius_m)
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius_m: float, lat: tuple[str, str], lon: tuple[str, str], max_abs_lat: float = 80.0) -> DataFrame:
-    """Pairs within a radius. Both sides fall into grid cells of at least the radius; each right row is put into
-    its cell and the eight around it, so the join is by equal cells and a cell's rows are all that meet."""
-    import math
-
-    cell_lat = radius_m / (geo.EARTH_RADIUS_M * math.pi / 180)
-    cell_lon = cell_lat / math.cos(math.radians(max_abs_lat))
-    a = left.withColumn("cell_i", F.floor(F.col(lat[0]) / cell_lat)).withColumn("cell_j", F.floor(F.col(lon[0]) / cell_lon))
-    steps = lambda c, size: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col(c) / size) + d))
-    b = right.withColumn("cell_i", steps(lat[1], cell_lat)).withColumn("cell_j", steps(lon[1], cell_lon))
-    pairs = a.join(b, ["cell_i", "cell_j"]).drop("cell_i", "cell_j")
-    pairs = pairs.withColumn("distance_m", geo.haversine_m(F.col(lat[0]), F.col(lon[0]), F.col(lat[1]), F.col(lon[1])))
+def radius_join(left: DataFrame, right: DataFrame, radius_m: float, lat: tuple[str, str], lon: tuple[str, str]) -> DataFrame:
+    """Pairs within a radius, anywhere on the globe. Rows of cells are `radius_m` high; each row is divided, all round,
+    into as many cells as may be at least as wide as two points within the radius can be apart there, which towards
+    the poles is one. Each right row is put into its cell and the neighbours, numbered round the circle, so the join
+    is by equal cells and a cell's rows are all that meet."""
+    half = math.sin(min(math.pi / 2, radius_m / (2 * geo.EARTH_RADIUS_M)))
+    height = math.degrees(radius_m / geo.EARTH_RADIUS_M) * (1 + 1e-9)
+    names = ("radius_row", "radius_column")
+
+    def columns_in(row: Column) -> Column:
+        """Cells of a row; points that a pair joins lie in this row and the next on either side."""
+        farthest = F.least(F.lit(90.0), F.greatest(F.abs((row - 1) * height), F.abs((row + 2) * height)))
+        apart = F.degrees(2 * F.asin(F.least(F.lit(1.0), half / F.greatest(F.cos(F.radians(farthest)), F.lit(1e-12))))) * (1 + 1e-9) + 1e-9
+        return F.greatest(F.lit(1), F.floor(360 / apart).cast("long"))
+
+    def column_of(lon_: Column, n: Column) -> Column:
+        return F.pmod(F.floor((lon_ + 180) / 360 * n), n)
+
+    row = F.floor(F.col(lat[0]) / height)
+    a = left.withColumn(names[0], row).withColumn(names[1], column_of(F.col(lon[0]), columns_in(row)))
+    around = F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: F.floor(F.col(lat[1]) / height) + d)
+    b = right.withColumn(names[0], F.explode(around))
+    n = columns_in(F.col(names[0]))
+    beside = F.array_distinct(F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: F.pmod(column_of(F.col(lon[1]), n) + d, n)))
+    b = b.withColumn(names[1], F.explode(beside))
+    pairs = a.join(b, list(names)).drop(*names)
+    pairs = pairs.withColumn("distance_m", geo.haversine_m(F.col(lat[0]), F.col(lon[0]), F.col(lat[1]), F.col(lon[1]), clamped=True))
     return pairs.where(F.col("distance_m") <= radius_m)
 
 

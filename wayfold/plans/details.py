@@ -8,9 +8,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, vision
-from ..operators import folds
+from ..operators import folds, monitor, ordered
 from ..operators import relational as rel
 from .registry import query
+from .streams import ACCEPTED
 
 _TRIP = "over (partition by trip_id order by ts_ns, pose_id)"
 
@@ -182,18 +183,9 @@ def late_pairing(t):
     return rel.nearest_in_time(t("v_fix"), poses, "trip_id", "ts_ns", "pose_id", 100_000_000).where("matched_id is not null").select("fix_id", F.col("matched_id").alias("pose_id"))
 
 
-@query("landmark_latest_capped", """select trip_id, l_partkey, x from (select trip_id, l_partkey, arg_max(x, l_orderkey * 10 + l_linenumber) as x,
-    row_number() over (partition by trip_id order by min(l_orderkey * 10 + l_linenumber) desc) as rn from v_landmark group by trip_id, l_partkey) where rn <= 50""")
+@query("landmark_latest_capped", f"""select trip_id, l_partkey, x from (select trip_id, l_partkey, arg_max(x, (l_orderkey * 10 + l_linenumber, x)) as x,
+    row_number() over (partition by trip_id order by min(l_orderkey * 10 + l_linenumber) desc, l_partkey desc) as rn from v_landmark group by trip_id, l_partkey) where rn <= {MOST_LANDMARKS}""")
 def landmark_latest_capped(t):
-    """The latest version of each landmark; a trip's map keeps the 50 that were founded last, not the reference's 50,000."""
-    seen = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    latest = t("v_landmark").groupBy("trip_id", "l_partkey").agg(F.max_by("x", seen).alias("x"), F.min(seen).alias("founded"))
-    return latest.withColumn("rn", F.row_number().over(W.partitionBy("trip_id").orderBy(F.col("founded").desc()))).where("rn <= 50").select("trip_id", "l_partkey", "x")
-
-
-@query("landmark_latest_map", """select trip_id, l_partkey, x from (select trip_id, l_partkey, arg_max(x, (l_orderkey * 10 + l_linenumber, x)) as x,
-    row_number() over (partition by trip_id order by min(l_orderkey * 10 + l_linenumber) desc, l_partkey desc) as rn from v_landmark group by trip_id, l_partkey) where rn <= 50000""")
-def landmark_latest_map(t):
     return latest_capped(t("v_landmark"))
 
 
@@ -208,9 +200,9 @@ def latest_capped(landmarks, cap=MOST_LANDMARKS):
 @query("drain_rate", """select stream_id, seq, round(case when h < 0.001 then 0 else (f - value) / h end, 6) as percent_per_hour from (select *, (raw_ns - first(raw_ns) over w) / 3.6e12 as h, first(value) over w as f
     from v_sample window w as (partition by stream_id order by raw_ns, seq))""")
 def drain_rate(t):
-    w = W.partitionBy("stream_id").orderBy("raw_ns", "seq")
-    hours = (F.col("raw_ns") - F.first("raw_ns").over(w)) / 3.6e12
-    return t("v_sample").select("stream_id", "seq", hours.alias("h"), (F.first("value").over(w) - F.col("value")).alias("d")).select("stream_id", "seq", F.round(F.when(F.col("h") < 0.001, 0.0).otherwise(F.col("d") / F.col("h")), 6).alias("percent_per_hour"))
+    firsts = ordered.with_first(t("v_sample"), "stream_id", ["raw_ns", "seq"], {"first_ns": F.col("raw_ns"), "first_value": F.col("value")})
+    hours = (F.col("raw_ns") - F.col("first_ns")) / 3.6e12
+    return firsts.select("stream_id", "seq", hours.alias("h"), (F.col("first_value") - F.col("value")).alias("d")).select("stream_id", "seq", F.round(F.when(F.col("h") < 0.001, 0.0).otherwise(F.col("d") / F.col("h")), 6).alias("percent_per_hour"))
 
 
 @query("similarity_apply", "select pose_id, -2 * vio_y + 5 as east, 2 * vio_x - 3 as north, 2 * vio_z + 1 as up from v_pose")
@@ -268,14 +260,8 @@ def vertex_buffer(t):
     return points.join(centres, "trip_id").select("trip_id", "l_orderkey", "l_linenumber", *[F.round(F.col(c) - F.col(f"m{c}"), 9).alias(f"v{c}") for c in "xyz"])
 
 
-@query("counter_poll", "select seq, value from v_sample where seq > 100 and seq <= 400 order by seq")
+@query("counter_poll", "select seq, value from v_sample where seq > 100 order by seq")
 def counter_poll(t):
-    """Records whose counter is beyond the last one seen, in order."""
-    return t("v_sample").where("seq > 100 and seq <= 400").select("seq", "value").orderBy("seq")
-
-
-@query("counter_poll_all", "select seq, value from v_sample where seq > 100 order by seq")
-def counter_poll_all(t):
     """All records whose counter is beyond the last one seen, in order."""
     return t("v_sample").where("seq > 100").select("seq", "value").orderBy("seq")
 
@@ -369,19 +355,27 @@ def frustum_lines(t):
     return t("v_pose").select("pose_id", F.inline(lines))
 
 
-@query("stream_warnings", """with recursive n as (select stream_id, seq, row_number() over (partition by stream_id order by raw_ns, seq) as rn, arrival_ns - raw_ns > 5000000 as late from v_sample),
-    r as (select stream_id, seq, rn, late as warned, case when late then rn end as told from n where rn = 1
-      union all select n.stream_id, n.seq, n.rn, n.late and (r.told is null or n.rn - r.told >= 64), case when n.late and (r.told is null or n.rn - r.told >= 64) then n.rn else r.told end from r join n on n.stream_id = r.stream_id and n.rn = r.rn + 1)
-    select stream_id, seq from r where warned""")
+@query("stream_warnings", f"""with recursive {ACCEPTED}, r as (
+    select stream_id, seq, rn, k, cast(late as double) as ema, cast(null as bigint) as base, cast(null as bigint) as tl, cast(null as bigint) as td, false as late_now, false as drifts from a where k = 1
+    union all select stream_id, seq, rn, k, ema, base, case when l then rn - 1 else tl end, case when d then rn - 1 else td end, l, d from (
+      select *, late > 5000000 and (tl is null or rn - 1 - tl >= 64) as l, coalesce(abs(cast(trunc(ema) as bigint) - base) > 1000000, false) and (td is null or rn - 1 - td >= 64) as d from (
+        select * replace (case when base is null and rn > 32 then cast(trunc(ema) as bigint) else base end as base) from (
+          select a.stream_id, a.seq, a.rn, a.k, a.late, r.base, r.tl, r.td, r.ema + cast(0.05 as double) * (cast(a.late as double) - r.ema) as ema from r join a on a.stream_id = r.stream_id and a.k = r.k + 1))))
+    select stream_id, seq, late_now as late, drifts from r where late_now or drifts""")
 def stream_warnings(t):
-    return folds.warnings(t("v_sample"), 5_000_000)
+    return monitor.warnings(t("v_sample"), 5_000_000, 1_000_000)
+
+
+_Q_TURN = "degrees(2 * acos(least(1, abs(qx * lag(qx) over w + qy * lag(qy) over w + qz * lag(qz) over w + qw * lag(qw) over w))))"
 
 
-@query("capture_health_ema", """with recursive p as (select trip_id, pose_id, row_number() over w as rn, ts_ns - lag(ts_ns) over w as dt,
+@query("capture_health_ema", f"""with recursive p as (select trip_id, pose_id, row_number() over w as rn, ts_ns // 100 - lag(ts_ns // 100) over w as dt, {_Q_TURN} as a,
       sqrt(pow(vio_x - lag(vio_x) over w, 2) + pow(vio_y - lag(vio_y) over w, 2) + pow(vio_z - lag(vio_z) over w, 2)) as d from v_pose window w as (partition by trip_id order by ts_ns, pose_id)),
-    q as (select *, coalesce(dt > 0 and dt <= 21600000000000, false) as ok from p),
-    r as (select trip_id, pose_id, rn, 0.0::double as ema, false as ok from q where rn = 1
-      union all select q.trip_id, q.pose_id, q.rn, case when q.ok then 0.8 * r.ema + 0.2 * (q.d / (q.dt / 1e9)) else r.ema end, q.ok from r join q on q.trip_id = r.trip_id and q.rn = r.rn + 1)
-    select trip_id, pose_id, round(ema, 6) as speed from r where ok""")
+    q as (select *, coalesce(dt > 0 and dt <= 216000000000, false) as ok from p),
+    r as (select trip_id, pose_id, rn, 0.0::double as ema, 0.0::double as turn, false as ok from q where rn = 1
+      union all select q.trip_id, q.pose_id, q.rn, case when q.ok then 0.8 * r.ema + 0.2 * (q.d / (q.dt / 1e9)) else r.ema end, case when q.ok then 0.8 * r.turn + 0.2 * (q.a / (q.dt / 1e9)) else r.turn end, q.ok from r join q on q.trip_id = r.trip_id and q.rn = r.rn + 1)
+    select trip_id, pose_id, round(ema, 6) as speed, round(turn, 6) as turn_dps, turn > 25 and ema < 0.35 as turns_on_spot, ema > 5 as too_fast from r where ok""")
 def capture_health_ema(t):
-    return folds.smoothed_speed(t("v_pose"), 21_600_000_000_000).select("trip_id", "pose_id", F.round("speed", 6).alias("speed"))
+    """Times are shrunk a hundred times, as the table's poses are hours apart."""
+    found = folds.capture_health(t("v_pose").withColumn("ts_ns", F.expr("ts_ns div 100")), 216_000_000_000)
+    return found.select("trip_id", "pose_id", F.round("speed", 6).alias("speed"), F.round("turn_dps", 6).alias("turn_dps"), "turns_on_spot", "too_fast")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import images
 from ..operators import monitor
 from ..sources import payloads
+from ..sources.shared import is_folder, new_path
 from ..views import NS, VIEWS
 from .registry import QUERIES, query
-from .trips import _is_folder, _shared
 
 NOMINAL_NS = 600_000_000_000
 
@@ -38,9 +38,9 @@ _MONITOR = f"""with recursive n as (
 def stream_monitor_live(spark, sf_dir):
     """The monitor over samples that stream in; the state of each stream when all are read."""
     path = f"{sf_dir}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else path[:-1] + "[t]")
+    events = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path if is_folder(spark, path) else path[:-1] + "[t]")
     samples = events.selectExpr(*[c.format(ns=NS["spark"]) for c in VIEWS["v_sample"][1]])
-    return monitor.watch(samples, _shared(spark, "monitor"), NOMINAL_NS).withColumn("rate_hz", F.round("rate_hz", 9))
+    return monitor.watch(samples, new_path(spark, "monitor"), NOMINAL_NS).withColumn("rate_hz", F.round("rate_hz", 9))
 
 
 query("stream_monitor_live", _MONITOR)(None)

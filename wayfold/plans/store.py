@@ -52,30 +52,18 @@ def bbox_landmarks(t):
     return t("v_landmark").where("x between 5 and 15 and y between 2 and 6")
 
 
-@query("radius_join_grid", f"select f.fix_id, a.id, round({sql_dist('f.lat', 'f.lon', 'a.lat', 'a.lon')}, 6) as distance_m from v_fix f, v_asset a where f.fix_id % 10 = 0 and {sql_dist('f.lat', 'f.lon', 'a.lat', 'a.lon')} <= 50")
-def radius_join_grid(t):
-    fixes = t("v_fix").where("fix_id % 10 = 0").select("fix_id", F.col("lat").alias("flat"), F.col("lon").alias("flon"))  # every tenth fix is the probe set
-    return rel.radius_join(fixes, t("v_asset").select("id", "lat", "lon"), 50.0, ("flat", "lat"), ("flon", "lon")).select("fix_id", "id", F.round("distance_m", 6).alias("distance_m"))
-
-
-@query("association_3m_grid", f"select f.fix_id, a.id from v_fix f, v_asset a where f.fix_id % 10 = 0 and {sql_dist('f.lat', 'f.lon', 'a.lat', 'a.lon')} <= 3")
-def association_3m_grid(t):
-    fixes = t("v_fix").where("fix_id % 10 = 0").select("fix_id", F.col("lat").alias("flat"), F.col("lon").alias("flon"))
-    return rel.radius_join(fixes, t("v_asset").select("id", "lat", "lon"), 3.0, ("flat", "lat"), ("flon", "lon")).select("fix_id", "id")
-
-
 def _near_assets(t, radius_m):
     fixes = t("v_fix").select("fix_id", F.col("lat").alias("flat"), F.col("lon").alias("flon"))
     return rel.radius_join(fixes, t("v_asset").select("id", "lat", "lon"), radius_m, ("flat", "lat"), ("flon", "lon"))
 
 
-@query("radius_join_all_fixes", f"select f.fix_id, a.id, round({sql_dist('f.lat', 'f.lon', 'a.lat', 'a.lon')}, 6) as distance_m from v_fix f, v_asset a where {sql_dist('f.lat', 'f.lon', 'a.lat', 'a.lon')} <= 50")
-def radius_join_all_fixes(t):
+@query("radius_join_grid", f"select f.fix_id, a.id, round({sql_dist('f.lat', 'f.lon', 'a.lat', 'a.lon')}, 6) as distance_m from v_fix f, v_asset a where {sql_dist('f.lat', 'f.lon', 'a.lat', 'a.lon')} <= 50")
+def radius_join_grid(t):
     return _near_assets(t, 50.0).select("fix_id", "id", F.round("distance_m", 6).alias("distance_m"))
 
 
-@query("association_3m_all_fixes", f"select f.fix_id, a.id from v_fix f, v_asset a where {sql_dist('f.lat', 'f.lon', 'a.lat', 'a.lon')} <= 3")
-def association_3m_all_fixes(t):
+@query("association_3m_grid", f"select f.fix_id, a.id from v_fix f, v_asset a where {sql_dist('f.lat', 'f.lon', 'a.lat', 'a.lon')} <= 3")
+def association_3m_grid(t):
     return _near_assets(t, 3.0).select("fix_id", "id")
 
 
@@ -214,8 +202,8 @@ def cosine_topk(t):
 
 @query("similar_to_asset", "select e.vec_id, round(list_dot_product(e.embedding::double[], s.embedding::double[]), 4) as score from embeddings e, (select embedding from embeddings where vec_id = 4) s where e.vec_id <> 4 order by list_dot_product(e.embedding::double[], s.embedding::double[]) desc, vec_id limit 10")
 def similar_to_asset(t):
-    seed = t("embeddings").where("vec_id = 4").select(F.col("embedding").alias("seed"))
-    rows = t("embeddings").where("vec_id != 4").join(F.broadcast(seed))  # one row
+    seed = t("embeddings").where("vec_id = 4").agg(F.first("embedding").alias("seed"))
+    rows = t("embeddings").where("vec_id != 4").join(F.broadcast(seed))  # an aggregate is one row
     scored = rows.select("vec_id", vision.cosine(F.col("embedding"), F.col("seed")).alias("score"))
     return scored.orderBy(F.col("score").desc(), "vec_id").limit(10).select("vec_id", F.round(F.col("score").cast("double"), 4).alias("score"))
 

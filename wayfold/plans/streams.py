@@ -8,17 +8,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, vision
-from ..operators import folds
+from ..operators import folds, monitor, ordered
 from ..operators import relational as rel
 from .registry import query
 from .store import sql_dist
 
 
 
-def _stream():
-    return W.partitionBy("stream_id").orderBy("raw_ns", "seq")
-
-
 def _trip():
     return W.partitionBy("trip_id").orderBy("ts_ns", "pose_id")
 
@@ -30,31 +26,43 @@ def _fix():
 _LAG = "lag({c}) over (partition by trip_id order by ts_ns, pose_id)"
 
 
+_ARRIVAL, _TIME = ["arrival_ns", "seq"], ["raw_ns", "seq"]
+
+
 @query("stream_out_of_order", "select stream_id, count(*) filter (raw_ns < top) as out_of_order, count(*) as received from (select *, max(raw_ns) over (partition by stream_id order by arrival_ns, seq rows between unbounded preceding and 1 preceding) as top from v_sample) group by stream_id")
 def stream_out_of_order(t):
-    w = W.partitionBy("stream_id").orderBy("arrival_ns", "seq").rowsBetween(W.unboundedPreceding, -1)
-    return t("v_sample").withColumn("top", F.max("raw_ns").over(w)).groupBy("stream_id").agg(F.count_if(F.col("raw_ns") < F.col("top")).alias("out_of_order"), F.count("*").alias("received"))
+    topped = ordered.with_running_max(t("v_sample"), "stream_id", _ARRIVAL, "raw_ns", "top")
+    return topped.groupBy("stream_id").agg(F.count_if(F.col("raw_ns") < F.col("top")).alias("out_of_order"), F.count("*").alias("received"))
 
 
 @query("stream_gaps", "select stream_id, count(*) filter (d > 2.5 * 600000000000) as gaps, cast(coalesce(sum(d // 600000000000 - 1) filter (d > 2.5 * 600000000000), 0) as bigint) as missed from (select stream_id, raw_ns - lag(raw_ns) over (partition by stream_id order by raw_ns, seq) as d from v_sample) group by stream_id")
 def stream_gaps(t):
     nominal = 600_000_000_000
     gap = F.col("d") > 2.5 * nominal
-    return t("v_sample").select("stream_id", (F.col("raw_ns") - F.lag("raw_ns").over(_stream())).alias("d")).groupBy("stream_id").agg(F.count_if(gap).alias("gaps"), F.coalesce(F.sum(F.when(gap, F.expr(f"d div {nominal} - 1"))), F.lit(0)).alias("missed"))
+    stepped = ordered.with_previous(t("v_sample"), "stream_id", _TIME, "raw_ns", "before").select("stream_id", (F.col("raw_ns") - F.col("before")).alias("d"))
+    return stepped.groupBy("stream_id").agg(F.count_if(gap).alias("gaps"), F.coalesce(F.sum(F.when(gap, F.expr(f"d div {nominal} - 1"))), F.lit(0)).alias("missed"))
 
 
 @query("stream_rate64", "select stream_id, seq, round(case when m > 1 and raw_ns > f then (m - 1) * 1e9 / (raw_ns - f) else 0 end, 9) as rate_hz from (select *, count(*) over w as m, first(raw_ns) over w as f from v_sample window w as (partition by stream_id order by raw_ns, seq rows between 63 preceding and current row))")
 def stream_rate64(t):
-    w = _stream().rowsBetween(-63, 0)
-    m, f = F.count("*").over(w), F.first("raw_ns").over(w)
-    rate = F.when((m > 1) & (F.col("raw_ns") > f), (m - 1) * 1e9 / (F.col("raw_ns") - f)).otherwise(0.0)
-    return t("v_sample").select("stream_id", "seq", F.round(rate, 9).alias("rate_hz"))
+    rows = ordered.with_nth_before(t("v_sample"), "stream_id", _TIME, 63, "raw_ns", "from_ns")
+    span = F.col("raw_ns") - F.col("from_ns")
+    rate = F.when((F.col("n_before") > 0) & (span > 0), F.col("n_before") * 1e9 / span).otherwise(0.0)
+    return rows.select("stream_id", "seq", F.round(rate, 9).alias("rate_hz"))
+
+
+_OFFSETS = "(select stream_id, arg_min(arrival_ns - raw_ns, (arrival_ns, seq)) as offset_ns from v_sample group by stream_id)"
+
 
+def _offset(t):
+    return ordered.with_first(t("v_sample"), "stream_id", _ARRIVAL, {"offset_ns": F.col("arrival_ns") - F.col("raw_ns")})
 
-@query("stream_latency", "select stream_id, max(arrival_ns - raw_ns) as max_ns, min(arrival_ns - raw_ns) as min_ns, count(*) filter (arrival_ns - raw_ns > 5000000) as high from v_sample group by stream_id")
+
+@query("stream_latency", f"select stream_id, max(l) as max_ns, min(l) as min_ns, count(*) filter (l > 5000000) as high from (select stream_id, arrival_ns - raw_ns - offset_ns as l from v_sample join {_OFFSETS} using (stream_id)) group by stream_id")
 def stream_latency(t):
-    late = F.col("arrival_ns") - F.col("raw_ns")
-    return t("v_sample").groupBy("stream_id").agg(F.max(late).alias("max_ns"), F.min(late).alias("min_ns"), F.count_if(late > 5_000_000).alias("high"))
+    """Arrival less the sample's own time, moved by the stream's offset."""
+    late = _offset(t).select("stream_id", (F.col("arrival_ns") - F.col("raw_ns") - F.col("offset_ns")).alias("late"))
+    return late.groupBy("stream_id").agg(F.max("late").alias("max_ns"), F.min("late").alias("min_ns"), F.count_if(F.col("late") > 5_000_000).alias("high"))
 
 
 @query("stream_offset", "select stream_id, arg_min(arrival_ns - raw_ns, (arrival_ns, seq)) as offset_ns from v_sample group by stream_id")
@@ -62,23 +70,28 @@ def stream_offset(t):
     return t("v_sample").groupBy("stream_id").agg(F.min_by(F.col("arrival_ns") - F.col("raw_ns"), F.struct("arrival_ns", "seq")).alias("offset_ns"))
 
 
-@query("normalised_ts", "select s.stream_id, s.seq, s.raw_ns + o.offset_ns as ts_ns from v_sample s join (select stream_id, arg_min(arrival_ns - raw_ns, (arrival_ns, seq)) as offset_ns from v_sample group by stream_id) o using (stream_id)")
+@query("normalised_ts", f"select s.stream_id, s.seq, s.raw_ns + o.offset_ns as ts_ns from v_sample s join {_OFFSETS} o using (stream_id)")
 def normalised_ts(t):
-    w = W.partitionBy("stream_id").orderBy("arrival_ns", "seq")
-    return t("v_sample").select("stream_id", "seq", (F.col("raw_ns") + F.first(F.col("arrival_ns") - F.col("raw_ns")).over(w)).alias("ts_ns"))
+    return _offset(t).select("stream_id", "seq", (F.col("raw_ns") + F.col("offset_ns")).alias("ts_ns"))
 
 
 _NUMBERED = "n as (select *, row_number() over (partition by stream_id order by raw_ns, seq) as rn from v_sample)"
 
 
-@query("stream_drift_ema", f"""with recursive {_NUMBERED}, e as (
-    select stream_id, seq, rn, cast(arrival_ns - raw_ns as double) as ema, cast(null as bigint) as base from n where rn = 1
-    union all select n.stream_id, n.seq, n.rn, e.ema + cast(0.05 as double) * (cast(n.arrival_ns - n.raw_ns as double) - e.ema),
-        case when e.base is null and n.rn > 32 then cast(trunc(e.ema + cast(0.05 as double) * (cast(n.arrival_ns - n.raw_ns as double) - e.ema)) as bigint) else e.base end
-    from e join n on n.stream_id = e.stream_id and n.rn = e.rn + 1)
+#: Samples in order of arrival with their stream's offset; those that are not before the newest one, numbered by k.
+ACCEPTED = """n as (select *, row_number() over w as rn, first(arrival_ns - raw_ns) over w as off,
+        max(raw_ns) over (partition by stream_id order by arrival_ns, seq rows between unbounded preceding and 1 preceding) as top
+      from v_sample window w as (partition by stream_id order by arrival_ns, seq)),
+    a as (select *, arrival_ns - raw_ns - off as late, row_number() over (partition by stream_id order by rn) as k from n where top is null or raw_ns >= top)"""
+
+
+@query("stream_drift_ema", f"""with recursive {ACCEPTED}, e as (
+    select stream_id, seq, k, cast(late as double) as ema, cast(null as bigint) as base from a where k = 1
+    union all select stream_id, seq, k, ema, case when base is null and rn > 32 then cast(trunc(ema) as bigint) else base end from (
+      select a.stream_id, a.seq, a.k, a.rn, e.base, e.ema + cast(0.05 as double) * (cast(a.late as double) - e.ema) as ema from e join a on a.stream_id = e.stream_id and a.k = e.k + 1))
     select stream_id, seq, case when base is null then 0 else cast(trunc(ema) as bigint) - base end as drift_ns from e""")
 def stream_drift_ema(t):
-    return folds.drift(t("v_sample"))
+    return monitor.drift(t("v_sample"))
 
 
 _GAP = 3_600_000_000_000
@@ -93,15 +106,18 @@ def cadence_throttle(t):
     return folds.throttle(t("v_sample"), _GAP)
 
 
-@query("keyframes", """with recursive p as (select *, row_number() over (partition by trip_id order by ts_ns, pose_id) as rn from v_pose where state = 'TRACKING'), k as (
-    select trip_id, pose_id, ts_ns, rn, ts_ns as lt, vio_x as lx, vio_y as ly, vio_z as lz, true as ok from p where rn = 1
-    union all select trip_id, pose_id, ts_ns, rn, case when ok then ts_ns else lt end, case when ok then x else lx end, case when ok then y else ly end, case when ok then z else lz end, ok from (
-      select p.trip_id, p.pose_id, p.ts_ns, p.rn, p.vio_x as x, p.vio_y as y, p.vio_z as z, k.lt, k.lx, k.ly, k.lz,
-        p.ts_ns - k.lt >= 21600000000000 and sqrt((p.vio_x-k.lx)*(p.vio_x-k.lx)+(p.vio_y-k.ly)*(p.vio_y-k.ly)+(p.vio_z-k.lz)*(p.vio_z-k.lz)) >= 10 as ok
+_TURN = "degrees(2 * acos(least(1, abs({a}.qx*{b}.qx + {a}.qy*{b}.qy + {a}.qz*{b}.qz + {a}.qw*{b}.qw))))"
+
+
+@query("keyframes", f"""with recursive p as (select *, row_number() over (partition by trip_id order by ts_ns, pose_id) as rn from v_pose where state = 'TRACKING'), k as (
+    select trip_id, pose_id, ts_ns, rn, true as ok, {{'t': ts_ns, 'x': vio_x, 'y': vio_y, 'z': vio_z, 'qx': qx, 'qy': qy, 'qz': qz, 'qw': qw}} as l from p where rn = 1
+    union all select trip_id, pose_id, ts_ns, rn, ok, case when ok then here else l end from (
+      select p.trip_id, p.pose_id, p.ts_ns, p.rn, k.l, {{'t': p.ts_ns, 'x': p.vio_x, 'y': p.vio_y, 'z': p.vio_z, 'qx': p.qx, 'qy': p.qy, 'qz': p.qz, 'qw': p.qw}} as here,
+        p.ts_ns - k.l.t >= 21600000000000 and (sqrt((p.vio_x-k.l.x)*(p.vio_x-k.l.x)+(p.vio_y-k.l.y)*(p.vio_y-k.l.y)+(p.vio_z-k.l.z)*(p.vio_z-k.l.z)) >= 300 or {_TURN.format(a='p', b='k.l')} >= 70.5) as ok
       from k join p on p.trip_id = k.trip_id and p.rn = k.rn + 1))
     select trip_id, pose_id, ts_ns from k where ok""")
 def keyframes(t):
-    return folds.keyframes(t("v_pose"), 6 * 3600 * 10**9, 10.0)
+    return folds.keyframes(t("v_pose"), 6 * 3600 * 10**9, 300.0, 70.5)
 
 
 @query("last_per_window", "select stream_id, raw_ns // 3600000000000 as hour, arg_max(value, (raw_ns, seq)) as value from v_sample group by all")
@@ -121,13 +137,12 @@ def stats_by_topic(t):
 
 @query("sequence_numbers", "select stream_id, seq, row_number() over (partition by stream_id order by raw_ns, seq) - 1 as sequence from v_sample")
 def sequence_numbers(t):
-    return t("v_sample").select("stream_id", "seq", (F.row_number().over(_stream()) - 1).cast("long").alias("sequence"))
+    return ordered.numbered(t("v_sample"), "stream_id", _TIME, "sequence").select("stream_id", "seq", "sequence")
 
 
 @query("last_n_warnings", "select stream_id, seq from v_sample where value > 50 qualify row_number() over (partition by stream_id order by raw_ns desc, seq desc) <= 6")
 def last_n_warnings(t):
-    w = W.partitionBy("stream_id").orderBy(F.col("raw_ns").desc(), F.col("seq").desc())
-    return t("v_sample").where("value > 50").withColumn("rn", F.row_number().over(w)).where("rn <= 6").select("stream_id", "seq")
+    return ordered.last_rows(t("v_sample").where("value > 50"), "stream_id", _TIME, 6).select("stream_id", "seq")
 
 
 @query("every_nth", "select trip_id, pose_id from v_pose where state = 'TRACKING' qualify row_number() over (partition by trip_id order by ts_ns, pose_id) % 10 = 0")
@@ -168,10 +183,17 @@ def path_tracking_breaks(t):
     return t("v_pose").select("trip_id", F.when(both, step).alias("d")).groupBy("trip_id").agg(F.round(F.coalesce(F.sum("d"), F.lit(0.0)), 4).alias("metres"))
 
 
-@query("kinematics", f"select pose_id, round(case when dt > 0 then d / (dt / 1e9) else 0 end, 6) as speed_mps from (select pose_id, ts_ns - {_LAG.format(c='ts_ns')} as dt, sqrt(pow(vio_x - {_LAG.format(c='vio_x')}, 2) + pow(vio_z - {_LAG.format(c='vio_z')}, 2)) as d from v_pose)")
+@query("kinematics", f"""select c.pose_id, round(case when dt > 0 then sqrt(pow(c.vio_x - c.l.x, 2) + pow(c.vio_y - c.l.y, 2) + pow(c.vio_z - c.l.z, 2)) / (dt / 1e9) when dt <= 0 then 0 end, 6) as speed_mps,
+    round(case when dt > 0 then {_TURN.format(a='c', b='c.l')} / (dt / 1e9) when dt <= 0 then 0 end, 6) as turn_dps
+    from (select *, ts_ns - lag(ts_ns) over w as dt, lag({{'x': vio_x, 'y': vio_y, 'z': vio_z, 'qx': qx, 'qy': qy, 'qz': qz, 'qw': qw}}) over w as l from v_pose window w as (partition by trip_id order by ts_ns, pose_id)) c""")
 def kinematics(t):
-    dt = F.col("ts_ns") - F.lag("ts_ns").over(_trip())
-    return t("v_pose").select("pose_id", dt.alias("dt"), _planar(_trip()).alias("d")).select("pose_id", F.round(F.when(F.col("dt") > 0, F.col("d") / (F.col("dt") / 1e9)).otherwise(0.0), 6).alias("speed_mps"))
+    """Speed and rate of turning from the pose before; none for a trip's first, zero where no time has passed."""
+    before = lambda c: F.lag(c).over(_trip())
+    moved = F.sqrt(sum(((F.col(c) - before(c)) * (F.col(c) - before(c)) for c in ("vio_x", "vio_y", "vio_z")), F.lit(0.0)))
+    q = ("qx", "qy", "qz", "qw")
+    rows = t("v_pose").select("pose_id", (F.col("ts_ns") - before("ts_ns")).alias("dt"), moved.alias("d"), vision.angle_deg([F.col(c) for c in q], [before(c) for c in q]).alias("turned"))
+    rate = lambda c: F.round(F.when(F.col("dt") > 0, F.col(c) / (F.col("dt") / 1e9)).when(F.col("dt") <= 0, 0.0), 6)
+    return rows.select("pose_id", rate("d").alias("speed_mps"), rate("turned").alias("turn_dps"))
 
 
 @query("heading_edges", "select pose_id, round(coalesce(h, lag(h) over w), 6) as heading from (select *, atan2(-(lead(vio_z) over w) + vio_z, lead(vio_x) over w - vio_x) as h from v_pose window w as (partition by trip_id order by ts_ns, pose_id)) window w as (partition by trip_id order by ts_ns, pose_id)")
@@ -180,25 +202,7 @@ def heading_edges(t):
     return t("v_pose").withColumn("h", turn).select("pose_id", F.round(F.coalesce("h", F.lag("h").over(_trip())), 6).alias("heading"))
 
 
-_SHIFT = "(select trip_id, fix_id, ts_ns + (fix_id % 7) * 1000000000 as ts_ns from v_fix where fix_id % 3 = 0)"
 _TOL = 3_600_000_000_000
-
-
-@query("nearest_pose_100ms", f"select f.trip_id, f.fix_id, f.ts_ns, arg_min(p.pose_id, (abs(p.ts_ns - f.ts_ns), p.ts_ns, p.pose_id)) as pose_id from {_SHIFT} f left join (select * from v_pose where pose_id % 3 <> 0) p on p.trip_id = f.trip_id and abs(p.ts_ns - f.ts_ns) <= {_TOL} group by all")
-def nearest_pose_100ms(t):
-    """The tolerance is an hour here, as the tables' events lie minutes apart."""
-    fixes = t("v_fix").where("fix_id % 3 = 0").select("trip_id", "fix_id", (F.col("ts_ns") + F.col("fix_id") % 7 * 1_000_000_000).alias("ts_ns"))
-    poses = t("v_pose").where("pose_id % 3 != 0").select("trip_id", "ts_ns", "pose_id")
-    return rel.nearest_in_time(fixes, poses, "trip_id", "ts_ns", "pose_id", _TOL).select("trip_id", "fix_id", "ts_ns", F.col("matched_id").alias("pose_id"))
-
-
-@query("latest_pose_asof", f"select f.trip_id, f.fix_id, f.ts_ns, arg_max(p.pose_id, (p.ts_ns, p.pose_id)) as pose_id from {_SHIFT} f left join (select * from v_pose where pose_id % 3 <> 0) p on p.trip_id = f.trip_id and p.ts_ns <= f.ts_ns group by all")
-def latest_pose_asof(t):
-    fixes = t("v_fix").where("fix_id % 3 = 0").select("trip_id", "fix_id", (F.col("ts_ns") + F.col("fix_id") % 7 * 1_000_000_000).alias("ts_ns"))
-    poses = t("v_pose").where("pose_id % 3 != 0").select("trip_id", "ts_ns", "pose_id")
-    return rel.latest_before(fixes, poses, "trip_id", "ts_ns", "pose_id").select("trip_id", "fix_id", "ts_ns", F.col("matched_id").alias("pose_id"))
-
-
 _SHIFT_ALL = "(select trip_id, fix_id, ts_ns + (fix_id % 7) * 1000000000 as ts_ns from v_fix)"
 
 
@@ -206,14 +210,15 @@ def _shifted(t):
     return t("v_fix").select("trip_id", "fix_id", (F.col("ts_ns") + F.col("fix_id") % 7 * 1_000_000_000).alias("ts_ns"))
 
 
-@query("nearest_pose_all_fixes", f"select f.trip_id, f.fix_id, f.ts_ns, arg_min(p.pose_id, (abs(p.ts_ns - f.ts_ns), p.ts_ns, p.pose_id)) as pose_id from {_SHIFT_ALL} f left join v_pose p on p.trip_id = f.trip_id and abs(p.ts_ns - f.ts_ns) <= {_TOL} group by all")
-def nearest_pose_all_fixes(t):
+@query("nearest_pose_100ms", f"select f.trip_id, f.fix_id, f.ts_ns, arg_min(p.pose_id, (abs(p.ts_ns - f.ts_ns), p.ts_ns, p.pose_id)) as pose_id from {_SHIFT_ALL} f left join v_pose p on p.trip_id = f.trip_id and abs(p.ts_ns - f.ts_ns) <= {_TOL} group by all")
+def nearest_pose_100ms(t):
+    """The tolerance is an hour here, as the tables' events lie minutes apart; fixes are shifted by some seconds."""
     found = rel.nearest_in_time(_shifted(t), t("v_pose").select("trip_id", "ts_ns", "pose_id"), "trip_id", "ts_ns", "pose_id", _TOL)
     return found.select("trip_id", "fix_id", "ts_ns", F.col("matched_id").alias("pose_id"))
 
 
-@query("latest_pose_all_fixes", f"select f.trip_id, f.fix_id, f.ts_ns, arg_max(p.pose_id, (p.ts_ns, p.pose_id)) as pose_id from {_SHIFT_ALL} f left join v_pose p on p.trip_id = f.trip_id and p.ts_ns <= f.ts_ns group by all")
-def latest_pose_all_fixes(t):
+@query("latest_pose_asof", f"select f.trip_id, f.fix_id, f.ts_ns, arg_max(p.pose_id, (p.ts_ns, p.pose_id)) as pose_id from {_SHIFT_ALL} f left join v_pose p on p.trip_id = f.trip_id and p.ts_ns <= f.ts_ns group by all")
+def latest_pose_asof(t):
     found = rel.latest_before(_shifted(t), t("v_pose").select("trip_id", "ts_ns", "pose_id"), "trip_id", "ts_ns", "pose_id")
     return found.select("trip_id", "fix_id", "ts_ns", F.col("matched_id").alias("pose_id"))
 
@@ -303,9 +308,20 @@ def tracker_votes(t):
     return votes.groupBy("trip_id").agg(F.max_by("asset_class", F.struct("v", "asset_class")).alias("winner"))
 
 
+def _detections(t):
+    """Every pose as a detection at its own place."""
+    pick = lambda names, by: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("pose_id") % by + 1).cast("int"))
+    return t("v_pose").select("trip_id", "ts_ns", F.col("pose_id").alias("id"), *[F.col(f"vio_{c}").alias(c) for c in "xyz"], pick(["POLE", "SIGN", "LIGHT"], 3).alias("asset_class"), (F.col("pose_id") % 10 / 10).alias("confidence"), (F.col("pose_id") % 7 + 1).cast("double").alias("depth_m"), F.col("pose_id").alias("frame_id"), pick(["ROAD", None], 2).alias("semantic_label"))
+
+
 @query("asset_tracker")
 def asset_tracker(t):
-    return folds.track_assets(t("v_pose"), 100.0)
+    return folds.track_assets(_detections(t), 100.0)
+
+
+@query("asset_landmarks")
+def asset_landmarks(t):
+    return folds.landmarks(folds.track_assets(_detections(t), 100.0))
 
 
 @query("nms", """with recursive b as (select *, row_number() over (partition by frame_id, class order by score desc, id) as rn, {'l': left_px::float, 't': top_px::float, 'r': right_px::float, 'b': bottom_px::float} as box from v_box),

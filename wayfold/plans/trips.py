@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import georef, solve
-from ..sources import clouds, exports
+from ..sources import clouds, exports, logs
+from ..sources.shared import is_folder, new_path
 from .registry import QUERIES, query
 from ..views import table
 
@@ -64,12 +63,7 @@ def csv_assets(t):
 
 def mcap_roundtrip(spark, sf_dir):
     """Samples are written as logs, one for each stream, and read back chunk by chunk."""
-    import tempfile
-
-    from ..sources import logs
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="wayfold-")
-    folder = f"{shared.rstrip('/')}/logs-{uuid.uuid4().hex}"
+    folder = new_path(spark, "logs")
     s = table(spark, sf_dir, "v_sample")
     rows = s.select(F.pmod(F.xxhash64("stream_id"), F.lit(1 << 30)).alias("trip_id"), F.col("stream_id").alias("topic"), F.col("raw_ns").alias("log_time_ns"), F.col("arrival_ns").alias("publish_time_ns"), F.col("seq").cast("string").cast("binary").alias("data"))
     logs.write_logs(rows, folder, 1 << 14).write.parquet(f"{folder}/files")
@@ -83,27 +77,22 @@ QUERIES["mcap_roundtrip"] = mcap_roundtrip
 
 
 def stream_rate_live(spark, sf_dir):
-    """The tumbling rate as a streaming query, run over what is there and then read from its sink."""
-    import tempfile
-
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="wayfold-")).rstrip("/")
-    folder = f"{shared}/live-{uuid.uuid4().hex}"
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet" if _is_folder(spark, f"{sf_dir}/events.parquet") else f"{sf_dir}/events.parque[t]")
-    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
+    """The tumbling rate as a streaming query, run over what is there and then read from its sink.
+
+    Each micro-batch upserts the windows that it changed, under its own number, so that a batch tried again replaces
+    its own rows; windows that the watermark has passed leave the state. A window's last rows win.
+    """
+    folder = new_path(spark, "live")
+    timed = _live_events(spark, sf_dir).withWatermark("at", "1 hour")
     counts = timed.groupBy(F.window("at", "1 hour").alias("w"), F.col("event_type").alias("stream_id")).agg(F.count("*").alias("n"))
     flat = counts.select("stream_id", F.unix_seconds("w.start").alias("hour_s"), "n")
 
-    def keep(batch, _):
-        batch.write.mode("overwrite").parquet(f"{folder}/out")
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    flat.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("stream_id string, hour_s long, n long").parquet(f"{folder}/out")
-
-
-def _is_folder(spark, path):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(p).isDirectory()
+    flat.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema("stream_id string, hour_s long, n long, batch long").parquet(f"{folder}/out")
+    return out.groupBy("stream_id", "hour_s").agg(F.max_by("n", "batch").alias("n"))
 
 
 query("stream_rate_live", "select stream_id, cast(raw_ns // 3600000000000 * 3600 as bigint) as hour_s, count(*) as n from v_sample group by all")(None)
@@ -127,16 +116,9 @@ def georeference_online(t):
     return found.select("trip_id", "pose_id", *[F.round(c, 3).alias(c) for c in ("east", "north", "up")], "transform_id")
 
 
-def _shared(spark, label):
-    import tempfile
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="wayfold-")
-    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def _cloud_roundtrip(kind):
     def run(spark, sf_dir):
-        folder = _shared(spark, kind)
+        folder = new_path(spark, kind)
         points = table(spark, sf_dir, "v_landmark")
         clouds.write_clouds(points, folder, kind).write.parquet(f"{folder}/files")
         back = clouds.read_clouds(spark.read.schema("path string, n_points long").parquet(f"{folder}/files"))
@@ -154,32 +136,21 @@ def _live_events(spark, sf_dir):
     """The events as a stream, with their time `at`."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{sf_dir}/events.parque[t]")
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if is_folder(spark, path) else f"{sf_dir}/events.parque[t]")
     return events.withColumn("at", F.col("ts").cast("timestamp")).drop("ts")
 
 
 def pose_fix_stream_join(spark, sf_dir):
-    """Fixes (even events) with poses (odd ones) of their trip within an hour, stream with stream."""
-    return _stream_join(spark, sf_dir, "event_id % 2 = 0", "event_id % 2 = 1")
-
-
-def pose_fix_stream_join_all(spark, sf_dir):
     """All fixes with all poses of their trip within an hour, stream with stream."""
-    return _stream_join(spark, sf_dir, "true", "true")
-
-
-def _stream_join(spark, sf_dir, is_fix, is_pose):
     live = _live_events(spark, sf_dir)
-    fixes = live.where(is_fix).select(F.col("user_id").alias("trip_id"), F.col("event_id").alias("fix_id"), F.col("at").alias("fix_at")).withWatermark("fix_at", "2 hours")
-    poses = live.where(is_pose).select(F.col("user_id").alias("pose_trip"), F.col("event_id").alias("pose_id"), F.col("at").alias("pose_at")).withWatermark("pose_at", "2 hours")
+    fixes = live.select(F.col("user_id").alias("trip_id"), F.col("event_id").alias("fix_id"), F.col("at").alias("fix_at")).withWatermark("fix_at", "2 hours")
+    poses = live.select(F.col("user_id").alias("pose_trip"), F.col("event_id").alias("pose_id"), F.col("at").alias("pose_at")).withWatermark("pose_at", "2 hours")
     near = F.expr("trip_id = pose_trip and pose_at between fix_at - interval 1 hour and fix_at + interval 1 hour")
     joined = fixes.join(poses, near).select("trip_id", "fix_id", "pose_id")
-    folder = _shared(spark, "paired")
+    folder = new_path(spark, "paired")
     joined.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(joined.schema).parquet(f"{folder}/out")
 
 
-query("pose_fix_stream_join", "select f.trip_id, f.fix_id, p.pose_id from v_fix f join v_pose p on f.trip_id = p.trip_id and abs(f.ts_ns - p.ts_ns) <= 3600000000000 where f.fix_id % 2 = 0 and p.pose_id % 2 = 1")(None)
+query("pose_fix_stream_join", "select f.trip_id, f.fix_id, p.pose_id from v_fix f join v_pose p on f.trip_id = p.trip_id and abs(f.ts_ns - p.ts_ns) <= 3600000000000")(None)
 QUERIES["pose_fix_stream_join"] = pose_fix_stream_join
-query("pose_fix_stream_join_all", "select f.trip_id, f.fix_id, p.pose_id from v_fix f join v_pose p on f.trip_id = p.trip_id and abs(f.ts_ns - p.ts_ns) <= 3600000000000")(None)
-QUERIES["pose_fix_stream_join_all"] = pose_fix_stream_join_all

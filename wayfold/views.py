@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 NS = {"spark": "unix_micros(cast(ts as timestamp)) * 1000", "duckdb": "epoch_us(ts) * 1000"}
 
 VIEWS = {
-    "v_pose": ("events", ["user_id as trip_id", "event_id as pose_id", "{ns} as ts_ns", "cast((event_id*31)%1000 as double) as vio_x", "cast(value as double) as vio_y", "cast((event_id*17)%1000 as double) as vio_z", "case when event_type='error' then 'PAUSED' else 'TRACKING' end as state"]),
+    "v_pose": ("events", ["user_id as trip_id", "event_id as pose_id", "{ns} as ts_ns", "cast((event_id*31)%1000 as double) as vio_x", "cast(value as double) as vio_y", "cast((event_id*17)%1000 as double) as vio_z", "case when event_type='error' then 'PAUSED' else 'TRACKING' end as state", "cast(0 as double) as qx", "sin(radians(cast((event_id*37)%120*3 as double)/2)) as qy", "cast(0 as double) as qz", "cos(radians(cast((event_id*37)%120*3 as double)/2)) as qw"]),
     "v_sample": ("events", ["event_type as stream_id", "event_id as seq", "{ns} as raw_ns", "{ns} + cast(round(value*100000) as bigint) as arrival_ns", "value"]),
     "v_fix": ("events", ["user_id as trip_id", "event_id as fix_id", "{ns} as ts_ns", "cast(12.97 as double)+cast((event_id*7919)%2000 as double)*cast(0.00001 as double) as lat", "cast(77.59 as double)+cast((event_id*104729)%2000 as double)*cast(0.00001 as double) as lon", "cast(900 as double)+value as alt", "case when event_type='error' then cast(-1 as double) else value/cast(2 as double) end as h_acc_m"]),
     "v_asset": ("customer", ["c_custkey as id", "cast(c_nationkey as bigint) as trip_id", "c_mktsegment as asset_class", "cast(12.97 as double)+cast((c_custkey*7919)%2000 as double)*cast(0.00001 as double) as lat", "cast(77.59 as double)+cast((c_custkey*104729)%2000 as double)*cast(0.00001 as double) as lon", "c_acctbal/cast(10000 as double) as confidence", "case when c_custkey%3=0 then null else c_custkey end as embedding_id"]),
