@@ -304,7 +304,7 @@ def bend(n=21):
     return [(1, i, i * 10**9, x + 0.05 * i, 0.0, -y) for i, (x, y) in enumerate(true)], true
 
 
-def test_refinement_pulls_a_drifting_walk_to_its_fixes(spark, monkeypatch):
+def test_refinement_pulls_a_drifting_walk_to_its_fixes(spark):
     poses, true = bend()
     df = spark.createDataFrame(poses, "trip_id long, pose_id long, ts_ns long, vio_x double, vio_y double, vio_z double")
     origin = [F.lit(x) for x in (12.97, 77.59, 900.0)]
@@ -314,10 +314,6 @@ def test_refinement_pulls_a_drifting_walk_to_its_fixes(spark, monkeypatch):
     check = lambda: {r["pose_id"]: (r["east"], r["north"]) for r in georef.refine(df, fixes).collect()}
     whole = check()
     assert len(whole) == 21 and max(math.dist(whole[i], true[i]) for i in whole) < 0.6
-    monkeypatch.setattr(georef, "PIECE", 8)
-    monkeypatch.setattr(georef, "MARGIN", 6)
-    pieces = check()
-    assert len(pieces) == 21 and max(math.dist(pieces[i], whole[i]) for i in whole) < 0.3
     assert not georef.refine(df, fixes.where("fix_id = 0")).collect()
 
 
@@ -445,6 +441,27 @@ def test_frames(spark):
     assert got[2] is None and np.allclose(got[1], boxed.ravel())
 
 
+def test_refinement_in_pieces_is_that_of_the_whole(spark):
+    """A chain with an outage longer than a piece, solved whole and in pieces of several sizes."""
+    draw = np.random.default_rng(7)
+    n = 230
+    course = np.cumsum(draw.normal(0, 0.1, n))
+    x, z = np.cumsum(np.cos(course)), np.cumsum(np.sin(course))
+    poses = [(1, i, i * 10**9, float(x[i] * 1.01), 0.0, float(z[i]), "TRACKING") for i in range(n)] + [(2, i, i * 10**9, float(i), 0.0, float(i % 3), "TRACKING") for i in range(40)]
+    df = spark.createDataFrame(poses, "trip_id long, pose_id long, ts_ns long, vio_x double, vio_y double, vio_z double, state string")
+    known = [p for p in poses if p[0] == 2 or not 60 <= p[1] < 170]
+    places = spark.createDataFrame([(p[0], p[1], p[2], p[3] + float(draw.normal(0, 2)), -p[5] + float(draw.normal(0, 2))) for p in known], "trip_id long, fix_id long, ts_ns long, e double, n double")
+    lat, lon, alt = geo.from_enu(F.col("e"), F.col("n"), F.lit(0.0), F.lit(12.97), F.lit(77.59), F.lit(900.0))
+    fixes = places.select("trip_id", "fix_id", "ts_ns", lat.alias("lat"), lon.alias("lon"), alt.alias("alt"), F.lit(3.0).alias("h_acc_m"))
+    at = lambda size: {(r["trip_id"], r["pose_id"]): (r["east"], r["north"]) for r in georef.refine(df, fixes, size).collect()}
+    whole = at(4000)
+    assert len(whole) == n + 40
+    for size in (50,):
+        pieces = at(size)
+        assert pieces.keys() == whole.keys()
+        assert max(abs(a - b) for k in whole for a, b in zip(whole[k], pieces[k], strict=True)) < 1e-6
+
+
 def test_radius_joins_take_every_fix(spark):
     for name in ("radius_join_grid", "association_3m_grid"):
         near = registry.QUERIES[name](spark, SF)

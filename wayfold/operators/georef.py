@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..sources.shared import write_table
 from . import relational as rel
 from . import solve
 from .folds import ordered_fold
@@ -20,8 +21,8 @@ MAX_ACCURACY_M, MAX_RMS_M, SCALES = 35.0, 18.0, (0.5, 2.0)
 PAIR_NS, KEEP_NS, MOST_POSES, MOST_PENDING, MOST_PAIRS = 100_000_000, 20_000_000_000, 16_000, 64, 600
 #: Fixed values of refinement: nearest node within a second, weight of odometry, damping, iterations, last step.
 NEAR_NS, ODOMETRY, DAMPING, ROUNDS, STEP = 1_000_000_000, 50.0, 1e-6, 25, 1e-6
-#: A trajectory of more nodes is solved in overlapping pieces, so a task never holds more than PIECE + 2 * MARGIN.
-PIECE, MARGIN = 4000, 400
+#: Poses of a longer trajectory that a task holds at once; it changes no result.
+PIECE = 4000
 
 
 def origins(fixes: DataFrame) -> DataFrame:
@@ -130,16 +131,17 @@ def wrap(angle: np.ndarray) -> np.ndarray:
 
 
 def _solve_chain(diagonal: np.ndarray, right: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Solution of a symmetric block-tridiagonal system of 3 by 3 blocks; `right` are those beside the diagonal."""
+    """Solution of a symmetric block-tridiagonal system of 3 by 3 blocks for each column of `target` (n, 3, columns);
+    `right` are the blocks beside the diagonal."""
     n = len(diagonal)
     carry, out = np.empty_like(right), np.empty_like(target)
-    block, value = diagonal[0], target[0]
     for i in range(n):
+        block, value = diagonal[i], target[i]
         if i:
-            block = diagonal[i] - right[i - 1].T @ carry[i - 1]
-            value = target[i] - right[i - 1].T @ out[i - 1]
-        done = np.linalg.solve(block, np.column_stack([right[i], value]) if i < n - 1 else value[:, None])
-        out[i] = done[:, -1]
+            block = block - right[i - 1].T @ carry[i - 1]
+            value = value - right[i - 1].T @ out[i - 1]
+        done = np.linalg.solve(block, np.column_stack([right[i], value]) if i < n - 1 else value)
+        out[i] = done[:, -target.shape[2] :]
         if i < n - 1:
             carry[i] = done[:, :3]
     for i in range(n - 2, -1, -1):
@@ -147,44 +149,146 @@ def _solve_chain(diagonal: np.ndarray, right: np.ndarray, target: np.ndarray) ->
     return out
 
 
+def _system(poses: np.ndarray, steps: np.ndarray, anchors: np.ndarray, damping: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The Gauss-Newton system of a chain at `poses`: its diagonal blocks, those beside them, and its right side."""
+    weight = anchors[:, 0]
+    move = poses[1:, :2] - poses[:-1, :2]
+    c, s = np.cos(poses[:-1, 2]), np.sin(poses[:-1, 2])
+    ahead, aside = c * move[:, 0] + s * move[:, 1], c * move[:, 1] - s * move[:, 0]
+    error = np.stack([ahead - steps[:, 0], aside - steps[:, 1], wrap(poses[1:, 2] - poses[:-1, 2] - steps[:, 2])], axis=1)
+    to = np.zeros((len(steps), 3, 3))  # the error's slope by the later pose
+    to[:, 0, 0], to[:, 0, 1], to[:, 1, 0], to[:, 1, 1], to[:, 2, 2] = c, s, -s, c, 1
+    of = -to  # and by the earlier one
+    of[:, 0, 2], of[:, 1, 2] = aside, -ahead
+    diagonal = damping[:, None, None] * np.eye(3)
+    slope = np.zeros_like(poses)
+    diagonal[:-1] += ODOMETRY * np.einsum("nki,nkj->nij", of, of)
+    diagonal[1:] += ODOMETRY * np.einsum("nki,nkj->nij", to, to)
+    slope[:-1] += ODOMETRY * np.einsum("nki,nk->ni", of, error)
+    slope[1:] += ODOMETRY * np.einsum("nki,nk->ni", to, error)
+    diagonal[:, 0, 0] += weight
+    diagonal[:, 1, 1] += weight
+    slope[:, :2] += weight[:, None] * (poses[:, :2] - anchors[:, 1:])
+    return diagonal, ODOMETRY * np.einsum("nki,nkj->nij", of, to), -slope
+
+
+def _moved(poses: np.ndarray, change: np.ndarray) -> np.ndarray:
+    out = poses + change
+    out[:, 2] = wrap(out[:, 2])
+    return out
+
+
 def optimise(poses: np.ndarray, steps: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     """Poses (east, north, heading) that best agree with the steps between neighbours (forward, left, turn) and with
     anchors (weight, east, north; weight 0 for none): damped Gauss-Newton over a chain."""
-    poses = poses.copy()
-    weight = anchors[:, 0]
     for _ in range(ROUNDS):
-        move = poses[1:, :2] - poses[:-1, :2]
-        c, s = np.cos(poses[:-1, 2]), np.sin(poses[:-1, 2])
-        ahead, aside = c * move[:, 0] + s * move[:, 1], c * move[:, 1] - s * move[:, 0]
-        error = np.stack([ahead - steps[:, 0], aside - steps[:, 1], wrap(poses[1:, 2] - poses[:-1, 2] - steps[:, 2])], axis=1)
-        to = np.zeros((len(steps), 3, 3))  # the error's slope by the later pose
-        to[:, 0, 0], to[:, 0, 1], to[:, 1, 0], to[:, 1, 1], to[:, 2, 2] = c, s, -s, c, 1
-        of = -to  # and by the earlier one
-        of[:, 0, 2], of[:, 1, 2] = aside, -ahead
-        diagonal = np.tile(DAMPING * np.eye(3), (len(poses), 1, 1))
-        slope = np.zeros_like(poses)
-        diagonal[:-1] += ODOMETRY * np.einsum("nki,nkj->nij", of, of)
-        diagonal[1:] += ODOMETRY * np.einsum("nki,nkj->nij", to, to)
-        slope[:-1] += ODOMETRY * np.einsum("nki,nk->ni", of, error)
-        slope[1:] += ODOMETRY * np.einsum("nki,nk->ni", to, error)
-        diagonal[:, 0, 0] += weight
-        diagonal[:, 1, 1] += weight
-        slope[:, :2] += weight[:, None] * (poses[:, :2] - anchors[:, 1:])
-        change = _solve_chain(diagonal, ODOMETRY * np.einsum("nki,nkj->nij", of, to), -slope)
-        poses += change
-        poses[:, 2] = wrap(poses[:, 2])
+        diagonal, right, target = _system(poses, steps, anchors, np.full(len(poses), DAMPING))
+        change = _solve_chain(diagonal, right, target[:, :, None])[:, :, 0]
+        poses = _moved(poses, change)
         if np.abs(change).max() < STEP:
             break
     return poses
 
 
-def refine(poses: DataFrame, fixes: DataFrame) -> DataFrame:
+class _Piece:
+    """A piece of a chain at its present poses: its own nodes in order and, but for the last piece, the first node of
+    the next. Everything between its first node and that one is eliminated."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        rows = rows.sort_values("place")
+        self.own = rows[rows["own"]]
+        self.ends = 2 if len(self.own) < len(rows) else 1
+        n, own = len(rows), rows["own"].to_numpy()
+        steps = np.stack([rows["forward"][: n - 1], np.zeros(n - 1), wrap(rows["turn"][: n - 1].to_numpy())], axis=1)
+        anchors = rows[["weight", "at_east", "at_north"]].to_numpy() * own[:, None]  # the next piece counts its first node's
+        self.poses = rows[["east", "north", "heading"]].to_numpy()
+        self.diagonal, self.right, self.target = _system(self.poses, steps, anchors, DAMPING * own)
+        inner = slice(1, n - self.ends + 1)
+        m = len(self.diagonal[inner])
+        sides = np.zeros((m, 3, 7))
+        sides[:, :, 0] = self.target[inner]
+        if m:
+            sides[0, :, 1:4] = self.right[0].T
+            if self.ends == 2:
+                sides[-1, :, 4:] = self.right[-1]
+        self.inner = _solve_chain(self.diagonal[inner], self.right[inner][: max(0, m - 1)], sides) if m else sides
+
+    def reduced(self) -> np.ndarray:
+        """27 numbers: what the piece gives to the system of first nodes: the blocks of its first node, between it and
+        the next piece's, and of that one, with their right sides below."""
+        first, last, between = self.diagonal[0].copy(), np.zeros((3, 3)), np.zeros((3, 3))
+        value, next_value = self.target[0].copy(), np.zeros(3)
+        if self.ends == 2:
+            last, next_value = self.diagonal[-1].copy(), self.target[-1].copy()
+        if len(self.inner):
+            near = self.right[0] @ self.inner[0]
+            value, first, between = value - near[:, 0], first - near[:, 1:4], -near[:, 4:]
+            if self.ends == 2:
+                far = self.right[-1].T @ self.inner[-1]
+                next_value, last = next_value - far[:, 0], last - far[:, 4:]
+        elif self.ends == 2:
+            between = self.right[0]
+        return np.concatenate([first.ravel(), between.ravel(), last.ravel(), value, next_value])
+
+    def change(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Changes of the piece's own nodes, given those of its first node and of the next piece's."""
+        return np.concatenate([first[None], self.inner[:, :, 0] - self.inner[:, :, 1:4] @ first - self.inner[:, :, 4:] @ last])
+
+
+def _solve_first_nodes(pieces: pd.DataFrame) -> pd.DataFrame:
+    """Changes of the first nodes of a trip's pieces, a row for each piece."""
+    pieces = pieces.sort_values("piece")
+    parts = np.stack(pieces["reduced"].to_list())
+    diagonal, target = parts[:, :9].reshape(-1, 3, 3).copy(), parts[:, 27:30].copy()
+    diagonal[1:] += parts[:-1, 18:27].reshape(-1, 3, 3)
+    target[1:] += parts[:-1, 30:]
+    found = _solve_chain(diagonal, parts[:-1, 9:18].reshape(-1, 3, 3), target[:, :, None])[:, :, 0]
+    following = np.concatenate([found[1:], np.zeros((1, 3))])
+    return pieces[["trip_id", "piece"]].assign(first=list(found), last=list(following))
+
+
+def _refine_long(nodes: DataFrame, size: int) -> DataFrame:
+    """`nodes` with better poses, as `optimise` of whole trips gives them. In each round every piece is reduced to its
+    ends by a task of its own, the short chain of ends is solved for each trip, and the pieces are filled in."""
+    dealt = "trip_id long, piece long, place long, pose_id long, east double, north double, heading double, forward double, turn double, weight double, at_east double, at_north double"
+    names = [x.split()[0] for x in dealt.split(", ")]
+
+    def eliminate(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[["trip_id", "piece"]][:1].assign(reduced=[_Piece(rows).reduced()])
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        piece, at = _Piece(rows), rows.iloc[0]
+        change = piece.change(np.array(at["first"]), np.array(at["last"]))
+        poses = _moved(piece.poses[: len(change)], change)
+        return piece.own[names].assign(east=poses[:, 0], north=poses[:, 1], heading=poses[:, 2], most=np.abs(change).max())
+
+    live, done = write_table(nodes.select(names), "refine-nodes"), []
+    for _ in range(ROUNDS):
+        border = live.where((F.col("place") % size == 0) & (F.col("piece") > 0)).withColumn("piece", F.col("piece") - 1)
+        rows = live.withColumn("own", F.lit(True)).unionByName(border.withColumn("own", F.lit(False)))
+        reduced = rows.groupBy("trip_id", "piece").applyInPandas(eliminate, "trip_id long, piece long, reduced array<double>")
+        ends = reduced.groupBy("trip_id").applyInPandas(_solve_first_nodes, "trip_id long, piece long, first array<double>, last array<double>")
+        ends = write_table(ends, "refine-ends")
+        moved = write_table(rows.join(ends, ["trip_id", "piece"]).groupBy("trip_id", "piece").applyInPandas(fill, f"{dealt}, most double"), "refine-nodes")
+        settled = moved.groupBy("trip_id").agg(F.max("most").alias("most")).where(F.col("most") < STEP)
+        settled = write_table(settled.select("trip_id"), "refine-settled")
+        done.append(moved.join(settled, "trip_id", "left_semi").select(names))
+        live = moved.join(settled, "trip_id", "left_anti").select(names)
+        if live.isEmpty():
+            break
+    out = live
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
+def refine(poses: DataFrame, fixes: DataFrame, size: int = PIECE) -> DataFrame:
     """trip_id, pose_id, east, north, lat, lon, alt of each pose after pose-graph refinement.
 
     Fixes anchor the nearest pose within a second, weighted by accuracy (1 m at best); neighbours are held together
     by the step that odometry saw. Trips of fewer than 3 poses or 2 anchors, or without an alignment, give no rows;
-    the altitude is the origin's. Trips of up to PIECE poses are solved whole; longer ones in pieces that overlap
-    by MARGIN on each side, of which the middle is kept, as an anchor's pull fades along the chain.
+    the altitude is the origin's. Trips of up to `size` poses are solved whole in a task; longer ones in pieces of as
+    many, each reduced to its ends, which gives the same poses.
     """
     placed = fixes_in_enu(fixes)
     near = rel.nearest_in_time(placed, poses, "trip_id", "ts_ns", "pose_id", NEAR_NS).where("matched_id is not null")
@@ -203,18 +307,19 @@ def refine(poses: DataFrame, fixes: DataFrame) -> DataFrame:
     nodes = nodes.withColumns({"heading": F.atan2(ahead["north"], ahead["east"]), "course": F.atan2(ahead["flat_y"], ahead["flat_x"]), "forward": F.hypot(ahead["flat_x"], ahead["flat_y"])})
     nodes = nodes.withColumns({c: F.coalesce(c, F.lag(c).over(order)) for c in ("heading", "course")})  # the last pose keeps the course
     nodes = nodes.withColumn("turn", F.lead("course").over(order) - F.col("course"))
-    pieces = F.array_distinct(F.transform(F.array(F.lit(-MARGIN), F.lit(0), F.lit(MARGIN)), lambda d: F.floor((F.col("place") + d) / PIECE)))
-    last = F.floor((F.col("n_poses") - 1) / PIECE)
-    dealt = nodes.withColumn("piece", F.explode(F.filter(pieces, lambda p: (p >= 0) & (p <= last))))
-    dealt = dealt.select("trip_id", "piece", "place", "pose_id", "east", "north", "heading", "forward", "turn", F.coalesce("weight", F.lit(0.0)).alias("weight"), *[F.coalesce(f"at_{c}", F.lit(0.0)).alias(f"at_{c}") for c in ("east", "north")])
-
-    def run(piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values("place")
-        steps = np.stack([piece["forward"][:-1], np.zeros(len(piece) - 1), wrap(piece["turn"][:-1].to_numpy())], axis=1)
-        found = optimise(piece[["east", "north", "heading"]].to_numpy(), steps, piece[["weight", "at_east", "at_north"]].to_numpy())
-        out = piece[["trip_id", "pose_id"]].assign(east=found[:, 0], north=found[:, 1])
-        return out[(piece["place"] // PIECE == piece["piece"]).to_numpy()]
-
-    solved = dealt.groupBy("trip_id", "piece").applyInPandas(run, "trip_id long, pose_id long, east double, north double").join(origins(fixes), "trip_id")
+    nodes = nodes.withColumn("piece", F.floor(F.col("place") / size)).select("trip_id", "piece", F.col("place").cast("long").alias("place"), "pose_id", "n_poses", "east", "north", "heading", F.coalesce("forward", F.lit(0.0)).alias("forward"), F.coalesce("turn", F.lit(0.0)).alias("turn"), F.coalesce("weight", F.lit(0.0)).alias("weight"), *[F.coalesce(f"at_{c}", F.lit(0.0)).alias(f"at_{c}") for c in ("east", "north")])
+    nodes = write_table(nodes, "refine-all")
+
+    def whole_trip(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place")
+        steps = np.stack([rows["forward"][:-1], np.zeros(len(rows) - 1), wrap(rows["turn"][:-1].to_numpy())], axis=1)
+        found = optimise(rows[["east", "north", "heading"]].to_numpy(), steps, rows[["weight", "at_east", "at_north"]].to_numpy())
+        return rows[["trip_id", "pose_id"]].assign(east=found[:, 0], north=found[:, 1])
+
+    solved = nodes.where(F.col("n_poses") <= size).groupBy("trip_id").applyInPandas(whole_trip, "trip_id long, pose_id long, east double, north double")
+    long_ones = nodes.where(F.col("n_poses") > size)
+    if not long_ones.isEmpty():
+        solved = solved.unionByName(_refine_long(long_ones, size).select("trip_id", "pose_id", "east", "north"))
+    solved = solved.join(origins(fixes), "trip_id")
     lat, lon, _ = geo.from_enu(F.col("east"), F.col("north"), F.lit(0.0), *(F.col(c) for c in ("lat0", "lon0", "alt0")))
     return solved.select("trip_id", "pose_id", "east", "north", lat.alias("lat"), lon.alias("lon"), F.col("alt0").alias("alt"))
