@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, images, vision
-from wayfold.operators import folds, georef, monitor, ordered, solve
+from wayfold.operators import folds, georef, monitor, ordered, perception, solve
 from wayfold.operators import relational as rel
 from wayfold.plans import details, live, registry, store, streams, trips  # noqa: F401
-from wayfold.sources import clouds, exports, logs, payloads
+from wayfold.sources import clouds, exports, logs, payloads, records
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
@@ -292,6 +292,143 @@ def test_truncated_log_reads_its_whole_chunks(spark, tmp_path):
     assert bad.count() == 500 and 0 < bad.where("not chunk_crc_ok").count() < 500
 
 
+def write_log(path, n, size=1024, cut=None):
+    with open(path, "wb") as out:
+        w = logs.LogWriter(out, size)
+        for i in range(n):
+            w.message(f"/topic/{i % 2}", i, i + 1, b"x" * 20)
+        w.finish()
+    raw = open(path, "rb").read()
+    if cut is not None:
+        open(path, "wb").write(raw[:cut])
+    return raw
+
+
+def test_recovery_of_all_logs_in_a_folder(spark, tmp_path):
+    whole = write_log(f"{tmp_path}/whole.mcap", 300)
+    torn = write_log(f"{tmp_path}/torn.mcap", 300, cut=len(whole) // 2)[: len(whole) // 2]
+    open(f"{tmp_path}/short.mcap", "wb").write(b"\x89MC")
+    open(f"{tmp_path}/other.mcap", "wb").write(b"something else altogether")
+    said = logs.recover(logs.log_files(spark, f"file://{tmp_path}"), f"file://{tmp_path}/recovered").collect()
+    by = {r["path"].rpartition("/")[2]: r for r in said}
+    assert {k: r["outcome"] for k, r in by.items()} == {"whole.mcap": "valid", "torn.mcap": "recovered", "short.mcap": "failed", "other.mcap": "failed"}
+    assert open(f"{tmp_path}/torn.mcap", "rb").read() == torn and open(f"{tmp_path}/whole.mcap", "rb").read() == whole
+    got = logs.read_chunks(logs.list_chunks(spark.createDataFrame([(by["torn.mcap"]["recovered"],)], "path string")))
+    seen = sorted((r["log_time_ns"], r["topic"], r["publish_time_ns"]) for r in got.collect())
+    assert 100 < by["torn.mcap"]["messages"] == len(seen) < 200 and seen == [(i, f"/topic/{i % 2}", i + 1) for i in range(len(seen))]
+    again = spark.createDataFrame([(by["torn.mcap"]["recovered"],)], "path string")
+    assert logs.recover(again, f"file://{tmp_path}/recovered").first()["outcome"] == "valid"
+
+
+def test_logs_roll_over_by_size_and_time(spark, tmp_path):
+    rows = [(7, "/imu", i * 100, i * 100, bytearray(b"x" * 50)) for i in range(400)]
+    df = spark.createDataFrame(rows, "trip_id long, topic string, log_time_ns long, publish_time_ns long, data binary")
+    files = logs.write_logs(df, f"file://{tmp_path}/logs", 500, segment_bytes=4000, segment_ns=20_000).cache()
+    segments = files.orderBy("start_ns").collect()
+    assert len(segments) > 8 and sum(r["n_messages"] for r in segments) == 400
+    assert all(a["end_ns"] < b["start_ns"] and a["start_ns"] // 20_000 == a["end_ns"] // 20_000 for a, b in zip(segments, segments[1:]))
+    assert logs.read_chunks(logs.list_chunks(files)).where("chunk_crc_ok").count() == 400
+
+
+def test_summary_of_a_log(tmp_path):
+    import struct
+    import zlib
+
+    raw = write_log(f"{tmp_path}/a.mcap", 50)
+    summary, offsets, crc = struct.unpack("<QQI", raw[-28:-8])
+    assert zlib.crc32(raw[summary:-12]) == crc
+    groups, at = [], offsets
+    while raw[at] == logs.SUMMARY_OFFSET:
+        groups.append(struct.unpack_from("<BQQ", raw, at + 9))
+        at += 9 + 17
+    assert [g[0] for g in groups] == [logs.SCHEMA, logs.CHANNEL, logs.STATISTICS, logs.CHUNK_INDEX]
+    assert all(raw[start] == op for op, start, _ in groups) and sum(g[2] for g in groups) == offsets - summary
+
+
+def test_compressed_chunks_are_refused():
+    import struct
+
+    with pytest.raises(ValueError, match="lz4"):
+        logs.parse_chunk(struct.pack("<QQQII", 0, 0, 5, 0, 3) + b"lz4" + struct.pack("<Q", 2) + b"ab")
+
+
+def test_documents_of_features(spark, tmp_path):
+    import json
+
+    points = spark.createDataFrame([(1, i, 10.0 + i, 20.0 + i, 0.0, float(3 * i), float(4 * i)) for i in range(8)] + [(2, 0, 0.0, 0.0, 0.0, 0.0, 0.0)], "trip_id long, ts_ns long, lat double, lon double, alt double, east double, north double")
+    lines = exports.geojson_lines(points, "trip_id", "ts_ns", most=3)
+    files = exports.write_collections(lines, "trip_id", ["part"], f"file://{tmp_path}/docs").collect()
+    assert [(r["trip_id"], r["n_features"]) for r in files] == [(1, 3)]
+    doc = json.load(open(files[0]["path"].removeprefix("file://")))
+    assert [(f["properties"]["points"], f["properties"]["length_m"]) for f in doc["features"]] == [(4, 15.0), (4, 15.0), (2, 5.0)]
+    assert [f["geometry"]["coordinates"][0][1] for f in doc["features"]] == [10.0, 13.0, 16.0]
+    got = exports.parse_geojson(lines, "trip_id", most=3).orderBy("n").collect()
+    assert [(r["n"], r["lat"]) for r in got] == [(i, 10.0 + i) for i in range(8)]
+
+
+def test_payloads_of_every_topic(spark):
+    """Messages with some of everything are read back as they were."""
+
+    def some(kind, k):
+        if isinstance(kind, tuple):
+            return [message(kind[0], k + i) for i in range(3)]
+        if isinstance(kind, list):
+            return message(kind, k)
+        return {"long": -k, "int": k, "bool": k % 2 == 0, "double": k / 3, "float": k / 4, "string": f"é{k}", "counts": {"a": k, "b": -k}}[kind]
+
+    def message(fields, k):
+        return {name: some(kind, k + number) for number, name, kind in fields}
+
+    for topic, fields in payloads.MESSAGES.items():
+        want = message(fields, 5)
+        assert payloads.decode(payloads.encode(want, fields), fields) == want, topic
+    for topic in ("/assets", "/calibration"):
+        df = spark.createDataFrame([(1, message(payloads.MESSAGES[topic], 3)), (2, None)], payloads.T.StructType([payloads.T.StructField("k", payloads.T.LongType()), payloads.T.StructField("message", payloads.schema_of(payloads.MESSAGES[topic]))]))
+        back = payloads.decode_payloads(payloads.encode_payloads(df, topic), topic)
+        assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_reports_of_a_sensor(spark):
+    report = np.zeros(3, records.REPORT)
+    report["size"], report["counter"], report["timestamp_ns"], report["y"] = 104, [4_294_967_295, 0, 3], [-5, 6, 7], 1.5
+    df = spark.createDataFrame([(1, bytearray(report.tobytes() + b"rest")), (2, None), (3, bytearray(b"x"))], "k long, data binary")
+    got = [(r["k"], r["slot"], r["size"], r["counter"], r["timestamp_ns"], r["y"]) for r in records.decode_reports(df).orderBy("slot").collect()]
+    assert got == [(1, 0, 104, 4_294_967_295, -5, 1.5), (1, 2, 104, 3, 7, 1.5)]
+
+
+def test_shedding_follows_the_policy(spark):
+    rows = [("s", i, i * 100_000_000, (10 if i < 10 else 0 if i < 20 else 2)) for i in range(31)]
+    got = folds.shed(spark.createDataFrame(rows, "stream_id string, seq long, raw_ns long, hz int")).orderBy("seq").collect()
+    assert [r["seq"] for r in got] == [*range(10), 20, 25, 30]
+
+
+def test_detections_become_assets(spark):
+    """A camera at the origin that looks along z, then turned; one detection each without depth, pose and transform."""
+    box = lambda x: (x - 5.0, 45.0, x + 5.0, 55.0)
+    rows = [(1, 10, 1, 1, *box(50.0), "POLE", 0.5), (1, 20, 2, 2, *box(50.0), "SIGN", 0.9), (1, 30, 3, 3, *box(90.0), "POLE", 0.5), (1, 1, 4, 1, *box(50.0), "POLE", 0.5), (2, 10, 5, 1, *box(50.0), "POLE", 0.5), (1, 40, 6, 99, *box(50.0), "POLE", 0.5)]
+    detections = spark.createDataFrame(rows, "trip_id long, ts_ns long, id long, frame_id long, left_px double, top_px double, right_px double, bottom_px double, asset_class string, confidence double")
+    frames = spark.createDataFrame([(1, 100, 100, [4.0], ["ROAD"]), (2, 100, 100, [5.0], ["ROAD"]), (3, 100, 100, [float("nan")], ["SKY"])], "frame_id long, width int, height int, depth array<float>, labels array<string>")
+    poses = spark.createDataFrame([pose(1, 5), (2, 9, 5, *pose(1, 5)[3:])], POSE)
+    transforms = spark.createDataFrame([(1, 5, 8, 2.0, [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, -1.0, 0.0], [0.0, 10.0, 0.0])], "trip_id long, ts_ns long, transform_id long, scale double, rotation array<double>, translation array<double>")
+    placed = perception.place(detections, frames, poses, transforms, (1, 1), (100.0, 100.0), (50.0, 50.0))
+    assert {r["id"]: r["reason"] for r in placed.collect()} == {1: "kept", 2: "kept", 3: "no_depth", 4: "no_pose", 5: "no_transform", 6: "no_depth"}
+    origins = spark.createDataFrame([(1, 12.97, 77.59, 900.0)], "trip_id long, lat0 double, lon0 double, alt0 double")
+    got = perception.extract_assets(placed, transforms, origins).orderBy("id").collect()
+    assert [(r["track_id"], r["observations"], r["z"], r["semantic_label"]) for r in got] == [(1, 1, 4.0, "ROAD"), (1, 2, 4.5, "ROAD")]
+    north = (got[1]["lat"] - 12.97) * 110_574
+    assert abs(north - 19.0) < 0.2 and abs(got[1]["lon"] - 77.59) < 1e-9 and got[1]["asset_class"] == "SIGN"
+
+
+def test_stored_tables(spark):
+    jobs = spark.createDataFrame([(1, "a", 5), (4, "b", None)], "id long, state string, n int")
+    added = rel.insert(jobs, spark.createDataFrame([(None, "c"), (9, "d"), (None, "e")], "id long, state string"), "id")
+    assert sorted(map(tuple, added.collect())) == [(1, "a", 5), (4, "b", None), (5, "c", None), (6, "e", None), (9, "d", None)]
+    changed = rel.update(added, F.col("n") > 3, {"state": F.lit("x"), "n": F.col("n") + 1})
+    assert sorted(map(tuple, changed.collect()))[0] == (1, "x", 6) and changed.schema == added.schema
+    assert sorted(r["id"] for r in rel.delete(added, F.col("n") > 3).collect()) == [4, 5, 6, 9]
+    assert rel.migrate(jobs, "id long, note string").orderBy("id").collect() == [(1, None), (4, None)]
+
+
 def test_geojson_round_trip_and_nan_altitude(spark):
     df = spark.createDataFrame([(1, 1, 10.0, 20.0, float("nan")), (1, 2, 11.0, 21.0, 5.0), (2, 1, 0.0, 0.0, 0.0)], "trip_id long, ts_ns long, lat double, lon double, alt double")
     got = [tuple(r) for r in exports.parse_geojson(exports.geojson_lines(df, "trip_id", "ts_ns"), "trip_id").orderBy("n").collect()]
@@ -355,14 +492,16 @@ def test_online_alignment_with_late_and_early_fixes(spark, late_ns):
     assert math.dist((vps[-1]["east"], vps[-1]["north"]), (60.0, 9.9)) < 0.01 and vps[-1]["transform_id"] == vps[110]["transform_id"]
 
 
+@pytest.mark.parametrize("text", [False, True])
 @pytest.mark.parametrize("kind", ["ply", "pcd"])
-def test_binary_clouds(spark, tmp_path, kind):
+def test_clouds(spark, tmp_path, kind, text):
     rows = [(1.0, 2.0, 3.0, 0.9), (-4.5, 5.5, -6.5, 0.4), (0.0, 0.0, 0.0, 1.0)]
     df = spark.createDataFrame(rows, "x double, y double, z double, confidence double").coalesce(1)
-    files = clouds.write_clouds(df, f"file://{tmp_path}/{kind}", kind, most=2).cache()
+    files = clouds.write_clouds(df, f"file://{tmp_path}/{kind}", kind, most=2, text=text).cache()
     assert sorted(r["n_points"] for r in files.collect()) == [1, 2]
     assert sorted(tuple(round(x, 5) for x in r) for r in clouds.read_clouds(files).collect()) == sorted(rows)
     assert clouds.parse(clouds.header(kind, 5) + b"\0" * 40).shape == (2, 4)
+    assert clouds.parse(clouds.header(kind, 5, True) + b"1 2 3 .5\n1 2 3 .5\n1 2").shape == (2, 4)
 
 
 def test_monitor_batches_give_what_one_batch_gives(spark):

@@ -83,6 +83,25 @@ def throttle(samples: DataFrame, min_ns: int) -> DataFrame:
     return ordered_fold(samples, "stream_id", ["raw_ns", "seq"], start, "stream_id string, seq long, raw_ns long")
 
 
+def shed(samples: DataFrame) -> DataFrame:
+    """Samples of a stream that a changing policy lets through: with `hz` above zero, those 1 / `hz` seconds or more
+    after the last one let through; with none or zero, no sample. Whole nanoseconds count."""
+
+    def start():
+        last = None
+
+        def step(r):
+            nonlocal last
+            if not r["hz"] or r["hz"] <= 0 or (last is not None and r["raw_ns"] - last < 10**9 // r["hz"]):
+                return None
+            last = r["raw_ns"]
+            return {"stream_id": r["stream_id"], "seq": r["seq"]}
+
+        return step
+
+    return ordered_fold(samples, "stream_id", ["raw_ns", "seq"], start, "stream_id string, seq long")
+
+
 def suppress(boxes: DataFrame, most_iou: float = 0.45) -> DataFrame:
     """Greedy suppression: in each frame and class, by falling score, boxes that overlap no kept box too much."""
     import numpy as np

@@ -7,8 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo, vision
+from ..sources.shared import write_table
 
 
 def in_box(df: DataFrame, south: float, north: float, west: float, east: float) -> DataFrame:
@@ -66,6 +68,57 @@ def last_wins(rows: DataFrame, key: str, version: str) -> DataFrame:
     return rows.groupBy(key).agg(best).select("row.*")
 
 
+def insert(rows: DataFrame, new: DataFrame, key: str | None = None, label: str = "inserted") -> DataFrame:
+    """The written table of `rows` and `new`. With `key`, new rows that have none get the numbers after the highest."""
+    if key is not None:
+        top = rows.agg(F.coalesce(F.max(key), F.lit(0)).alias("top"))  # an aggregate is one row
+        given, open_ = new.where(F.col(key).isNotNull()), new.where(F.col(key).isNull())
+        order = W.orderBy(*[c for c in new.columns if c != key])  # new rows are few
+        numbered = open_.withColumn("number", F.row_number().over(order)).join(F.broadcast(top))
+        new = given.unionByName(numbered.withColumn(key, (F.col("top") + F.col("number")).cast(rows.schema[key].dataType)).drop("top", "number"))
+    return write_table(rows.unionByName(new, allowMissingColumns=True), label)
+
+
+def update(rows: DataFrame, where: Column, changes: dict[str, Column], label: str = "updated") -> DataFrame:
+    """The written table of `rows` with `changes` in the rows for which `where` holds; they see the old values."""
+    hit = F.coalesce(where, F.lit(False))
+    return write_table(rows.select(*[F.when(hit, changes[c]).otherwise(F.col(c)).cast(rows.schema[c].dataType).alias(c) if c in changes else F.col(c) for c in rows.columns]), label)
+
+
+def delete(rows: DataFrame, where: Column, label: str = "deleted") -> DataFrame:
+    """The written table of the rows for which `where` is not true."""
+    return write_table(rows.where(~F.coalesce(where, F.lit(False))), label)
+
+
+def migrate(rows: DataFrame, schema: str, label: str = "migrated") -> DataFrame:
+    """The written table of `rows` in a later schema: columns that it adds are null, and those that it has not go.
+    Columns are cast to their new type, and a value that has none is refused."""
+    have = set(rows.columns)
+    later = T._parse_datatype_string(schema).fields
+    return write_table(rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in later]), label)
+
+
+def persist(folder: str, header: DataFrame, tables: dict[str, DataFrame]) -> list[tuple[str, bool, str | None]]:
+    """Write a header and then each table under its name in `folder`, each by itself, so that one that fails costs none
+    of the others: (name, whether it was written, why not). A header that fails fails all."""
+    header.write.mode("append").parquet(f"{folder}/header")
+    out: list[tuple[str, bool, str | None]] = []
+    for name, rows in tables.items():
+        try:
+            rows.write.mode("append").parquet(f"{folder}/{name}")
+            out.append((name, True, None))
+        except Exception as e:  # whatever went wrong with one table
+            out.append((name, False, f"{type(e).__name__}: {e}"[:500]))
+    return out
+
+
+def emit_batches(samples: DataFrame, key: str, ts: str, width_ns: int) -> DataFrame:
+    """key, ts_ns and payload: the samples of each span of `width_ns` in order, under the time of the last."""
+    payload = F.array_sort(F.collect_list(F.struct(ts, *[c for c in samples.columns if c not in (key, ts)])))
+    spans = samples.groupBy(key, F.floor(F.col(ts) / width_ns).alias("span")).agg(F.max(ts).alias("ts_ns"), payload.alias("payload"))
+    return spans.drop("span")
+
+
 def without(rows: DataFrame, gone: DataFrame, key: str, gone_key: str | None = None) -> DataFrame:
     """Delete: rows whose key is not among `gone`; null keys stay."""
     other = gone.select(F.col(gone_key or key).alias("gone_key"))

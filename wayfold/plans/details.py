@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, vision
 from ..operators import folds, monitor, ordered
 from ..operators import relational as rel
+from ..sources import exports
 from .registry import query
 from .streams import ACCEPTED
 
@@ -134,11 +135,15 @@ def label_map(t):
     return boxes.join(F.broadcast(names), "class").select("id", "asset_class")  # four rows, fixed above
 
 
-@query("stream_summary_csv", "select stream_id, count(*) as samples, round((count(*) - 1) * 1e9 / (max(raw_ns) - min(raw_ns)), 9) as rate_hz from v_sample group by stream_id having max(raw_ns) > min(raw_ns)")
+@query("stream_summary_csv", """select stream_id as stream, count(*) as samples, round((count(*) - 1) * 1e9 / (max(raw_ns) - min(raw_ns)), 9) as rate_hz, cast(coalesce(sum(d // 600000000000 - 1) filter (d > 2.5 * 600000000000), 0) as bigint) as dropped
+    from (select *, raw_ns - lag(raw_ns) over (partition by stream_id order by raw_ns, seq) as d from v_sample) group by stream_id having max(raw_ns) > min(raw_ns)""")
 def stream_summary_csv(t):
+    nominal = 600_000_000_000
+    step = F.col("raw_ns") - F.col("before")
+    missed = F.coalesce(F.sum(F.when(step > 2.5 * nominal, F.expr(f"(raw_ns - before) div {nominal} - 1"))), F.lit(0))
     rate = F.round((F.count("*") - 1) * 1e9 / (F.max("raw_ns") - F.min("raw_ns")), 9)
-    rows = t("v_sample").groupBy("stream_id").agg(F.count("*").alias("samples"), rate.alias("rate_hz"), (F.max("raw_ns") > F.min("raw_ns")).alias("spans")).where("spans").drop("spans")
-    return rows.select(F.to_csv(F.struct("stream_id", "samples", "rate_hz")).alias("line")).select(F.from_csv("line", "stream_id string, samples long, rate_hz double").alias("r")).select("r.*")
+    rows = ordered.with_previous(t("v_sample"), "stream_id", ["raw_ns", "seq"], "raw_ns", "before").groupBy(F.col("stream_id").alias("stream")).agg(F.count("*").alias("samples"), rate.alias("rate_hz"), missed.alias("dropped"), (F.max("raw_ns") > F.min("raw_ns")).alias("spans")).where("spans")
+    return exports.parse_csv(exports.csv_lines(rows, exports.SUMMARY), exports.SUMMARY)
 
 
 @query("frame_map_csv", f"select pose_id as frame_id, ts_ns as timestamp_ns, ts_ns - first(ts_ns) {_TRIP} as video_pts_ns from v_pose")

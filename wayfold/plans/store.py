@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, vision
 from ..operators import relational as rel
+from ..sources import records
+from ..sources.shared import new_path
 from .registry import query
 
 LAT, LON = 12.98, 77.60
@@ -162,32 +166,47 @@ def finite_points(t):
     return finite_guard(t).agg(F.count("*").alias("n"))
 
 
-@query("insert_append", "select id, trip_id, state from v_job union all select (select max(id) from v_job) + row_number() over (order by id), trip_id, 'QUEUED' from (select * from v_job order by id limit 20)")
+@query("insert_append", "select id, trip_id, state from v_job union all select (select max(id) from v_job) + row_number() over (order by trip_id, id), trip_id, 'QUEUED' from (select * from v_job order by id limit 20)")
 def insert_append(t):
+    """Twenty jobs without an id are added to the table, which numbers them."""
     jobs = t("v_job").select("id", "trip_id", "state")
-    top = jobs.agg(F.max("id").alias("top"))
-    new = jobs.orderBy("id").limit(20).withColumn("n", F.row_number().over(W.orderBy("id"))).join(F.broadcast(top))  # one row
-    return jobs.unionByName(new.select((F.col("top") + F.col("n")).alias("id"), "trip_id", F.lit("QUEUED").alias("state")))
+    new = jobs.orderBy("id").limit(20).select(F.lit(None).cast("long").alias("id"), "trip_id", F.lit("QUEUED").alias("state"))
+    return rel.insert(jobs, new, "id")
 
 
 @query("update_by_pk", "select id, case when id = 7 then 'FAILED' else state end as state from v_job")
 def update_by_pk(t):
-    return t("v_job").select("id", F.when(F.col("id") == 7, "FAILED").otherwise(F.col("state")).alias("state"))
+    return rel.update(t("v_job").select("id", "state"), F.col("id") == 7, {"state": F.lit("FAILED")})
 
 
 @query("delete_by_fk", "select id, trip_id from v_job where trip_id <> 5")
 def delete_by_fk(t):
-    return t("v_job").where("trip_id != 5").select("id", "trip_id")
+    return rel.delete(t("v_job").select("id", "trip_id"), F.col("trip_id") == 5)
 
 
-@query("enqueue_job", "select id, 'QUEUED' as state, 0 as bytes_sent, 'CLOUD_REFINED' as provenance, cast(null as varchar) as remote_id from v_job where state = 'READY'")
+@query("enqueue_job", "select id, state, cast(null as integer) as bytes_sent, cast(null as varchar) as provenance from v_job union all select (select max(id) from v_job) + row_number() over (order by trip_id, id), 'QUEUED', 0, 'CLOUD_REFINED' from v_job where state = 'READY' and trip_id = 7")
 def enqueue_job(t):
-    return t("v_job").where("state = 'READY'").select("id", F.lit("QUEUED").alias("state"), F.lit(0).alias("bytes_sent"), F.lit("CLOUD_REFINED").alias("provenance"), F.lit(None).cast("string").alias("remote_id"))
+    """A job for each that is ready of one trip goes into the table of jobs, under a number of its own."""
+    new = t("v_job").where("state = 'READY' and trip_id = 7").select(F.lit(None).cast("long").alias("id"), F.lit("QUEUED").alias("state"), F.lit(0).alias("bytes_sent"), F.lit("CLOUD_REFINED").alias("provenance"))
+    jobs = t("v_job").select("id", "state", F.lit(None).cast("int").alias("bytes_sent"), F.lit(None).cast("string").alias("provenance"))
+    return rel.insert(jobs, new, "id")
 
 
 @query("add_nullable_columns", "select id, asset_class, cast(null as varchar) as semantic_label, cast(null as double) as position_std_m from v_asset")
 def add_nullable_columns(t):
-    return t("v_asset").select("id", "asset_class", F.lit(None).cast("string").alias("semantic_label"), F.lit(None).cast("double").alias("position_std_m"))
+    return rel.migrate(t("v_asset"), "id long, asset_class string, semantic_label string, position_std_m double")
+
+
+@query("persist_isolated", "select 'header' as name, true as written, count(distinct trip_id) as n from v_fix union all select 'assets', true, count(*) from v_asset union all select 'landmarks', false, 0 union all select 'fixes', true, count(*) from v_fix")
+def persist_isolated(t):
+    """A trip header and its tables, of which one fails; what was written is read back."""
+    spark = t("v_fix").sparkSession
+    folder = new_path(spark, "trips")
+    bad = t("v_landmark").select("trip_id", F.raise_error(F.lit("this table fails")).cast("long").alias("x"))
+    said = rel.persist(folder, t("v_fix").select("trip_id").distinct(), {"assets": t("v_asset"), "landmarks": bad, "fixes": t("v_fix")})
+    n = lambda name: spark.read.parquet(f"{folder}/{name}").count()
+    rows = [("header", True, n("header"))] + [(name, ok, n(name) if ok else 0) for name, ok, _ in said]
+    return spark.createDataFrame(rows, "name string, written boolean, n long")
 
 
 _SEED = [0.1] * 8 + [0.0] * 48 + [-0.1] * 8
@@ -324,3 +343,26 @@ def accuracy_gate(t):
 def segment_names(t):
     n = (F.col("id") % 3).cast("int")
     return t("v_job").select("id", F.when(n == 0, "trip.log").otherwise(F.format_string("trip.%04d.log", n)).alias("name"))
+
+
+@query("vector_bytes", "select vec_id, cast(4 * len(embedding) as integer) as n_bytes, round(cast(list_sum(embedding::double[]) as double), 4) as total from embeddings")
+def vector_bytes(t):
+    """Each vector as bytes, read back."""
+    packed = t("embeddings").select("vec_id", records.encode_vector("embedding").alias("data"))
+    back = packed.select("vec_id", F.octet_length("data").alias("n_bytes"), records.decode_vector("data").alias("v"))
+    return back.select("vec_id", "n_bytes", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+
+
+@query("sensor_reports", "select seq as counter, raw_ns as timestamp_ns, cast(cast(value as float) as double) as x from v_sample where seq > 0")
+def sensor_reports(t):
+    """Samples as records of a sensor's memory, several in a buffer, read back; slots without a counter give nothing."""
+    def pack(batches):
+        for batch in batches:
+            seq, ns, value = (batch.column(c).to_numpy() for c in ("seq", "raw_ns", "value"))
+            out = np.zeros(len(seq), records.REPORT)
+            out["size"], out["counter"], out["timestamp_ns"], out["x"] = records.RECORD_BYTES, seq, ns, value
+            parts = [out[i : i + 50].tobytes() for i in range(0, len(out), 50)]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], names=["data"])
+
+    found = records.decode_reports(t("v_sample").select("seq", "raw_ns", "value").mapInArrow(pack, "data binary"))
+    return found.select("counter", "timestamp_ns", F.col("x").cast("double").alias("x"))

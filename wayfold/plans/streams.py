@@ -424,3 +424,22 @@ def session_trips(t):
     new = F.when(F.col("ts_ns") - F.lag("ts_ns").over(_trip()) > 7_200_000_000_000, 1).otherwise(0)
     marked = t("v_pose").withColumn("new", new).withColumn("s", F.sum("new").over(_trip().rowsBetween(W.unboundedPreceding, 0)))
     return marked.groupBy("trip_id", "s").agg(F.count("*").alias("n"), F.min("ts_ns").alias("start_ns"), F.max("ts_ns").alias("end_ns")).drop("s")
+
+
+@query("batch_emit", "select stream_id, max(raw_ns) as ts_ns, count(*) as n, arg_min(seq, (raw_ns, seq)) as first_seq from v_sample group by stream_id, raw_ns // 21600000000000")
+def batch_emit(t):
+    """Samples of six hours as one message, under the time of the last."""
+    sent = rel.emit_batches(t("v_sample").select("stream_id", "raw_ns", "seq", "value"), "stream_id", "raw_ns", 21_600_000_000_000)
+    return sent.select("stream_id", "ts_ns", F.size("payload").cast("long").alias("n"), F.get("payload", F.lit(0))["seq"].alias("first_seq"))
+
+
+@query("load_shedding", """with recursive n as (select stream_id, seq, raw_ns // 10000 as ns, row_number() over (partition by stream_id order by raw_ns // 10000, seq) as rn, case when value > 90 then 0 when value > 70 then 2 when value > 50 then 5 else 8 end as hz from v_sample),
+    k as (select stream_id, seq, rn, case when hz > 0 then ns end as last_ns, hz > 0 as ok from n where rn = 1
+    union all select stream_id, seq, rn, case when ok then ns else last_ns end, ok from (
+      select n.stream_id, n.seq, n.rn, n.ns, k.last_ns, n.hz > 0 and (k.last_ns is null or n.ns - k.last_ns >= 1000000000 // n.hz) as ok from k join n on n.stream_id = k.stream_id and n.rn = k.rn + 1))
+    select stream_id, seq from k where ok""")
+def load_shedding(t):
+    """Frames that get through while heat lowers the rate or stops it. Times are shrunk ten thousand times."""
+    v = F.col("value")
+    policy = F.when(v > 90, 0).when(v > 70, 2).when(v > 50, 5).otherwise(8)
+    return folds.shed(t("v_sample").select("stream_id", "seq", F.expr("raw_ns div 10000").alias("raw_ns"), policy.alias("hz")))

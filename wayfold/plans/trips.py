@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import georef, solve
+from ..operators import georef, perception, solve
 from ..sources import clouds, exports, logs
 from ..sources.shared import is_folder, new_path
 from .registry import QUERIES, query
@@ -44,31 +45,77 @@ def quality_report(t):
     return m.select("trip_id", *[F.round(v, 6).alias(k) for k, v in solve.quality_scores(c).items()])
 
 
-@query("geojson_lines", "select trip_id, count(*) as n from v_fix group by trip_id having count(*) >= 2")
+def _points(t):
+    """Fixes with east and north from their trip's mean place."""
+    w = W.partitionBy("trip_id")
+    return t("v_fix").withColumns({"east": (F.col("lon") - F.avg("lon").over(w)) * 111_320.0, "north": (F.col("lat") - F.avg("lat").over(w)) * 110_574.0})
+
+
+@query("geojson_lines", """select trip_id, part, count(*) + case when part > 0 then 1 else 0 end as points, round(coalesce(sum(d), 0), 1) as length_m from (select trip_id, d, cast(floor(greatest(n - 1, 0) / 50) as bigint) as part from (
+    select *, sqrt(pow((lon - lag(lon) over w) * 111320, 2) + pow((lat - lag(lat) over w) * 110574, 2)) as d, row_number() over w - 1 as n, count(*) over (partition by trip_id) as m from v_fix window w as (partition by trip_id order by ts_ns, lon, lat)) where m >= 2) group by trip_id, part""")
 def geojson_lines(t):
-    lines = exports.geojson_lines(t("v_fix"), "trip_id", "ts_ns")
-    return exports.parse_geojson(lines, "trip_id").groupBy("trip_id").agg(F.count("*").alias("n"))
+    """Lines of 50 points at most, with what their properties say."""
+    lines = exports.geojson_lines(_points(t), "trip_id", "ts_ns", most=50)
+    said = F.from_json("feature", "struct<properties: struct<points: bigint, length_m: double>>")["properties"]
+    return lines.select("trip_id", F.col("part").cast("long").alias("part"), said["points"].alias("points"), F.round(said["length_m"], 1).alias("length_m"))
 
 
-@query("geojson_parse", "select trip_id, row_number() over (partition by trip_id order by ts_ns) - 1 as n, lon, lat, alt from v_fix")
+@query("geojson_parse", "select trip_id, row_number() over (partition by trip_id order by ts_ns, lon, lat) - 1 as n, lon, lat, alt from v_fix qualify count(*) over (partition by trip_id) >= 2")
 def geojson_parse(t):
-    parsed = exports.parse_geojson(exports.geojson_lines(t("v_fix"), "trip_id", "ts_ns"), "trip_id")
+    parsed = exports.parse_geojson(exports.geojson_lines(t("v_fix"), "trip_id", "ts_ns", most=50), "trip_id", most=50)
     return parsed.withColumn("n", F.col("n").cast("long"))
 
 
-@query("csv_assets", "select count(*) as n from v_asset")
+def _full_assets(t):
+    """Assets with an altitude, a depth that may be missing, the frame that they were seen in, and an odd class."""
+    odd = F.when(F.col("id") % 10 == 0, F.concat(F.lit('a, "'), F.col("asset_class"), F.lit('"'))).otherwise(F.col("asset_class"))
+    return t("v_asset").select("trip_id", "id", odd.alias("asset_class"), "lat", "lon", (900 + F.col("id") % 7).cast("double").alias("alt"), "confidence", F.when(F.col("id") % 4 != 0, F.col("id") % 30 / 2).alias("depth_m"), (F.col("id") * 3).alias("source_frame_id"))
+
+
+_ASSETS = "id, case when id % 10 = 0 then 'a, \"' || asset_class || '\"' else asset_class end as {name}, lat, lon, 900 + id % 7 + 0.0::double as alt, confidence, case when id % 4 <> 0 then (id % 30) / 2.0::double end as depth_m"
+
+
+@query("csv_assets", f"select {_ASSETS.format(name='class')}, id * 3 as source_frame_id from v_asset")
 def csv_assets(t):
-    return exports.csv_assets(t("v_asset")).where(F.size(F.split("value", ",")) == 5).agg(F.count("*").alias("n"))
+    """All eight columns as lines of a CSV file, parsed again."""
+    return exports.parse_csv(exports.csv_lines(_full_assets(t).withColumnRenamed("asset_class", "class"), exports.ASSETS), exports.ASSETS)
+
+
+@query("csv_trajectory", "select timestamp_ns, round(lat, 9) as lat, round(lon, 9) as lon, alt, round(e, 4) as east, round(n, 4) as north, 0.0::double as up from (select ts_ns as timestamp_ns, lat, lon, case when fix_id % 5 = 0 then 0 else alt end as alt, (lon - avg(lon) over (partition by trip_id)) * 111320 as e, (lat - avg(lat) over (partition by trip_id)) * 110574 as n from v_fix)")
+def csv_trajectory(t):
+    rows = _points(t).select(F.col("ts_ns").alias("timestamp_ns"), "lat", "lon", F.when(F.col("fix_id") % 5 == 0, float("nan")).otherwise(F.col("alt")).alias("alt"), "east", "north", F.lit(0.0).alias("up"))
+    back = exports.parse_csv(exports.csv_lines(rows, exports.TRAJECTORY), exports.TRAJECTORY)
+    return back.select("timestamp_ns", *[F.round(c, 9).alias(c) for c in ("lat", "lon")], "alt", *[(F.round(c, 4) + 0.0).alias(c) for c in ("east", "north", "up")])
+
+
+@query("csv_places", "select lat, lon, case when fix_id % 5 = 0 then 0 else alt end as alt from v_fix")
+def csv_places(t):
+    rows = t("v_fix").select("lat", "lon", F.when(F.col("fix_id") % 5 == 0, float("nan")).otherwise(F.col("alt")).alias("alt"))
+    return exports.parse_csv(exports.csv_lines(rows, exports.PLACES), exports.PLACES)
+
+
+def geojson_trips(spark, sf_dir):
+    """A document for each trip: its line and its assets, written, read again, and the assets parsed."""
+    t = lambda name: table(spark, sf_dir, name)
+    folder = new_path(spark, "geojson")
+    lines = exports.geojson_lines(t("v_fix"), "trip_id", "ts_ns").select("trip_id", "part", "feature")
+    points = exports.geojson_assets(_full_assets(t), "trip_id").select("trip_id", F.lit(1 << 40).alias("part"), "feature")
+    exports.write_collections(lines.unionByName(points), "trip_id", ["part", "feature"], f"{folder}/documents").write.parquet(f"{folder}/files")
+    files = spark.read.schema("path string, trip_id long, n_features long").parquet(f"{folder}/files")
+    return exports.parse_assets(exports.read_collections(files, "trip_id"), "trip_id")
+
+
+query("geojson_trips", f"select trip_id, {_ASSETS.format(name='asset_class')} from v_asset")(None)
+QUERIES["geojson_trips"] = geojson_trips
 
 
 def mcap_roundtrip(spark, sf_dir):
-    """Samples are written as logs, one for each stream, and read back chunk by chunk."""
+    """Samples are written as logs, of segments of a week or 64 KB for each stream, and read back chunk by chunk."""
     folder = new_path(spark, "logs")
     s = table(spark, sf_dir, "v_sample")
     rows = s.select(F.pmod(F.xxhash64("stream_id"), F.lit(1 << 30)).alias("trip_id"), F.col("stream_id").alias("topic"), F.col("raw_ns").alias("log_time_ns"), F.col("arrival_ns").alias("publish_time_ns"), F.col("seq").cast("string").cast("binary").alias("data"))
-    logs.write_logs(rows, folder, 1 << 14).write.parquet(f"{folder}/files")
-    files = spark.read.schema("path string, trip_id long, n_messages long").parquet(f"{folder}/files")
-    found = logs.read_chunks(logs.list_chunks(files))
+    logs.write_logs(rows, folder, 1 << 14, segment_bytes=1 << 16, segment_ns=86_400_000_000_000 * 7).write.parquet(f"{folder}/files")
+    found = logs.read_chunks(logs.list_chunks(spark.read.schema(logs.FILES).parquet(f"{folder}/files")))
     return found.select(F.col("topic").alias("stream_id"), F.col("data").cast("string").cast("long").alias("seq"), F.col("log_time_ns").alias("raw_ns"), F.col("publish_time_ns").alias("arrival_ns"), "chunk_crc_ok")
 
 
@@ -116,20 +163,21 @@ def georeference_online(t):
     return found.select("trip_id", "pose_id", *[F.round(c, 3).alias(c) for c in ("east", "north", "up")], "transform_id")
 
 
-def _cloud_roundtrip(kind):
+def _cloud_roundtrip(kind, text):
     def run(spark, sf_dir):
         folder = new_path(spark, kind)
         points = table(spark, sf_dir, "v_landmark")
-        clouds.write_clouds(points, folder, kind).write.parquet(f"{folder}/files")
+        clouds.write_clouds(points, folder, kind, text=text).write.parquet(f"{folder}/files")
         back = clouds.read_clouds(spark.read.schema("path string, n_points long").parquet(f"{folder}/files"))
         return back.select(*[F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "confidence")])
 
     return run
 
 
-for _kind in ("ply", "pcd"):
-    query(f"{_kind}_roundtrip", "select " + ", ".join(f"cast(cast({c} as float) as double) as {c}" for c in ("x", "y", "z", "confidence")) + " from v_landmark")(None)
-    QUERIES[f"{_kind}_roundtrip"] = _cloud_roundtrip(_kind)
+for _kind, _text in (("ply", False), ("pcd", False), ("ply", True), ("pcd", True)):
+    _name = f"{_kind}_text_roundtrip" if _text else f"{_kind}_roundtrip"
+    query(_name, "select " + ", ".join(f"cast(cast({c} as float) as double) as {c}" for c in ("x", "y", "z", "confidence")) + " from v_landmark")(None)
+    QUERIES[_name] = _cloud_roundtrip(_kind, _text)
 
 
 def _live_events(spark, sf_dir):
@@ -154,3 +202,18 @@ def pose_fix_stream_join(spark, sf_dir):
 
 query("pose_fix_stream_join", "select f.trip_id, f.fix_id, p.pose_id from v_fix f join v_pose p on f.trip_id = p.trip_id and abs(f.ts_ns - p.ts_ns) <= 3600000000000")(None)
 QUERIES["pose_fix_stream_join"] = pose_fix_stream_join
+
+
+@query("detection_assets")
+def detection_assets(t):
+    """Every pose sees one detection in a frame of its own; trips are aligned by what their poses say of themselves."""
+    c = F.col
+    poses = t("v_pose").where("state = 'TRACKING'")
+    detections = t("v_pose").select("trip_id", "ts_ns", c("pose_id").alias("id"), c("pose_id").alias("frame_id"), *[(c("pose_id") * k % 500 + d).cast("double").alias(n) for n, k, d in (("left_px", 31, 0), ("top_px", 17, 0), ("right_px", 31, 40), ("bottom_px", 17, 40))], F.when(c("pose_id") % 3 == 0, "POLE").otherwise("SIGN").alias("asset_class"), (c("pose_id") % 10 / 10).alias("confidence"))
+    depth = F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.when((c("pose_id") + i) % 5 == 0, float("nan")).otherwise((c("pose_id") % 9 + i + 1).cast("double")).cast("float"))
+    frames = t("v_pose").select(c("pose_id").alias("frame_id"), F.lit(640).alias("width"), F.lit(640).alias("height"), depth.alias("depth"), F.array(*[F.lit(x) for x in ("ROAD", "SKY", "ROAD", "WALL")]).alias("labels"))
+    pairs = t("v_pose").select("trip_id", "vio_x", "vio_y", "vio_z", (-2 * c("vio_y") + 5).alias("e"), (2 * c("vio_x") - 3).alias("n"), (2 * c("vio_z") + 1).alias("u"))
+    fit = solve.similarity_solve(pairs, "trip_id", ("vio_x", "vio_y", "vio_z"), ("e", "n", "u"))
+    transforms = fit.select("trip_id", F.lit(0).cast("long").alias("ts_ns"), F.lit(1).cast("long").alias("transform_id"), "scale", "rotation", "translation")
+    placed = perception.place(detections, frames, poses, transforms, (2, 2), (500.0, 500.0), (320.0, 320.0))
+    return perception.extract_assets(placed, transforms, georef.origins(t("v_fix")), 50.0)

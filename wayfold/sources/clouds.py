@@ -1,4 +1,4 @@
-"""Binary point clouds (the public PLY and PCD layouts): folders of files, each whole and readable by itself."""
+"""Point clouds (the public PLY and PCD layouts), binary or as text: folders of files, each whole and readable by itself."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -17,23 +18,33 @@ FILE_POINTS = 1_000_000
 PLY_FIELDS, PCD_FIELDS = ("x", "y", "z", "confidence"), ("x", "y", "z", "intensity")
 
 
-def header(kind: str, n: int) -> bytes:
-    """Head of a file of n points of kind 'ply' or 'pcd', body in little-endian floats."""
+def header(kind: str, n: int, text: bool = False) -> bytes:
+    """Head of a file of n points of kind 'ply' or 'pcd', body in little-endian floats or as lines of text."""
     if kind == "ply":
         fields = "".join(f"property float {name}\n" for name in PLY_FIELDS)
-        return f"ply\nformat binary_little_endian 1.0\nelement vertex {n}\n{fields}end_header\n".encode()
-    return f"VERSION .7\nFIELDS {' '.join(PCD_FIELDS)}\nSIZE 4 4 4 4\nTYPE F F F F\nCOUNT 1 1 1 1\nWIDTH {n}\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS {n}\nDATA binary\n".encode()
+        return f"ply\nformat {'ascii' if text else 'binary_little_endian'} 1.0\nelement vertex {n}\n{fields}end_header\n".encode()
+    return f"VERSION .7\nFIELDS {' '.join(PCD_FIELDS)}\nSIZE 4 4 4 4\nTYPE F F F F\nCOUNT 1 1 1 1\nWIDTH {n}\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS {n}\nDATA {'ascii' if text else 'binary'}\n".encode()
+
+
+def lines(body: np.ndarray) -> bytes:
+    """Points as lines of four numbers, each the shortest that reads back as the same float."""
+    columns = [pc.cast(pa.array(np.ascontiguousarray(body[:, i])), pa.string()) for i in range(4)]
+    return "".join(x + "\n" for x in pc.binary_join_element_wise(*columns, " ").to_pylist()).encode()
 
 
 def parse(raw: bytes) -> np.ndarray:
     """Points of a file, as an array of four columns; a body cut short gives its whole points."""
-    end, count = (b"end_header\n", rb"element vertex (\d+)") if raw.startswith(b"ply") else (b"DATA binary\n", rb"POINTS (\d+)")
+    end, count = (b"end_header\n", rb"element vertex (\d+)") if raw.startswith(b"ply") else (re.search(rb"DATA \w+\n", raw)[0], rb"POINTS (\d+)")
     at = raw.index(end) + len(end)
-    n = min(int(re.search(count, raw[:at])[1]), (len(raw) - at) // 16)
+    most, text = int(re.search(count, raw[:at])[1]), re.search(rb"\n(format|DATA) ascii", raw[:at])
+    if text:
+        numbers = np.array([x.split() for x in raw[at:].split(b"\n")[:-1]][:most], "<f4")
+        return numbers.reshape(-1, 4)
+    n = min(most, (len(raw) - at) // 16)
     return np.frombuffer(raw, "<f4", 4 * n, at).reshape(n, 4)
 
 
-def write_clouds(points: DataFrame, folder: str, kind: str, most: int = FILE_POINTS) -> DataFrame:
+def write_clouds(points: DataFrame, folder: str, kind: str, most: int = FILE_POINTS, text: bool = False) -> DataFrame:
     """Writes x, y, z and confidence as files of at most `most` points; a row of path and n_points for each.
 
     Names carry the task attempt. Whoever reads takes the paths from this result, so files of attempts that
@@ -49,7 +60,7 @@ def write_clouds(points: DataFrame, folder: str, kind: str, most: int = FILE_POI
         def put(body: np.ndarray) -> None:
             name = f"points-{attempt}-{len(done)}.{kind}"
             with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
-                out.write(header(kind, len(body)) + body.tobytes())
+                out.write(header(kind, len(body), text) + (lines(body) if text else body.tobytes()))
             done.append((f"{folder}/{name}", len(body)))
 
         for batch in batches:
@@ -66,7 +77,7 @@ def write_clouds(points: DataFrame, folder: str, kind: str, most: int = FILE_POI
 
 
 def read_clouds(files: DataFrame) -> DataFrame:
-    """x, y, z and confidence (float) of every point of the files (path)."""
+    """x, y, z and confidence (float) of every point of the files (path), dealt out file by file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,4 +87,4 @@ def read_clouds(files: DataFrame) -> DataFrame:
                     body = parse(source.read())
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(body[:, i])) for i in range(4)], names=["x", "y", "z", "confidence"])
 
-    return files.select("path").mapInArrow(run, "x float, y float, z float, confidence float")
+    return files.select("path").repartition("path").mapInArrow(run, "x float, y float, z float, confidence float")

@@ -14,14 +14,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the format.
 MAGIC = b"\x89MCAP0\r\n"
-HEADER, FOOTER, SCHEMA, CHANNEL, MESSAGE, CHUNK, MESSAGE_INDEX, CHUNK_INDEX, STATISTICS, DATA_END = 1, 2, 3, 4, 5, 6, 7, 8, 11, 15
+HEADER, FOOTER, SCHEMA, CHANNEL, MESSAGE, CHUNK, MESSAGE_INDEX, CHUNK_INDEX, STATISTICS, SUMMARY_OFFSET, DATA_END = 1, 2, 3, 4, 5, 6, 7, 8, 11, 14, 15
 
-CHUNK_BYTES = 1 << 20
+#: A chunk is sealed, and a segment of a log finished, at so many bytes or more; a segment also ends with its span of time.
+CHUNK_BYTES, SEGMENT_BYTES, SEGMENT_NS = 1 << 20, 512 << 20, 3_600_000_000_000
 
 
 def _text(s: str) -> bytes:
@@ -39,6 +40,7 @@ class LogWriter:
     def __init__(self, out, chunk_bytes: int = CHUNK_BYTES) -> None:
         self.out, self.size, self.chunk_bytes, self.crc = out, 0, chunk_bytes, 0
         self.channels: dict[str, int] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}  # schema and channel records, for the summary
         self.sequence: dict[int, int] = {}
         self.pending, self.times, self.index, self.counts, self.chunks = bytearray(), [], {}, {}, []
         self._put(MAGIC)
@@ -52,8 +54,10 @@ class LogWriter:
     def _channel(self, topic: str) -> int:
         if topic not in self.channels:
             number = self.channels[topic] = len(self.channels) + 1
-            self._put(_record(SCHEMA, struct.pack("<H", number) + _text(topic) + _text("") + struct.pack("<I", 0)))
-            self._put(_record(CHANNEL, struct.pack("<HH", number, number) + _text(topic) + _text("bytes") + struct.pack("<I", 0)))
+            schema = _record(SCHEMA, struct.pack("<H", number) + _text(topic) + _text("") + struct.pack("<I", 0))
+            channel = _record(CHANNEL, struct.pack("<HH", number, number) + _text(topic) + _text("bytes") + struct.pack("<I", 0))
+            self.known[topic] = (schema, channel)
+            self._put(schema + channel)
         return self.channels[topic]
 
     def message(self, topic: str, log_time: int, publish_time: int, data: bytes) -> None:
@@ -81,17 +85,27 @@ class LogWriter:
         self.pending, self.times, self.index = bytearray(), [], {}
 
     def finish(self) -> None:
+        """The summary: schemas, channels, statistics and the chunks' places, where each of these groups begins, and a
+        checksum over all of it."""
         self.seal()
         self._put(_record(DATA_END, struct.pack("<I", self.crc)))
-        summary = self.size
+        summary, indexes = self.size, []
         for start, end, at, length, offsets, index_length, size in self.chunks:
             packed = b"".join(struct.pack("<HQ", *x) for x in offsets.items())
-            self._put(_record(CHUNK_INDEX, struct.pack("<QQQQ", start, end, at, length) + struct.pack("<I", len(packed)) + packed + struct.pack("<Q", index_length) + _text("") + struct.pack("<QQ", size, size)))
+            indexes.append(_record(CHUNK_INDEX, struct.pack("<QQQQ", start, end, at, length) + struct.pack("<I", len(packed)) + packed + struct.pack("<Q", index_length) + _text("") + struct.pack("<QQ", size, size)))
         counts = b"".join(struct.pack("<HQ", *x) for x in self.counts.items())
         spans = [c[:2] for c in self.chunks] or [(0, 0)]
         n = len(self.channels)
-        self._put(_record(STATISTICS, struct.pack("<QHIIIIQQ", sum(self.counts.values()), n, n, 0, 0, len(self.chunks), min(s[0] for s in spans), max(s[1] for s in spans)) + struct.pack("<I", len(counts)) + counts))
-        self._put(_record(FOOTER, struct.pack("<QQI", summary, 0, 0)))
+        statistics = _record(STATISTICS, struct.pack("<QHIIIIQQ", sum(self.counts.values()), n, n, 0, 0, len(self.chunks), min(s[0] for s in spans), max(s[1] for s in spans)) + struct.pack("<I", len(counts)) + counts)
+        groups = [(SCHEMA, b"".join(x[0] for x in self.known.values())), (CHANNEL, b"".join(x[1] for x in self.known.values())), (STATISTICS, statistics), (CHUNK_INDEX, b"".join(indexes))]
+        said, places = b"", []
+        for op, group in groups:
+            if group:
+                places.append(_record(SUMMARY_OFFSET, struct.pack("<BQQ", op, summary + len(said), len(group))))
+                said += group
+        offsets_at = summary + len(said)
+        said += b"".join(places) + struct.pack("<BQQQ", FOOTER, 20, summary, offsets_at)
+        self._put(said + struct.pack("<I", zlib.crc32(said)))
         self._put(MAGIC)
 
 
@@ -102,7 +116,7 @@ def heads(source: pa.NativeFile) -> Iterator[tuple[int, int, int]]:
     if source.read(8) != MAGIC:
         raise ValueError("no log")
     at = 8
-    while at + 9 <= size - 0:
+    while at + 9 <= size:
         source.seek(at)
         head = source.read(9)
         if head[:8] == MAGIC or len(head) < 9:
@@ -118,6 +132,8 @@ def parse_chunk(raw: bytes) -> tuple[bool, list[tuple[int, int, int, int, bytes]
     """Whether the checksum holds, and (channel, sequence, log time, publish time, data) of each message."""
     (crc,) = struct.unpack_from("<I", raw, 24)
     (name,) = struct.unpack_from("<I", raw, 28)
+    if name:
+        raise ValueError(f"a chunk is compressed by {raw[32 : 32 + name].decode()}, which is not read here")
     at = 32 + name + 8
     body, out, at = raw[at:], [], 0
     while at + 9 <= len(body):
@@ -130,38 +146,107 @@ def parse_chunk(raw: bytes) -> tuple[bool, list[tuple[int, int, int, int, bytes]
     return zlib.crc32(body) == crc, out
 
 
-def write_logs(messages: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One log for each trip_id of rows (trip_id, topic, log_time_ns, publish_time_ns, data), in order of time;
-    a row of path, trip_id and n_messages for each. Rows are dealt by trip and stream to its file."""
+FILES = "path string, trip_id long, start_ns long, end_ns long, n_messages long"
+
+
+def write_logs(messages: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES, segment_bytes: int = SEGMENT_BYTES, segment_ns: int = SEGMENT_NS) -> DataFrame:
+    """Logs of rows (trip_id, topic, log_time_ns, publish_time_ns, data), in order of time, in segments: each trip
+    begins a new one with every `segment_ns` of time, and at the first seal beyond `segment_bytes`. A row for each.
+
+    Rows are dealt by trip and span of time, so that a long trip is written by many tasks, and stream to their file.
+    Names carry the task attempt; whoever reads takes the paths from this result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
         now = out = writer = None
-        n, done = 0, []
+        times, n, done = [0, 0], 0, []
 
         def close() -> None:
             writer.finish()
             out.close()
-            done.append((f"{folder}/{now}-{attempt}.mcap", now, n))
+            done.append((f"{folder}/{name}", now[0], *times, n))
 
         for batch in batches:
-            for trip, topic, log_time, publish_time, data in zip(*(batch.column(c).to_pylist() for c in ("trip_id", "topic", "log_time_ns", "publish_time_ns", "data")), strict=True):
-                if writer is None or trip != now:
+            for trip, span, topic, log_time, publish_time, data in zip(*(batch.column(c).to_pylist() for c in ("trip_id", "span", "topic", "log_time_ns", "publish_time_ns", "data")), strict=True):
+                if writer is None or (trip, span) != now or (writer.size >= segment_bytes and not writer.times):
                     if writer is not None:
                         close()
-                    now, n = trip, 0
-                    out = fs.open_output_stream(f"{base}/{trip}-{attempt}.mcap", compression=None)
+                    now, n, times = (trip, span), 0, [log_time, log_time]
+                    name = f"{trip}-{span}-{len(done)}-{attempt}.mcap"
+                    out = fs.open_output_stream(f"{base}/{name}", compression=None)
                     writer = LogWriter(out, chunk_bytes)
                 writer.message(topic, log_time, publish_time, data)
-                n += 1
+                times[1], n = log_time, n + 1
         if writer is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "trip_id", "n_messages"])
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], names=["path", "trip_id", "start_ns", "end_ns", "n_messages"])
+
+    span = F.floor(F.col("log_time_ns") / segment_ns).alias("span")
+    dealt = messages.select("trip_id", span, "topic", "log_time_ns", "publish_time_ns", "data").repartition("trip_id", "span").sortWithinPartitions("trip_id", "span", "log_time_ns", "topic")
+    return dealt.mapInArrow(run, FILES)
+
+
+def log_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path of every log below a folder, as after a crash that left no table of them."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.mcap").option("recursiveFileLookup", "true").load(folder)
+    return found.select("path")
+
+
+def recover(files: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """What became of each log (path): outcome, messages, chunks, reason, and recovered, the path of a rebuilt log.
+
+    A log that ends as it should is 'valid'. One that was cut off is 'recovered': its whole chunks are written, one at
+    a time, as a new log in `folder`, and it stays as it was. One that is too short or no log is 'failed'.
+    """
+    kinds = {"path": pa.string(), "outcome": pa.string(), "messages": pa.int64(), "chunks": pa.int64(), "reason": pa.string(), "recovered": pa.string()}
+
+    def one(path: str, attempt: int, number: int) -> dict:
+        fs, place = pyarrow.fs.FileSystem.from_uri(path)
+        info = fs.get_file_info(place)
+        if info.type == pyarrow.fs.FileType.NotFound or info.size < len(MAGIC):
+            return {"outcome": "failed", "reason": "missing or too short"}
+        with fs.open_input_file(place) as source:
+            source.seek(info.size - len(MAGIC))
+            if source.read(len(MAGIC)) == MAGIC and info.size > len(MAGIC):
+                return {"outcome": "valid"}
+            out_fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+            out_fs.create_dir(base, recursive=True)
+            name, topics, messages, chunks = f"{place.rpartition('/')[2].removesuffix('.mcap')}-{number}-{attempt}.mcap", {}, 0, 0
+            try:
+                records = list(heads(source))
+            except ValueError as e:
+                return {"outcome": "failed", "reason": str(e)}
+            with out_fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+                writer = LogWriter(out, chunk_bytes)
+                for op, at, length in records:
+                    source.seek(at)
+                    if op == CHANNEL:
+                        raw = source.read(length)
+                        (size,) = struct.unpack_from("<I", raw, 4)
+                        topics[struct.unpack_from("<H", raw)[0]] = raw[8 : 8 + size].decode()
+                    elif op == CHUNK:
+                        chunks += 1
+                        for channel, _, log_time, publish_time, data in parse_chunk(source.read(length))[1]:
+                            if channel in topics:
+                                writer.message(topics[channel], log_time, publish_time, data)
+                                messages += 1
+                writer.finish()
+        return {"outcome": "recovered", "messages": messages, "chunks": chunks, "recovered": f"{folder}/{name}"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt, number = TaskContext.get().taskAttemptId(), 0
+        for batch in batches:
+            rows = []
+            for path in batch.column("path").to_pylist():
+                number += 1
+                rows.append({"path": path, **one(path, attempt, number)})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(kinds.items())))
 
-    dealt = messages.select("trip_id", "topic", "log_time_ns", "publish_time_ns", "data").repartition("trip_id").sortWithinPartitions("trip_id", "log_time_ns", "topic")
-    return dealt.mapInArrow(run, "path string, trip_id long, n_messages long")
+    return files.select("path").repartition("path").mapInArrow(run, "path string, outcome string, messages long, chunks long, reason string, recovered string")
 
 
 def list_chunks(files: DataFrame) -> DataFrame:
@@ -185,11 +270,12 @@ def list_chunks(files: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.map_(pa.int32(), pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["path", "body_at", "length", "start_ns", "end_ns", "topics"])
 
-    return files.select("path").mapInArrow(run, "path string, body_at long, length long, start_ns long, end_ns long, topics map<int,string>")
+    return files.select("path").repartition("path").mapInArrow(run, "path string, body_at long, length long, start_ns long, end_ns long, topics map<int,string>")
 
 
 def read_chunks(chunks: DataFrame) -> DataFrame:
-    """Messages of the listed chunks; a chunk with a wrong checksum keeps its messages and says so."""
+    """Messages of the listed chunks, which are dealt out one by one; a chunk with a wrong checksum keeps its messages
+    and says so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
@@ -203,7 +289,7 @@ def read_chunks(chunks: DataFrame) -> DataFrame:
                 rows = [(row["path"], topics[m[0]], m[1], m[2], m[3], m[4], ok) for m in found if m[0] in topics]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["path", "topic", "sequence", "log_time_ns", "publish_time_ns", "data", "chunk_crc_ok"])
 
-    return chunks.mapInArrow(run, "path string, topic string, sequence long, log_time_ns long, publish_time_ns long, data binary, chunk_crc_ok boolean")
+    return chunks.repartition("path", "body_at").mapInArrow(run, "path string, topic string, sequence long, log_time_ns long, publish_time_ns long, data binary, chunk_crc_ok boolean")
 
 
 def in_time(chunks: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
