@@ -436,7 +436,7 @@ def batch_emit(t):
 @query("load_shedding", """with recursive n as (select stream_id, seq, raw_ns // 10000 as ns, row_number() over (partition by stream_id order by raw_ns // 10000, seq) as rn, case when value > 90 then 0 when value > 70 then 2 when value > 50 then 5 else 8 end as hz from v_sample),
     k as (select stream_id, seq, rn, case when hz > 0 then ns end as last_ns, hz > 0 as ok from n where rn = 1
     union all select stream_id, seq, rn, case when ok then ns else last_ns end, ok from (
-      select n.stream_id, n.seq, n.rn, n.ns, k.last_ns, n.hz > 0 and (k.last_ns is null or n.ns - k.last_ns >= 1000000000 // n.hz) as ok from k join n on n.stream_id = k.stream_id and n.rn = k.rn + 1))
+      select n.stream_id, n.seq, n.rn, n.ns, k.last_ns, n.hz > 0 and (k.last_ns is null or n.ns - k.last_ns >= 1000000000 // greatest(n.hz, 1)) as ok from k join n on n.stream_id = k.stream_id and n.rn = k.rn + 1))
     select stream_id, seq from k where ok""")
 def load_shedding(t):
     """Frames that get through while heat lowers the rate or stops it. Times are shrunk ten thousand times."""
