@@ -379,8 +379,8 @@ _Q_TURN = "degrees(2 * acos(least(1, abs(qx * lag(qx) over w + qy * lag(qy) over
     q as (select *, coalesce(dt > 0 and dt <= 216000000000, false) as ok from p),
     r as (select trip_id, pose_id, rn, 0.0::double as ema, 0.0::double as turn, false as ok from q where rn = 1
       union all select q.trip_id, q.pose_id, q.rn, case when q.ok then 0.8 * r.ema + 0.2 * (q.d / (q.dt / 1e9)) else r.ema end, case when q.ok then 0.8 * r.turn + 0.2 * (q.a / (q.dt / 1e9)) else r.turn end, q.ok from r join q on q.trip_id = r.trip_id and q.rn = r.rn + 1)
-    select trip_id, pose_id, round(ema, 6) as speed, round(turn, 6) as turn_dps, turn > 25 and ema < 0.35 as turns_on_spot, ema > 5 as too_fast from r where ok""")
+    select trip_id, pose_id, round(ema, 6) as speed, round(turn, 3) as turn_dps, turn > 25 and ema < 0.35 as turns_on_spot, ema > 5 as too_fast from r where ok""")
 def capture_health_ema(t):
     """Times are shrunk a hundred times, as the table's poses are hours apart."""
     found = folds.capture_health(t("v_pose").withColumn("ts_ns", F.expr("ts_ns div 100")), 216_000_000_000)
-    return found.select("trip_id", "pose_id", F.round("speed", 6).alias("speed"), F.round("turn_dps", 6).alias("turn_dps"), "turns_on_spot", "too_fast")
+    return found.select("trip_id", "pose_id", F.round("speed", 6).alias("speed"), F.round("turn_dps", 3).alias("turn_dps"), "turns_on_spot", "too_fast")

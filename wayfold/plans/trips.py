@@ -51,13 +51,13 @@ def _points(t):
     return t("v_fix").withColumns({"east": (F.col("lon") - F.avg("lon").over(w)) * 111_320.0, "north": (F.col("lat") - F.avg("lat").over(w)) * 110_574.0})
 
 
-@query("geojson_lines", """select trip_id, part, count(*) + case when part > 0 then 1 else 0 end as points, round(coalesce(sum(d), 0), 1) as length_m from (select trip_id, d, cast(floor(greatest(n - 1, 0) / 50) as bigint) as part from (
+@query("geojson_lines", """select trip_id, part, count(*) + case when part > 0 then 1 else 0 end as points, round(coalesce(sum(d), 0), 3) as length_m from (select trip_id, d, cast(floor(greatest(n - 1, 0) / 50) as bigint) as part from (
     select *, sqrt(pow((lon - lag(lon) over w) * 111320, 2) + pow((lat - lag(lat) over w) * 110574, 2)) as d, row_number() over w - 1 as n, count(*) over (partition by trip_id) as m from v_fix window w as (partition by trip_id order by ts_ns, lon, lat)) where m >= 2) group by trip_id, part""")
 def geojson_lines(t):
     """Lines of 50 points at most, with what their properties say."""
     lines = exports.geojson_lines(_points(t), "trip_id", "ts_ns", most=50)
     said = F.from_json("feature", "struct<properties: struct<points: bigint, length_m: double>>")["properties"]
-    return lines.select("trip_id", F.col("part").cast("long").alias("part"), said["points"].alias("points"), F.round(said["length_m"], 1).alias("length_m"))
+    return lines.select("trip_id", F.col("part").cast("long").alias("part"), said["points"].alias("points"), said["length_m"].alias("length_m"))
 
 
 @query("geojson_parse", "select trip_id, row_number() over (partition by trip_id order by ts_ns, lon, lat) - 1 as n, lon, lat, alt from v_fix qualify count(*) over (partition by trip_id) >= 2")
@@ -81,11 +81,11 @@ def csv_assets(t):
     return exports.parse_csv(exports.csv_lines(_full_assets(t).withColumnRenamed("asset_class", "class"), exports.ASSETS), exports.ASSETS)
 
 
-@query("csv_trajectory", "select timestamp_ns, round(lat, 9) as lat, round(lon, 9) as lon, alt, round(e, 4) as east, round(n, 4) as north, 0.0::double as up from (select ts_ns as timestamp_ns, lat, lon, case when fix_id % 5 = 0 then 0 else alt end as alt, (lon - avg(lon) over (partition by trip_id)) * 111320 as e, (lat - avg(lat) over (partition by trip_id)) * 110574 as n from v_fix)")
+@query("csv_trajectory", "select timestamp_ns, round(lat, 9) as lat, round(lon, 9) as lon, alt, round(e, 2) as east, round(n, 2) as north, 0.0::double as up from (select ts_ns as timestamp_ns, lat, lon, case when fix_id % 5 = 0 then 0 else alt end as alt, (lon - avg(lon) over (partition by trip_id)) * 111320 as e, (lat - avg(lat) over (partition by trip_id)) * 110574 as n from v_fix)")
 def csv_trajectory(t):
     rows = _points(t).select(F.col("ts_ns").alias("timestamp_ns"), "lat", "lon", F.when(F.col("fix_id") % 5 == 0, float("nan")).otherwise(F.col("alt")).alias("alt"), "east", "north", F.lit(0.0).alias("up"))
     back = exports.parse_csv(exports.csv_lines(rows, exports.TRAJECTORY), exports.TRAJECTORY)
-    return back.select("timestamp_ns", *[F.round(c, 9).alias(c) for c in ("lat", "lon")], "alt", *[(F.round(c, 4) + 0.0).alias(c) for c in ("east", "north", "up")])
+    return back.select("timestamp_ns", *[F.round(c, 9).alias(c) for c in ("lat", "lon")], "alt", *[(F.round(c, 2) + 0.0).alias(c) for c in ("east", "north", "up")])
 
 
 @query("csv_places", "select lat, lon, case when fix_id % 5 = 0 then 0 else alt end as alt from v_fix")
