@@ -36,6 +36,8 @@ TEMPLATES = [
     ("all rights reserved", "proprietary"),
 ]
 THRESHOLD = 0.8
+#: Templates whose index is broadcast, a few hundred bytes for each word of their prefixes; with more the join shuffles.
+MOST_BROADCAST = 10_000
 WINDOW = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -80,7 +82,7 @@ def rare_to_frequent(docs: DataFrame, templates: list[tuple[str, str]], text: st
 
 
 def template_index(docs: DataFrame, order: list[str], templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """A row for each template and each word of its prefix; a few rows for each template, so it may be broadcast."""
+    """A row for each template and each word of its prefix."""
     rank, rows = {w: i for i, w in enumerate(order)}, []
     for number, (text, label) in enumerate(templates):
         words = sorted(set(text.split()), key=rank.__getitem__)
@@ -89,7 +91,12 @@ def template_index(docs: DataFrame, order: list[str], templates: list[tuple[str,
     return docs.sparkSession.createDataFrame(rows, "word string, template int, label string, place int, size int, least int, words array<string>")
 
 
-def _scan_windows(base: DataFrame, keep: list[str], row: str, words: str, index: DataFrame, order: list[str], prefixes: list[str], window: int) -> DataFrame:
+def _small(index: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
+    """The index with a hint to broadcast it, if the templates are few enough."""
+    return F.broadcast(index) if len(templates) <= MOST_BROADCAST else index
+
+
+def _scan_windows(base: DataFrame, keep: list[str], row: str, words: str, index: DataFrame, order: list[str], prefixes: list[str], window: int, templates: list[tuple[str, str]]) -> DataFrame:
     """`scan` with runs of words as blocks. A run that holds enough of a template holds one of its prefix words, so
     each place of a prefix word becomes a row with the words around it, as far as a run over that place can reach."""
     near, hit_word, held, at, here = (fresh(x, base.columns) for x in ("near_words", "hit_word", "held", "at", "here"))
@@ -106,7 +113,7 @@ def _scan_windows(base: DataFrame, keep: list[str], row: str, words: str, index:
     found = base.select(*keep, row, F.size(w).cast("long").alias("n_words"), phrase_places(w).alias("places"), F.explode_outer(hits).alias(here))
     found = found.select(*keep, row, "n_words", "places", F.col(here)["word"].alias(hit_word), F.col(here)["at"].alias(at), F.col(here)["near"].alias(near))
     index = index.select(*[F.col(c).alias(f"template_{c}") for c in index.columns])
-    joined = found.join(F.broadcast(index), F.col(hit_word) == F.col("template_word"), "left")
+    joined = found.join(_small(index, templates), F.col(hit_word) == F.col("template_word"), "left")
     # The row of a run's rarest shared word has all its other shared words behind that in the order.
     size, least, run = F.col("template_size"), F.col("template_least"), F.col("template_size") * window
     first = F.greatest(F.col(at) - (run - 1), F.lit(0))
@@ -147,7 +154,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
 
     base = docs.select(*keep, F.col(text).alias(block), words_of(F.col(text)).alias(words), F.monotonically_increasing_id().alias(row))
     if window:
-        return _scan_windows(base, keep, row, words, index, order, prefixes, window)
+        return _scan_windows(base, keep, row, words, index, order, prefixes, window, templates)
     # Most documents have no prefix word and stay one row; of the others each line becomes one.
     may = F.arrays_overlap(words, F.array(*[F.lit(w) for w in prefixes]))
     lines = base.select(*keep, row, F.size(words).cast("long").alias("n_words"), phrase_places(F.col(words)).alias("places"), F.explode(F.when(may, F.split(block, "\n")).otherwise(F.array(F.lit("")))).alias(block))
@@ -158,7 +165,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     index = index.select(*[F.col(c).alias(f"template_{c}") for c in index.columns])
     place = F.col(size) - F.size(held) + F.col(at)  # words of no template stand first
     near = (F.col(word) == F.col("template_word")) & (F.col(size) >= F.col("template_least")) & (place <= F.col(size) - F.col("template_least")) & (1 + F.least(F.col(size) - place, F.col("template_size") - F.col("template_place")) - 1 >= F.col("template_least"))
-    joined = tokens.join(F.broadcast(index), near, "left")
+    joined = tokens.join(_small(index, templates), near, "left")
     shared = F.size(F.array_intersect(F.col(held), F.col("template_words")))
     hit = F.when(shared >= F.col("template_least"), F.col("template_label"))
     share = F.when(shared >= F.col("template_least"), shared / F.col("template_size"))
