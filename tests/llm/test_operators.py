@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from wayfold.llm import bpe, chat, decontam, langid, licenses, queries, quality, rollup, similar, simhash, token_files, warc
 from wayfold.llm.common import new_path, write_table
+from wayfold.llm.license_notices import NOTICES
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -219,6 +220,23 @@ def test_op4_finds_wrapped_notices_and_no_scattered_words(spark, tmp_path):
     assert [got[i] for i in range(7)] == ["mit", "bsd", "mpl-2.0", "gpl", "bsd", "", "proprietary"]
 
 
+def test_op4_finds_whole_notices_in_comments_and_no_halves(spark, tmp_path):
+    def wrapped(text, width=9):
+        words = text.split()
+        return "\n".join(" * " + " ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+    filler = " ".join(f"word{i}" for i in range(2000))
+    half = [" ".join(text.split()[len(text.split()) // 2 :]) for text, label in NOTICES if label in ("isc", "zlib", "unlicense")]
+    without_year = [f"{filler}\n/*\n * Copyright 2001 Nobody\n{wrapped(text)}\n */\n{filler}" for text, _ in NOTICES]
+    documents = without_year + half
+    spark.createDataFrame(list(enumerate(documents)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op4_license_scan(spark, str(tmp_path)).collect()}
+    for i, (_, label) in enumerate(NOTICES):
+        assert label in got[i]["labels"].split(","), label
+        assert got[i]["score"] == 1.0
+    assert [got[len(NOTICES) + i]["labels"] for i in range(len(half))] == [""] * len(half)
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
 def test_windows_find_all_that_brute_force_finds(spark, threshold):
     draw = random.Random(6)

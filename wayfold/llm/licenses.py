@@ -12,18 +12,20 @@ count as the rarest. What passes is verified by the exact intersection.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, let
+from .license_notices import NOTICES
 
 #: Separators of words, phrases and their labels.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
 
-#: Templates of the set-similarity join and their labels; a bounded list, never taken from the data.
-TEMPLATES = [
+#: What documents say of their license in a line, and labels.
+SENTENCES = [
     ("licensed under the apache license version 2 0", "apache-2.0"),
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
@@ -35,6 +37,8 @@ TEMPLATES = [
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
     ("all rights reserved", "proprietary"),
 ]
+#: Templates of the set-similarity join and their labels; a bounded list, never taken from the data.
+TEMPLATES = SENTENCES + [(" ".join(re.split(SEPARATORS, text.lower())).strip(), label) for text, label in NOTICES]
 THRESHOLD = 0.8
 #: Templates whose index is broadcast, a few hundred bytes for each word of their prefixes; with more the join shuffles.
 MOST_BROADCAST = 10_000
@@ -81,14 +85,17 @@ def rare_to_frequent(docs: DataFrame, templates: list[tuple[str, str]], text: st
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def template_index(docs: DataFrame, order: list[str], templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """A row for each template and each word of its prefix."""
+def template_rows(order: list[str], templates: list[tuple[str, str]], threshold: float) -> list[tuple]:
+    """A row of the index for each template and each word of its prefix."""
     rank, rows = {w: i for i, w in enumerate(order)}, []
     for number, (text, label) in enumerate(templates):
         words = sorted(set(text.split()), key=rank.__getitem__)
         least = math.ceil(threshold * len(words) - 1e-9)
         rows += [(w, number, label, j, len(words), least, words) for j, w in enumerate(words[: len(words) - least + 1])]
-    return docs.sparkSession.createDataFrame(rows, "word string, template int, label string, place int, size int, least int, words array<string>")
+    return rows
+
+
+INDEX = "word string, template int, label string, place int, size int, least int, words array<string>"
 
 
 def _small(index: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
@@ -96,20 +103,26 @@ def _small(index: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
     return F.broadcast(index) if len(templates) <= MOST_BROADCAST else index
 
 
-def _scan_windows(base: DataFrame, keep: list[str], row: str, words: str, index: DataFrame, order: list[str], prefixes: list[str], window: int, templates: list[tuple[str, str]]) -> DataFrame:
+def _scan_windows(base: DataFrame, keep: list[str], row: str, words: str, index: DataFrame, order: list[str], reach: dict[str, int], window: int, templates: list[tuple[str, str]]) -> DataFrame:
     """`scan` with runs of words as blocks. A run that holds enough of a template holds one of its prefix words, so
-    each place of a prefix word becomes a row with the words around it, as far as a run over that place can reach."""
+    each place of a prefix word becomes a row with the words around it, as far as a run over that place can reach:
+    `reach` has for each prefix word the longest run of a template that has it in its prefix."""
     near, hit_word, held, at, here = (fresh(x, base.columns) for x in ("near_words", "hit_word", "held", "at", "here"))
-    prefix_words = F.array(*[F.lit(w) for w in prefixes])
-    longest = max((len(r["words"]) for r in index.select("words").collect()), default=1) * window
+    prefix_words = F.array(*[F.lit(w) for w in reach])
+    longest = F.create_map(*[F.lit(x) for pair in reach.items() for x in pair])
     w, none = F.col(words), F.array().cast("array<struct<word:string,at:int,near:array<string>>>")
 
     def around(i: Column) -> Column:
-        first = F.greatest(i - (longest - 1), F.lit(0))
-        return F.named_struct(F.lit("word"), F.get(w, i), F.lit("at"), i - first, F.lit("near"), F.slice(w, first + 1, i - first + longest))
+        def within(run: Column) -> Column:
+            first = F.greatest(i - (run - 1), F.lit(0))
+            return F.named_struct(F.lit("word"), F.get(w, i), F.lit("at"), i - first, F.lit("near"), F.slice(w, first + 1, i - first + run))
+
+        return let(F.element_at(longest, F.get(w, i)), within)
+
+    def places(held_words: Column) -> Column:
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(held_words, F.get(w, i))), around)
 
-    places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(prefix_words, F.get(w, i)))
-    hits = F.when(F.arrays_overlap(w, prefix_words), F.transform(places, around)).otherwise(none)
+    hits = F.when(F.arrays_overlap(w, prefix_words), let(F.array_intersect(w, prefix_words), places)).otherwise(none)
     found = base.select(*keep, row, F.size(w).cast("long").alias("n_words"), phrase_places(w).alias("places"), F.explode_outer(hits).alias(here))
     found = found.select(*keep, row, "n_words", "places", F.col(here)["word"].alias(hit_word), F.col(here)["at"].alias(at), F.col(here)["near"].alias(near))
     index = index.select(*[F.col(c).alias(f"template_{c}") for c in index.columns])
@@ -148,15 +161,18 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     keep = [c for c in keep if c.lower() not in ("n_words", "places", "template_labels", "containment")]
     order = rare_to_frequent(docs, templates, text)
-    index = template_index(docs, order, templates, threshold)
-    prefixes = sorted({w for t, _ in templates for w in sorted(set(t.split()), key=order.index)[: len(set(t.split())) - math.ceil(threshold * len(set(t.split())) - 1e-9) + 1]})
+    rows = template_rows(order, templates, threshold)
+    index = docs.sparkSession.createDataFrame(rows, INDEX)
+    sizes: dict[str, int] = {}
+    for first, _, _, _, most, *_ in rows:
+        sizes[first] = max(most, sizes.get(first, 0))
     row, words, block, held, size, at, word = (fresh(x, docs.columns) for x in ("row_key", "row_words", "block", "held", "block_size", "at", "found_word"))
 
     base = docs.select(*keep, F.col(text).alias(block), words_of(F.col(text)).alias(words), F.monotonically_increasing_id().alias(row))
     if window:
-        return _scan_windows(base, keep, row, words, index, order, prefixes, window, templates)
+        return _scan_windows(base, keep, row, words, index, order, {w: n * window for w, n in sizes.items()}, window, templates)
     # Most documents have no prefix word and stay one row; of the others each line becomes one.
-    may = F.arrays_overlap(words, F.array(*[F.lit(w) for w in prefixes]))
+    may = F.arrays_overlap(words, F.array(*[F.lit(w) for w in sizes]))
     lines = base.select(*keep, row, F.size(words).cast("long").alias("n_words"), phrase_places(F.col(words)).alias("places"), F.explode(F.when(may, F.split(block, "\n")).otherwise(F.array(F.lit("")))).alias(block))
     in_line = F.array_distinct(words_of(F.col(block)))
     ordered = F.array(*[F.lit(w) for w in order])
