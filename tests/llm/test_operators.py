@@ -7,7 +7,9 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -647,3 +649,32 @@ def test_near_dedup_verifies_what_it_merges(spark, monkeypatch, block):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
     assert got == list(range(0, 16, 2))
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_a_forest_connects_what_all_pairs_would(across):
+    """Of members that are alike in several cells; pairs are given in one cell only, by forests fewer than members."""
+    draw = np.random.default_rng(5)
+    size, base = 120, draw.integers(0, 1 << 62, 150)
+    sets = [np.unique(np.concatenate([base[: draw.integers(120, 150)], draw.integers(0, 1 << 62, draw.integers(0, 30))]).view(np.uint64)) for _ in range(size)]
+    cells = [sorted({c for c in (7, 8, 9) if draw.random() < 0.8}) for _ in sets]
+    label = draw.integers(0, 60, size)
+    data = [{"key": i, "n": len(s), "label": int(label[i]), "part": i % 2, "sketch": similar.sketch(s).tolist(), "cells": c} for i, (s, c) in enumerate(zip(sets, cells))]
+
+    def joined(pairs):
+        group = label.copy()
+        for a, b in pairs:
+            group[group == group[a]] = group[b]
+        return {frozenset(np.flatnonzero(group == g).tolist()) for g in group}
+
+    every, forests = [], []
+    for cell in (7, 8, 9):
+        block = similar._Block(cell, across, pa.array([d for d in data if cell in d["cells"]]), 0.8)
+        every += map(tuple, np.sort(block.pairs(), axis=1).tolist())
+        forest = [tuple(x) for x in np.sort(block.forest(), axis=1).tolist()]
+        assert len(forest) < len(block.key) and joined(forest) == joined(np.sort(block.pairs(), axis=1).tolist())
+        forests += forest
+    assert len(every) == len(set(every)) > len(forests) > 0 and set(forests) <= set(every)
+    assert joined(forests) == joined(every)
+    similar_sets = {(a, b) for a in range(size) for b in range(a + 1, size) if label[a] != label[b] and set(cells[a]) & set(cells[b]) and (not across or (a + b) % 2) and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
+    assert similar_sets <= set(every)
