@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import write_table
+
 #: A bucket's width: a day.
 BUCKET_NS = 86_400_000_000_000
 
@@ -37,6 +39,21 @@ def numbered(df: DataFrame, key: str, order: list[str], name: str, width_ns: int
     return rows.withColumn(name, (here + F.coalesce("carried_rows", F.lit(0))).cast("long")).drop("bucket", "carried_rows")
 
 
+def numbered_in_all(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """`df` with each row's number, from 0, in the order of all rows, which `order` should settle.
+
+    Rows are sorted by ranges and written with their place in their range; the ranges' sizes, a row for each task, are
+    added up and joined. No window holds all rows.
+    """
+    placed = write_table(df.orderBy(*order).withColumn("row_place", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("row_place", 33)
+    sizes = placed.groupBy(part.alias("row_part")).agg(F.count("*").alias("part_rows"))
+    earlier = F.coalesce(F.sum("part_rows").over(W.orderBy("row_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each task
+    offsets = sizes.select("row_part", earlier.alias("part_from"))
+    number = F.col("part_from") + F.col("row_place").bitwiseAND((1 << 33) - 1)
+    return placed.join(F.broadcast(offsets), part == F.col("row_part")).select(*df.columns, number.alias(name))
+
+
 def with_previous(df: DataFrame, key: str, order: list[str], value: str, name: str, width_ns: int = BUCKET_NS) -> DataFrame:
     """`df` with `value` of the row before in its key; null for the first. `value` is never null."""
     last = F.max_by(value, F.struct(*order))
