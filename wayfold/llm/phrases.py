@@ -10,6 +10,7 @@ list of frequent phrases is held anywhere as a whole, and no occurrence leaves i
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +29,12 @@ NO_LANG = "und"
 
 #: Words of a block, about (a longer text goes on to a block of its own length at its next piece); counts that a part
 #: of the exchange sums at a time. Both bound a worker's memory.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 21
 PART_COUNTS = 1 << 21
 
-BLOCK = "block long, lang string, n long, words array<string>, counts array<int>, positions binary"
+BLOCK = "block long, lang string, n long, words binary, counts binary, positions binary"
+WORD_OFFER = "part long, block long, lang string, words binary, at binary, n binary"
+WORDS = "block long, lang string, words array<string>, at array<long>, gid array<long>, a array<long>"
 STATE = "block long, words binary, word_counts binary, word_positions binary, phrases binary, phrase_counts binary, phrase_positions binary, n long"
 OFFER = "part long, block long, prefix binary, word binary, n binary"
 MERGED = "block long, prefix array<long>, word array<long>, gid array<long>, a array<long>"
@@ -55,6 +58,16 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum((z >> np.uint64(1)).view(np.int64) ^ -(z & np.uint64(1)).view(np.int64))
 
 
+def pack_words(words: list[bytes]) -> bytes:
+    """Words hold no line feed, as pieces end there."""
+    data = b"\n".join(words)
+    return len(data).to_bytes(8, "little") + _CODEC.compress(data, asbytes=True)
+
+
+def unpack_words(data: bytes) -> list[bytes]:
+    return _CODEC.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), asbytes=True).split(b"\n")
+
+
 class _Held:
     """Words of a language that are not yet a block."""
 
@@ -79,11 +92,13 @@ class _Held:
 
     def block(self, number: int, lang: str) -> pa.RecordBatch:
         coded = pa.concat_arrays(self.words).dictionary_encode()
-        codes, positions = coded.indices.to_numpy(), np.concatenate(self.positions)
-        order = np.argsort(codes, kind="stable")
-        counts = np.bincount(codes, minlength=len(coded.dictionary)).astype(np.int32)
-        columns = [pa.array([number]), pa.array([lang]), pa.array([self.n]), pa.array([coded.dictionary], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int32())), pa.array([pack(positions[order])])]
-        return pa.RecordBatch.from_arrays(columns, names=["block", "lang", "n", "words", "counts", "positions"])
+        order = pc.sort_indices(coded.dictionary).to_numpy()  # neighbours are alike, and so packed small
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        codes, positions = rank[coded.indices.to_numpy()], np.concatenate(self.positions)
+        words = coded.dictionary.take(pa.array(order)).cast(pa.binary()).to_pylist()
+        columns = [[number], [lang], [self.n], [pack_words(words)], [pack(np.bincount(codes, minlength=len(order)))], [pack(positions[np.argsort(codes, kind="stable")])]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "lang", "n", "words", "counts", "positions"])
 
 
 def _bounds(values: np.ndarray) -> list[tuple[int, int]]:
@@ -121,6 +136,56 @@ def _blocks(docs: DataFrame, block_words: int) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, BLOCK)
 
 
+_WORD_OFFER_KIND = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("lang", pa.string()), ("words", pa.binary()), ("at", pa.binary()), ("n", pa.binary())])
+
+
+def _word_offers(parts: int):
+    """What blocks count of words, packed by the part that sums a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                words, n, seed = unpack_words(row["words"]), unpack(row["counts"]), zlib.crc32(row["lang"].encode())
+                part = np.fromiter((zlib.crc32(w, seed) for w in words), np.int64, len(words)) % parts
+                order = np.argsort(part, kind="stable")
+                out = [{"part": int(part[order[a]]), "block": row["block"], "lang": row["lang"], "words": pack_words([words[j] for j in order[a:b]]), "at": pack(order[a:b]), "n": pack(n[order[a:b]])} for a, b in _bounds(part[order])]
+                yield from pa.Table.from_pylist(out, _WORD_OFFER_KIND).to_batches()
+
+    return run
+
+
+_WORDS_KIND = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("at", pa.list_(pa.int64())), ("gid", pa.list_(pa.int64())), ("a", pa.list_(pa.int64()))])
+
+
+def _merge_words(least: int):
+    def merge(offers: pa.Table) -> pa.Table:
+        """The frequent words of a part (block null), and for each block those of them that it has."""
+        rows, next_gid = [], offers["part"][0].as_py() << 32
+        for lang in offers["lang"].unique().to_pylist():
+            some = offers.filter(pc.equal(offers["lang"], lang))
+            split = list(map(unpack_words, some["words"].to_pylist()))
+            coded = pa.array([w for words in split for w in words], pa.binary()).dictionary_encode()
+            codes, n = coded.indices.to_numpy(), np.concatenate([unpack(x) for x in some["n"].to_pylist()])
+            total = np.zeros(len(coded.dictionary), np.int64)
+            np.add.at(total, codes, n)
+            often = np.flatnonzero(total >= least)
+            gid = np.full(len(total), -1, np.int64)
+            gid[often] = next_gid + np.arange(len(often))
+            next_gid += len(often)
+            if len(often):
+                rows.append({"block": None, "lang": lang, "words": coded.dictionary.take(pa.array(often)).cast(pa.string()).to_pylist(), "at": None, "gid": gid[often], "a": total[often]})
+            start = 0
+            for block, words, at in zip(some["block"].to_pylist(), split, some["at"].to_pylist(), strict=True):
+                here = gid[codes[start : start + len(words)]]
+                start += len(words)
+                if (here >= 0).any():
+                    rows.append({"block": block, "lang": lang, "words": None, "at": unpack(at)[here >= 0], "gid": here[here >= 0], "a": None})
+        return pa.Table.from_pylist(rows, _WORDS_KIND)
+
+    return merge
+
+
 class _Lists:
     """Lists of positions by id, and the same in order of position."""
 
@@ -171,16 +236,17 @@ def _first(block: pa.Table, frequent: pa.Table) -> pa.Table:
     if not block.num_rows or not frequent.num_rows:
         return _STATE_KIND.empty_table()
     row = block.to_pylist()[0]
-    counts, positions = np.array(row["counts"], np.int64), unpack(row["positions"])
+    counts, positions = unpack(row["counts"]), unpack(row["positions"])
     gid = np.full(len(counts), -1, np.int64)
-    gid[frequent["at"].to_numpy()] = frequent["gid"].to_numpy()
+    gid[frequent["at"].combine_chunks().flatten().to_numpy()] = frequent["gid"].combine_chunks().flatten().to_numpy()
     kept = positions[np.repeat(gid >= 0, counts)]
     return pa.Table.from_pylist([_state(row["block"], (gid[gid >= 0], counts[gid >= 0], kept), None)], _STATE_KIND)
 
 
 def _next(k: int):
     def step(state: pa.Table, frequent: pa.Table) -> pa.Table:
-        """The state of a block with its frequent phrases of k + 1 words, and the words that may go on with them."""
+        """The state of a block: its frequent phrases of k + 1 words where they stand next to another, so that both may be
+        part of a longer one, and the words that such phrases may go on with."""
         if not state.num_rows or not frequent.num_rows:
             return _STATE_KIND.empty_table()
         row = state.to_pylist()[0]
@@ -194,9 +260,12 @@ def _next(k: int):
         here = phrase * len(words.ids) + word
         found = np.minimum(np.searchsorted(wanted, here, sorter=order), len(wanted) - 1)
         ok = wanted[order[found]] == here
-        new = _by_id(order[found[ok]], gid, at[ok])
-        after = np.unique(words.find(at[ok] + k + 1))
-        after = after[after >= 0]
+        at, which = at[ok], order[found[ok]]
+        goes_on = np.isin(at + 1, at, assume_unique=True)  # a longer frequent phrase stands on two neighbours
+        joined = goes_on | np.isin(at - 1, at, assume_unique=True)
+        new = _by_id(which[joined], gid, at[joined])
+        after = words.find(at[goes_on] + k + 1)
+        after = np.sort(after[after >= 0])
         return pa.Table.from_pylist([_state(row["block"], _by_id(words.which[after], words.ids, words.at[after]), new)], _STATE_KIND)
 
     return step
@@ -270,12 +339,14 @@ def count(docs: DataFrame, least: int, longest: int, lang: str = "lang", text: s
     small_batches(docs.sparkSession)
     blocks = write_table(_blocks(docs, block_words), "phrase-blocks")
     totals = write_table(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    listed = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "lang", "at", F.col("x.words").alias("phrase"), F.col("x.counts").alias("c"))
-    often = listed.groupBy("lang", "phrase").agg(F.sum("c").alias("a")).where(F.col("a") >= least)
+    parts = (totals.agg(F.sum("n")).first()[0] or 0) // part_counts + 1
+    offered = blocks.select("block", "lang", "words", "counts").mapInArrow(_word_offers(parts), WORD_OFFER)
+    summed = write_table(offered.groupBy("part").applyInArrow(_merge_words(least), WORDS), "phrase-words")
     empty = F.lit(None).cast("long")
-    single = write_table(often.select(F.lit(1).alias("level"), F.monotonically_increasing_id().alias("gid"), "lang", "phrase", "a", empty.alias("prefix"), empty.alias("suffix"), F.array("a").alias("heads"), F.array("a").alias("tails")), "phrases-1")
-    ids = listed.join(single.select("lang", "phrase", "gid"), ["lang", "phrase"]).select(F.col("block").alias("to"), "at", "gid")
-    state = write_table(blocks.select("block", "counts", "positions").groupBy("block").cogroup(ids.groupBy("to")).applyInArrow(_first, STATE), "phrase-lists-1")
+    often = summed.where("block is null").select("lang", F.inline(F.arrays_zip(F.col("words").alias("phrase"), "gid", "a")))
+    single = write_table(often.select(F.lit(1).alias("level"), "gid", "lang", "phrase", "a", empty.alias("prefix"), empty.alias("suffix"), F.array("a").alias("heads"), F.array("a").alias("tails")), "phrases-1")
+    told = summed.where("block is not null").select(F.col("block").alias("to"), "at", "gid")
+    state = write_table(blocks.select("block", "counts", "positions").groupBy("block").cogroup(told.groupBy("to")).applyInArrow(_first, STATE), "phrase-lists-1")
     drop_table(blocks)
     levels = [single]
     for k in range(1, longest):
