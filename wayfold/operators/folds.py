@@ -1,7 +1,8 @@
 """Operators whose next step depends on their own output: keyframes, throttles, smoothing, tracking, suppression.
 
-Rows are dealt by key and sorted, then stream through in Arrow batches with one state, so a key of any length takes
-constant memory; but suppression remembers the boxes that a frame and class keeps, and tracking a trip's landmarks.
+Throttles and smoothing run in buckets of a key, as `ordered` says. For the others rows are dealt by key and sorted, then
+stream through in Arrow batches with one state, so a key of any length takes constant memory; but suppression remembers
+the boxes that a frame and class keeps, and tracking a trip's landmarks.
 """
 
 from __future__ import annotations
@@ -11,6 +12,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import vision
+from . import ordered
 
 
 def ordered_fold(df: DataFrame, key: str, order: list[str], start: Callable[[], Callable[[dict], dict | None]], schema: str) -> DataFrame:
@@ -43,9 +48,13 @@ def _turned(q: tuple, p: tuple) -> float:
     return math.degrees(2 * math.acos(min(1.0, abs(sum(a * b for a, b in zip(q, p, strict=True))))))
 
 
+_POSE = ["ts_ns", "vio_x", "vio_y", "vio_z", "qx", "qy", "qz", "qw"]
+
+
 def keyframes(poses: DataFrame, min_ns: int, min_m: float, min_deg: float) -> DataFrame:
     """Tracking poses: the first, then each that is `min_ns` or more from the last selected, and also `min_m` away
-    from it or turned by `min_deg`."""
+    from it or turned by `min_deg`. Poses with a null time, place or orientation are left out."""
+    poses = poses.dropna(subset=_POSE)
 
     def start():
         last = None
@@ -65,47 +74,26 @@ def keyframes(poses: DataFrame, min_ns: int, min_m: float, min_deg: float) -> Da
     return ordered_fold(poses, "trip_id", ["ts_ns", "pose_id"], start, "trip_id long, pose_id long, ts_ns long")
 
 
-def throttle(samples: DataFrame, min_ns: int) -> DataFrame:
-    """Samples that come `min_ns` or more after the last accepted one of their stream."""
+def throttle(samples: DataFrame, min_ns: int, width_ns: int | None = None) -> DataFrame:
+    """Samples that come `min_ns` or more after the last accepted one of their stream; with none or less, all. Those
+    without a time are left out."""
+    out = samples.select("stream_id", "seq", "raw_ns")
+    if min_ns <= 0:
+        return out.where("raw_ns is not null")
+    return ordered.accepted(out, "stream_id", ["raw_ns", "seq"], F.lit(min_ns), width_ns)
 
-    def start():
-        last = None
-
-        def step(r):
-            nonlocal last
-            if last is not None and r["raw_ns"] - last < min_ns:
-                return None
-            last = r["raw_ns"]
-            return {"stream_id": r["stream_id"], "seq": r["seq"], "raw_ns": r["raw_ns"]}
 
-        return step
-
-    return ordered_fold(samples, "stream_id", ["raw_ns", "seq"], start, "stream_id string, seq long, raw_ns long")
-
-
-def shed(samples: DataFrame) -> DataFrame:
+def shed(samples: DataFrame, width_ns: int | None = None) -> DataFrame:
     """Samples of a stream that a changing policy lets through: with `hz` above zero, those 1 / `hz` seconds or more
-    after the last one let through; with none or zero, no sample. Whole nanoseconds count."""
-
-    def start():
-        last = None
-
-        def step(r):
-            nonlocal last
-            if not r["hz"] or r["hz"] <= 0 or (last is not None and r["raw_ns"] - last < 10**9 // r["hz"]):
-                return None
-            last = r["raw_ns"]
-            return {"stream_id": r["stream_id"], "seq": r["seq"]}
-
-        return step
-
-    return ordered_fold(samples, "stream_id", ["raw_ns", "seq"], start, "stream_id string, seq long")
+    after the last one let through; with none or zero, no sample. Whole nanoseconds count, at least one, and samples
+    without a time are left out."""
+    gap = F.when(F.col("hz") > 0, F.floor(F.lit(1e9) / F.col("hz")))
+    return ordered.accepted(samples.select("stream_id", "seq", "raw_ns", "hz"), "stream_id", ["raw_ns", "seq"], gap, width_ns).select("stream_id", "seq")
 
 
 def suppress(boxes: DataFrame, most_iou: float = 0.45) -> DataFrame:
     """Greedy suppression: in each frame and class, by falling score, boxes that overlap no kept box too much."""
     import numpy as np
-    from pyspark.sql import functions as F
 
     def start():
         kept: list = []
@@ -135,7 +123,8 @@ class _Landmark:
     """What all detections of a landmark say: running mean and spread, and votes."""
 
     def __init__(self, number: int) -> None:
-        self.number, self.n, self.mean, self.spread, self.depth, self.top = number, 0, [0.0, 0.0, 0.0], 0.0, 0.0, -math.inf
+        self.number, self.n, self.mean, self.spread, self.top = number, 0, [0.0, 0.0, 0.0], 0.0, -math.inf
+        self.depth, self.depths = 0.0, 0
         self.classes: dict[str, float] = {}
         self.labels: dict[str, int] = {}
 
@@ -145,16 +134,19 @@ class _Landmark:
             off = x - self.mean[i]
             self.mean[i] += off / self.n
             self.spread += off * (x - self.mean[i])
-        self.depth += r["depth_m"]
-        self.top = max(self.top, r["confidence"])
-        self.classes[r["asset_class"]] = self.classes.get(r["asset_class"], 0.0) + r["confidence"]
+        if r["depth_m"] is not None and math.isfinite(r["depth_m"]):
+            self.depth, self.depths = self.depth + r["depth_m"], self.depths + 1
+        sure = r["confidence"] or 0.0
+        self.top = max(self.top, sure)
+        if r["asset_class"] is not None:
+            self.classes[r["asset_class"]] = self.classes.get(r["asset_class"], 0.0) + sure
         if r["semantic_label"] is not None:
             self.labels[r["semantic_label"]] = self.labels.get(r["semantic_label"], 0) + 1
 
     def row(self) -> dict:
         won = lambda votes: min(votes, key=lambda x: (-votes[x], x), default=None)
         std = math.sqrt(self.spread / (3 * (self.n - 1))) if self.n > 1 else None
-        return dict(zip("xyz", self.mean, strict=True)) | {"track_id": self.number, "is_new": self.n == 1, "observations": self.n, "position_std_m": std, "max_confidence": self.top, "depth_avg_m": self.depth / self.n, "asset_class": won(self.classes), "semantic_label": won(self.labels)}
+        return dict(zip("xyz", self.mean, strict=True)) | {"track_id": self.number, "is_new": self.n == 1, "observations": self.n, "position_std_m": std, "max_confidence": self.top, "depth_avg_m": self.depth / self.depths if self.depths else None, "asset_class": won(self.classes), "semantic_label": won(self.labels)}
 
 
 def track_assets(detections: DataFrame, merge_m: float = 3.0) -> DataFrame:
@@ -165,7 +157,9 @@ def track_assets(detections: DataFrame, merge_m: float = 3.0) -> DataFrame:
     distances to the older landmark.
 
     `detections` has trip_id, ts_ns, id, x, y, z, asset_class, confidence, depth_m, frame_id and semantic_label (may be
-    null). Means lie in cells of `merge_m`, so that only 27 cells are searched for each detection.
+    null). Detections without a finite place are left out; depths that are null or not finite don't enter the mean, a null
+    confidence is 0 and a null class has no vote. Means lie in cells of `merge_m`, so that only 27 cells are searched for
+    each detection.
     """
 
     def start():
@@ -177,7 +171,7 @@ def track_assets(detections: DataFrame, merge_m: float = 3.0) -> DataFrame:
         def step(r):
             nonlocal count
             p = (r["x"], r["y"], r["z"])
-            if not all(map(math.isfinite, p)):
+            if None in p or not all(map(math.isfinite, p)):
                 return None
             at = cell_of(p)
             near = [m for d in beside for m in cells.get((at[0] + d[0], at[1] + d[1], at[2] + d[2]), ())]
@@ -198,8 +192,6 @@ def track_assets(detections: DataFrame, merge_m: float = 3.0) -> DataFrame:
 
 def landmarks(tracked: DataFrame) -> DataFrame:
     """Each landmark as its last detection left it, without the detection's own columns."""
-    from pyspark.sql import functions as F
-
     last = F.max_by(F.struct(*[c for c in tracked.columns if c not in ("id", "is_new")]), "observations").alias("last")
     return tracked.groupBy("trip_id", "track_id").agg(last).select("last.*")
 
@@ -209,25 +201,19 @@ SMOOTH = 0.8
 TURN_DPS, TURN_MPS, FAST_MPS = 25.0, 0.35, 5.0
 
 
-def capture_health(poses: DataFrame, most_ns: int = 500_000_000) -> DataFrame:
+def capture_health(poses: DataFrame, most_ns: int = 500_000_000, width_ns: int | None = None) -> DataFrame:
     """Exponential means, from zero, of speed and rate of turning, and whether they say that the device turns on the
-    spot or moves too fast; pairs of poses with no time or more than `most_ns` between are left out."""
-
-    def start():
-        last, speed, turn = None, 0.0, 0.0
-
-        def step(r):
-            nonlocal last, speed, turn
-            before, last = last, (r["ts_ns"], (r["vio_x"], r["vio_y"], r["vio_z"]), (r["qx"], r["qy"], r["qz"], r["qw"]))
-            gap = 0 if before is None else last[0] - before[0]
-            if not 0 < gap <= most_ns:
-                return None
-            now = math.dist(before[1], last[1]) / (gap / 1e9), _turned(before[2], last[2]) / (gap / 1e9)
-            if not all(map(math.isfinite, now)):
-                return None
-            speed, turn = SMOOTH * speed + (1 - SMOOTH) * now[0], SMOOTH * turn + (1 - SMOOTH) * now[1]
-            return {"trip_id": r["trip_id"], "pose_id": r["pose_id"], "speed": speed, "turn_dps": turn, "turns_on_spot": turn > TURN_DPS and speed < TURN_MPS, "too_fast": speed > FAST_MPS}
-
-        return step
-
-    return ordered_fold(poses, "trip_id", ["ts_ns", "pose_id"], start, "trip_id long, pose_id long, speed double, turn_dps double, turns_on_spot boolean, too_fast boolean")
+    spot or moves too fast; pairs of poses with no time or more than `most_ns` between are left out, and so are poses
+    with a null time, place or orientation, and rates that are not finite."""
+    order = ["ts_ns", "pose_id"]
+    here = poses.dropna(subset=_POSE).withColumn("here", F.struct(*_POSE))
+    pairs = ordered.with_previous(here, "trip_id", order, "here", "before", width_ns)
+    seconds = (F.col("ts_ns") - F.col("before.ts_ns")) / 1e9
+    moved = F.sqrt(sum(((F.col(c) - F.col(f"before.{c}")) * (F.col(c) - F.col(f"before.{c}")) for c in _POSE[1:4]), F.lit(0.0)))
+    turned = vision.angle_deg([F.col(c) for c in _POSE[4:]], [F.col(f"before.{c}") for c in _POSE[4:]])
+    rates = pairs.where((seconds > 0) & (F.col("ts_ns") - F.col("before.ts_ns") <= most_ns)).select("trip_id", *order, (moved / seconds).alias("speed"), (turned / seconds).alias("turn_dps"))
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    rates = rates.where(finite(F.col("speed")) & finite(F.col("turn_dps")))
+    smooth = ordered.smoothed(rates, "trip_id", order, ["speed", "turn_dps"], lambda e, v: SMOOTH * e + (1 - SMOOTH) * v, SMOOTH, 0.0, width_ns)
+    speed, turn = F.col("smooth_speed"), F.col("smooth_turn_dps")
+    return smooth.select("trip_id", "pose_id", speed.alias("speed"), turn.alias("turn_dps"), ((turn > TURN_DPS) & (speed < TURN_MPS)).alias("turns_on_spot"), (speed > FAST_MPS).alias("too_fast"))

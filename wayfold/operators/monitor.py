@@ -13,11 +13,12 @@ from dataclasses import asdict, dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .folds import ordered_fold
+from . import ordered
 
 #: Fixed values of the monitor: smoothing, samples before the baseline, periods that make a gap, rate window; a kind of
 #: warning comes at most once in WARN_EVERY samples.
@@ -109,43 +110,44 @@ def snapshot(states: DataFrame) -> DataFrame:
 _ORDER = ["arrival_ns", "seq"]
 
 
-def drift(samples: DataFrame) -> DataFrame:
+def _accepted(samples: DataFrame, width_ns: int | None) -> DataFrame:
+    """Samples in order of arrival that are not before the newest accepted one of their stream, with `before`, how many
+    were received before, latency_ns and drift_ns."""
+    given = samples.where("raw_ns is not null and arrival_ns is not null").select("stream_id", "seq", "raw_ns", "arrival_ns")
+    given = ordered.with_first(given, "stream_id", _ORDER, {"offset_ns": F.col("arrival_ns") - F.col("raw_ns")})
+    rows = ordered.carry(ordered.bucketed(given, "stream_id", "arrival_ns", width_ns), "stream_id", {"rows_before": (F.count("*"), "sum"), "top_before": (F.max("raw_ns"), "max")})
+    w = W.partitionBy("stream_id", "bucket").orderBy(*_ORDER)
+    top = F.greatest(F.max("raw_ns").over(w.rowsBetween(W.unboundedPreceding, -1)), "top_before")
+    before = F.row_number().over(w) - 1 + F.coalesce("rows_before", F.lit(0))
+    rows = rows.withColumn("top", top).withColumn("before", before).where("top is null or raw_ns >= top")
+    late = rows.select("stream_id", *_ORDER, "before", (F.col("arrival_ns") - F.col("raw_ns") - F.col("offset_ns")).alias("latency_ns"))
+    late = late.withColumn("late", F.col("latency_ns").cast("double"))
+    smooth = ordered.smoothed(late, "stream_id", _ORDER, ["late"], lambda e, v: e + ALPHA * (v - e), 1 - ALPHA, None, width_ns).withColumn("now", F.col("smooth_late").cast("long"))
+    base = smooth.where(F.col("before") >= WARM_UP).groupBy(F.col("stream_id").alias("base_of")).agg(F.min_by(F.struct("before", "now"), "before").alias("base"))
+    met = smooth.join(base, F.col("stream_id").eqNullSafe(F.col("base_of")), "left")
+    drift_ns = F.when(F.col("before") >= F.col("base.before"), F.col("now") - F.col("base.now")).otherwise(F.lit(0)).cast("long")
+    return met.select("stream_id", "seq", "before", "latency_ns", drift_ns.alias("drift_ns"))
+
+
+def drift(samples: DataFrame, width_ns: int | None = None) -> DataFrame:
     """stream_id, seq and the drift after each accepted sample, in order of arrival: how far the smoothed latency has
-    gone from what it was after the stream's warm-up."""
+    gone from what it was after the stream's warm-up. Samples without a raw or arrival time are left out.
 
-    def start():
-        state = State(None)
+    A long stream is smoothed in buckets, whose states compose up to rounding, so a drift may there be a nanosecond off
+    what one run along the stream gives."""
+    return _accepted(samples, width_ns).select("stream_id", "seq", "drift_ns")
 
-        def step(r):
-            if state.take(r["raw_ns"], r["arrival_ns"]):
-                return {"stream_id": r["stream_id"], "seq": r["seq"], "drift_ns": state.drift_ns}
-            return None
 
-        return step
-
-    return ordered_fold(samples, "stream_id", _ORDER, start, "stream_id string, seq long, drift_ns long")
-
-
-def warnings(samples: DataFrame, budget_ns: int, threshold_ns: int) -> DataFrame:
+def warnings(samples: DataFrame, budget_ns: int, threshold_ns: int, width_ns: int | None = None, every_width: int | None = None) -> DataFrame:
     """stream_id, seq, late and drifts of accepted samples that warn, in order of arrival: `late` of a latency above
     `budget_ns`, `drifts` of a drift beyond `threshold_ns` either way. Each kind comes WARN_EVERY received samples or
     more after its last."""
-
-    def start():
-        state, told = State(None), {"late": -WARN_EVERY, "drifts": -WARN_EVERY}
-
-        def step(r):
-            before = state.received
-            if not state.take(r["raw_ns"], r["arrival_ns"]):
-                return None
-            wrong = {"late": state.latency_ns > budget_ns, "drifts": abs(state.drift_ns) > threshold_ns}
-            says = {kind: bad and before - told[kind] >= WARN_EVERY for kind, bad in wrong.items()}
-            told.update({kind: before for kind, yes in says.items() if yes})
-            return {"stream_id": r["stream_id"], "seq": r["seq"], **says} if any(says.values()) else None
-
-        return step
-
-    return ordered_fold(samples, "stream_id", _ORDER, start, "stream_id string, seq long, late boolean, drifts boolean")
+    kinds = F.array(F.when(F.col("latency_ns") > budget_ns, "late"), F.when(F.abs("drift_ns") > threshold_ns, "drifts"))
+    wrong = _accepted(samples, width_ns).withColumn("kind", F.explode(F.array_compact(kinds)))
+    lanes = wrong.select(F.struct("stream_id", F.nullif("kind", F.lit("")).alias("kind")).alias("lane"), "before", "seq")  # nullable, as Arrow gives it
+    told = ordered.accepted(lanes, "lane", ["before", "seq"], F.lit(WARN_EVERY), every_width).select("lane.*", "seq", "before")
+    said = told.groupBy("stream_id", "seq", "before").agg(*[F.max(F.col("kind") == k).alias(k) for k in ("late", "drifts")])
+    return said.drop("before")
 
 
 def watch(samples: DataFrame, folder: str, nominal_ns: int) -> DataFrame:

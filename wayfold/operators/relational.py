@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import geo, vision
 from ..sources.shared import write_table
+from . import ordered
 
 
 def in_box(df: DataFrame, south: float, north: float, west: float, east: float) -> DataFrame:
@@ -73,9 +74,8 @@ def insert(rows: DataFrame, new: DataFrame, key: str | None = None, label: str =
     if key is not None:
         top = rows.agg(F.coalesce(F.max(key), F.lit(0)).alias("top"))  # an aggregate is one row
         given, open_ = new.where(F.col(key).isNotNull()), new.where(F.col(key).isNull())
-        order = W.orderBy(*[c for c in new.columns if c != key])  # new rows are few
-        numbered = open_.withColumn("number", F.row_number().over(order)).join(F.broadcast(top))
-        new = given.unionByName(numbered.withColumn(key, (F.col("top") + F.col("number")).cast(rows.schema[key].dataType)).drop("top", "number"))
+        numbered = ordered.numbered_in_all(open_, [c for c in new.columns if c != key], "row_number").join(F.broadcast(top))
+        new = given.unionByName(numbered.withColumn(key, (F.col("top") + F.col("row_number") + 1).cast(rows.schema[key].dataType)).drop("top", "row_number"))
     return write_table(rows.unionByName(new, allowMissingColumns=True), label)
 
 
@@ -98,14 +98,15 @@ def migrate(rows: DataFrame, schema: str, label: str = "migrated") -> DataFrame:
     return write_table(rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in later]), label)
 
 
-def persist(folder: str, header: DataFrame, tables: dict[str, DataFrame]) -> list[tuple[str, bool, str | None]]:
+def persist(folder: str, batch: str, header: DataFrame, tables: dict[str, DataFrame]) -> list[tuple[str, bool, str | None]]:
     """Write a header and then each table under its name in `folder`, each by itself, so that one that fails costs none
-    of the others: (name, whether it was written, why not). A header that fails fails all."""
-    header.write.mode("append").parquet(f"{folder}/header")
+    of the others: (name, whether it was written, why not). A header that fails fails all. Rows stand under the name of
+    their `batch`, a column when they are read; a batch that is tried again replaces its own rows alone."""
+    header.write.mode("overwrite").parquet(f"{folder}/header/batch={batch}")
     out: list[tuple[str, bool, str | None]] = []
     for name, rows in tables.items():
         try:
-            rows.write.mode("append").parquet(f"{folder}/{name}")
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
             out.append((name, True, None))
         except Exception as e:  # whatever went wrong with one table
             out.append((name, False, f"{type(e).__name__}: {e}"[:500]))
@@ -125,18 +126,34 @@ def without(rows: DataFrame, gone: DataFrame, key: str, gone_key: str | None = N
     return rows.join(other, F.col(key) == F.col("gone_key"), "left_anti")
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, key: str, ts: str, right_id: str, tolerance_ns: int) -> DataFrame:
-    """Each left row with the id and time of the right row of its key that is nearest in time within a tolerance;
-    null without one. Equal distances go to the earlier row, equal times to the smaller id.
-
-    One shuffle by key: both sides are sorted together and the last and next right rows are carried along.
-    """
+def _beside(left: DataFrame, right: DataFrame, key: str, ts: str, right_id: str, width_ns: int | None) -> DataFrame:
+    """Left rows with `before` and `after`, the times and ids of the last right row at or before and the next one after
+    them. Both sides together fall into ranges of time; a range without one takes it from the nearest range that has
+    one, over a table with a row for each range, so that a long trip is many tasks."""
     mark = F.struct(F.col(ts).alias("at"), F.col(right_id).alias("id"))
-    both = left.withColumn("side", F.lit(1)).unionByName(right.select(key, ts, right_id).withColumn("side", F.lit(0)), allowMissingColumns=True)
+    both = left.withColumn("side", F.lit(1)).unionByName(right.where(F.col(ts).isNotNull()).select(key, ts, right_id).withColumn("side", F.lit(0)), allowMissingColumns=True)
     seen = F.when(F.col("side") == 0, mark)
-    w = W.partitionBy(key).orderBy(ts, "side", F.col(right_id).desc())
-    ahead = W.partitionBy(key).orderBy(ts, F.col("side").desc(), right_id).rowsBetween(1, W.unboundedFollowing)
-    both = both.withColumn("before", F.last(seen, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("after", F.first(seen, ignorenulls=True).over(ahead)).where("side = 1")
+    last = F.max_by(seen, F.when(F.col("side") == 0, F.struct(F.col(ts), _falling(right_id, right))))
+    rows = ordered.carry(ordered.bucketed(both, key, ts, width_ns), key, {"before_range": (last, "last"), "after_range": (F.min(seen), "next")})
+    w = W.partitionBy(key, "bucket").orderBy(ts, "side", F.col(right_id).desc())
+    ahead = W.partitionBy(key, "bucket").orderBy(ts, F.col("side").desc(), right_id).rowsBetween(1, W.unboundedFollowing)
+    before, after = F.last(seen, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first(seen, ignorenulls=True).over(ahead)
+    rows = rows.withColumn("here_before", before).withColumn("here_after", after).where("side = 1")
+    return rows.withColumn("before", F.coalesce("here_before", "before_range")).withColumn("after", F.coalesce("here_after", "after_range"))
+
+
+def _falling(name: str, df: DataFrame) -> Column:
+    """A number that falls as a numeric id rises: of equal times the smallest id is the last."""
+    if not isinstance(df.schema[name].dataType, T.NumericType):
+        raise TypeError(f"{name} must be a number")
+    return -F.col(name)
+
+
+def nearest_in_time(left: DataFrame, right: DataFrame, key: str, ts: str, right_id: str, tolerance_ns: int, width_ns: int | None = None) -> DataFrame:
+    """Each left row with the id and time of the right row of its key that is nearest in time within a tolerance;
+    null without one, and for a row without a time. Equal distances go to the earlier row, equal times to the smaller
+    id, which is a number. Right rows without a time match nothing; null keys are a key."""
+    both = _beside(left, right, key, ts, right_id, width_ns)
     back, forth = F.col(ts) - F.col("before.at"), F.col("after.at") - F.col(ts)
     pick = F.when(back.isNotNull() & (forth.isNull() | (back <= forth)), F.col("before")).otherwise(F.col("after"))
     gap = F.least(F.coalesce(back, forth), F.coalesce(forth, back))
@@ -144,13 +161,12 @@ def nearest_in_time(left: DataFrame, right: DataFrame, key: str, ts: str, right_
     return both.select(*left.columns, near["id"].alias("matched_id"), near["at"].alias("matched_ns"))
 
 
-def latest_before(left: DataFrame, right: DataFrame, key: str, ts: str, right_id: str) -> DataFrame:
-    """Each left row with the last right row of its key at or before it; null without one."""
-    both = left.withColumn("side", F.lit(1)).unionByName(right.select(key, ts, right_id).withColumn("side", F.lit(0)), allowMissingColumns=True)
-    seen = F.when(F.col("side") == 0, F.struct(F.col(ts).alias("at"), F.col(right_id).alias("id")))
-    w = W.partitionBy(key).orderBy(ts, "side", right_id).rowsBetween(W.unboundedPreceding, 0)
-    got = F.last(seen, ignorenulls=True).over(w)
-    return both.withColumn("got", got).where("side = 1").select(*left.columns, F.col("got.id").alias("matched_id"), F.col("got.at").alias("matched_ns"))
+def latest_before(left: DataFrame, right: DataFrame, key: str, ts: str, right_id: str, width_ns: int | None = None) -> DataFrame:
+    """Each left row with the last right row of its key at or before it, of equal times the largest id; null without
+    one, and for a row without a time."""
+    both = left.withColumn("side", F.lit(1)).unionByName(right.where(F.col(ts).isNotNull()).select(key, ts, right_id).withColumn("side", F.lit(0)), allowMissingColumns=True)
+    found = ordered.with_last_known(both, key, [ts, "side", right_id], F.when(F.col("side") == 0, F.struct(F.col(ts).alias("at"), F.col(right_id).alias("id"))), "got", width_ns)
+    return found.where("side = 1").select(*left.columns, F.col("got.id").alias("matched_id"), F.col("got.at").alias("matched_ns"))
 
 
 def voxel_key(x: Column, y: Column, z: Column, size: float) -> Column:

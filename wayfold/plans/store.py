@@ -203,7 +203,9 @@ def persist_isolated(t):
     spark = t("v_fix").sparkSession
     folder = new_path(spark, "trips")
     bad = t("v_landmark").select("trip_id", F.raise_error(F.lit("this table fails")).cast("long").alias("x"))
-    said = rel.persist(folder, t("v_fix").select("trip_id").distinct(), {"assets": t("v_asset"), "landmarks": bad, "fixes": t("v_fix")})
+    write = lambda: rel.persist(folder, "trips-1", t("v_fix").select("trip_id").distinct(), {"assets": t("v_asset"), "landmarks": bad, "fixes": t("v_fix")})
+    write()
+    said = write()  # tried again, it writes nothing twice
     n = lambda name: spark.read.parquet(f"{folder}/{name}").count()
     rows = [("header", True, n("header"))] + [(name, ok, n(name) if ok else 0) for name, ok, _ in said]
     return spark.createDataFrame(rows, "name string, written boolean, n long")
