@@ -49,9 +49,11 @@ def one(spark, **columns):
     return spark.range(1).select(*[c.alias(n) for n, c in columns.items()]).first()
 
 
-def test_haversine_of_a_thousandth_of_a_degree(spark):
-    d = geo.haversine_m(F.lit(12.9716), F.lit(77.5946), F.lit(12.9726), F.lit(77.5946))
-    assert abs(one(spark, d=d)["d"] - 111.32) < 2
+def test_haversine_of_known_arcs(spark):
+    d = lambda *x: geo.haversine_m(*map(F.lit, x))
+    r = one(spark, quarter=d(0.0, 0.0, 0.0, 90.0), pole=d(90.0, 10.0, 30.0, -50.0), none=d(48.2, 16.4, 48.2, 16.4))
+    degree = math.pi * geo.EARTH_RADIUS_M / 180
+    assert abs(r["quarter"] - 90 * degree) < 1e-3 and abs(r["pole"] - 60 * degree) < 1e-3 and r["none"] == 0
 
 
 def test_enu_round_trip(spark):
@@ -72,14 +74,15 @@ def test_clamp_passes_nan(spark):
 
 
 def test_backprojection(spark):
-    p = lambda d: vision.backproject(F.lit(1060.0), F.lit(590.0), F.lit(d), 1000.0, 1000.0, 960.0, 540.0)
-    r = one(spark, a=p(2.0), b=p(0.0), c=p(float("nan")))
-    assert [round(x, 9) for x in r["a"]] == [0.2, 0.1, 2.0] and r["b"] is None and r["c"] is None
+    p = lambda d: vision.backproject(F.lit(100.0), F.lit(360.0), F.lit(d), 400.0, 800.0, 300.0, 200.0)
+    r = one(spark, a=p(8.0), b=p(0.0), c=p(float("nan")))
+    assert [round(x, 9) for x in r["a"]] == [-4.0, 1.6, 8.0] and r["b"] is None and r["c"] is None
 
 
 def test_cosine_order_and_zero_vector(spark):
-    df = spark.createDataFrame([(1, [0.0, 1.0, 0.0]), (2, [0.9, 0.1, 0.0]), (3, [-1.0, 0.0, 0.0]), (4, [0.0, 0.0, 0.0])], "vec_id long, embedding array<float>")
-    assert [r["vec_id"] for r in rel.cosine_topk(df, [1.0, 0.0, 0.0], 2).collect()] == [2, 1]
+    df = spark.createDataFrame([(7, [3.0, 4.0]), (5, [6.0, 8.0]), (6, [-4.0, 3.0]), (8, [0.0, 0.0]), (9, [4.0, 3.0])], "vec_id long, embedding array<float>")
+    got = rel.cosine_topk(df, [0.6, 0.8], 5).collect()
+    assert [r["vec_id"] for r in got[:3]] == [5, 7, 9] and abs(got[2]["score"] - 0.96) < 1e-6
 
 
 def test_voxel_cells_of_negative_points_differ(spark):
@@ -190,9 +193,9 @@ def test_watch_goes_on_after_a_restart(spark, tmp_path):
 
 
 def test_suppression(spark):
-    boxes = [(1, 0.0, 0.0, 100.0, 100.0, 0.9, "a"), (2, 10.0, 10.0, 105.0, 105.0, 0.8, "a"), (3, 500.0, 500.0, 600.0, 600.0, 0.7, "a"), (4, 0.0, 0.0, 100.0, 100.0, 0.6, "b")]
+    boxes = [(9, 40.0, 20.0, 80.0, 60.0, 0.3, "x"), (8, 42.0, 20.0, 82.0, 60.0, 0.7, "x"), (7, 60.0, 20.0, 100.0, 60.0, 0.5, "x"), (6, 42.0, 20.0, 82.0, 60.0, 0.1, "y")]
     df = spark.createDataFrame([(*b, 1) for b in boxes], "id long, left_px double, top_px double, right_px double, bottom_px double, score double, class string, frame_id long")
-    assert sorted(r["id"] for r in folds.suppress(df).collect()) == [1, 3, 4]
+    assert sorted(r["id"] for r in folds.suppress(df).collect()) == [6, 7, 8]
 
 
 DETECTED = "trip_id long, ts_ns long, id long, x double, y double, z double, asset_class string, confidence double, depth_m double, frame_id long, semantic_label string"
@@ -256,6 +259,59 @@ def test_similarity_is_recovered(spark):
     assert np.allclose(np.array(r["rotation"]).reshape(3, 3), rotation, atol=1e-6) and np.allclose(r["translation"], [10, -4, 3], atol=1e-6)
 
 
+def test_similarity_far_from_the_origin(spark):
+    draw = np.random.default_rng(2)
+    source = draw.normal(size=(50, 3)) + 6e6
+    target = 2.0 * (source - 6e6) + np.array([-5e6, 6e6, 1e6])
+    df = spark.createDataFrame([(1, *map(float, s), *map(float, t)) for s, t in zip(source, target, strict=True)] + [(1, None, *[0.0] * 5)], "trip_id long, a double, b double, c double, d double, e double, f double")
+    (r,) = solve.similarity_solve(df.repartition(3), "trip_id", ("a", "b", "c"), ("d", "e", "f")).collect()
+    assert abs(r["scale"] - 2) < 1e-7 and r["rms"] < 1e-4 and r["n"] == 50
+
+
+def test_crc_of_texts(spark):
+    import zlib
+
+    got = {r["doc_id"]: r["crc"] for r in registry.QUERIES["crc32_text"](spark, SF).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert got == {i: zlib.crc32(x.encode()) if x is not None else None for i, x in texts.items()}
+
+
+LAYOUTS = ["compact", "indented", "foreign", "array", "many"]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_features_of_any_layout(layout, tmp_path, spark):
+    import json
+
+    lines = [[[10.5, 50.25, 3], [11, 51]], [[-1e-3, 2.5], [7, -8.0], [9, 9]]]
+    features = [{"type": "Feature", "properties": {"a": 'x\\" } [ {', "features": [1]}, "geometry": {"type": "LineString", "coordinates": x}} for x in lines]
+    whole = {"type": "FeatureCollection", "features": features}
+    foreign = {"bbox": [[1], {"features": [{}]}], "name": "features", "features": [{"geometry": {"coordinates": lines, "type": "MultiLineString"}, "id": "é\"", "type": "Feature"}], "z": {"a": []}}
+    text = {"compact": json.dumps(whole, separators=(",", ":")), "indented": json.dumps(whole, indent=3), "foreign": json.dumps(foreign, ensure_ascii=False), "array": json.dumps(features), "many": "\n".join(json.dumps(f["geometry"]) for f in features)}[layout]
+    for size in (1, 7, 1 << 20):
+        scanner, found = exports.FeatureScanner(), []
+        data = text.encode()
+        for at in range(0, len(data), size):
+            found += scanner.feed(data[at : at + size])
+        scanner.end()
+        assert len(found) == (1 if layout == "foreign" else 2) and all(json.loads(x)["type"] == "Feature" for x in found)
+    (tmp_path / "d.json").write_text(text)
+    files = spark.createDataFrame([(f"file://{tmp_path}/d.json", 4)], "path string, trip_id long")
+    points = exports.parse_geojson(exports.read_collections(files, "trip_id"), "trip_id").collect()
+    assert sorted((r["lon"], r["lat"], r["alt"]) for r in points) == sorted((float(p[0]), float(p[1]), float(p[2]) if len(p) > 2 else 0.0) for x in lines for p in x)
+
+
+def test_documents_that_are_cut_off_are_refused():
+    for text in (b'{"features":[{"a":1}', b'{"features":[{"a":"', b"}"):
+        with pytest.raises(ValueError):
+            scanner = exports.FeatureScanner()
+            list(scanner.feed(text))
+            scanner.end()
+    scanner = exports.FeatureScanner()
+    assert list(scanner.feed(b"")) == []
+    scanner.end()
+
+
 def test_hull_of_a_square_with_inner_points():
     draw = random.Random(1)
     inner = [(draw.random() * 100, draw.random() * 100) for _ in range(200)]

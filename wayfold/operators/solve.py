@@ -36,12 +36,13 @@ def align(source: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray, np
 
 def similarity_solve(pairs: DataFrame, key: str, source: tuple[str, str, str], target: tuple[str, str, str]) -> DataFrame:
     """For each key the scale, rotation (row-major) and translation that best map source to target points, and
-    the root mean square error; no row for fewer than 3 pairs or a source without extent."""
-    sums = [F.count("*").alias("n")]
+    the root mean square error; no row for fewer than 3 pairs or a source without extent. Pairs with a null are left out.
+    Spark's variances and covariances are merged around means, so that points far from the origin lose nothing."""
+    moments = [F.count("*").alias("n")]
     for i, s in enumerate(source):
-        sums += [F.sum(s).alias(f"s{i}"), F.sum(target[i]).alias(f"t{i}"), F.sum(F.col(s) * F.col(s)).alias(f"ss{i}"), F.sum(F.col(target[i]) * F.col(target[i])).alias(f"tt{i}")]
-        sums += [F.sum(F.col(target[i]) * F.col(x)).alias(f"c{i}{j}") for j, x in enumerate(source)]
-    rows = pairs.groupBy(key).agg(*sums)
+        moments += [F.avg(s).alias(f"s{i}"), F.avg(target[i]).alias(f"t{i}"), F.var_pop(s).alias(f"vs{i}"), F.var_pop(target[i]).alias(f"vt{i}")]
+        moments += [F.covar_pop(target[i], x).alias(f"c{i}{j}") for j, x in enumerate(source)]
+    rows = pairs.dropna(subset=[*source, *target]).groupBy(key).agg(*moments)
     out = f"{key} {pairs.schema[key].dataType.simpleString()}, n long, scale double, rotation array<double>, translation array<double>, rms double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,10 +50,9 @@ def similarity_solve(pairs: DataFrame, key: str, source: tuple[str, str, str], t
             made = []
             for r in batch.to_pylist():
                 n = r["n"]
-                mu_s, mu_t = (np.array([r[f"{k}{i}"] for i in range(3)]) / n for k in "st")
-                var_s = sum(r[f"ss{i}"] for i in range(3)) / n - mu_s @ mu_s
-                var_t = sum(r[f"tt{i}"] for i in range(3)) / n - mu_t @ mu_t
-                cov = np.array([[r[f"c{i}{j}"] for j in range(3)] for i in range(3)]) / n - np.outer(mu_t, mu_s)
+                mu_s, mu_t = (np.array([r[f"{k}{i}"] for i in range(3)]) for k in "st")
+                var_s, var_t = (sum(r[f"v{k}{i}"] for i in range(3)) for k in "st")
+                cov = np.array([[r[f"c{i}{j}"] for j in range(3)] for i in range(3)])
                 found = _best(n, mu_s, mu_t, var_s, var_t, cov)
                 if found is not None:
                     scale, rotation, shift, rms = found

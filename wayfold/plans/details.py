@@ -106,15 +106,21 @@ def provenance_class(t):
 #: Export formats written here, and the job that others become.
 NATIVE = ["GEOJSON", "CSV", "PLY", "PCD"]
 JOBS = {"OBJ": "MVS_DENSE", "GLTF": "MVS_DENSE", "OPENDRIVE": "OPENDRIVE", "LANELET2": "LANELET2", "MBTILES": "MBTILES", "PARQUET": "SFM_REFINE"}
-_SQL_FORMATS = " union all ".join([f"select '{x}' as format, 'WRITTEN' as state, null::varchar as job_type" for x in NATIVE] + [f"select '{x}', 'QUEUED', '{y}'" for x, y in JOBS.items()])
+_ASKED = "case id % 8 " + " ".join(f"when {i} then '{x}'" for i, x in enumerate(["GEOJSON", "CSV", *JOBS])) + " end"
 
 
-@query("dispatch_formats", _SQL_FORMATS)
-def dispatch_formats(t):
-    asked = t("v_job").sparkSession.createDataFrame([(x,) for x in [*NATIVE, *JOBS]], "format string")
-    native, f = F.col("format").isin(NATIVE), F.col("format")
+def dispatch(jobs, format="format"):
+    """`jobs` with state and job_type: a format that is written here is WRITTEN, any other QUEUED as a job of its type."""
+    f = F.col(format)
+    native = f.isin(NATIVE)
     job = F.when(f.isin("OBJ", "GLTF"), "MVS_DENSE").when(f.isin("OPENDRIVE", "LANELET2", "MBTILES"), f).otherwise("SFM_REFINE")
-    return asked.select("format", F.when(native, "WRITTEN").otherwise("QUEUED").alias("state"), F.when(~native, job).alias("job_type"))
+    return jobs.withColumns({"state": F.when(native, "WRITTEN").otherwise("QUEUED"), "job_type": F.when(~native, job)})
+
+
+@query("dispatch_formats", f"select id, format, case when format in ({', '.join(repr(x) for x in NATIVE)}) then 'WRITTEN' else 'QUEUED' end as state, case " + " ".join(f"when format = '{x}' then '{y}'" for x, y in JOBS.items()) + f" end as job_type from (select id, {_ASKED} as format from v_job)")
+def dispatch_formats(t):
+    """Each job asks for one of the formats."""
+    return dispatch(t("v_job").select("id", F.expr(_ASKED).alias("format")))
 
 
 @query("upsert_trip", "select trip_id, count(*) + case when trip_id % 2 = 0 then 1 else 0 end as n from v_pose group by trip_id")
@@ -148,7 +154,8 @@ def stream_summary_csv(t):
 
 @query("frame_map_csv", f"select pose_id as frame_id, ts_ns as timestamp_ns, ts_ns - first(ts_ns) {_TRIP} as video_pts_ns from v_pose")
 def frame_map_csv(t):
-    rows = t("v_pose").select(F.col("pose_id").alias("frame_id"), F.col("ts_ns").alias("timestamp_ns"), (F.col("ts_ns") - F.first("ts_ns").over(_trip())).alias("video_pts_ns"))
+    firsts = ordered.with_first(t("v_pose"), "trip_id", ["ts_ns", "pose_id"], {"first_ns": F.col("ts_ns")})
+    rows = firsts.select(F.col("pose_id").alias("frame_id"), F.col("ts_ns").alias("timestamp_ns"), (F.col("ts_ns") - F.col("first_ns")).alias("video_pts_ns"))
     return rows.select(F.to_csv(F.struct("frame_id", "timestamp_ns", "video_pts_ns")).alias("line")).select(F.from_csv("line", "frame_id long, timestamp_ns long, video_pts_ns long").alias("r")).select("r.*")
 
 
@@ -273,16 +280,15 @@ def counter_poll(t):
 
 @query("epoch_enrich", "select stream_id, seq, coalesce(last_value(case when seq % 4 = 0 then value end ignore nulls) over (partition by stream_id order by raw_ns, seq rows between unbounded preceding and current row), -1) as sats from v_sample")
 def epoch_enrich(t):
-    w = W.partitionBy("stream_id").orderBy("raw_ns", "seq").rowsBetween(W.unboundedPreceding, 0)
-    return t("v_sample").select("stream_id", "seq", F.coalesce(F.last(F.when(F.col("seq") % 4 == 0, F.col("value")), ignorenulls=True).over(w), F.lit(-1.0)).alias("sats"))
+    known = ordered.with_last_known(t("v_sample"), "stream_id", ["raw_ns", "seq"], F.when(F.col("seq") % 4 == 0, F.col("value")), "sats")
+    return known.select("stream_id", "seq", F.coalesce("sats", F.lit(-1.0)).alias("sats"))
 
 
 @query("probe_points", """with u as (select *, row_number() over (partition by trip_id order by ts_ns, fix_id) as rn from v_fix where h_acc_m between 0 and 15)
     select fix_id, axis, case axis when 1 then 5.0::double else 0 end as dx, case axis when 2 then 5.0::double else 0 end as dy, case axis when 3 then 5.0::double else 0 end as dz from u, (values (0), (1), (2), (3)) a(axis) where rn % 15 = 0""")
 def probe_points(t):
     """The place itself and 5 m along each axis, at every fifteenth usable fix."""
-    w = W.partitionBy("trip_id").orderBy("ts_ns", "fix_id")
-    used = t("v_fix").where(F.col("h_acc_m").between(0, 15)).withColumn("rn", F.row_number().over(w)).where("rn % 15 = 0")
+    used = ordered.numbered(t("v_fix").where(F.col("h_acc_m").between(0, 15)), "trip_id", ["ts_ns", "fix_id"], "n").where("(n + 1) % 15 = 0")
     probes = F.array(*[F.struct(F.lit(i).alias("axis"), *[F.lit(5.0 if i == k else 0.0).alias(c) for k, c in ((1, "dx"), (2, "dy"), (3, "dz"))]) for i in range(4)])
     return used.select("fix_id", F.inline(probes))
 
@@ -299,11 +305,13 @@ def argmin_area(t):
     return t("v_box").groupBy("frame_id").agg(F.min_by("id", F.struct(off.alias("off"), "id")).alias("id"))
 
 
-@query("landmark_geo_asof", """select fix_id, case when transform_id is not null then lat + transform_id % 7 end as lat from (select f.fix_id, f.lat,
-    (select p.pose_id from v_pose p where p.trip_id = f.trip_id and p.pose_id % 4 = 0 and p.ts_ns <= f.ts_ns order by p.ts_ns desc, p.pose_id desc limit 1) as transform_id from v_fix f)""")
+@query("landmark_geo_asof", """select fix_id, max(lat) + arg_max(pose_id, (p_ns, pose_id)) % 7 as lat from (select f.fix_id, f.lat, p.pose_id, p.ts_ns as p_ns from v_fix f
+    left join v_pose p on p.trip_id = f.trip_id and p.ts_ns <= f.ts_ns - (f.fix_id % 5) * 1000000000) group by fix_id""")
 def landmark_geo_asof(t):
-    """Each point is placed by the alignment that was current at its time; null before the first."""
-    placed = rel.latest_before(t("v_fix"), t("v_pose").where("pose_id % 4 = 0"), "trip_id", "ts_ns", "pose_id")
+    """Each point is placed by the alignment that was current at its time; null before the first. Every pose makes an
+    alignment, and points are some seconds older than their poses."""
+    points = t("v_fix").withColumn("ts_ns", F.col("ts_ns") - F.col("fix_id") % 5 * 1_000_000_000)
+    placed = rel.latest_before(points, t("v_pose"), "trip_id", "ts_ns", "pose_id")
     return placed.select("fix_id", (F.col("lat") + F.col("matched_id") % 7).alias("lat"))
 
 

@@ -147,7 +147,8 @@ def last_n_warnings(t):
 
 @query("every_nth", "select trip_id, pose_id from v_pose where state = 'TRACKING' qualify row_number() over (partition by trip_id order by ts_ns, pose_id) % 10 = 0")
 def every_nth(t):
-    return t("v_pose").where("state = 'TRACKING'").withColumn("rn", F.row_number().over(_trip())).where("rn % 10 = 0").select("trip_id", "pose_id")
+    tracking = ordered.numbered(t("v_pose").where("state = 'TRACKING'"), "trip_id", ["ts_ns", "pose_id"], "n")
+    return tracking.where("(n + 1) % 10 = 0").select("trip_id", "pose_id")
 
 
 @query("union_topics", "select 'fix' as topic, ts_ns, fix_id as id, lat, cast(null as double) as vio_x from v_fix union all select 'pose', ts_ns, pose_id, null, vio_x from v_pose")
@@ -225,8 +226,7 @@ def latest_pose_asof(t):
 
 @query("sliding_pairs_600", "select trip_id, fix_id from v_fix qualify row_number() over (partition by trip_id order by ts_ns desc, fix_id desc) <= 600")
 def sliding_pairs_600(t):
-    w = W.partitionBy("trip_id").orderBy(F.col("ts_ns").desc(), F.col("fix_id").desc())
-    return t("v_fix").withColumn("rn", F.row_number().over(w)).where("rn <= 600").select("trip_id", "fix_id")
+    return ordered.last_rows(t("v_fix"), "trip_id", ["ts_ns", "fix_id"], 600).select("trip_id", "fix_id")
 
 
 def _origin(df):

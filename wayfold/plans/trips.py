@@ -66,6 +66,19 @@ def geojson_parse(t):
     return parsed.withColumn("n", F.col("n").cast("long"))
 
 
+@query("geojson_any_layout", "select trip_id, row_number() over (partition by trip_id order by ts_ns, lon, lat) - 1 as n, lon, lat, alt from v_fix qualify count(*) over (partition by trip_id) >= 2")
+def geojson_any_layout(t):
+    """Trips as indented documents with members and an order of their own, and compact ones, scanned alike."""
+    line = F.array_sort(F.collect_list(F.struct("ts_ns", "lon", "lat", "alt")))
+    rows = t("v_fix").groupBy("trip_id").agg(line.alias("line")).where(F.size("line") >= 2)
+    geometry = F.struct(F.transform("line", lambda p: F.array(p["lon"], p["lat"], p["alt"])).alias("coordinates"), F.lit("LineString").alias("type"))
+    feature = F.struct(geometry.alias("geometry"), F.struct(F.lit('a } "quoted" {[ name').alias("name")).alias("properties"), F.lit("Feature").alias("type"))
+    document = F.struct(F.struct(F.array(F.lit(1)).alias("features")).alias("crs"), F.array(feature).alias("features"), F.lit("FeatureCollection").alias("type"))
+    text = F.when(F.col("trip_id") % 2 == 0, F.to_json(document, {"pretty": "true"})).otherwise(F.to_json(geometry))
+    found = exports.scan_features(rows.select("trip_id", text.alias("document")), "trip_id", "document")
+    return exports.parse_geojson(found, "trip_id").withColumn("n", F.col("n").cast("long"))
+
+
 def _full_assets(t):
     """Assets with an altitude, a depth that may be missing, the frame that they were seen in, and an odd class."""
     odd = F.when(F.col("id") % 10 == 0, F.concat(F.lit('a, "'), F.col("asset_class"), F.lit('"'))).otherwise(F.col("asset_class"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import io
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,11 +54,13 @@ def geojson_assets(assets: DataFrame, key: str) -> DataFrame:
 
 
 def parse_geojson(features: DataFrame, key: str, feature: str = "feature", most: int = LINE_POINTS) -> DataFrame:
-    """key, n (from 0), lon, lat, alt of the LineString features' points; a missing altitude is 0. Where `features` has
-    part, parts follow one another and their border points count once."""
+    """key, n (from 0), lon, lat, alt of the points of LineString and MultiLineString features; a missing altitude is 0.
+    Where `features` has part, parts follow one another and their border points count once."""
     part = F.col("part") if "part" in features.columns else F.lit(0)
-    parsed = F.from_json(F.col(feature), "struct<geometry: struct<type: string, coordinates: array<array<double>>>>")
-    rows = features.select(key, part.alias("part"), parsed.alias("f")).where("f.geometry.type = 'LineString'").select(key, "part", F.posexplode("f.geometry.coordinates").alias("at", "p"))
+    parsed = F.from_json(F.col(feature), "struct<geometry: struct<type: string, coordinates: string>>")["geometry"]
+    given = features.select(key, part.alias("part"), parsed.alias("g")).where("g.type in ('LineString', 'MultiLineString')")
+    line = F.when(F.col("g.type") == "LineString", F.from_json("g.coordinates", "array<array<double>>")).otherwise(F.flatten(F.from_json("g.coordinates", "array<array<array<double>>>")))
+    rows = given.select(key, "part", F.posexplode(line).alias("at", "p"))
     # The border point is read where it ends a part, as the next part may have it alone and so not be there.
     rows = rows.withColumn("n", (F.col("part") * most + F.col("at")).cast("int")).where((F.col("at") > 0) | (F.col("part") == 0))
     return rows.select(key, "n", F.get("p", F.lit(0)).alias("lon"), F.get("p", F.lit(1)).alias("lat"), F.coalesce(F.get("p", F.lit(2)), F.lit(0.0)).alias("alt"))
@@ -108,21 +110,101 @@ def write_collections(features: DataFrame, key: str, order: list[str], folder: s
     return dealt.mapInArrow(run, f"path string, {key} {kind}, n_features long")
 
 
+_TOKEN = re.compile(rb'"(?:[^"\\]|\\.)*"|["{}\[\]]', re.S)
+#: Bytes of a document that are read at a time.
+READ = 1 << 20
+
+
+class FeatureScanner:
+    """Features of GeoJSON text of any layout, fed in pieces of any size: the elements of the array `features` of each
+    object, or of an array at the top; an object that is itself a feature; a bare geometry, made one. It follows the depth
+    of braces and brackets outside strings, and holds one feature, or what comes before the features, and no more."""
+
+    def __init__(self) -> None:
+        self.rest, self.scanned, self.depth, self.start = b"", 0, 0, -1
+        self.inside = 0  # depth of the features' array, while in it
+        self.found = self.bare = False  # whether this object has features; or is a geometry
+        self.name = b""
+
+    def feed(self, data: bytes) -> Iterator[bytes]:
+        text, at = self.rest + data, self.scanned
+        for m in _TOKEN.finditer(text, at):
+            token = m.group()
+            if token == b'"':  # a string that goes on in the next piece
+                break
+            at = m.end()
+            if token[:1] == b'"':
+                if self.depth == 1:
+                    self.name = token
+                    self.bare |= token in (b'"coordinates"', b'"geometries"')
+            elif token in b"{[":
+                if self.depth == 0:
+                    self.start, self.found, self.bare, self.name = m.start(), token == b"[", False, b""
+                    self.inside = int(token == b"[")
+                elif self.depth == 1 and token == b"[" and self.name == b'"features"' and not self.inside:
+                    self.found, self.inside, self.start = True, 2, -1
+                elif self.depth == self.inside and token == b"{":
+                    self.start = m.start()
+                self.depth += 1
+            else:
+                self.depth -= 1
+                if self.depth < 0:
+                    raise ValueError("a document has more closing than opening brackets")
+                if self.inside and self.depth == self.inside and token == b"}":
+                    yield text[self.start : at]
+                    self.start = -1
+                elif self.inside and self.depth < self.inside:
+                    self.inside = 0
+                if self.depth == 0 and not self.found:
+                    whole = text[self.start : at]
+                    yield b'{"type":"Feature","properties":null,"geometry":' + whole + b"}" if self.bare else whole
+                if self.depth == 0:
+                    self.start = -1
+        else:
+            at = len(text)
+        held = at if self.start < 0 else self.start
+        self.rest, self.scanned = text[held:], at - held
+        self.start = -1 if self.start < 0 else 0
+
+    def end(self) -> None:
+        if self.depth:
+            raise ValueError("a document is cut off")
+
+
 def read_collections(files: DataFrame, key: str) -> DataFrame:
-    """key and feature of each feature of the documents of `write_collections` (path, key), line by line."""
+    """key and feature of each feature of the GeoJSON documents (path, key), of any layout, whoever wrote them. A
+    document that is cut off or no JSON is refused."""
     kind = files.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, path in enumerate(batch.column(0).to_pylist()):
                 fs, place = pyarrow.fs.FileSystem.from_uri(path)
+                scanner = FeatureScanner()
                 with fs.open_input_stream(place, compression=None) as source:
-                    found = [x.rstrip(b",\n").decode("utf-8", "surrogatepass") for x in io.BufferedReader(source) if x.startswith(b'{"type":"Feature",')]
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array([at] * len(found), pa.int64())), pa.array(found, pa.string())], names=[key, "feature"])
+                    while data := source.read(READ):
+                        found = [x.decode("utf-8", "surrogatepass") for x in scanner.feed(data)]
+                        yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array([at] * len(found), pa.int64())), pa.array(found, pa.string())], names=[key, "feature"])
+                scanner.end()
 
     return files.select("path", key).mapInArrow(run, f"{key} {kind}, feature string")
 
 
+def scan_features(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """key and feature of each feature of GeoJSON texts of any layout; null and empty texts have none."""
+    kind = documents.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, value in enumerate(batch.column(1)):
+                scanner = FeatureScanner()
+                found = [x.decode("utf-8", "surrogatepass") for x in scanner.feed((value.as_py() or "").encode("utf-8", "surrogatepass"))]
+                scanner.end()
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([at] * len(found), pa.int64())), pa.array(found, pa.string())], names=[key, "feature"])
+
+    return documents.select(key, text).mapInArrow(run, f"{key} {kind}, feature string")
+
+
 #: Columns of the CSV files.
 ASSETS = "id long, class string, lat double, lon double, alt double, confidence double, depth_m double, source_frame_id long"
 TRAJECTORY = "timestamp_ns long, lat double, lon double, alt double, east double, north double, up double"
