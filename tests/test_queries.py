@@ -13,6 +13,7 @@ from wayfold.operators import folds, georef, monitor, ordered, perception, solve
 from wayfold.operators import relational as rel
 from wayfold.plans import details, live, registry, store, streams, trips  # noqa: F401
 from wayfold.sources import clouds, exports, logs, payloads, records
+from wayfold.streaming import stateful
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
@@ -185,11 +186,11 @@ def test_watch_goes_on_after_a_restart(spark, tmp_path):
     rows = [("a", i, i * 10, i * 10 + 1) for i in range(50)]
     spark.createDataFrame(rows[:20], SAMPLES).write.parquet(f"{source}/one")
     live = lambda: spark.readStream.schema(SAMPLES).option("recursiveFileLookup", "true").parquet(source)
-    first = monitor.watch(live(), folder, 10).collect()
-    assert monitor.watch(live(), folder, 10).collect() == first and first[0]["received"] == 20
+    first = stateful.watch(live(), folder, 10).collect()
+    assert stateful.watch(live(), folder, 10).collect() == first and first[0]["received"] == 20
     for k in range(3):
         spark.createDataFrame(rows[20 + 10 * k : 30 + 10 * k], SAMPLES).write.parquet(f"{source}/more{k}")
-        assert monitor.watch(live(), folder, 10).collect()[0]["received"] == 30 + 10 * k
+        assert stateful.watch(live(), folder, 10).collect()[0]["received"] == 30 + 10 * k
 
 
 def test_suppression(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
+import bisect
 
 import numpy as np
 import pandas as pd
@@ -40,82 +40,98 @@ def fixes_in_enu(fixes: DataFrame) -> DataFrame:
     return placed.withColumns({"east": e, "north": n, "up": u})
 
 
+class Aligner:
+    """Alignment of one trip as its events arrive: kept poses in order of time, fixes that wait, pairs, what is known."""
+
+    def __init__(self) -> None:
+        self.times: list[int] = []
+        self.poses: dict[int, tuple] = {}
+        self.pending: list[tuple] = []
+        self.pairs: list[tuple] = []
+        self.known: tuple | None = None
+        self.number, self.vps = 0, False
+
+    def nearest(self, ts: int) -> tuple | None:
+        i = bisect.bisect_left(self.times, ts)
+        near = min(self.times[max(0, i - 1) : i + 1], key=lambda x: abs(x - ts), default=None)
+        return self.poses[near] if near is not None and abs(near - ts) <= PAIR_NS else None
+
+    def keep(self, ts: int, here: tuple) -> None:
+        if ts not in self.poses:
+            bisect.insort(self.times, ts)
+        self.poses[ts] = here
+        gone = max(bisect.bisect_left(self.times, ts - KEEP_NS), len(self.times) - MOST_POSES)
+        for old in self.times[: max(0, gone)]:
+            del self.poses[old]
+        del self.times[: max(0, gone)]
+
+    def pair(self, position: tuple, place: tuple) -> bool:
+        if not np.isfinite(position).all():
+            return False
+        self.pairs.append((*position, *place))
+        del self.pairs[:-MOST_PAIRS]
+        return True
+
+    def align(self, points: list, any_scale: bool) -> bool:
+        found = solve.align(np.array(points)[:, :3], np.array(points)[:, 3:]) if len(points) >= 3 else None
+        if found is None or not np.isfinite(found[3]) or found[3] > MAX_RMS_M or not (any_scale or SCALES[0] <= found[0] <= SCALES[1]):
+            return False
+        self.known, self.number = found, self.number + 1
+        return True
+
+    def settle(self) -> None:
+        oldest, waiting, added = self.times[0] if self.times else None, [], False
+        for ts, place in self.pending:
+            pose = self.nearest(ts)
+            if pose is not None:
+                added |= self.pair(pose, place)
+            elif oldest is None or ts >= oldest - PAIR_NS:
+                waiting.append((ts, place))
+        self.pending = waiting
+        if added:
+            self.align(self.pairs, False)
+
+    def take(self, r: dict) -> dict | None:
+        """The place of a pose, if an alignment is known by then; other events give None."""
+        here = (r["a"], r["b"], r["c"])
+        if r["kind"] == "vps":
+            good = [p for p in (r["pairs"] if r["pairs"] is not None else []) if np.isfinite(list(p)).all()]
+            self.vps = self.align(good, True) or self.vps
+        elif r["ts_ns"] is None or None in here:
+            return None
+        elif r["kind"] == "fix":
+            if not self.vps and (pose := self.nearest(r["ts_ns"])) is None:
+                self.pending.append((r["ts_ns"], here))
+                del self.pending[:-MOST_PENDING]
+            elif not self.vps and self.pair(pose, here):
+                self.align(self.pairs, False)
+        else:
+            if r["tracking"]:
+                self.keep(r["ts_ns"], here)
+                if self.vps:
+                    self.pending.clear()
+                elif self.pending:
+                    self.settle()
+            if self.known is not None:
+                scale, rotation, shift, rms = self.known
+                e, n, u = (scale * rotation @ np.array(here) + shift).tolist()
+                return {"trip_id": r["trip_id"], "pose_id": r["id"], "ts_ns": r["ts_ns"], "east": e, "north": n, "up": u, "transform_id": self.number, "rms": rms}
+        return None
+
+
+PLACED = "trip_id long, pose_id long, ts_ns long, east double, north double, up double, transform_id long, rms double"
+
+
 def online(events: DataFrame) -> DataFrame:
     """East, north and up of each pose, by the alignment known when it arrives.
 
     `events` has trip_id, at_ns (arrival), kind ('pose', 'fix' or 'vps'), id, ts_ns, a, b, c (a pose's position or
     a fix's east, north and up), tracking, and pairs (of a 'vps' row: position and place, six numbers each).
     A fix is paired with the nearest kept tracking pose; one without waits until poses catch up with it. After
-    the first accepted 'vps' alignment fixes count no more. One pass for each trip with a bounded state.
+    the first accepted 'vps' alignment fixes count no more. Poses and fixes with a null time or place are left out.
+    One pass for each trip with a bounded state; `wayfold.streaming.placing` does the same to a stream.
     """
-
-    def start():
-        poses: OrderedDict[int, tuple] = OrderedDict()
-        pending: list[tuple] = []
-        pairs: list[tuple] = []
-        known, number, vps = None, 0, False
-
-        def nearest(ts: int) -> tuple | None:
-            near = min(poses, key=lambda x: abs(x - ts), default=None)
-            return poses[near] if near is not None and abs(near - ts) <= PAIR_NS else None
-
-        def pair(position: tuple, place: tuple) -> bool:
-            if not np.isfinite(position).all():
-                return False
-            pairs.append((*position, *place))
-            del pairs[:-MOST_PAIRS]
-            return True
-
-        def align(points: list, any_scale: bool) -> bool:
-            nonlocal known, number
-            found = solve.align(np.array(points)[:, :3], np.array(points)[:, 3:]) if len(points) >= 3 else None
-            if found is None or not np.isfinite(found[3]) or found[3] > MAX_RMS_M or not (any_scale or SCALES[0] <= found[0] <= SCALES[1]):
-                return False
-            known, number = found, number + 1
-            return True
-
-        def settle() -> None:
-            oldest, waiting, added = next(iter(poses), None), [], False
-            for ts, place in pending:
-                pose = nearest(ts)
-                if pose is not None:
-                    added |= pair(pose, place)
-                elif oldest is None or ts >= oldest - PAIR_NS:
-                    waiting.append((ts, place))
-            pending[:] = waiting
-            if added:
-                align(pairs, False)
-
-        def step(r):
-            nonlocal vps
-            here = (r["a"], r["b"], r["c"])
-            if r["kind"] == "vps":
-                good = [p for p in r["pairs"] or [] if np.isfinite(p).all()]
-                vps = align(good, True) or vps
-            elif r["kind"] == "fix":
-                if not vps and (pose := nearest(r["ts_ns"])) is None:
-                    pending.append((r["ts_ns"], here))
-                    del pending[:-MOST_PENDING]
-                elif not vps and pair(pose, here):
-                    align(pairs, False)
-            else:
-                if r["tracking"]:
-                    poses[r["ts_ns"]] = here
-                    while poses and (next(iter(poses)) < r["ts_ns"] - KEEP_NS or len(poses) > MOST_POSES):
-                        poses.popitem(last=False)
-                    if vps:
-                        pending.clear()
-                    elif pending:
-                        settle()
-                if known is not None:
-                    scale, rotation, shift, rms = known
-                    e, n, u = (scale * rotation @ np.array(here) + shift).tolist()
-                    return {"trip_id": r["trip_id"], "pose_id": r["id"], "ts_ns": r["ts_ns"], "east": e, "north": n, "up": u, "transform_id": number, "rms": rms}
-            return None
-
-        return step
-
-    return ordered_fold(events, "trip_id", ["at_ns", "kind", "id"], start, "trip_id long, pose_id long, ts_ns long, east double, north double, up double, transform_id long, rms double")
+    return ordered_fold(events, "trip_id", ["at_ns", "kind", "id"], lambda: Aligner().take, PLACED)
 
 
 def events_of(poses: DataFrame, fixes: DataFrame, fix_delay_ns: int = 0) -> DataFrame:

@@ -1,4 +1,5 @@
-"""The monitor of sample streams, batch by batch: order, gaps, offset, latency, drift and rate of each stream.
+"""The monitor of sample streams: order, gaps, offset, latency, drift and rate of each stream, batch by batch.
+`wayfold.streaming.stateful` keeps the same state for a stream.
 
 Its state is a table with a row for each stream. A batch of samples is dealt by stream together with the state
 so far, sorted by arrival behind it, and streams through, so that a stream of any rate takes constant memory
@@ -148,34 +149,3 @@ def warnings(samples: DataFrame, budget_ns: int, threshold_ns: int, width_ns: in
     told = ordered.accepted(lanes, "lane", ["before", "seq"], F.lit(WARN_EVERY), every_width).select("lane.*", "seq", "before")
     said = told.groupBy("stream_id", "seq", "before").agg(*[F.max(F.col("kind") == k).alias(k) for k in ("late", "drifts")])
     return said.drop("before")
-
-
-def watch(samples: DataFrame, folder: str, nominal_ns: int) -> DataFrame:
-    """Run the monitor over a stream of samples until its source is used up; snapshot of the states then.
-
-    Each micro-batch writes its states under its own number from those of the one before, so that a batch that
-    is tried again overwrites its own alone. A later run in the same folder goes on from there, and with nothing new
-    gives the last states again. Of the states only the last two are kept, as a batch is tried again at most.
-    """
-    spark = samples.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-    def numbers() -> list[int]:
-        if not fs.exists(at):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(at)]
-        done = [x for x in names if x.startswith("states-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{x}/_SUCCESS"))]
-        return sorted(int(x.removeprefix("states-")) for x in done)
-
-    def keep(batch: DataFrame, number: int) -> None:
-        here = batch.sparkSession
-        before = here.read.schema(STATE).parquet(f"{folder}/states-{number - 1}") if number else here.createDataFrame([], STATE)
-        advance(batch, before, nominal_ns).write.mode("overwrite").parquet(f"{folder}/states-{number}")
-        for old in numbers():
-            if old < number - 1:
-                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/states-{old}"), True)
-
-    samples.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
-    done = numbers()
-    return snapshot(spark.read.schema(STATE).parquet(f"{folder}/states-{done[-1]}") if done else spark.createDataFrame([], STATE))

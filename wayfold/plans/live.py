@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import images
-from ..operators import monitor
 from ..sources import payloads
 from ..sources.shared import is_folder, new_path
+from ..streaming import stateful
 from ..views import NS, VIEWS
 from .registry import QUERIES, query
 
@@ -40,7 +40,7 @@ def stream_monitor_live(spark, sf_dir):
     path = f"{sf_dir}/events.parquet"
     events = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path if is_folder(spark, path) else path[:-1] + "[t]")
     samples = events.selectExpr(*[c.format(ns=NS["spark"]) for c in VIEWS["v_sample"][1]])
-    return monitor.watch(samples, new_path(spark, "monitor"), NOMINAL_NS).withColumn("rate_hz", F.round("rate_hz", 9))
+    return stateful.watch(samples, new_path(spark, "monitor"), NOMINAL_NS).withColumn("rate_hz", F.round("rate_hz", 9))
 
 
 query("stream_monitor_live", _MONITOR)(None)
