@@ -153,10 +153,13 @@ def test_ngrams_do_not_depend_on_pieces(monkeypatch):
         assert np.array_equal(np.sort(np.concatenate(list(langid.ngrams(text)))), want)
 
 
-def test_only_the_most_frequent_languages_are_learned(spark, docs, monkeypatch):
-    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
-    most = docs.where(langid.may_learn() & F.col("text").isNotNull() & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(2)
-    assert langid.train(docs).languages == sorted(r["lang"] for r in most.collect())
+def test_rare_and_many_languages_are_learned(spark):
+    rows_in = [(i, f"{'aeiou'[i % 5] * 3}{chr(97 + i % 20) * 4} " * 12, f"l{i % 20:02}") for i in range(800)] + [(9000 + i, "zzzz qqqq xxxx " * 9, "rare") for i in range(6)]
+    df = spark.createDataFrame(rows_in, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model.languages == sorted({r[2] for r in rows_in}) and model.predict("zzzz qqqq xxxx zzzz")[0] == "rare"
+    few = langid.train(df, sample_rows=10)  # fewer rows than languages: those that are drawn
+    assert 0 < len(few.languages) <= 21 and set(few.languages) <= set(model.languages)
 
 
 def test_op3_odd_rows(spark, table):
@@ -468,7 +471,6 @@ def test_keep_one_each(spark):
 
 def test_op9(spark, table, docs):
     library = Tokenizer.from_file(queries.DEFINITION)
-    library.encode_special_tokens = True
     start, want = 0, []
     for doc_id, text in sorted(texts(docs), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
         ids = [*library.encode(text, add_special_tokens=False).ids, 0]
@@ -477,6 +479,15 @@ def test_op9(spark, table, docs):
     assert rows(queries.op9_token_files(spark, table), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=str)
 
 
+def test_op9_gives_added_tokens_as_the_library_does(spark):
+    library = Tokenizer.from_file(queries.DEFINITION)
+    odd = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y<|endoftext|>", "<|endoftext| >", "plain words, and <|endoftext|>\n\nmore", "<|endoftext|><|endoftext|> "]
+    got = token_files.round_trip(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), queries.DEFINITION)
+    ids = [[*library.encode(x, add_special_tokens=False).ids, 0] for x in odd]
+    assert len(ids[0]) == 5 and 50256 in ids[0]
+    assert rows(got, "doc_id", "n_tokens", "ids_crc32") == [(i, len(x), zlib.crc32(b"".join(n.to_bytes(4, "little") for n in x))) for i, x in enumerate(ids)]
+
+
 def test_sequences_are_equal_and_padding_is_masked(tmp_path):
     import numpy as np
     import pyarrow as pa

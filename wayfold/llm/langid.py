@@ -22,10 +22,9 @@ from .common import add_columns, fresh, without
 
 BUCKETS = 1 << 16
 LONGEST = 3
-#: Bound on the labelled rows that the weights are fitted on, shared out evenly among the languages.
+#: Bound, about, on the labelled rows that the weights are fitted on, shared out evenly among the languages. It bounds the
+#: model, too, which has a column for each language among them; only with more languages than this are some not drawn.
 SAMPLE_ROWS = 6000
-#: Languages told apart: those with the most rows, ties by name; a bound on the model's size. Others aren't learned.
-MOST_LANGUAGES = 1000
 UNDETERMINED = "und"
 #: Characters of a text that are hashed at a time; it bounds memory, all of the text is read.
 PIECE = 1 << 20
@@ -138,12 +137,10 @@ def document_frequencies(rows: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 def _sample(rows: DataFrame, text: str, lang: str, doc_id: str, most: int) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray, int, bool]]]:
     """The languages, and for each sampled row its buckets, their shares, its language and whether it calibrates."""
-    most_rows = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    per_language = sorted(most_rows, key=lambda r: r["lang"])
-    languages = [r["lang"] for r in per_language]
-    if not languages:
+    per_language = sorted(rows.groupBy(F.col(lang).alias("lang")).count().collect(), key=lambda r: r["lang"])  # a row for each label
+    if not per_language:
         return [], []
-    each = max(1, most // len(languages))
+    each = most // len(per_language) or most / len(per_language)
     share = F.create_map(*[F.lit(x) for r in per_language for x in (r["lang"], min(1.0, each / r["count"]))])
     draw = F.pmod(F.xxhash64(F.lit(7), F.col(doc_id), F.col(text)), F.lit(1 << 53)) / float(1 << 53)
     drawn = rows.where(draw < F.try_element_at(share, F.col(lang))).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), (F.pmod(F.xxhash64(F.lit(11), F.col(doc_id)), F.lit(5)) == 0).alias("calibrates"))
@@ -162,6 +159,7 @@ def _sample(rows: DataFrame, text: str, lang: str, doc_id: str, most: int) -> tu
     schema = T.StructType([drawn.schema["doc_id"], T.StructField("lang", T.StringType()), T.StructField("calibrates", T.BooleanType()), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("shares", T.ArrayType(T.FloatType()))])
     got = drawn.mapInArrow(sparse, schema).toArrow()
     got = got.take(_order(got))
+    languages = sorted(set(got["lang"].to_pylist()))
     number = {x: i for i, x in enumerate(languages)}
     rows_out = [(got["buckets"][i].values.to_numpy(), got["shares"][i].values.to_numpy(), number[got["lang"][i].as_py()], got["calibrates"][i].as_py()) for i in range(got.num_rows)]
     return languages, rows_out
@@ -176,14 +174,15 @@ def _order(got: pa.Table) -> pa.Array:
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.01, epochs: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Weights (BUCKETS x classes) and bias by follow-the-regularised-leader, per coordinate."""
-    z, n = np.zeros((BUCKETS + 1, classes)), np.zeros((BUCKETS + 1, classes))
+    used = np.unique(np.concatenate([x[0] for x in rows]))  # other buckets keep a weight of zero
+    z, n = np.zeros((len(used) + 1, classes)), np.zeros((len(used) + 1, classes))
 
     def weights(zs: np.ndarray, ns: np.ndarray, l1: float = l1) -> np.ndarray:
         return np.where(np.abs(zs) <= l1, 0.0, -(zs - np.sign(zs) * l1) / ((beta + np.sqrt(ns)) / alpha + l2))
 
     for _ in range(epochs):
         for buckets, values, label in rows:
-            at, x = np.append(buckets, BUCKETS), np.append(values, 1.0)
+            at, x = np.append(np.searchsorted(used, buckets), len(used)), np.append(values, 1.0)
             zs, ns = z[at], n[at]
             w = weights(zs, ns)
             p = _softmax(x @ w)
@@ -192,8 +191,9 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: fl
             new = ns + g * g
             z[at] = zs + g - (np.sqrt(new) - np.sqrt(ns)) / alpha * w
             n[at] = new
-    w = weights(z, n)
-    return w[:BUCKETS], w[BUCKETS]
+    w, out = weights(z, n), np.zeros((BUCKETS, classes), np.float32)
+    out[used] = w[:-1]
+    return out, w[-1]
 
 
 def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
@@ -221,7 +221,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     kept = [x for x in scaled if x[3]]
     logits = np.array([bias + s @ weights[b] for b, s, _, _ in kept])
     temperature = fit_temperature(logits, np.array([x[2] for x in kept], int))
-    return Model(languages, (weights * idf[:, None]).astype(np.float32), bias, temperature)
+    return Model(languages, weights * idf[:, None].astype(np.float32), bias, temperature)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:

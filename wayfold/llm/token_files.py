@@ -63,7 +63,8 @@ class Words:
     where no white space stands next to other white space and all of it is spaces and line feeds (all
     else that is printable is no white space); other texts are encoded whole. A
     word of Latin letters is one piece of that splitting and needs no splitting by the library, and so
-    does what stands before a last dot or comma.
+    does what stands before a last dot or comma. Where a text has the string of an added token, special ones too, it is
+    that token, as the library has it, and the text is encoded whole.
     """
 
     def __init__(self, definition: str, dtype: np.dtype) -> None:
@@ -71,7 +72,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.library, self.dtype = Tokenizer.from_str(definition), dtype
-        self.library.encode_special_tokens = True
+        self.added = [x["content"] for x in json.loads(definition).get("added_tokens") or []]
         self.by_word = splits_at_spaces(definition)
         if not self.by_word:
             return
@@ -118,7 +119,7 @@ class Words:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, self.dtype)
-        if not self.by_word or not text.replace("\n", "").isprintable() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        if not self.by_word or any(x in text for x in self.added) or not text.replace("\n", "").isprintable() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return np.frombuffer(self._encode([text])[0], self.dtype)
         words = ("\n" + text).replace("\n", " \n").split(" ")[1:]
         got = list(map(self.young.get, words))
