@@ -76,6 +76,8 @@ class Words:
         self.by_word = splits_at_spaces(definition)
         if not self.by_word:
             return
+        self.with_added = Tokenizer.from_str(definition)
+        self.library.encode_special_tokens = True  # not looked for where a text has none
         self.model = Tokenizer(self.library.model)  # merges alone, on bytes written as the vocabulary writes them
         self.young: dict[str, bytes] = {}  # words seen lately; those seen before them are `old`
         self.old: dict[str, bytes] = {}
@@ -119,7 +121,9 @@ class Words:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, self.dtype)
-        if not self.by_word or any(x in text for x in self.added) or not text.replace("\n", "").isprintable() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        if self.by_word and any(x in text for x in self.added):
+            return np.frombuffer(self._packed([self.with_added.encode(text, add_special_tokens=False)])[0], self.dtype)
+        if not self.by_word or not text.replace("\n", "").isprintable() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return np.frombuffer(self._encode([text])[0], self.dtype)
         words = ("\n" + text).replace("\n", " \n").split(" ")[1:]
         got = list(map(self.young.get, words))
