@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import images
-from ..sources import payloads
+from ..sources import connectors, payloads
 from ..sources.shared import is_folder, new_path
-from ..streaming import stateful
-from ..views import NS, VIEWS
+from ..streaming import feed, stateful
+from ..views import NS, VIEWS, table
 from .registry import QUERIES, query
 
 NOMINAL_NS = 600_000_000_000
@@ -47,6 +47,52 @@ query("stream_monitor_live", _MONITOR)(None)
 QUERIES["stream_monitor_live"] = stream_monitor_live
 
 
+def observed_latest(spark, sf_dir):
+    """The latest sample of each stream as an observed query: half of the samples are written, and then the rest; each
+    write makes it emit again, and the last emission is what it says now."""
+    folder = new_path(spark, "observed")
+    samples = table(spark, sf_dir, "v_sample").select("stream_id", "seq", "raw_ns", "value")
+    schema = samples.schema
+
+    def latest(session):
+        rows = session.read.schema(schema).parquet(f"{folder}/samples")
+        return rows.groupBy("stream_id").agg(F.max_by(F.struct("raw_ns", "value"), F.struct("raw_ns", "seq")).alias("x")).select("stream_id", "x.*")
+
+    def emit(result, number, _names):
+        result.write.mode("overwrite").parquet(f"{folder}/said/emission={number}")
+
+    for part in (F.col("seq") % 2 == 0, F.col("seq") % 2 != 0):
+        samples.where(part).write.mode("append").parquet(f"{folder}/samples")
+        feed.observe(spark, {"samples": f"{folder}/samples"}, latest, emit, f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    said = spark.read.schema("stream_id string, raw_ns long, value double, emission long").parquet(f"{folder}/said")
+    last = said.groupBy("stream_id").agg(F.max_by(F.struct("raw_ns", "value"), "emission").alias("x"), F.countDistinct("emission").alias("emissions"))
+    return last.select("stream_id", "x.*", "emissions")
+
+
+query("observed_latest", "select stream_id, max(raw_ns) as raw_ns, arg_max(value, (raw_ns, seq)) as value, cast(2 as bigint) as emissions from v_sample group by stream_id")(None)
+QUERIES["observed_latest"] = observed_latest
+
+
+#: A span of the tables' time.
+_SPAN = (1_705_000_000_000_000_000, 1_706_000_000_000_000_000)
+
+
+def log_source(spark, sf_dir):
+    """Samples are written as logs through the data source, and those of a span of time read through it, by the logs'
+    own chunk index."""
+    connectors.register(spark)
+    folder = new_path(spark, "log-source")
+    s = table(spark, sf_dir, "v_sample")
+    rows = s.select(F.pmod(F.xxhash64("stream_id"), F.lit(1 << 30)).alias("trip_id"), F.col("stream_id").alias("topic"), F.col("raw_ns").alias("log_time_ns"), F.col("arrival_ns").alias("publish_time_ns"), F.col("seq").cast("string").cast("binary").alias("data"))
+    connectors.save_logs(rows, folder, 1 << 14, 86_400_000_000_000 * 7)
+    some = spark.read.format("chunked_log").load(folder).where(f"log_time_ns >= {_SPAN[0]} and log_time_ns < {_SPAN[1]}")
+    return some.select(F.col("topic").alias("stream_id"), F.col("data").cast("string").cast("long").alias("seq"), F.col("log_time_ns").alias("raw_ns"), F.col("publish_time_ns").alias("arrival_ns"), "chunk_crc_ok")
+
+
+query("log_source", f"select stream_id, seq, raw_ns, arrival_ns, true as chunk_crc_ok from v_sample where raw_ns >= {_SPAN[0]} and raw_ns < {_SPAN[1]}")(None)
+QUERIES["log_source"] = log_source
+
+
 @query("inertial_payloads", "select stream_id, seq, raw_ns as timestamp_ns, cast(cast(value as float) as double) as x, cast(cast(-value as float) as double) as y, cast(0 as double) as z, cast(seq % 4 as integer) as accuracy from v_sample")
 def inertial_payloads(t):
     """Samples as messages in their binary form, read back."""

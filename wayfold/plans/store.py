@@ -8,10 +8,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, vision
+from ..operators import layout
 from ..operators import relational as rel
 from ..sources import records
 from ..sources.shared import new_path
-from .registry import query
+from ..views import table
+from .registry import QUERIES, query
 
 LAT, LON = 12.98, 77.60
 SQL_DIST = "2*6371000.0::double*asin(sqrt(pow(sin(radians({b}-{a})/2),2)+cos(radians({a}))*cos(radians({b}))*pow(sin(radians({d}-{c})/2),2)))"
@@ -61,6 +63,18 @@ def _near_assets(t, radius_m):
     return rel.radius_join(fixes, t("v_asset").select("id", "lat", "lon"), radius_m, ("flat", "lat"), ("flon", "lon"))
 
 
+def radius_search_layout(spark, sf_dir):
+    """All fixes within 300 m, from a table laid out along a space-filling curve."""
+    folder = new_path(spark, "layout")
+    layout.write_layout(table(spark, sf_dir, "v_fix").select("fix_id", "lat", "lon"), folder, zone_bits=34)
+    found = layout.within_radius(layout.read_layout(spark, folder, "fix_id long, lat double, lon double"), 12.975, 77.595, 300.0, 34)
+    return found.select("fix_id", F.round("distance_m", 3).alias("distance_m"))
+
+
+query("radius_search_layout", f"select fix_id, round({sql_dist('12.975::double', '77.595::double', 'lat', 'lon')}, 3) as distance_m from v_fix where {sql_dist('12.975::double', '77.595::double', 'lat', 'lon')} <= 300")(None)
+QUERIES["radius_search_layout"] = radius_search_layout
+
+
 @query("radius_join_grid", f"select f.fix_id, a.id, round({sql_dist('f.lat', 'f.lon', 'a.lat', 'a.lon')}, 6) as distance_m from v_fix f, v_asset a where {sql_dist('f.lat', 'f.lon', 'a.lat', 'a.lon')} <= 50")
 def radius_join_grid(t):
     return _near_assets(t, 50.0).select("fix_id", "id", F.round("distance_m", 6).alias("distance_m"))
