@@ -308,7 +308,7 @@ def tracker_votes(t):
     return votes.groupBy("trip_id").agg(F.max_by("asset_class", F.struct("v", "asset_class")).alias("winner"))
 
 
-def _detections(t):
+def detections(t):
     """Every pose as a detection at its own place."""
     pick = lambda names, by: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("pose_id") % by + 1).cast("int"))
     return t("v_pose").select("trip_id", "ts_ns", F.col("pose_id").alias("id"), *[F.col(f"vio_{c}").alias(c) for c in "xyz"], pick(["POLE", "SIGN", "LIGHT"], 3).alias("asset_class"), (F.col("pose_id") % 10 / 10).alias("confidence"), (F.col("pose_id") % 7 + 1).cast("double").alias("depth_m"), F.col("pose_id").alias("frame_id"), pick(["ROAD", None], 2).alias("semantic_label"))
@@ -316,12 +316,12 @@ def _detections(t):
 
 @query("asset_tracker")
 def asset_tracker(t):
-    return folds.track_assets(_detections(t), 100.0)
+    return folds.track_assets(detections(t), 100.0)
 
 
 @query("asset_landmarks")
 def asset_landmarks(t):
-    return folds.landmarks(folds.track_assets(_detections(t), 100.0))
+    return folds.landmarks(folds.track_assets(detections(t), 100.0))
 
 
 @query("nms", """with recursive b as (select *, row_number() over (partition by frame_id, class order by score desc, id) as rn, {'l': left_px::float, 't': top_px::float, 'r': right_px::float, 'b': bottom_px::float} as box from v_box),

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import georef, perception, solve
+from ..operators import folds, georef, monitor, perception, session, solve
 from ..sources import clouds, exports, logs
 from ..sources.shared import is_folder, new_path
 from .registry import QUERIES, query
+from .streams import detections
 from ..views import table
 
 
@@ -230,3 +233,77 @@ def detection_assets(t):
     transforms = fit.select("trip_id", F.lit(0).cast("long").alias("ts_ns"), F.lit(1).cast("long").alias("transform_id"), "scale", "rotation", "translation")
     placed = perception.place(detections, frames, poses, transforms, (2, 2), (500.0, 500.0), (320.0, 320.0))
     return perception.extract_assets(placed, transforms, georef.origins(t("v_fix")), 50.0)
+
+
+def _transforms(t):
+    """Trips' alignment with a turned, doubled and shifted copy of themselves."""
+    c = F.col
+    pairs = t("v_pose").select("trip_id", "vio_x", "vio_y", "vio_z", (-2 * c("vio_y") + 5).alias("e"), (2 * c("vio_x") - 3).alias("n"), (2 * c("vio_z") + 1).alias("u"))
+    return solve.similarity_solve(pairs, "trip_id", ("vio_x", "vio_y", "vio_z"), ("e", "n", "u")).select("trip_id", F.lit(0).cast("long").alias("ts_ns"), "scale", "rotation", "translation")
+
+
+@query("promoted_assets")
+def promoted_assets(t):
+    """Landmarks tracked over all poses that were seen twice or more, on the map."""
+    tracked = folds.track_assets(detections(t), 100.0)
+    return session.promoted(folds.landmarks(tracked), _transforms(t), georef.origins(t("v_fix")))
+
+
+_SECONDS = "ts_ns div 1000000"
+
+
+@query("quality_measured")
+def quality_measured(t):
+    """Sessions scored by what is measured of them. Times are shrunk a million times, as the tables' rows are hours apart."""
+    poses, fixes = (t(v).withColumn("ts_ns", F.expr(_SECONDS)) for v in ("v_pose", "v_fix"))
+    samples = t("v_pose").select(F.col("trip_id").alias("stream_id"), F.col("pose_id").alias("seq"), F.expr(_SECONDS).alias("raw_ns"), (F.expr(_SECONDS) + F.col("pose_id") % 7 * 1_000_000).alias("arrival_ns"))
+    epochs = t("v_fix").select("trip_id", (F.col("alt") - 860).alias("cn0"), (F.col("fix_id") % 20).alias("used"))
+    landmarks = folds.landmarks(folds.track_assets(detections(t), 100.0))
+    measured = session.measures(poses, fixes, epochs, landmarks, samples, 100_000_000, keyframe=(21_600_000, 300.0, 70.5))
+    return session.quality(measured)
+
+
+_OFFSETS = [(i, j, math.exp(-0.5 * (i * i + j * j))) for i in range(-3, 4) for j in range(-3, 4) if i * i + j * j <= 9]
+
+
+@query("asset_density", "with o(i, j, k) as (values " + ", ".join(f"({i}, {j}, {k!r}::double)" for i, j, k in _OFFSETS) + """),
+    c as (select cast(floor(x / 2) as bigint) as a, cast(floor(y / 2) as bigint) as b, sum(confidence) as w from v_landmark group by all)
+    select a + i as cell_x, b + j as cell_y, round(sum(w * k), 4) as density from c cross join o group by all""")
+def asset_density(t):
+    """Landmarks by confidence, through a kernel of two metres in cells of two metres."""
+    found = session.density(t("v_landmark"), "x", "y", 2.0, 2.0, F.col("confidence"))
+    return found.select("cell_x", "cell_y", F.round("density", 4).alias("density"))
+
+
+@query("georeference_anchored")
+def georeference_anchored(t):
+    """Poses placed by their fixes, and from each trip's second day on by anchor sets, which then count alone. Each pose of
+    that day brings four points around it, and where they are: twice as far out, and moved."""
+    poses = t("v_pose").withColumn("ts_ns", F.expr("ts_ns div 1000000"))
+    first = poses.groupBy("trip_id").agg(F.min("ts_ns").alias("first_ns"))
+    anchored = poses.join(first, "trip_id").where("ts_ns >= first_ns + 86400000")
+    at = [F.col(f"vio_{c}") for c in "xyz"]
+    corners = [(0.0, 0.0, 0.0), (4.0, 0.0, 0.0), (0.0, 4.0, 0.0), (0.0, 0.0, 4.0)]
+    pairs = F.array(*[F.array(*[at[i] + d[i] for i in range(3)], 2 * (at[0] + d[0]) + 3, -2 * (at[2] + d[2]) - 2, 2 * (at[1] + d[1])) for d in corners])
+    none = F.lit(None).cast("double")
+    anchors = anchored.select("trip_id", F.col("ts_ns").alias("at_ns"), F.lit("vps").alias("kind"), F.col("pose_id").alias("id"), "ts_ns", *[none.alias(c) for c in "abc"], F.lit(False).alias("tracking"), pairs.alias("pairs"))
+    fixes = t("v_fix").withColumn("ts_ns", F.expr("ts_ns div 1000000"))
+    found = georef.online(georef.events_of(poses, fixes, 3_600_000).unionByName(anchors))
+    return found.select("trip_id", "pose_id", *[F.round(c, 3).alias(c) for c in ("east", "north", "up")], "transform_id")
+
+
+@query("trip_metadata", """select trip_id, count(*) as frames, min(ts_ns) as started_ns, max(ts_ns) as ended_ns, 'Maker' as maker, case when trip_id % 2 = 0 then 800.0::double end as fx,
+    cast(count(distinct ts_ns // 86400000000000) as bigint) as segments, count(*) as received from v_pose group by trip_id""")
+def trip_metadata(t):
+    """Each trip's sidecar, with its stream's health and a log for each day, read back."""
+    days = t("v_pose").select("trip_id", F.format_string("trip.%08d.mcap", F.expr("ts_ns div 86400000000000")).alias("segment")).distinct()
+    device = F.struct(F.lit("Maker").alias("manufacturer"), F.lit("M1").alias("model"), F.lit("14").alias("osVersion"), F.lit("1.0").alias("appVersion"))
+    focal = F.when(F.col("trip_id") % 2 == 0, 800.0)
+    calibration = F.struct(focal.isNotNull().alias("hasCameraIntrinsics"), *[focal.alias(n) for n in ("fx", "fy", "cx", "cy")], F.lit(1920).alias("imageWidth"), F.lit(1080).alias("imageHeight"), F.lit("REALTIME").alias("cameraTimestampSource"))
+    trips = t("v_pose").groupBy("trip_id").agg(F.min("ts_ns").alias("started_ns"), F.max("ts_ns").alias("ended_ns")).withColumns({"device": device, "calibration": calibration, "mp4": F.lit(None).cast("string")})
+    samples = t("v_pose").select(F.col("trip_id").cast("string").alias("stream_id"), F.col("pose_id").alias("seq"), F.col("ts_ns").alias("raw_ns"), F.col("ts_ns").alias("arrival_ns"))
+    none = samples.sparkSession.createDataFrame([], monitor.STATE)
+    health = monitor.snapshot(monitor.advance(samples, none, 600_000_000_000)).select(F.col("stream_id").cast("long").alias("trip_id"), F.lit("pose").alias("stream_id"), F.lit("VIO").alias("source"), *("offset_ns", "rate_hz", "received", "dropped", "out_of_order", "gaps"))
+    said = session.metadata(trips, health, days, t("v_pose"))
+    back = said.select("trip_id", F.from_json("metadata", "frameCount bigint, startedNs bigint, endedNs bigint, device struct<manufacturer: string>, calibration struct<fx: double>, segments array<string>, syncHealth array<struct<samplesReceived: bigint>>").alias("m"))
+    return back.select("trip_id", F.col("m.frameCount").alias("frames"), F.col("m.startedNs").alias("started_ns"), F.col("m.endedNs").alias("ended_ns"), F.col("m.device.manufacturer").alias("maker"), F.col("m.calibration.fx").alias("fx"), F.size("m.segments").cast("long").alias("segments"), F.get("m.syncHealth", F.lit(0))["samplesReceived"].alias("received"))
