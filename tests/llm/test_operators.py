@@ -310,6 +310,14 @@ def test_removal_cuts_passages_and_keeps_the_rest(spark, block):
     assert got == {1: f"Before, ! After it come {'more ' * 20}", 2: clean, 4: None}
 
 
+def test_blocks_of_items_are_searched_side_by_side(spark, docs):
+    bench = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(60)], "item_id long, text string")
+    found = decontam.find_contamination(docs, bench, block_words=150)
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-*()0123456789")) for x in plan if "MapInArrow" in x]
+    assert len(depth) > 5 and len(set(depth)) == 1  # none stands below another
+
+
 def test_op6(spark):
     big, small = "é" * 900, "small"
     pages = [(1, "http://a/", big), (2, "http://b/\r\nX: y", big), (3, None, small), (4, "http://c", small), (5, "u", None), (None, "n", "x" * 1500), (9, "d", big + "!"), (9, "d", big + "!")]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, fresh, kept_in_worker, new_path, without
+from .common import add_columns, fresh, kept_in_worker, new_path, without, write_table
 
 WINDOW = 10
 #: Item words in one automaton, about 150 MB of a worker; more items make more automata, each streamed over the
@@ -168,37 +168,52 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     Columns of these names are replaced. A window is `window` consecutive words of an item, or a whole shorter
     item. Null and empty texts have no words; items without words match nothing; repeated items count once by
     id; a null item id counts as the empty id. Empty tables give no finds. The items are written in blocks of
-    bounded size, which workers read, so that nothing sent to the driver or by it grows with the benchmark.
+    bounded size, which workers read, so that nothing sent to the driver or by it grows with the benchmark. Each block is
+    searched for in tasks of its own, over the written documents, and only finds are put together.
     """
     docs = without(docs, ["n_words", "spans", "items"])
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    fields = T._parse_datatype_string("n_words bigint, spans array<struct<start:int,end:int>>, items array<string>").fields
-    out, parts = docs, _parts(benchmark, text, block_words)
+    parts = _parts(benchmark, text, block_words)
     path = _blocks(benchmark, item_id, text, parts)
-    for part in range(parts):
-
-        def start(folder=f"{path}/block={part}") -> Callable[[pa.Array], list[pa.Array]]:
-            automaton = _automaton(folder, window)
-
-            def work(texts: pa.Array) -> list[pa.Array]:
-                sizes, spans, found = [], [], []
-                for value in texts:
-                    words = normal_words(value.as_py())
-                    at, names = contamination(words, automaton)
-                    sizes.append(len(words))
-                    spans.append([{"start": a, "end": b} for a, b in at])
-                    found.append(names)
-                return [pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(found, pa.list_(pa.string()))]
-
-            return work
-
-        if not part:
-            out = add_columns(out, text, fields, start)
-        else:  # a further block: its finds join those so far
-            names = {f.name: fresh(f"more_{f.name}", out.columns) for f in fields}
-            out = add_columns(out, text, [T.StructField(names[f.name], f.dataType) for f in fields], start)
-            out = out.withColumn("spans", _union(F.concat("spans", names["spans"]))).withColumn("items", F.array_sort(F.array_union("items", names["items"]))).drop(*names.values())
-    return out
+    if parts == 1:
+        return add_columns(docs, text, _FINDS, _finder(f"{path}/block=0", window))
+    row = fresh("row", docs.columns)
+    numbered = write_table(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-docs")
+    some, of, all_ = numbered.select(F.col(row).alias("of"), F.col(text).alias("text")), fresh("of", numbered.columns), None
+    for part in range(parts):  # side by side: a task has one block's automaton
+        found = add_columns(some, "text", _FINDS, _finder(f"{path}/block={part}", window)).drop("text")
+        found = found if not part else found.where(F.size("spans") > 0)
+        all_ = found if all_ is None else all_.unionByName(found)
+    joined = all_.groupBy(F.col("of").alias(of)).agg(F.max("n_words").alias("n_words"), _union(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return numbered.join(joined, F.col(row) == F.col(of)).drop(row, of)
+
+
+_FINDS = [
+    T.StructField("n_words", T.LongType()),
+    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
+    T.StructField("items", T.ArrayType(T.StringType())),
+]
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _finder(folder: str, window: int) -> Callable[[], Callable[[pa.Array], list[pa.Array]]]:
+    """What `add_columns` runs for one block of items."""
+
+    def start() -> Callable[[pa.Array], list[pa.Array]]:
+        automaton = _automaton(folder, window)
+
+        def work(texts: pa.Array) -> list[pa.Array]:
+            sizes, spans, found = [], [], []
+            for value in texts:
+                words = normal_words(value.as_py())
+                at, names = contamination(words, automaton)
+                sizes.append(len(words))
+                spans.append([{"start": a, "end": b} for a, b in at])
+                found.append(names)
+            return [pa.array(sizes, pa.int64()), pa.array(spans, _SPAN), pa.array(found, pa.list_(pa.string()))]
+
+        return work
+
+    return start
 
 
 def _union(spans: Column) -> Column:
