@@ -199,6 +199,27 @@ def test_suppression(spark):
     assert sorted(r["id"] for r in folds.suppress(df).collect()) == [6, 7, 8]
 
 
+def test_suppression_over_batches_is_that_of_one_by_one(spark):
+    draw = random.Random(13)
+    rows = [(i, draw.choice([1, 2]), draw.choice("ab"), draw.random() * 50, draw.random() * 50, 60 + draw.random() * 40, 60 + draw.random() * 40, draw.choice([0.5, draw.random()])) for i in range(400)]
+    df = spark.createDataFrame([*rows, (999, 1, "a", None, 0.0, 1.0, 1.0, 0.9)], "id long, frame_id long, class string, left_px double, top_px double, right_px double, bottom_px double, score double")
+    kept: dict = {}
+    want = []
+    for r in sorted(rows, key=lambda r: (r[1], r[2], -r[7], r[0])):
+        box, f = np.array(r[3:7], np.float32), np.float32
+        for o in kept.setdefault((r[1], r[2]), []):
+            w, h = max(f(0), min(box[2], o[2]) - max(box[0], o[0])), max(f(0), min(box[3], o[3]) - max(box[1], o[1]))
+            if w * h / ((box[2] - box[0]) * (box[3] - box[1]) + (o[2] - o[0]) * (o[3] - o[1]) - w * h) > f(0.7):
+                break
+        else:
+            kept[r[1], r[2]].append(box)
+            want.append(r[0])
+    for most in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        assert sorted(r["id"] for r in folds.suppress(df, 0.7).collect()) == sorted(want)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 DETECTED = "trip_id long, ts_ns long, id long, x double, y double, z double, asset_class string, confidence double, depth_m double, frame_id long, semantic_label string"
 
 

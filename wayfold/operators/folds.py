@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,29 +92,48 @@ def shed(samples: DataFrame, width_ns: int | None = None) -> DataFrame:
     return ordered.accepted(samples.select("stream_id", "seq", "raw_ns", "hz"), "stream_id", ["raw_ns", "seq"], gap, width_ns).select("stream_id", "seq")
 
 
-def suppress(boxes: DataFrame, most_iou: float = 0.45) -> DataFrame:
-    """Greedy suppression: in each frame and class, by falling score, boxes that overlap no kept box too much."""
-    import numpy as np
-
-    def start():
-        kept: list = []
+def _clear_of(boxes: np.ndarray, kept: np.ndarray, most_iou: float) -> np.ndarray:
+    """Which boxes overlap `kept`, one box, no more than `most_iou`; all in 32-bit floats."""
+    zero = np.float32(0)
+    w = np.maximum(zero, np.minimum(boxes[:, 2], kept[2]) - np.maximum(boxes[:, 0], kept[0]))
+    h = np.maximum(zero, np.minimum(boxes[:, 3], kept[3]) - np.maximum(boxes[:, 1], kept[1]))
+    union = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1]) + (kept[2] - kept[0]) * (kept[3] - kept[1]) - w * h
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return ~((union > 0) & (w * h / union > np.float32(most_iou)))
 
-        def step(r):
-            f = np.float32
-            box = [f(r[c]) for c in ("left_px", "top_px", "right_px", "bottom_px")]
-            for other in kept:
-                w = max(f(0), min(box[2], other[2]) - max(box[0], other[0]))
-                h = max(f(0), min(box[3], other[3]) - max(box[1], other[1]))
-                union = (box[2] - box[0]) * (box[3] - box[1]) + (other[2] - other[0]) * (other[3] - other[1]) - w * h
-                if union > 0 and w * h / union > f(most_iou):
-                    return None
-            kept.append(box)
-            return {"frame_id": r["frame_id"], "class": r["class"], "id": r["id"], "score": r["score"]}
 
-        return step
+def suppress(boxes: DataFrame, most_iou: float = 0.45) -> DataFrame:
+    """Greedy suppression: in each frame and class, by falling score, then id, boxes that overlap no kept box too much.
+    Boxes with a null edge or score are left out. Each kept box is held against all that follow at once; a frame and class
+    that goes on in the next batch brings its kept boxes along."""
+    edges = ["left_px", "top_px", "right_px", "bottom_px"]
 
-    keyed = boxes.withColumn("group_key", F.struct("frame_id", "class")).withColumn("falling", -F.col("score"))
-    return ordered_fold(keyed, "group_key", ["falling", "id"], start, "frame_id long, class string, id long, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        kept: list[np.ndarray] = []
+        for batch in batches:
+            frame, kind = batch.column("frame_id").to_pylist(), batch.column("class").to_pylist()
+            keys = list(zip(frame, kind, strict=True))
+            starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+            all_ = np.stack([batch.column(c).to_numpy().astype(np.float32) for c in edges], axis=1) if keys else np.zeros((0, 4), np.float32)
+            taken: list[int] = []
+            for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if keys[a] != now:
+                    now, kept = keys[a], []
+                alive = np.ones(b - a, bool)
+                for box in kept:
+                    alive &= _clear_of(all_[a:b], box, most_iou)
+                while alive.any():
+                    first = int(alive.argmax())
+                    taken.append(a + first)
+                    kept.append(all_[a + first])
+                    alive &= _clear_of(all_[a:b], kept[-1], most_iou)
+                    alive[: first + 1] = False
+            yield batch.select(["frame_id", "class", "id", "score"]).take(pa.array(taken, pa.int64()))
+
+    given = boxes.dropna(subset=[*edges, "score"]).select(F.col("frame_id").cast("long"), "class", F.col("id").cast("long"), F.col("score").cast("double"), *edges)
+    dealt = given.repartition("frame_id", "class").sortWithinPartitions("frame_id", "class", F.col("score").desc(), "id")
+    return dealt.mapInArrow(run, "frame_id long, class string, id long, score double")
 
 
 TRACKED = "trip_id long, id long, track_id long, is_new boolean, observations long, x double, y double, z double, position_std_m double, max_confidence double, depth_avg_m double, asset_class string, semantic_label string, last_frame_id long"
