@@ -39,6 +39,13 @@ def test_accepted_rows_of_a_long_key(spark, width):
     assert got == sorted(((k, *x) for k, events in made.items() for x in chain(events, gaps.get)), key=str)
 
 
+def test_columns_named_like_our_own_stay(spark):
+    df = spark.createDataFrame([("s", i * 10, i, 7, 8) for i in range(50)], "k string, t long, i long, width int, gap int")
+    got = ordered.accepted(df, "k", ["t", "i"], F.lit(25), 100).collect()
+    assert len(got) == 17 and {(r["width"], r["gap"]) for r in got} == {(7, 8)}
+    assert ordered.numbered(df, "k", ["t", "i"], "n").where("width = 7 and gap = 8 and n = i").count() == 50
+
+
 def test_accepted_rows_of_steady_streams_and_nothing(spark):
     df = spark.range(5000).select(F.lit("s").alias("k"), (F.col("id") * 10).alias("t"), "id")
     assert ordered.accepted(df, "k", ["t", "id"], F.lit(25), 1000).count() == 1667
@@ -154,7 +161,7 @@ def test_widths_follow_the_densest_stretch(spark):
     session = [("s", i * 5 * MS) for i in range(20_000)]
     sparse = [("s", 10**15 + i * 10**12) for i in range(1000)]
     df = spark.createDataFrame(session + sparse + [("small", 1), ("s", None)], "k string, t long")
-    got = {r["width_key"]: r["width"] for r in ordered.widths(df, "k", "t", 1000).collect()}
+    got = {r["width_key"]: r["bucket_width"] for r in ordered.widths(df, "k", "t", 1000).collect()}
     assert got.keys() == {"s"} and 2 * 10**9 < got["s"] < 8 * 10**9
     sizes = ordered.bucketed(df, "k", "t", got["s"]).groupBy("k", "bucket").count().collect()
     assert max(r["count"] for r in sizes) < 1700 and sum(r["count"] for r in sizes) == 21_002

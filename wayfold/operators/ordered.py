@@ -30,26 +30,26 @@ def _inside(key: str, order: list[str]) -> W:
 
 
 def widths(df: DataFrame, key: str, by: str, rows: int = BUCKET_ROWS) -> DataFrame:
-    """width_key and width of each key of more than `rows` rows, from counts and approximate quantiles: a row for each.
+    """width_key and bucket_width of each key of more than `rows` rows, from counts and approximate quantiles: a row for each.
     All other keys are one bucket."""
     cuts = F.percentile_approx(by, [i / STRETCHES for i in range(STRETCHES + 1)], 20 * STRETCHES)
     found = df.where(F.col(by).isNotNull()).groupBy(F.col(key).alias("width_key")).agg(F.count("*").alias("n"), cuts.alias("cuts"))
     steps = F.filter(F.transform(F.sequence(F.lit(1), F.lit(STRETCHES)), lambda i: F.get("cuts", i) - F.get("cuts", i - 1)), lambda d: d > 0)
     width = F.ceil(F.coalesce(F.array_min(steps), F.lit(1)) * F.lit(rows * STRETCHES) / F.col("n"))
-    return found.where(F.col("n") > rows).select("width_key", F.greatest(F.lit(1), width).cast("long").alias("width"))
+    return found.where(F.col("n") > rows).select("width_key", F.greatest(F.lit(1), width).cast("long").alias("bucket_width"))
 
 
 def bucketed(df: DataFrame, key: str, by: str, width_ns: int | None = None) -> DataFrame:
     """`df` with `bucket`, by widths of `width_ns` or else from the data."""
-    return _wide(df, key, by, width_ns).drop("width")
+    return _wide(df, key, by, width_ns).drop("bucket_width")
 
 
 def _wide(df: DataFrame, key: str, by: str, width_ns: int | None) -> DataFrame:
     if width_ns is not None:
-        wide = df.withColumn("width", F.lit(width_ns).cast("long"))
+        wide = df.withColumn("bucket_width", F.lit(width_ns).cast("long"))
     else:
         wide = df.join(widths(df, key, by), F.col(key).eqNullSafe(F.col("width_key")), "left").drop("width_key")
-    return wide.withColumn("bucket", F.when(F.col("width").isNull(), F.lit(0)).otherwise(F.floor(F.col(by) / F.col("width"))).cast("long"))
+    return wide.withColumn("bucket", F.when(F.col("bucket_width").isNull(), F.lit(0)).otherwise(F.floor(F.col(by) / F.col("bucket_width"))).cast("long"))
 
 
 def carry(rows: DataFrame, key: str, handed: dict[str, tuple[Column, str]]) -> DataFrame:
@@ -208,7 +208,7 @@ def _ends(t: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _open(part: pa.Table, order: list[str]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     part = part.sort_by([(c, "ascending") for c in order])
-    return part, part[order[0]].to_numpy(), part["gap"].to_numpy()
+    return part, part[order[0]].to_numpy(), part["own_gap"].to_numpy()
 
 
 def accepted(df: DataFrame, key: str, order: list[str], gap: Column, width_ns: int | None = None) -> DataFrame:
@@ -221,20 +221,20 @@ def accepted(df: DataFrame, key: str, order: list[str], gap: Column, width_ns: i
     run their chain. Each distinct gap multiplies the table of entries, so gaps should be few. Where a gap is longer than
     a bucket, all rows of the bucket are entries, and the table is as long as `df`, no longer.
     """
-    rows = df.withColumn("gap", F.greatest(gap.cast("long"), F.lit(1))).where(gap.isNotNull() & F.col(order[0]).isNotNull())
+    rows = df.where(gap.isNotNull() & F.col(order[0]).isNotNull()).withColumn("own_gap", F.greatest(gap.cast("long"), F.lit(1)))
     rows = write_table(_wide(rows, key, order[0], width_ns), "waiting")
     kind, tie = rows.schema[key].dataType.simpleString(), rows.schema[order[1]].dataType.simpleString()
 
     def entries(part: pa.Table) -> pa.Table:
         part, t, gaps = _open(part, order)
         _, end = _ends(t, gaps)
-        width = part["width"][0].as_py()
+        width = part["bucket_width"][0].as_py()
         begins = t[0] if width is None else part["bucket"][0].as_py() * width
         at = [np.flatnonzero(gaps == g) for g in np.unique(gaps)]
         open_ = np.sort(np.concatenate([x[np.append(True, t[x[:-1]] < begins + gaps[x[0]])] for x in at]))
         return pa.Table.from_arrays([part[key].take(open_), pa.array(gaps[open_]), pa.array(t[open_]), part[order[1]].take(open_), pa.array(t[end[open_]]), part["bucket"].take(open_)], names=["k", "gap", "t", "tie", "leaves", "b"])
 
-    border = write_table(rows.select(key, "bucket", "width", *order, "gap").groupBy(key, "bucket").applyInArrow(entries, f"k {kind}, gap long, t long, tie {tie}, leaves long, b long"), "entries")
+    border = write_table(rows.select(key, "bucket", "bucket_width", *order, "own_gap").groupBy(key, "bucket").applyInArrow(entries, f"k {kind}, gap long, t long, tie {tie}, leaves long, b long"), "entries")
     first = border.groupBy("k").agg(F.min(F.struct("t", "tie", "leaves", "b")).alias("e"))
     chain = write_table(first.select("k", "e.*"), "chain")
     if border.select("k", "b").distinct().count() > chain.count():
