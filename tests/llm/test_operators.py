@@ -47,7 +47,7 @@ def table(docs, spark, tmp_path_factory):
     """A folder of tables with the awkward documents, as a query reads them."""
     folder = str(tmp_path_factory.mktemp("sf"))
     docs.withColumn("n_tokens", F.lit(1)).withColumn("extra", F.lit("x")).write.parquet(f"{folder}/documents.parquet")
-    for name in ("benchmark", "pages", "conversations", "labels"):
+    for name in ("benchmark", "pages", "conversations", "labels", "embeddings"):
         spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
     return folder
 
@@ -55,7 +55,7 @@ def table(docs, spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "benchmark", "pages", "conversations", "labels"):
+    for name in ("documents", "benchmark", "pages", "conversations", "labels", "embeddings"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return folder
 
