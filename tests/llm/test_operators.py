@@ -184,14 +184,14 @@ def test_op4(spark, table, docs):
     for doc_id, text in texts(docs):
         w = alnum_words(text)
         places = license_places(w)
-        labels, best = {x[1] for x in places}, 0.0
-        for line in text.split("\n"):
-            block = set(alnum_words(line))
-            for template, label in licenses.TEMPLATES:
-                t = set(template.split())
-                if len(t & block) / len(t) >= licenses.THRESHOLD:
-                    labels.add(label)
-                    best = max(best, len(t & block) / len(t))
+        found, best = [], 0.0
+        for template, label in licenses.TEMPLATES:
+            t = set(template.split())
+            most = max((t & set(alnum_words(line)) for line in text.split("\n")), key=len)
+            if len(most) / len(t) >= licenses.THRESHOLD:
+                found.append((label, most, len(most) / len(t)))
+                best = max(best, len(most) / len(t))
+        labels = {x[1] for x in places} | {x for x, held, part in found if not any(x != y and (held < more or (held == more and part < larger)) for y, more, larger in found)}
         starts = [x[0] for x in places]
         want.append((doc_id, len(w), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x[1] for x in places})), ",".join(sorted(labels)), 1.0 if places else best))
     got = queries.op4_license_scan(spark, table)
@@ -239,9 +239,33 @@ def test_op4_finds_whole_notices_in_comments_and_no_halves(spark, tmp_path):
     for i, (_, label) in enumerate(NOTICES):
         assert label in got[i]["labels"].split(","), label
         assert got[i]["score"] == 1.0
+        assert got[i]["labels"] == label if label not in ("apache-2.0", "gpl") else "lgpl" not in got[i]["labels"], label
     assert [got[len(NOTICES) + i]["labels"] for i in range(len(half))] == [""] * len(half)
 
 
+def test_op4_labels_of_a_license_quoted_in_another(spark, tmp_path):
+    notice = {label: text for text, label in NOTICES}
+    texts = [notice["bsl-1.0"], f"{notice['bsl-1.0']}\n{MIT}", notice["lgpl"], f"{notice['lgpl']}\n\n{notice['gpl']}", notice["agpl"], f"{notice['bsl-1.0']} " * 3]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in licenses.scan(docs, window=licenses.WINDOW).collect()}
+    assert "mit" in got[0]["template_labels"] and "gpl" in got[2]["template_labels"]
+    assert [got[i]["own_labels"] for i in range(6)] == [["bsl-1.0"], ["bsl-1.0", "mit"], ["lgpl"], ["gpl", "lgpl"], ["agpl"], ["bsl-1.0"]]
+
+
+def test_license_templates_from_a_table(spark, monkeypatch):
+    table = spark.createDataFrame([("The Fine, license", "fine"), ("the fine  LICENSE", "fine"), (None, "x"), ("...", "x"), ("a b", None), ("b c", "bc")], "text string, label string")
+    assert licenses.read_templates(table) == [("b c", "bc"), ("the fine license", "fine")]
+    assert licenses.read_templates(table.limit(0)) == []
+    docs = spark.createDataFrame([(1, "under the\nfine license"), (2, None), (3, "c a b")], "doc_id long, text string")
+    for templates in (licenses.read_templates(table), []):
+        got = sorted((r["doc_id"], r["own_labels"]) for r in licenses.scan(docs, templates, window=2).collect())
+        assert got == [(1, ["fine"] if templates else []), (2, []), (3, ["bc"] if templates else [])]
+    monkeypatch.setattr(licenses, "MOST_WORDS", 4)
+    with pytest.raises(ValueError, match="more than 4"):
+        licenses.read_templates(table)
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
 def test_windows_find_all_that_brute_force_finds(spark, threshold):
     draw = random.Random(6)
@@ -592,7 +616,7 @@ def test_columns_with_clashing_names(spark, docs):
         (lambda d: quality.keep_good(d), ("text",)),
         (lambda d: langid.identify(d, model), ("lang_pred", "score")),
         (lambda d: langid.keep_identified(d, model), ("text",)),
-        (lambda d: licenses.scan(d, window=licenses.WINDOW), ("n_words", "places", "template_labels")),
+        (lambda d: licenses.scan(d, window=licenses.WINDOW), ("n_words", "places", "template_labels", "own_labels")),
         (lambda d: licenses.scan(d), ("n_words", "places", "template_labels")),
         (lambda d: decontam.find_contamination(d, bench), ("n_words", "spans", "items")),
         (lambda d: decontam.remove_contamination(d, bench), ("text",)),

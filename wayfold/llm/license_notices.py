@@ -102,6 +102,26 @@ NOTICES = [
         details. You should have received a copy of the GNU General Public License along with this program.""",
         "gpl",
     ),
+    (
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your
+        option) any later version.
+        This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+        warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for
+        more details. You should have received a copy of the GNU Lesser General Public License along with this
+        library""",
+        "lgpl",
+    ),
+    (
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option)
+        any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+        warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for
+        more details. You should have received a copy of the GNU Affero General Public License along with this
+        program.""",
+        "agpl",
+    ),
     (
         """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
         distributed with this file, You can obtain one at""",

@@ -38,7 +38,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min(starts).cast("long").alias("first_word"),
         F.array_max(starts).cast("long").alias("last_word"),
         F.array_join(base, ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(base, "template_labels")), ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_union(base, "own_labels")), ",").alias("labels"),
         F.when(F.size("places") > 0, 1.0).otherwise(F.col("containment")).alias("score"),
     )
 
