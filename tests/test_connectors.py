@@ -2,12 +2,14 @@
 
 import os
 import struct
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
 
+from wayfold.plans import live
 from wayfold.sources import connectors, logs, records
 from wayfold.streaming import stateful
 
@@ -33,16 +35,30 @@ def test_logs_are_written_and_read_by_name(spark, written):
 def test_filters_choose_the_chunks_that_are_read(spark, written):
     whole, part = connectors.LogReader(written), connectors.LogReader(written)
     asked = [GreaterThanOrEqual(("log_time_ns",), 1000), LessThan(("log_time_ns",), 1100), EqualTo(("topic",), "/t0"), EqualTo(("data",), b"")]
-    assert list(part.pushFilters(asked)) == asked
-    for reader in (whole, part):
-        for log in reader.partitions():
-            list(reader.read(log))
+    assert list(part.pushFilters(asked)) == asked[3:]  # the others hold of all that is read
+    times = {r: [t for log in r.partitions() for b in r.read(log) for t in b.column("log_time_ns").to_pylist()] for r in (whole, part)}
+    assert len(times[whole]) == len(ROWS) and sorted(times[part]) == sorted(2 * list(range(1000, 1100, 20)))
     assert whole.read_chunks > 30 and 2 <= part.read_chunks <= 6
     none = connectors.LogReader(written)
     list(none.pushFilters([EqualTo(("topic",), "/other")]))
     assert [b for log in none.partitions() for b in none.read(log)] == [] and none.read_chunks == 0
 
 
+def test_filters_of_a_query_reach_the_source(spark):
+    plan = live.log_source(spark, "/root/testdata/sf0.001")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    (pushed,) = (x for x in plan.splitlines() if x.startswith("PushedFilters"))
+    assert all(x in pushed for x in ("log_time_ns", *map(str, live._SPAN)))
+
+
+def test_sources_are_found_from_a_thread_of_ones_own(spark, written):
+    def count():
+        connectors.register(spark)
+        return spark.read.format("chunked_log").load(written).count()
+
+    with ThreadPoolExecutor(1) as pool:
+        assert pool.submit(count).result() == len(ROWS)
+
+
 def test_a_log_without_a_footer_is_read_by_its_heads(spark, written, tmp_path):
     name = connectors.LogReader(written).partitions()[0].path.removeprefix("file://")
     raw = open(name, "rb").read()

@@ -83,8 +83,8 @@ def scanned_chunks(source: pa.NativeFile) -> tuple[dict[int, str], list[tuple[in
 
 
 class LogReader(DataSourceReader):
-    """Comparisons of log_time_ns, and equal or listed topics, choose the chunks; Spark asks every filter again of the
-    messages."""
+    """Comparisons of log_time_ns, and equal or listed topics, choose the chunks and the messages of those; Spark asks
+    only other filters again."""
 
     def __init__(self, folder: str) -> None:
         self.folder, self.least, self.most, self.topics = folder, -(1 << 63), (1 << 63) - 1, None
@@ -93,17 +93,20 @@ class LogReader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             name, value = getattr(f, "attribute", None), getattr(f, "value", None)
-            if name == ("log_time_ns",):
-                if isinstance(f, EqualTo):
-                    self.least, self.most = max(self.least, value), min(self.most, value)
-                elif isinstance(f, GreaterThan | GreaterThanOrEqual):
-                    self.least = max(self.least, value + isinstance(f, GreaterThan))
-                elif isinstance(f, LessThan | LessThanOrEqual):
-                    self.most = min(self.most, value - isinstance(f, LessThan))
+            if name == ("log_time_ns",) and isinstance(f, EqualTo):
+                self.least, self.most = max(self.least, value), min(self.most, value)
+            elif name == ("log_time_ns",) and isinstance(f, GreaterThan | GreaterThanOrEqual):
+                self.least = max(self.least, value + isinstance(f, GreaterThan))
+            elif name == ("log_time_ns",) and isinstance(f, LessThan | LessThanOrEqual):
+                self.most = min(self.most, value - isinstance(f, LessThan))
             elif name == ("topic",) and isinstance(f, EqualTo | In):
                 named = {value} if isinstance(f, EqualTo) else set(value)
                 self.topics = named if self.topics is None else self.topics & named
-            yield f
+            else:
+                yield f
+
+    def asks_for(self, topic: str, log_time: int) -> bool:
+        return self.least <= log_time <= self.most and (self.topics is None or topic in self.topics)
 
     def partitions(self) -> list[Log]:
         """The logs that finished writes list; in a folder without such lists, every log in it."""
@@ -124,7 +127,7 @@ class LogReader(DataSourceReader):
                 source.seek(offset + 9)
                 ok, found = logs.parse_chunk(source.read(length - 9))
                 self.read_chunks += 1
-                rows = [(partition.path, topics[m[0]], *m[1:], ok) for m in found if m[0] in topics]
+                rows = [(partition.path, topics[m[0]], *m[1:], ok) for m in found if m[0] in topics and self.asks_for(topics[m[0]], m[2])]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in MESSAGES.split(", ")])
 
 
@@ -267,7 +270,9 @@ class SensorSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make both sources known to the session, and let it hand filters to sources."""
+    """Make both sources known to the session, and let it hand filters to sources. Spark looks sources up in the session
+    that is active in the thread, which a thread of the caller's own has none of, so the session is made that."""
+    spark._get_j_spark_session_class(spark._jvm).setActiveSession(spark._jsparkSession)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (LogSource, SensorSource):
         spark.dataSource.register(source)
