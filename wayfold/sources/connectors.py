@@ -10,7 +10,6 @@ done, in one file that names the logs of the write; a task that fails leaves not
 from __future__ import annotations
 
 import json
-import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from . import logs
+from .logs import footer_chunks, scanned_chunks
 from .records import RECORD_BYTES, REPORT
 
 MESSAGES = "path string, topic string, sequence long, log_time_ns long, publish_time_ns long, data binary, chunk_crc_ok boolean"
@@ -36,52 +36,6 @@ class Log(InputPartition):
     path: str
 
 
-def footer_chunks(source: pa.NativeFile) -> tuple[dict[int, str], list[tuple[int, int, int, int, set[int]]]] | None:
-    """Topics by channel, and (offset, length, first time, last time, channels) of each chunk record, from a log's
-    summary; None where the log has no footer."""
-    size = source.size()
-    tail = 8 + 9 + 20
-    if size < 8 + tail:
-        return None
-    source.seek(size - tail)
-    end = source.read(tail)
-    if end[-8:] != logs.MAGIC or end[0] != logs.FOOTER:
-        return None
-    (at,) = struct.unpack_from("<Q", end, 9)
-    if not at:
-        return None
-    source.seek(at)
-    said, topics, chunks, i = source.read(size - tail - at), {}, [], 0
-    while i + 9 <= len(said):
-        op, length = struct.unpack_from("<BQ", said, i)
-        body = i + 9
-        if op == logs.CHANNEL:
-            (n,) = struct.unpack_from("<I", said, body + 4)
-            topics[struct.unpack_from("<H", said, body)[0]] = said[body + 8 : body + 8 + n].decode()
-        elif op == logs.CHUNK_INDEX:
-            first, last, offset, n = struct.unpack_from("<QQQQ", said, body)
-            (packed,) = struct.unpack_from("<I", said, body + 32)
-            channels = {struct.unpack_from("<H", said, x)[0] for x in range(body + 36, body + 36 + packed, 10)}
-            chunks.append((offset, n, first, last, channels))
-        i = body + length
-    return topics, chunks
-
-
-def scanned_chunks(source: pa.NativeFile) -> tuple[dict[int, str], list[tuple[int, int, int, int, set[int] | None]]]:
-    """The same of a log without a footer, from the heads of its records; which channels a chunk has is not known."""
-    topics: dict[int, str] = {}
-    chunks = []
-    for op, at, length in logs.heads(source):
-        source.seek(at)
-        if op == logs.CHANNEL:
-            raw = source.read(length)
-            (n,) = struct.unpack_from("<I", raw, 4)
-            topics[struct.unpack_from("<H", raw)[0]] = raw[8 : 8 + n].decode()
-        elif op == logs.CHUNK:
-            chunks.append((at - 9, length + 9, *struct.unpack("<QQ", source.read(16)), None))
-    return topics, chunks
-
-
 class LogReader(DataSourceReader):
     """Comparisons of log_time_ns, and equal or listed topics, choose the chunks and the messages of those; Spark asks
     only other filters again."""

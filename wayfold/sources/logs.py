@@ -249,24 +249,64 @@ def recover(files: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES) -> Da
     return files.select("path").repartition("path").mapInArrow(run, "path string, outcome string, messages long, chunks long, reason string, recovered string")
 
 
+def footer_chunks(source: pa.NativeFile) -> tuple[dict[int, str], list[tuple[int, int, int, int, set[int]]]] | None:
+    """Topics by channel, and (offset, length, first time, last time, channels) of each chunk record, from a log's
+    summary; None where the log has no footer."""
+    size = source.size()
+    tail = 8 + 9 + 20
+    if size < 8 + tail:
+        return None
+    source.seek(size - tail)
+    end = source.read(tail)
+    if end[-8:] != MAGIC or end[0] != FOOTER:
+        return None
+    (at,) = struct.unpack_from("<Q", end, 9)
+    if not at:
+        return None
+    source.seek(at)
+    said, topics, chunks, i = source.read(size - tail - at), {}, [], 0
+    while i + 9 <= len(said):
+        op, length = struct.unpack_from("<BQ", said, i)
+        body = i + 9
+        if op == CHANNEL:
+            (n,) = struct.unpack_from("<I", said, body + 4)
+            topics[struct.unpack_from("<H", said, body)[0]] = said[body + 8 : body + 8 + n].decode()
+        elif op == CHUNK_INDEX:
+            first, last, offset, n = struct.unpack_from("<QQQQ", said, body)
+            (packed,) = struct.unpack_from("<I", said, body + 32)
+            channels = {struct.unpack_from("<H", said, x)[0] for x in range(body + 36, body + 36 + packed, 10)}
+            chunks.append((offset, n, first, last, channels))
+        i = body + length
+    return topics, chunks
+
+
+def scanned_chunks(source: pa.NativeFile) -> tuple[dict[int, str], list[tuple[int, int, int, int, set[int] | None]]]:
+    """The same of a log without a footer, from the heads of its records; which channels a chunk has is not known."""
+    topics: dict[int, str] = {}
+    chunks = []
+    for op, at, length in heads(source):
+        source.seek(at)
+        if op == CHANNEL:
+            raw = source.read(length)
+            (n,) = struct.unpack_from("<I", raw, 4)
+            topics[struct.unpack_from("<H", raw)[0]] = raw[8 : 8 + n].decode()
+        elif op == CHUNK:
+            chunks.append((at - 9, length + 9, *struct.unpack("<QQ", source.read(16)), None))
+    return topics, chunks
+
+
 def list_chunks(files: DataFrame) -> DataFrame:
-    """path, body_at, length, start_ns, end_ns and topics (channel to name) of each whole chunk of logs (path)."""
+    """path, body_at, length, start_ns, end_ns and topics (channel to name) of each whole chunk of logs (path), by a log's
+    own index; only one that was cut off, and so has none, is gone through record by record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for path in batch.column("path").to_pylist():
                 fs, place = pyarrow.fs.FileSystem.from_uri(path)
-                topics: dict[int, str] = {}
                 with fs.open_input_file(place) as source:
-                    for op, at, length in heads(source):
-                        source.seek(at)
-                        if op == CHANNEL:
-                            raw = source.read(length)
-                            (size,) = struct.unpack_from("<I", raw, 4)
-                            topics[struct.unpack_from("<H", raw)[0]] = raw[8 : 8 + size].decode()
-                        elif op == CHUNK:
-                            rows.append((path, at, length, *struct.unpack("<QQ", source.read(16)), list(topics.items())))
+                    topics, chunks = footer_chunks(source) or scanned_chunks(source)
+                rows += [(path, offset + 9, length - 9, first, last, list(topics.items())) for offset, length, first, last, _ in chunks]
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.map_(pa.int32(), pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["path", "body_at", "length", "start_ns", "end_ns", "topics"])
 
