@@ -165,3 +165,13 @@ def test_widths_follow_the_densest_stretch(spark):
     assert got.keys() == {"s"} and 2 * 10**9 < got["s"] < 8 * 10**9
     sizes = ordered.bucketed(df, "k", "t", got["s"]).groupBy("k", "bucket").count().collect()
     assert max(r["count"] for r in sizes) < 1700 and sum(r["count"] for r in sizes) == 21_002
+
+
+def test_streams_of_a_month_pass_the_size_of_a_bucket(spark):
+    """Nanoseconds of a stretch times rows of a bucket are beyond 64 bits here."""
+    n = ordered.BUCKET_ROWS + 1000
+    month = spark.range(n).select(F.lit("s").alias("k"), (1_700_000_000 * 10**9 + F.col("id") * 10**10).alias("t"), "id")
+    [width] = ordered.widths(month, "k", "t").collect()
+    assert 2 * 10**15 < width["bucket_width"] < 3 * 10**15
+    got = ordered.numbered(month, "k", ["t", "id"], "n")
+    assert got.where("n != id").isEmpty() and got.count() == n

@@ -35,7 +35,7 @@ def widths(df: DataFrame, key: str, by: str, rows: int = BUCKET_ROWS) -> DataFra
     cuts = F.percentile_approx(by, [i / STRETCHES for i in range(STRETCHES + 1)], 20 * STRETCHES)
     found = df.where(F.col(by).isNotNull()).groupBy(F.col(key).alias("width_key")).agg(F.count("*").alias("n"), cuts.alias("cuts"))
     steps = F.filter(F.transform(F.sequence(F.lit(1), F.lit(STRETCHES)), lambda i: F.get("cuts", i) - F.get("cuts", i - 1)), lambda d: d > 0)
-    width = F.ceil(F.coalesce(F.array_min(steps), F.lit(1)) * F.lit(rows * STRETCHES) / F.col("n"))
+    width = F.ceil(F.least(F.coalesce(F.array_min(steps), F.lit(1)).cast("double") * float(rows * STRETCHES) / F.col("n"), F.lit(2.0**62)))  # nanoseconds times rows pass 64 bits
     return found.where(F.col("n") > rows).select("width_key", F.greatest(F.lit(1), width).cast("long").alias("bucket_width"))
 
 
