@@ -703,3 +703,11 @@ def test_landmark_map_keeps_the_references_number_and_evicts_the_oldest(spark):
     assert details.latest_capped(points).count() == 60
     got = sorted((r["l_partkey"], r["x"]) for r in details.latest_capped(points, 3).collect())
     assert got == [(57, 117.0), (58, 118.0), (59, 119.0)]
+
+
+def test_human_bytes_round_as_c_does(spark):
+    sizes = [None, -5, 0, 1023, 1024, 1280, 1792, 2304, 2816, (1 << 20) - 1, 1 << 20, 5 << 18, 7 << 18, (5 << 18) + 1, (1 << 40) + 12345, (1 << 63) - 1]
+    sizes += [256 * k for k in range(4, 300)] + [(1 << 18) * k for k in range(4, 300)]
+    said = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "i long, n long").select("i", records.human_bytes(F.col("n")).alias("text"))
+    c = lambda n: None if n is None else f"{n} B" if n < 1024 else "%.1f KiB" % (n / 1024) if n < 1 << 20 else "%.1f MiB" % (n / (1 << 20))
+    assert {r["i"]: r["text"] for r in said.collect()} == {i: c(n) for i, n in enumerate(sizes)}

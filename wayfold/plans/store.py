@@ -302,9 +302,7 @@ _HUMAN = "case when total_bytes >= 1048576 then printf('%.1f MiB', total_bytes /
 
 @query("human_bytes", f"select id, {_HUMAN} as text from v_job")
 def human_bytes(t):
-    b = F.col("total_bytes")
-    text = F.when(b >= 1 << 20, F.format_string("%.1f MiB", b / float(1 << 20))).when(b >= 1024, F.format_string("%.1f KiB", b / 1024.0)).otherwise(F.format_string("%d B", b))
-    return t("v_job").select("id", text.alias("text"))
+    return t("v_job").select("id", records.human_bytes(F.col("total_bytes")).alias("text"))
 
 
 @query("chunk_plan", "select id, i as chunk, i * 8388608 as start, least(8388608, total_bytes - i * 8388608) as length from v_job, unnest(range(cast(ceil(total_bytes / 8388608.0) as bigint))) r(i) where total_bytes > 0")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,3 +49,20 @@ def encode_vector(vectors: pd.Series) -> pd.Series:
 def decode_vector(data: pd.Series) -> pd.Series:
     """The vector that `encode_vector` wrote; bytes behind the last whole float are ignored."""
     return data.map(lambda b: None if b is None else np.frombuffer(b, "<f4", len(b) // 4))
+
+
+def human_bytes(n: Column) -> Column:
+    """A number of bytes as text, from 1024 on in KiB and from 1024 of these in MiB, with one digit, to which halves go to
+    the even one, as in C; Java's format takes them up. A null is null."""
+
+    def tenths(unit: int) -> Column:
+        part = n.cast("long") % unit * 10
+        left, digit = part % unit, F.floor(part / unit)
+        up = (left * 2 > unit) | ((left * 2 == unit) & (digit % 2 == 1))
+        whole = (n - n % unit).cast("long") / unit
+        return whole.cast("long") * 10 + digit + F.when(up, 1).otherwise(0)
+
+    def shown(unit: int, name: str) -> Column:
+        return F.concat(F.floor(tenths(unit) / 10).cast("string"), F.lit("."), (tenths(unit) % 10).cast("string"), F.lit(f" {name}"))
+
+    return F.when(n >= 1 << 20, shown(1 << 20, "MiB")).when(n >= 1024, shown(1 << 10, "KiB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
