@@ -34,7 +34,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id. Documents are near where their
-    five-word shingles have a Jaccard similarity of 0.8 or more; op8's three words and 3 bits would miss most of them.
+    five-word shingles have a Jaccard similarity of 0.8 or more. They are sought by op8's fingerprints and links, and
+    beside them by bands of MinHashes, as 3 bits would miss most of them; every pair is verified.
     Texts without words, null ones too, are one group; a null doc_id comes last."""
     return simhash.keep_one_each(docs, similar.near_duplicates(docs))
 

@@ -683,6 +683,19 @@ def test_near_dedup_stage_against_brute_force(spark):
     assert got != sorted(r["doc_id"] for r in simhash.keep_one_each(df).collect())
 
 
+def test_near_dedup_asks_what_simhash_links(spark, monkeypatch):
+    """Pairs of equal fingerprints and of linked ones are candidates, and the stage of the pipeline has them."""
+    marked = spark.createDataFrame([(5, 1, 10), (5, 2, 11), (5, 1, 10), (4, 3, 12), (1 << 40, 4, 13), (0xFF00FF, 5, 14)], "fp long, key long, n long")
+    got = similar._by_fingerprint(marked).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 2, 10, 11), (1, 3, 10, 12), (1, 4, 10, 13)] or sorted(tuple(r) for r in got) == [(1, 2, 10, 11), (1, 3, 10, 12), (3, 4, 12, 13)]
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps: asked.append({r["fp"] for r in fps.collect()}) or links(fps))
+    texts = ["one two three four five six", "seven eight nine ten", "one two three four five six", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [0, 1, 3]
+    assert asked == [{(f - (1 << 64)) if f >> 63 else f for f in map(simhash.fingerprint, texts)}]
+
+
 @pytest.mark.parametrize("block", [2048, 3])
 def test_near_dedup_verifies_what_it_merges(spark, monkeypatch, block):
     """Members of one MinHash cell that are not similar to its smallest still meet each other, in one block or many."""

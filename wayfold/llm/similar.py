@@ -1,7 +1,8 @@
 """Near-duplicates by word similarity: documents whose sets of SHINGLE-word shingles have a Jaccard similarity of
 SIMILARITY or more are linked, and groups are the components of the links.
 
-Candidates share a band of MinHashes. Two sets at the threshold share none of the bands with a probability of
+Candidates are, first, what SimHash links: texts of equal fingerprints and those of `simhash.links`. As many pairs at
+the threshold differ in more bits than it searches, others share a band of MinHashes. Two sets at the threshold share none of the bands with a probability of
 (1 - SIMILARITY ** ROWS) ** BANDS, 3 in a million; closer ones with less. Each candidate pair is then verified on
 the shingles themselves. All members of a cell (one value of one band) are held against its smallest; only where
 that leaves a cell with several components, members of different ones meet, in blocks of BLOCK members. First they
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import SOME_ROWS, add_columns, drop_table, small_batches, write_table
 from .simhash import components
 
@@ -124,6 +126,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: in
     return both.select("a", "b", shared.alias("s"), (F.size("ha") + F.size("hb")).alias("n")).where(F.col("s") >= similarity * (F.col("n") - F.col("s")) - 1e-9).select("a", "b")
 
 
+def _by_fingerprint(marked: DataFrame) -> DataFrame:
+    """Pairs (a, b: keys; na, nb) that SimHash links: each key with the smallest of its fingerprint, and such smallest ones
+    along `simhash.links`."""
+    prints = write_table(marked.select("fp", "key", "n").distinct(), "similar-prints")
+    first = write_table(prints.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("one")), "similar-firsts")
+    equal = prints.join(first, "fp").select("one", F.struct("key", "n").alias("other"))
+    ends = [first.select(F.col("fp").alias(x), F.col("one").alias(y)) for x, y in (("a", "one"), ("b", "other"))]
+    linked = simhash.links(first.select("fp")).join(ends[0], "a").join(ends[1], "b").select("one", "other")
+    low, high = F.least("one", "other"), F.greatest("one", "other")
+    met = equal.unionByName(linked).where("one.key != other.key")
+    return met.select(low["key"].alias("a"), high["key"].alias("b"), low["n"].alias("na"), high["n"].alias("nb"))
+
+
 def _star(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs whose numbers of shingles (na, nb) and sketches allow the similarity."""
     fit = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
@@ -236,13 +251,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     names, are not looked at and not returned.
     """
     docs = docs.select("doc_id", "text")
-    marked = write_table(_mark(docs.withColumn("text_hash", F.xxhash64("text")), shingle).drop("text"), "similar-marked")
+    marked = simhash.add_fingerprints(_mark(docs.withColumn("text_hash", F.xxhash64("text")), shingle), "fp")
+    marked = write_table(marked.drop("text"), "similar-marked")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
     classes = write_table(marked.groupBy("key").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "similar-classes")
     cells = write_table(classes.select("key", "n", F.explode("bands").alias("cell")), "similar-cells")
     shared = write_table(cells.groupBy("cell").agg(F.min(F.struct("key", "n")).alias("centre"), F.count("*").alias("k")).where("k > 1"), "similar-shared")
 
     star = cells.join(shared, "cell").where("key != centre.key").select(F.col("centre.key").alias("a"), F.col("key").alias("b"), F.col("centre.n").alias("na"), F.col("n").alias("nb"))
+    star = star.unionByName(_by_fingerprint(marked))
     links = write_table(_verified(_star(star, classes, similarity), docs, classes, shingle, similarity), "similar-links")
 
     label = F.coalesce("label", "key").alias("label")
