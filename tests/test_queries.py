@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -711,3 +712,16 @@ def test_human_bytes_round_as_c_does(spark):
     said = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "i long, n long").select("i", records.human_bytes(F.col("n")).alias("text"))
     c = lambda n: None if n is None else f"{n} B" if n < 1024 else "%.1f KiB" % (n / 1024) if n < 1 << 20 else "%.1f MiB" % (n / (1 << 20))
     assert {r["i"]: r["text"] for r in said.collect()} == {i: c(n) for i, n in enumerate(sizes)}
+
+
+def test_reports_are_decoded_few_buffers_at_once(spark, monkeypatch):
+    monkeypatch.setattr(records, "SOME_BUFFERS", 2)
+    kept = {}
+    frame = type("Frame", (), {"drop": lambda self, c: frame_of[0], "select": lambda self, *c: self, "mapInArrow": lambda self, run, said: kept.update(run=run)})()
+    frame_of = [spark.createDataFrame([], "id long")]
+    records.decode_reports(frame)
+    one = np.zeros(1, records.REPORT)
+    one["counter"] = 7
+    given = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([one.tobytes(), None, one.tobytes() * 3, b"", one.tobytes()], pa.binary())], names=["id", "data"])
+    made = list(kept["run"](iter([given])))
+    assert [x.num_rows for x in made] == [1, 3, 1] and pa.Table.from_batches(made)["id"].to_pylist() == [0, 2, 2, 2, 4]

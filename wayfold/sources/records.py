@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Fixed values of a report: its size in bytes, and the places of its fields.
 RECORD_BYTES = 104
+#: Buffers that are decoded at once, so that what a worker holds beside its batch doesn't grow with the batch.
+SOME_BUFFERS = 100
 REPORT = np.dtype({"names": ["size", "token", "type", "counter", "timestamp_ns", "x", "y", "z"], "formats": ["<i4", "<i4", "<i4", "<u4", "<i8", "<f4", "<f4", "<f4"], "offsets": [0, 4, 8, 12, 16, 24, 28, 32], "itemsize": RECORD_BYTES})
 
 
@@ -25,7 +27,7 @@ def decode_reports(buffers: DataFrame, data: str = "data") -> DataFrame:
     kinds = {"size": "int", "token": "int", "type": "int", "counter": "long", "timestamp_ns": "long", "x": "float", "y": "float", "z": "float"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x.slice(at, SOME_BUFFERS) for x in batches for at in range(0, x.num_rows, SOME_BUFFERS)):
             raw = [b"" if x is None else x for x in batch.column(data).to_pylist()]
             parts = [np.frombuffer(x, REPORT, len(x) // RECORD_BYTES) for x in raw]
             row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
