@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wayfold.operators import folds, monitor, ordered
 from wayfold.operators import relational as rel
+from wayfold.plans import details, registry, streams  # noqa: F401  the first and last register queries
 
 SAMPLES = "stream_id string, seq long, raw_ns long, arrival_ns long"
 MS = 10**6
@@ -175,3 +176,28 @@ def test_streams_of_a_month_pass_the_size_of_a_bucket(spark):
     assert 2 * 10**15 < width["bucket_width"] < 3 * 10**15
     got = ordered.numbered(month, "k", ["t", "id"], "n")
     assert got.where("n != id").isEmpty() and got.count() == n
+
+
+def test_widths_are_sought_for_long_keys_only(spark):
+    df = spark.createDataFrame([(k, i) for k in ("a", None, "b") for i in range(900 if k == "a" else 50)], "k string, n long")
+    assert [r["width_key"] for r in ordered.widths(df, "k", "n", 800).collect()] == ["a"]
+    plan = ordered.bucketed(df, "k", "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan.split("percentile_approx")[1]  # quantiles see the rows of long keys alone
+
+
+MONTH = ordered.BUCKET_ROWS + 1000  # samples, ten seconds apart
+
+
+@pytest.fixture(scope="module")
+def month(spark, tmp_path_factory):
+    """Events of one stream that is longer than a bucket; every thousandth arrives after the next one."""
+    value = F.when(F.col("id") % 1000 == 999, 150_000.0).otherwise((F.col("id") % 100).cast("double"))
+    ts = F.timestamp_micros(1_700_000_000 * 10**6 + F.col("id") * 10**7).cast("timestamp_ntz")
+    at = str(tmp_path_factory.mktemp("month"))
+    spark.range(MONTH).select(F.col("id").alias("event_id"), ts.alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("s").alias("event_type"), value.alias("value"), F.lit("{}").alias("props")).write.parquet(f"{at}/events.parquet")
+    return at
+
+
+def test_epoch_enrich_of_a_month(spark, month):
+    got = registry.QUERIES["epoch_enrich"](spark, month)
+    assert got.count() == MONTH and got.where("sats != (seq - seq % 4) % 100").isEmpty()

@@ -31,12 +31,15 @@ def _inside(key: str, order: list[str]) -> W:
 
 def widths(df: DataFrame, key: str, by: str, rows: int = BUCKET_ROWS) -> DataFrame:
     """width_key and bucket_width of each key of more than `rows` rows, from counts and approximate quantiles: a row for each.
-    All other keys are one bucket."""
-    cuts = F.percentile_approx(by, [i / STRETCHES for i in range(STRETCHES + 1)], 20 * STRETCHES)
-    found = df.where(F.col(by).isNotNull()).groupBy(F.col(key).alias("width_key")).agg(F.count("*").alias("n"), cuts.alias("cuts"))
+    All other keys are one bucket, and no quantiles are sought for them."""
+    timed = df.where(F.col(by).isNotNull()).select(F.col(key).alias("timed_key"), F.col(by).alias("at"))
+    long_ones = timed.groupBy(F.col("timed_key").alias("width_key")).agg(F.count("*").alias("n")).where(F.col("n") > rows)
+    of_long = timed.join(F.broadcast(long_ones), F.col("timed_key").eqNullSafe(F.col("width_key")))  # fewer keys than rows / `rows`
+    cuts = F.percentile_approx("at", [i / STRETCHES for i in range(STRETCHES + 1)], 20 * STRETCHES)
+    found = of_long.groupBy("width_key", "n").agg(cuts.alias("cuts"))
     steps = F.filter(F.transform(F.sequence(F.lit(1), F.lit(STRETCHES)), lambda i: F.get("cuts", i) - F.get("cuts", i - 1)), lambda d: d > 0)
     width = F.ceil(F.least(F.coalesce(F.array_min(steps), F.lit(1)).cast("double") * float(rows * STRETCHES) / F.col("n"), F.lit(2.0**62)))  # nanoseconds times rows pass 64 bits
-    return found.where(F.col("n") > rows).select("width_key", F.greatest(F.lit(1), width).cast("long").alias("bucket_width"))
+    return found.select("width_key", F.greatest(F.lit(1), width).cast("long").alias("bucket_width"))
 
 
 def bucketed(df: DataFrame, key: str, by: str, width_ns: int | None = None) -> DataFrame:
@@ -48,7 +51,7 @@ def _wide(df: DataFrame, key: str, by: str, width_ns: int | None) -> DataFrame:
     if width_ns is not None:
         wide = df.withColumn("bucket_width", F.lit(width_ns).cast("long"))
     else:
-        wide = df.join(widths(df, key, by), F.col(key).eqNullSafe(F.col("width_key")), "left").drop("width_key")
+        wide = df.join(F.broadcast(widths(df, key, by)), F.col(key).eqNullSafe(F.col("width_key")), "left").drop("width_key")
     return wide.withColumn("bucket", F.when(F.col("bucket_width").isNull(), F.lit(0)).otherwise(F.floor(F.col(by) / F.col("bucket_width"))).cast("long"))
 
 
