@@ -201,3 +201,8 @@ def month(spark, tmp_path_factory):
 def test_epoch_enrich_of_a_month(spark, month):
     got = registry.QUERIES["epoch_enrich"](spark, month)
     assert got.count() == MONTH and got.where("sats != (seq - seq % 4) % 100").isEmpty()
+
+
+def test_last_warnings_of_a_month(spark, month):
+    warned = [i for i in range(MONTH) if i % 1000 == 999 or i % 100 > 50]
+    assert sorted(r["seq"] for r in registry.QUERIES["last_n_warnings"](spark, month).collect()) == warned[-6:]
