@@ -206,3 +206,8 @@ def test_epoch_enrich_of_a_month(spark, month):
 def test_last_warnings_of_a_month(spark, month):
     warned = [i for i in range(MONTH) if i % 1000 == 999 or i % 100 > 50]
     assert sorted(r["seq"] for r in registry.QUERIES["last_n_warnings"](spark, month).collect()) == warned[-6:]
+
+
+def test_sequence_numbers_of_a_month(spark, month):
+    got = registry.QUERIES["sequence_numbers"](spark, month)
+    assert got.count() == MONTH and got.where("sequence != seq").isEmpty()
