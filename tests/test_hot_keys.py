@@ -211,3 +211,8 @@ def test_last_warnings_of_a_month(spark, month):
 def test_sequence_numbers_of_a_month(spark, month):
     got = registry.QUERIES["sequence_numbers"](spark, month)
     assert got.count() == MONTH and got.where("sequence != seq").isEmpty()
+
+
+def test_out_of_order_of_a_month(spark, month):
+    [r] = registry.QUERIES["stream_out_of_order"](spark, month).collect()
+    assert (r["received"], r["out_of_order"]) == (MONTH, MONTH // 1000)
