@@ -216,3 +216,8 @@ def test_sequence_numbers_of_a_month(spark, month):
 def test_out_of_order_of_a_month(spark, month):
     [r] = registry.QUERIES["stream_out_of_order"](spark, month).collect()
     assert (r["received"], r["out_of_order"]) == (MONTH, MONTH // 1000)
+
+
+def test_rates_of_a_month(spark, month):
+    got = registry.QUERIES["stream_rate64"](spark, month)
+    assert got.count() == MONTH and got.where("rate_hz != if(seq = 0, 0, 0.1)").isEmpty()
