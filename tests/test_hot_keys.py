@@ -221,3 +221,8 @@ def test_out_of_order_of_a_month(spark, month):
 def test_rates_of_a_month(spark, month):
     got = registry.QUERIES["stream_rate64"](spark, month)
     assert got.count() == MONTH and got.where("rate_hz != if(seq = 0, 0, 0.1)").isEmpty()
+
+
+def test_summary_of_a_month(spark, month):
+    [r] = registry.QUERIES["stream_summary_csv"](spark, month).collect()
+    assert (r["stream"], r["samples"], r["rate_hz"], r["dropped"]) == ("s", MONTH, 0.1, 0)
