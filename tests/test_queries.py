@@ -546,6 +546,22 @@ def test_chain_optimum_is_exact_without_noise():
     assert np.abs(georef.optimise(start, steps, anchors)[:, :2] - true[:, :2]).max() < 0.2
 
 
+def test_chains_solved_together_are_each_solved_alone(monkeypatch):
+    """To the same bits, whatever their lengths, and in as many steps as the longest needs, not all together."""
+    draw, chains = np.random.default_rng(3), []
+    for n in [3, 40, 7, 40, 3, 25] * 5:
+        course = np.cumsum(draw.normal(0, 0.3, n))
+        true = np.cumsum(np.stack([np.cos(course), np.sin(course)], axis=1), axis=0)
+        steps = np.column_stack([np.hypot(*np.diff(true, axis=0).T), np.zeros(n - 1), np.diff(course)])
+        chains.append((np.column_stack([true + draw.normal(0, 1, (n, 2)), course]), steps, np.column_stack([draw.random(n) * (np.arange(n) % 3 == 0), true])))
+    alone = [georef.optimise(*c) for c in chains]
+    calls, solve_ = [], np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda *a: calls.append(1) or solve_(*a))
+    together = georef.optimise_chains(chains)
+    assert all((a == b).all() for a, b in zip(alone, together, strict=True))
+    assert len(calls) <= 2 * 40 * georef.ROUNDS < sum(len(c[0]) for c in chains) * georef.ROUNDS
+
+
 def online_events(late_ns, vps_at=None):
     rows = []
     for i in range(200):

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo
 from ..sources.shared import write_table
@@ -194,16 +197,57 @@ def _moved(poses: np.ndarray, change: np.ndarray) -> np.ndarray:
     return out
 
 
+def _solve_chains(diagonal: np.ndarray, right: np.ndarray, target: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """`_solve_chain` of many chains at once, which stand one after another and begin at `first`, for one column of
+    `target`, to the same bits. A step takes the nodes at one place of all chains that reach so far; the block of `right`
+    at a chain's last node is not read."""
+    size = np.diff(np.append(first, len(diagonal)))
+    longest = np.argsort(-size, kind="stable")
+    start, size = first[longest], size[longest]
+    reach = np.searchsorted(-size, -np.arange(size[0] + 1), side="left")  # how many chains have a node at each place
+    carry, out = np.zeros((len(diagonal), 3, 3)), np.empty_like(target)
+    for i in range(size[0]):
+        at, on = start[: reach[i]] + i, reach[i + 1]  # longer chains come first
+        block, value = diagonal[at], target[at]
+        if i:
+            back = right[at - 1].transpose(0, 2, 1)
+            block, value = block - back @ carry[at - 1], value - back @ out[at - 1]
+        if on:
+            done = np.linalg.solve(block[:on], np.concatenate([right[at[:on]], value[:on]], axis=2))
+            carry[at[:on]], out[at[:on]] = done[:, :, :3], done[:, :, 3:]
+        if on < len(at):  # a chain's last node; another number of columns might give other bits
+            out[at[on:]] = np.linalg.solve(block[on:], value[on:])
+    for i in range(size[0] - 2, -1, -1):
+        at = start[: reach[i + 1]] + i
+        out[at] -= carry[at] @ out[at + 1]
+    return out
+
+
+def optimise_chains(chains: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """`optimise` of each of many chains, which are solved together; each ends by itself."""
+    found = [poses for poses, _, _ in chains]
+    live = list(range(len(chains)))
+    for _ in range(ROUNDS):
+        parts = [_system(found[k], *chains[k][1:], np.full(len(found[k]), DAMPING)) for k in live]
+        begins = np.cumsum([0] + [len(x[0]) for x in parts])
+        none = np.zeros((1, 3, 3))
+        right = np.concatenate([x for part in parts for x in (part[1], none)])
+        change = _solve_chains(np.concatenate([x[0] for x in parts]), right, np.concatenate([x[2] for x in parts])[:, :, None], begins[:-1])[:, :, 0]
+        still = []
+        for k, a, b in zip(live, begins, begins[1:]):
+            found[k] = _moved(found[k], change[a:b])
+            if np.abs(change[a:b]).max() >= STEP:
+                still.append(k)
+        live = still
+        if not live:
+            break
+    return found
+
+
 def optimise(poses: np.ndarray, steps: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     """Poses (east, north, heading) that best agree with the steps between neighbours (forward, left, turn) and with
     anchors (weight, east, north; weight 0 for none): damped Gauss-Newton over a chain."""
-    for _ in range(ROUNDS):
-        diagonal, right, target = _system(poses, steps, anchors, np.full(len(poses), DAMPING))
-        change = _solve_chain(diagonal, right, target[:, :, None])[:, :, 0]
-        poses = _moved(poses, change)
-        if np.abs(change).max() < STEP:
-            break
-    return poses
+    return optimise_chains([(poses, steps, anchors)])[0]
 
 
 class _Piece:
@@ -303,7 +347,7 @@ def refine(poses: DataFrame, fixes: DataFrame, size: int = PIECE) -> DataFrame:
 
     Fixes anchor the nearest pose within a second, weighted by accuracy (1 m at best); neighbours are held together
     by the step that odometry saw. Trips of fewer than 3 poses or 2 anchors, or without an alignment, give no rows;
-    the altitude is the origin's. Trips of up to `size` poses are solved whole in a task; longer ones in pieces of as
+    the altitude is the origin's. Trips of up to `size` poses are solved whole, as many at once as an Arrow batch has; longer ones in pieces of as
     many, each reduced to its ends, which gives the same poses.
     """
     placed = fixes_in_enu(fixes)
@@ -326,13 +370,39 @@ def refine(poses: DataFrame, fixes: DataFrame, size: int = PIECE) -> DataFrame:
     nodes = nodes.withColumn("piece", F.floor(F.col("place") / size)).select("trip_id", "piece", F.col("place").cast("long").alias("place"), "pose_id", "n_poses", "east", "north", "heading", F.coalesce("forward", F.lit(0.0)).alias("forward"), F.coalesce("turn", F.lit(0.0)).alias("turn"), F.coalesce("weight", F.lit(0.0)).alias("weight"), *[F.coalesce(f"at_{c}", F.lit(0.0)).alias(f"at_{c}") for c in ("east", "north")])
     nodes = write_table(nodes, "refine-all")
 
-    def whole_trip(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place")
-        steps = np.stack([rows["forward"][:-1], np.zeros(len(rows) - 1), wrap(rows["turn"][:-1].to_numpy())], axis=1)
-        found = optimise(rows[["east", "north", "heading"]].to_numpy(), steps, rows[["weight", "at_east", "at_north"]].to_numpy())
-        return rows[["trip_id", "pose_id"]].assign(east=found[:, 0], north=found[:, 1])
-
-    solved = nodes.where(F.col("n_poses") <= size).groupBy("trip_id").applyInPandas(whole_trip, "trip_id long, pose_id long, east double, north double")
+    def whole_trips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A batch's trips are solved together; the last one waits for its other rows in the next batch."""
+        waiting: list[pa.RecordBatch] = []
+
+        def solve_all(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            trip, matrix = rows["trip_id"].to_numpy(), lambda *names: np.column_stack([rows[c].to_numpy() for c in names])
+            first = np.flatnonzero(np.append(True, trip[1:] != trip[:-1]))
+            steps = np.column_stack([rows["forward"].to_numpy(), np.zeros(len(trip)), rows["turn"].to_numpy()])
+            poses, anchors, chains = matrix("east", "north", "heading"), matrix("weight", "at_east", "at_north"), []
+            for a, b in zip(first, np.append(first[1:], len(trip))):
+                step = steps[a : b - 1].copy()
+                step[:, 2] = wrap(step[:, 2])
+                chains.append((poses[a:b], step, anchors[a:b]))
+            found = np.concatenate(optimise_chains(chains))
+            yield from rows.select(["trip_id", "pose_id"]).append_column("east", pa.array(found[:, 0])).append_column("north", pa.array(found[:, 1])).to_batches()
+
+        for batch in batches:
+            trip = batch.column("trip_id").to_numpy()
+            last = int(np.flatnonzero(trip != trip[-1])[-1]) + 1 if len(trip) and trip[0] != trip[-1] else 0
+            if waiting and len(trip) and waiting[-1].column("trip_id")[-1].as_py() != trip[0]:
+                yield from solve_all(pa.Table.from_batches(waiting))
+                waiting = []
+            if last:
+                yield from solve_all(pa.Table.from_batches([*waiting, batch.slice(0, last)]))
+                waiting = []
+            if len(trip):
+                waiting.append(batch.slice(last))
+        if waiting:
+            yield from solve_all(pa.Table.from_batches(waiting))
+
+    dealt = nodes.where(F.col("n_poses") <= size).repartition("trip_id").sortWithinPartitions("trip_id", "place")
+    dealt = dealt.select("trip_id", "pose_id", "east", "north", "heading", "forward", "turn", "weight", "at_east", "at_north")
+    solved = dealt.mapInArrow(whole_trips, T.StructType([nodes.schema["trip_id"], nodes.schema["pose_id"], *T._parse_datatype_string("east double, north double").fields]))
     long_ones = nodes.where(F.col("n_poses") > size)
     if not long_ones.isEmpty():
         solved = solved.unionByName(_refine_long(long_ones, size).select("trip_id", "pose_id", "east", "north"))
