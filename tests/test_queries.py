@@ -741,3 +741,16 @@ def test_reports_are_decoded_few_buffers_at_once(spark, monkeypatch):
     given = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([one.tobytes(), None, one.tobytes() * 3, b"", one.tobytes()], pa.binary())], names=["id", "data"])
     made = list(kept["run"](iter([given])))
     assert [x.num_rows for x in made] == [1, 3, 1] and pa.Table.from_batches(made)["id"].to_pylist() == [0, 2, 2, 2, 4]
+
+
+def test_assets_of_detections_place_them_once(spark):
+    """A detection's transform goes through tracking with it, so what places detections is not run again for a join."""
+    c = F.col
+    placed = spark.range(7, 10).select(F.lit(1).cast("long").alias("trip_id"), c("id").alias("ts_ns"), "id", (c("id") * 50.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), F.lit("POLE").alias("asset_class"), F.lit(0.5).alias("confidence"), F.lit(2.0).alias("depth_m"), c("id").alias("frame_id"), F.lit(None).cast("string").alias("semantic_label"), F.lit("kept").alias("reason"), (c("id") % 2).alias("transform_id"))
+    one = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    transforms = spark.createDataFrame([(1, k, 0, 1.0, one, [0.0, 1000.0 * k, 0.0]) for k in (0, 1)], "trip_id long, transform_id long, ts_ns long, scale double, rotation array<double>, translation array<double>")
+    origins = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "trip_id long, lat0 double, lon0 double, alt0 double")
+    got = perception.extract_assets(placed, transforms, origins)
+    assert "transform_id" not in got.columns
+    assert [(r["id"], r["lat"] > 0.005) for r in got.orderBy("id").collect()] == [(7, True), (8, False), (9, True)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (7, 10") == 1

@@ -8,7 +8,7 @@ the boxes that a frame and class keeps, and tracking a trip's landmarks.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -169,7 +169,7 @@ class _Landmark:
         return dict(zip("xyz", self.mean, strict=True)) | {"track_id": self.number, "is_new": self.n == 1, "observations": self.n, "position_std_m": std, "max_confidence": self.top, "depth_avg_m": self.depth / self.depths if self.depths else None, "asset_class": won(self.classes), "semantic_label": won(self.labels)}
 
 
-def track_assets(detections: DataFrame, merge_m: float = 3.0) -> DataFrame:
+def track_assets(detections: DataFrame, merge_m: float = 3.0, also: Sequence[str] = ()) -> DataFrame:
     """Online clustering in order of time, then id: a detection joins the nearest landmark of its trip within
     `merge_m`, whatever its class, and moves its mean; else it founds one. Gives each detection its landmark as it then
     stands: its number, mean, spread, highest confidence, mean depth, the class with the most confidence and the most
@@ -177,7 +177,7 @@ def track_assets(detections: DataFrame, merge_m: float = 3.0) -> DataFrame:
     distances to the older landmark.
 
     `detections` has trip_id, ts_ns, id, x, y, z, asset_class, confidence, depth_m, frame_id and semantic_label (may be
-    null). Detections without a finite place are left out; depths that are null or not finite don't enter the mean, a null
+    null), and what else of a detection its row is to keep, named by `also`. Detections without a finite place are left out; depths that are null or not finite don't enter the mean, a null
     confidence is 0 and a null class has no vote. Means lie in cells of `merge_m`, so that only 27 cells are searched for
     each detection.
     """
@@ -203,11 +203,13 @@ def track_assets(detections: DataFrame, merge_m: float = 3.0) -> DataFrame:
                 cells[cell_of(best.mean)].remove(best)
             best.add(p, r)
             cells.setdefault(cell_of(best.mean), []).append(best)
-            return {"trip_id": r["trip_id"], "id": r["id"], "last_frame_id": r["frame_id"], **best.row()}
+            return {"trip_id": r["trip_id"], "id": r["id"], "last_frame_id": r["frame_id"], **best.row(), **{c: r[c] for c in also}}
 
         return step
 
-    return ordered_fold(detections, "trip_id", ["ts_ns", "id"], start, TRACKED)
+    read = ["trip_id", "ts_ns", "id", "x", "y", "z", "asset_class", "confidence", "depth_m", "frame_id", "semantic_label"]
+    schema = ", ".join([TRACKED, *[f"`{c}` {detections.schema[c].dataType.simpleString()}" for c in also]])
+    return ordered_fold(detections.select(*read, *also), "trip_id", ["ts_ns", "id"], start, schema)
 
 
 def landmarks(tracked: DataFrame) -> DataFrame:

@@ -44,10 +44,9 @@ def extract_assets(placed: DataFrame, transforms: DataFrame, origins: DataFrame,
     are left out."""
     c = F.col
     kept = placed.where("reason = 'kept'")
-    tracked = folds.track_assets(kept, merge_m)
-    by = kept.select("trip_id", "id", "transform_id")
-    with_transform = tracked.join(by, ["trip_id", "id"]).join(transforms.drop("ts_ns"), ["trip_id", "transform_id"]).join(origins, "trip_id")
+    tracked = folds.track_assets(kept, merge_m, ["transform_id"])  # not joined again, which would place all once more
+    with_transform = tracked.join(transforms.drop("ts_ns"), ["trip_id", "transform_id"]).join(origins, "trip_id")
     row = lambda i: c("scale") * sum((F.get("rotation", F.lit(3 * i + j)) * c(a) for j, a in enumerate("xyz")), F.lit(0.0)) + F.get("translation", F.lit(i))
     lat, lon, alt = geo.from_enu(row(0), row(1), row(2), c("lat0"), c("lon0"), c("alt0"))
-    out = with_transform.select(*tracked.columns, lat.alias("lat"), lon.alias("lon"), alt.alias("alt"))
+    out = with_transform.select(*tracked.drop("transform_id").columns, lat.alias("lat"), lon.alias("lon"), alt.alias("alt"))
     return out.where(geo.is_finite(c("lat")) & geo.is_finite(c("lon")) & geo.is_finite(c("alt")))
