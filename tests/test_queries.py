@@ -587,6 +587,33 @@ def test_online_alignment_with_late_and_early_fixes(spark, late_ns):
     assert math.dist((vps[-1]["east"], vps[-1]["north"]), (60.0, 9.9)) < 0.01 and vps[-1]["transform_id"] == vps[110]["transform_id"]
 
 
+@pytest.mark.parametrize("rows_of_batch", [37, 500, 10_000])
+def test_places_solved_together_are_those_of_one_aligner(monkeypatch, rows_of_batch):
+    """To the same bits, wherever batches end, with anchor sets, fits that are refused and fixes that are not finite."""
+    draw, names, rows = random.Random(5), ["trip_id", "at_ns", "kind", "id", "ts_ns", "a", "b", "c", "tracking", "pairs"], []
+    for trip in range(30):
+        for r in online_events([0, 30_000_000, -30_000_000][trip % 3], 1_500_000_000 if trip % 7 == 3 else None):
+            wild = 60.0 if trip % 5 == 4 else 0.5
+            place = [None if x is None else x + draw.gauss(0, wild) for x in r[5:8]]
+            if trip % 11 == 10 and r[2] == "fix" and r[3] == 190:
+                place[1] = math.nan
+            rows.append((trip, *r[1:5], *place, *r[8:]))
+    rows.sort(key=lambda r: r[:4])
+    want, aligner = [], None
+    for i, r in enumerate(rows):
+        if not i or rows[i - 1][0] != r[0]:
+            aligner = georef.Aligner()
+        want.append(aligner.take(dict(zip(names, r, strict=True))))
+    calls, svd = [], np.linalg.svd
+    monkeypatch.setattr(np.linalg, "svd", lambda *a: calls.append(1) or svd(*a))
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.list_(pa.float64()))]
+    table = pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    got = pa.Table.from_batches(georef.place_together(iter(table.to_batches(rows_of_batch)))).to_pylist()
+    assert got == [w for w in want if w is not None] and 0 < len(got) < 6000
+    if rows_of_batch == 10_000:
+        assert len(calls) < 40 < sum(r[2] == "fix" for r in rows)
+
+
 @pytest.mark.parametrize("text", [False, True])
 @pytest.mark.parametrize("kind", ["ply", "pcd"])
 def test_clouds(spark, tmp_path, kind, text):

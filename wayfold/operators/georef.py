@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,15 +18,14 @@ from ..functions import geo
 from ..sources.shared import write_table
 from . import relational as rel
 from . import solve
-from .folds import ordered_fold
 
 #: Fixed values of online alignment: gates, pairing tolerance, how long poses are kept, and capacities.
 MAX_ACCURACY_M, MAX_RMS_M, SCALES = 35.0, 18.0, (0.5, 2.0)
 PAIR_NS, KEEP_NS, MOST_POSES, MOST_PENDING, MOST_PAIRS = 100_000_000, 20_000_000_000, 16_000, 64, 600
 #: Fixed values of refinement: nearest node within a second, weight of odometry, damping, iterations, last step.
 NEAR_NS, ODOMETRY, DAMPING, ROUNDS, STEP = 1_000_000_000, 50.0, 1e-6, 25, 1e-6
-#: Poses of a longer trajectory that a task holds at once; it changes no result.
-PIECE = 4000
+#: Poses of a longer trajectory, and pairs of alignments solved together, that a task holds at once; they change no result.
+PIECE, STACKED = 4000, 50_000
 
 
 def origins(fixes: DataFrame) -> DataFrame:
@@ -43,6 +43,11 @@ def fixes_in_enu(fixes: DataFrame) -> DataFrame:
     return placed.withColumns({"east": e, "north": n, "up": u})
 
 
+def _passes(scale: float | np.ndarray, rms: float | np.ndarray, any_scale: bool) -> bool | np.ndarray:
+    """Whether an alignment is good enough to be used."""
+    return np.isfinite(rms) & (rms <= MAX_RMS_M) & (any_scale | ((SCALES[0] <= scale) & (scale <= SCALES[1])))
+
+
 class Aligner:
     """Alignment of one trip as its events arrive: kept poses in order of time, fixes that wait, pairs, what is known."""
 
@@ -69,7 +74,7 @@ class Aligner:
         del self.times[: max(0, gone)]
 
     def pair(self, position: tuple, place: tuple) -> bool:
-        if not np.isfinite(position).all():
+        if not all(map(math.isfinite, position)):
             return False
         self.pairs.append((*position, *place))
         del self.pairs[:-MOST_PAIRS]
@@ -77,11 +82,18 @@ class Aligner:
 
     def align(self, points: list, any_scale: bool) -> bool:
         found = solve.align(np.array(points)[:, :3], np.array(points)[:, 3:]) if len(points) >= 3 else None
-        if found is None or not np.isfinite(found[3]) or found[3] > MAX_RMS_M or not (any_scale or SCALES[0] <= found[0] <= SCALES[1]):
+        if found is None or not _passes(found[0], found[3], any_scale):
             return False
-        self.known, self.number = found, self.number + 1
+        self.use(found)
         return True
 
+    def use(self, found: tuple) -> None:
+        self.known, self.number = found, self.number + 1
+
+    def refit(self) -> None:
+        """Align by the pairs."""
+        self.align(self.pairs, False)
+
     def settle(self) -> None:
         oldest, waiting, added = self.times[0] if self.times else None, [], False
         for ts, place in self.pending:
@@ -92,7 +104,7 @@ class Aligner:
                 waiting.append((ts, place))
         self.pending = waiting
         if added:
-            self.align(self.pairs, False)
+            self.refit()
 
     def take(self, r: dict) -> dict | None:
         """The place of a pose, if an alignment is known by then; other events give None."""
@@ -107,7 +119,7 @@ class Aligner:
                 self.pending.append((r["ts_ns"], here))
                 del self.pending[:-MOST_PENDING]
             elif not self.vps and self.pair(pose, here):
-                self.align(self.pairs, False)
+                self.refit()
         else:
             if r["tracking"]:
                 self.keep(r["ts_ns"], here)
@@ -115,16 +127,132 @@ class Aligner:
                     self.pending.clear()
                 elif self.pending:
                     self.settle()
-            if self.known is not None:
-                scale, rotation, shift, rms = self.known
-                e, n, u = (scale * rotation @ np.array(here) + shift).tolist()
-                return {"trip_id": r["trip_id"], "pose_id": r["id"], "ts_ns": r["ts_ns"], "east": e, "north": n, "up": u, "transform_id": self.number, "rms": rms}
+            return self.place(r, here)
         return None
 
+    def place(self, r: dict, here: tuple) -> dict | None:
+        if self.known is None:
+            return None
+        scale, rotation, shift, rms = self.known
+        e, n, u = (scale * rotation @ np.array(here) + shift).tolist()
+        return {"trip_id": r["trip_id"], "pose_id": r["id"], "ts_ns": r["ts_ns"], "east": e, "north": n, "up": u, "transform_id": self.number, "rms": rms}
+
 
 PLACED = "trip_id long, pose_id long, ts_ns long, east double, north double, up double, transform_id long, rms double"
 
 
+class _Noted(Aligner):
+    """An aligner that notes in `book` which pairs it would align and which poses it would place, to be solved with many
+    others. What is known decides nothing but places, so all else goes on; anchor sets, whose result decides which fixes
+    count, are aligned at once. Its pairs stand in the book's, from `begin` on."""
+
+    def __init__(self, book: _Book, known: tuple | None = None, number: int = 0) -> None:
+        super().__init__()
+        self.book, self.begin = book, len(book.pairs)
+        book.open(known, number)
+
+    def pair(self, position: tuple, place: tuple) -> bool:
+        if not all(map(math.isfinite, position)):
+            return False
+        self.book.pairs.append((*position, *place))
+        return True
+
+    def refit(self) -> None:
+        end = len(self.book.pairs)
+        self.book.asked.append((max(self.begin, end - MOST_PAIRS), end))
+
+    def use(self, found: tuple) -> None:
+        self.book.given[len(self.book.asked)] = found
+        self.book.asked.append((0, 0))
+
+    def place(self, r: dict, here: tuple) -> None:
+        self.book.poses.append((r["row"], len(self.book.asked) - 1))
+
+
+class _Book:
+    """What aligners asked for in a batch: ranges of `pairs`, some alignments that are `given`, and poses (row of the batch,
+    the last thing asked for before it). A trip begins with what it knew before, which is none of its alignments here."""
+
+    def __init__(self) -> None:
+        self.pairs: list[tuple] = []
+        self.clear()
+
+    def clear(self) -> None:
+        self.asked: list[tuple[int, int]] = []
+        self.given: dict[int, tuple] = {}
+        self.begins: list[int] = []
+        self.numbers: list[int] = []
+        self.poses: list[tuple[int, int]] = []
+
+    def open(self, known: tuple | None, number: int) -> None:
+        if known is not None:
+            self.given[len(self.asked)] = known
+        self.begins.append(len(self.asked))
+        self.numbers.append(number)
+        self.asked.append((0, 0))
+
+    def solve(self) -> None:
+        """Of each thing asked for: `scale`, `rotation`, `shift` and `rms`, the last alignment `known` by then (or -1), and its
+        `number` in the trip."""
+        span, m = np.array(self.asked), len(self.asked)
+        self.scale, self.rotation, self.shift, self.rms = np.zeros(m), np.zeros((m, 3, 3)), np.zeros((m, 3)), np.zeros(m)
+        good = np.zeros(m, bool)
+        points, size = np.array(self.pairs, float).reshape(-1, 6), span[:, 1] - span[:, 0]
+        for n in np.unique(size[size >= 3]):
+            alike = np.flatnonzero(size == n)
+            for i in range(0, len(alike), max(1, STACKED // n)):
+                at = alike[i : i + max(1, STACKED // n)]
+                solved, *found = solve.align_all(points[span[at, 0][:, None] + np.arange(n)])
+                self.scale[at], self.rotation[at], self.shift[at], self.rms[at] = found
+                good[at] = solved & _passes(found[0], found[3], False)
+        for i, found in self.given.items():
+            self.scale[i], self.rotation[i], self.shift[i], self.rms[i] = found
+            good[i] = True
+        begins = np.array(self.begins)
+        trip = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, m)))
+        last = np.maximum.accumulate(np.where(good, np.arange(m), -1))
+        self.known = np.where(last >= begins[trip], last, -1)
+        new = good.copy()
+        new[begins] = False
+        total = np.cumsum(new)
+        self.number = np.array(self.numbers)[trip] + total - total[begins][trip]
+
+    def placed(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, asked = np.array(self.poses, np.int64).reshape(-1, 2).T
+        met = self.known[asked] >= 0
+        rows, asked = rows[met], asked[met]
+        by, taken = self.known[asked], batch.take(pa.array(rows))
+        here = np.column_stack([taken.column(c).to_numpy(zero_copy_only=False) for c in "abc"]).astype(float)
+        e, n, u = (((self.scale[by][:, None, None] * self.rotation[by]) @ here[:, :, None])[:, :, 0] + self.shift[by]).T
+        named = [taken.column(c).cast(pa.int64()) for c in ("trip_id", "id", "ts_ns")]
+        return pa.RecordBatch.from_arrays([*named, *map(pa.array, (e, n, u, self.number[asked], self.rms[by]))], names=[x.split()[0] for x in PLACED.split(", ")])
+
+    def carried(self, now: _Noted) -> None:
+        """Begin the next batch with what the last trip knows."""
+        at = self.known[-1]
+        known = None if at < 0 else (self.scale[at], self.rotation[at], self.shift[at], self.rms[at])
+        number = int(self.number[-1])
+        self.clear()
+        self.pairs = self.pairs[now.begin :][-MOST_PAIRS:]
+        now.begin = 0
+        self.open(known, number)
+
+
+def place_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of the poses in `batches` of `online`'s events, which are sorted by trip, arrival, kind and id."""
+    names = ["row", "trip_id", "kind", "id", "ts_ns", "a", "b", "c", "tracking", "pairs"]
+    book, now, trip = _Book(), None, None
+    for batch in batches:
+        for row in zip(range(batch.num_rows), *(batch.column(c).to_pylist() for c in names[1:]), strict=True):
+            if now is None or row[1] != trip:
+                trip, now = row[1], _Noted(book)
+            now.take(dict(zip(names, row)))
+        if now is not None:
+            book.solve()
+            yield book.placed(batch)
+            book.carried(now)
+
+
 def online(events: DataFrame) -> DataFrame:
     """East, north and up of each pose, by the alignment known when it arrives.
 
@@ -132,9 +260,10 @@ def online(events: DataFrame) -> DataFrame:
     a fix's east, north and up), tracking, and pairs (of a 'vps' row: position and place, six numbers each).
     A fix is paired with the nearest kept tracking pose; one without waits until poses catch up with it. After
     the first accepted 'vps' alignment fixes count no more. Poses and fixes with a null time or place are left out.
-    One pass for each trip with a bounded state; `wayfold.streaming.placing` does the same to a stream.
+    One pass for each trip with a bounded state, in which alignments are only noted; those of a batch, of whatever trips,
+    are solved together. `wayfold.streaming.placing` does the same to a stream, one by one.
     """
-    return ordered_fold(events, "trip_id", ["at_ns", "kind", "id"], lambda: Aligner().take, PLACED)
+    return events.repartition("trip_id").sortWithinPartitions("trip_id", "at_ns", "kind", "id").mapInArrow(place_together, PLACED)
 
 
 def events_of(poses: DataFrame, fixes: DataFrame, fix_delay_ns: int = 0) -> DataFrame:

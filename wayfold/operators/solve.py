@@ -15,23 +15,39 @@ from pyspark.sql import functions as F
 from ..functions.geo import clamp
 
 
-def _best(n: int, mu_s: np.ndarray, mu_t: np.ndarray, var_s: float, var_t: float, cov: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float] | None:
-    """Scale, rotation, translation and root mean square error from means, variances and covariance."""
-    if n < 3 or var_s < 1e-9:
-        return None
-    u, d, vt = np.linalg.svd(cov)
-    sign = np.array([1.0, 1.0, np.sign(np.linalg.det(u) * np.linalg.det(vt)) or 1.0])
-    rotation = u @ np.diag(sign) @ vt
-    scale = float((d * sign).sum() / var_s)
-    error = var_t + scale * scale * var_s - 2 * scale * float((d * sign).sum())
-    return scale, rotation, mu_t - scale * rotation @ mu_s, float(np.sqrt(max(0.0, error)))
+def _best(n: np.ndarray, mu_s: np.ndarray, mu_t: np.ndarray, var_s: np.ndarray, var_t: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which problems have a solution, and scale, rotation, translation and root mean square error of each, from means,
+    variances and covariances. The error of one with a value that is not finite is NaN."""
+    solved = (n >= 3) & ~(var_s < 1e-9)
+    real = np.isfinite(cov).all(axis=(1, 2))
+    u, d, vt = np.linalg.svd(np.where((real & solved)[:, None, None], cov, 0.0))
+    turn = np.sign(np.linalg.det(u) * np.linalg.det(vt))
+    turn[turn == 0] = 1.0
+    sign = np.column_stack([np.ones((len(turn), 2)), turn])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rotation = u @ (np.eye(3) * sign[:, None, :]) @ vt
+        spread = (d * sign).sum(axis=1)
+        scale = spread / var_s
+        error = var_t + scale * scale * var_s - 2 * scale * spread
+        shift = mu_t - ((scale[:, None, None] * rotation) @ mu_s[:, :, None])[:, :, 0]
+        rms = np.where(real, np.sqrt(np.where(error < 0, 0.0, error)), np.nan)
+    return solved, scale, rotation, shift, rms
+
+
+def align_all(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each stack of rows in `points` (problems, rows, 6: a source and its target) whether it has a solution, and the
+    scale, rotation, translation and error that best map source to target."""
+    source, target, n = points[:, :, :3], points[:, :, 3:], points.shape[1]
+    mu_s, mu_t = source.mean(axis=1), target.mean(axis=1)
+    s, t = source - mu_s[:, None], target - mu_t[:, None]
+    var_s, var_t = ((x * x).reshape(len(x), -1).sum(axis=1) / n for x in (s, t))
+    return _best(np.full(len(points), n), mu_s, mu_t, var_s, var_t, t.transpose(0, 2, 1) @ s / n)
 
 
 def align(source: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float] | None:
     """Scale, rotation, translation and error that best map rows of `source` to rows of `target`, or None."""
-    mu_s, mu_t = source.mean(axis=0), target.mean(axis=0)
-    s, t = source - mu_s, target - mu_t
-    return _best(len(s), mu_s, mu_t, float((s * s).sum() / len(s)), float((t * t).sum() / len(t)), t.T @ s / len(s))
+    solved, scale, rotation, shift, rms = (x[0] for x in align_all(np.hstack([source, target])[None]))
+    return (float(scale), rotation, shift, float(rms)) if solved else None
 
 
 def similarity_solve(pairs: DataFrame, key: str, source: tuple[str, str, str], target: tuple[str, str, str]) -> DataFrame:
@@ -47,18 +63,13 @@ def similarity_solve(pairs: DataFrame, key: str, source: tuple[str, str, str], t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for r in batch.to_pylist():
-                n = r["n"]
-                mu_s, mu_t = (np.array([r[f"{k}{i}"] for i in range(3)]) for k in "st")
-                var_s, var_t = (sum(r[f"v{k}{i}"] for i in range(3)) for k in "st")
-                cov = np.array([[r[f"c{i}{j}"] for j in range(3)] for i in range(3)])
-                found = _best(n, mu_s, mu_t, var_s, var_t, cov)
-                if found is not None:
-                    scale, rotation, shift, rms = found
-                    made.append((r[key], n, scale, rotation.ravel().tolist(), shift.tolist(), rms))
-            kinds = [batch.schema.field(key).type, pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], names=[key, "n", "scale", "rotation", "translation", "rms"])
+            at = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c != key}
+            mu_s, mu_t = (np.column_stack([at[f"{k}{i}"] for i in range(3)]) for k in "st")
+            var_s, var_t = (at[f"v{k}0"] + at[f"v{k}1"] + at[f"v{k}2"] for k in "st")
+            cov = np.stack([np.column_stack([at[f"c{i}{j}"] for j in range(3)]) for i in range(3)], axis=1)
+            solved, scale, rotation, shift, rms = _best(at["n"], mu_s, mu_t, var_s, var_t, cov)
+            columns = [batch.column(key), batch.column("n"), pa.array(scale), *(pa.array(list(x.reshape(len(x), -1)), pa.list_(pa.float64())) for x in (rotation, shift)), pa.array(rms)]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "n", "scale", "rotation", "translation", "rms"]).filter(pa.array(solved))
 
     return rows.mapInArrow(run, out)
 
