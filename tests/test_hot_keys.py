@@ -226,3 +226,23 @@ def test_rates_of_a_month(spark, month):
 def test_summary_of_a_month(spark, month):
     [r] = registry.QUERIES["stream_summary_csv"](spark, month).collect()
     assert (r["stream"], r["samples"], r["rate_hz"], r["dropped"]) == ("s", MONTH, 0.1, 0)
+
+
+def test_short_keys_are_smoothed_in_one_pass(spark):
+    """Across Arrow batches, bit for bit, and without a task's call for each key or a join."""
+    draw = random.Random(7)
+    rows = [(draw.choice(["a", "b", None, *map(str, range(40))]), i, i % 50, draw.uniform(-5, 5)) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, id long, t long, v double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = ordered.smoothed(df, "k", ["t", "id"], ["v"], lambda e, v: 0.9 * e + 0.1 * v, 0.9, None)
+        parts = ordered.smoothed(df, "k", ["t", "id"], ["v"], lambda e, v: 0.9 * e + 0.1 * v, 0.9, None, 5).collect()
+        plan = got._jdf.queryExecution().toString()
+        got = {r["id"]: r["smooth_v"] for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    states, want = {}, {}
+    for k, i, _, v in sorted(rows, key=lambda r: (r[2], r[1])):
+        states[k] = want[i] = 0.9 * states.get(k, v) + 0.1 * v
+    assert got == want and "FlatMapGroups" not in plan and "Join" not in plan
+    assert len(parts) == 900 and all(abs(r["smooth_v"] - want[r["id"]]) < 1e-12 for r in parts)

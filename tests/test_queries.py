@@ -562,6 +562,19 @@ def test_chains_solved_together_are_each_solved_alone(monkeypatch):
     assert len(calls) <= 2 * 40 * georef.ROUNDS < sum(len(c[0]) for c in chains) * georef.ROUNDS
 
 
+@pytest.mark.parametrize("width_ns", [None, 40])
+def test_nearest_in_time_brings_columns_of_the_right_row(spark, width_ns):
+    left = spark.createDataFrame([(1, i, 7 * i) for i in range(30)] + [(2, 99, 5), (1, 98, None)], "trip_id long, fix_id long, ts_ns long")
+    right = spark.createDataFrame([(1, i, 13 * i + i % 2, float(i), None if i % 3 else i) for i in range(15)], "trip_id long, pose_id long, ts_ns long, x double, y int")
+    got = rel.nearest_in_time(left, right, "trip_id", "ts_ns", "pose_id", 5, width_ns, also=["x", "y"])
+    plain = rel.nearest_in_time(left, right, "trip_id", "ts_ns", "pose_id", 5, width_ns)
+    rows = got.collect()
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted((tuple(r)[:5] for r in rows), key=str) and len(rows) == 32
+    assert all(r["x"] == r["matched_id"] and r["y"] == (None if r["matched_id"] is None or r["matched_id"] % 3 else r["matched_id"]) for r in rows)
+    assert 0 < sum(r["matched_id"] is None for r in rows) < 30
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString()  # takes the square of a trip's rows
+
+
 def online_events(late_ns, vps_at=None):
     rows = []
     for i in range(200):

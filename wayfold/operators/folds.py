@@ -32,7 +32,8 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], start: Callable[[],
         now, step = None, None
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
+            for values in zip(*map(ordered.listed, batch.columns), strict=True):
+                row = dict(zip(batch.schema.names, values, strict=True))
                 if step is None or row[key] != now:
                     now, step = row[key], start()
                 made = step(row)
@@ -186,15 +187,14 @@ def track_assets(detections: DataFrame, merge_m: float = 3.0, also: Sequence[str
         cells: dict[tuple, list[_Landmark]] = {}
         count = 0
         cell_of = lambda p: tuple(math.floor(x / merge_m) for x in p)
-        beside = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 
         def step(r):
             nonlocal count
             p = (r["x"], r["y"], r["z"])
             if None in p or not all(map(math.isfinite, p)):
                 return None
-            at = cell_of(p)
-            near = [m for d in beside for m in cells.get((at[0] + d[0], at[1] + d[1], at[2] + d[2]), ())]
+            a, b, c = cell_of(p)
+            near = [m for i in (a - 1, a, a + 1) for j in (b - 1, b, b + 1) for k in (c - 1, c, c + 1) if (i, j, k) in cells for m in cells[i, j, k]]
             best = min(near, key=lambda m: (math.dist(m.mean, p), m.number), default=None)
             if best is None or math.dist(best.mean, p) > merge_m:
                 count += 1

@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from ..functions import geo
 from ..sources.shared import write_table
+from . import ordered, solve
 from . import relational as rel
-from . import solve
 
 #: Fixed values of online alignment: gates, pairing tolerance, how long poses are kept, and capacities.
 MAX_ACCURACY_M, MAX_RMS_M, SCALES = 35.0, 18.0, (0.5, 2.0)
@@ -243,7 +243,7 @@ def place_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     names = ["row", "trip_id", "kind", "id", "ts_ns", "a", "b", "c", "tracking", "pairs"]
     book, now, trip = _Book(), None, None
     for batch in batches:
-        for row in zip(range(batch.num_rows), *(batch.column(c).to_pylist() for c in names[1:]), strict=True):
+        for row in zip(range(batch.num_rows), *(ordered.listed(batch.column(c)) for c in names[1:]), strict=True):
             if now is None or row[1] != trip:
                 trip, now = row[1], _Noted(book)
             now.take(dict(zip(names, row)))

@@ -9,7 +9,7 @@ their own, before all others.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,12 @@ BUCKET_ROWS = 1 << 18
 STRETCHES = 64
 
 
+def listed(column: pa.Array) -> list:
+    """`column.to_pylist()`, by numpy where that gives the same."""
+    plain = (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)) and not column.null_count
+    return column.to_numpy(zero_copy_only=False).tolist() if plain else column.to_pylist()
+
+
 def _inside(key: str, order: list[str]) -> W:
     return W.partitionBy(key, "bucket").orderBy(*order)
 
@@ -60,8 +66,8 @@ def carry(rows: DataFrame, key: str, handed: dict[str, tuple[Column, str]]) -> D
     and how buckets are put together: the 'sum', 'max' or 'last' of those before, or the 'next' of those after."""
     summed = rows.groupBy(key, "bucket").agg(*[column.alias(name) for name, (column, _) in handed.items()])
     before = W.partitionBy(key).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy(key).orderBy("bucket").rowsBetween(1, W.unboundedFollowing)
-    how = {"sum": lambda c: F.sum(c).over(before), "max": lambda c: F.max(c).over(before), "last": lambda c: F.last(c, ignorenulls=True).over(before), "next": lambda c: F.first(c, ignorenulls=True).over(after)}
+    after = W.partitionBy(key).orderBy(F.col("bucket").desc()).rowsBetween(W.unboundedPreceding, -1)  # a frame of all that follow takes the square of the rows
+    how = {"sum": lambda c: F.sum(c).over(before), "max": lambda c: F.max(c).over(before), "last": lambda c: F.last(c, ignorenulls=True).over(before), "next": lambda c: F.last(c, ignorenulls=True).over(after)}
     carried = summed.select(F.col(key).alias("carry_key"), F.col("bucket").alias("carry_bucket"), *[how[kind](name).alias(name) for name, (_, kind) in handed.items()])
     return rows.join(carried, F.col(key).eqNullSafe(F.col("carry_key")) & F.col("bucket").eqNullSafe(F.col("carry_bucket"))).drop("carry_key", "carry_bucket")
 
@@ -152,19 +158,33 @@ def smoothed(df: DataFrame, key: str, order: list[str], values: list[str], step:
     fields = T._parse_datatype_string(", ".join(f"smooth_{v} double, from_{v} double" for v in values) + ", left_share double").fields
     schema = T.StructType([*rows.schema.fields, *fields])
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in order])
-        for v in values:
-            given = table[v].to_pylist()
-            e = reference = given[0] if start is None else start
-            out = []
-            for x in given:
-                e = step(e, x)
-                out.append(e)
-            table = table.append_column(f"smooth_{v}", pa.array(out, pa.float64())).append_column(f"from_{v}", pa.array(np.full(len(out), reference)))
-        return table.append_column("left_share", pa.array(keep ** np.arange(1.0, table.num_rows + 1)))
-
-    ran = write_table(rows.groupBy(key, "bucket").applyInArrow(run, schema), "smoothed")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, taken, states = None, 0, {v: (0.0, 0.0) for v in values}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = list(zip(listed(batch.column(key)), listed(batch.column("bucket")), strict=True))
+            first = [a != b for a, b in zip(at, [now, *at], strict=False)]
+            place = np.arange(batch.num_rows)
+            begun = np.maximum.accumulate(np.where(first, place, -taken))  # rows of the batch before may have begun it
+            columns = []
+            for v in values:
+                (e, reference), out, froms = states[v], [], []
+                for x, begins in zip(listed(batch.column(v)), first, strict=True):
+                    if begins:
+                        e = reference = x if start is None else start
+                    e = step(e, x)
+                    out.append(e)
+                    froms.append(reference)
+                states[v] = e, reference
+                columns += [pa.array(out, pa.float64()), pa.array(froms, pa.float64())]
+            now, taken = at[-1], int(batch.num_rows - begun[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array(keep ** (place - begun + 1.0))], names=[f.name for f in schema.fields])
+
+    dealt = rows.repartition(key, "bucket").sortWithinPartitions(key, "bucket", *order)
+    ran = write_table(dealt.mapInArrow(run, schema), "smoothed")
+    if ran.groupBy(key).agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).where("low < high").isEmpty():  # all are one run
+        return ran.select(*df.columns, *[f"smooth_{v}" for v in values])
     ends = ran.groupBy(key, "bucket").agg(F.max_by(F.struct("left_share", *[x for v in values for x in (f"smooth_{v}", f"from_{v}")]), F.struct(*order)).alias("end"))
     ends = ends.select(key, "bucket", "end.*")
     states = T.StructType([rows.schema[key], rows.schema["bucket"], *T._parse_datatype_string(", ".join(f"state_{v} double" for v in values)).fields])
@@ -272,7 +292,7 @@ def _followed(border: DataFrame, chain: DataFrame) -> DataFrame:
     rows = bucketed(both, "lane", "t")
     mark = F.when(F.col("side") == 1, F.struct("t", "tie", "goes", "b"))
     rows = carry(rows, "lane", {"later": (F.min(mark), "next")})
-    here = F.first(mark, ignorenulls=True).over(W.partitionBy("lane", "bucket").orderBy("t", "side", "tie").rowsBetween(1, W.unboundedFollowing))
+    here = F.last(mark, ignorenulls=True).over(W.partitionBy("lane", "bucket").orderBy(*[F.col(c).desc() for c in ("t", "side", "tie")]).rowsBetween(W.unboundedPreceding, -1))
     found = rows.withColumn("entry", F.coalesce(here, "later")).where("side = 0 and entry is not null")
     links = found.groupBy("k", "leaves").agg(F.min("entry").alias("entry"))
     links = write_table(links.select("k", "leaves", F.col("entry.t").alias("t"), F.col("entry.tie").alias("tie"), F.col("entry.goes").alias("goes"), F.col("entry.b").alias("b")), "links")

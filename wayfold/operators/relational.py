@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -133,18 +134,18 @@ def without(rows: DataFrame, gone: DataFrame, key: str, gone_key: str | None = N
     return rows.join(other, F.col(key) == F.col("gone_key"), "left_anti")
 
 
-def _beside(left: DataFrame, right: DataFrame, key: str, ts: str, right_id: str, width_ns: int | None) -> DataFrame:
-    """Left rows with `before` and `after`, the times and ids of the last right row at or before and the next one after
+def _beside(left: DataFrame, right: DataFrame, key: str, ts: str, right_id: str, width_ns: int | None, also: Sequence[str] = ()) -> DataFrame:
+    """Left rows with `before` and `after`, the times, ids and columns `also` of the last right row at or before and the next one after
     them. Both sides together fall into ranges of time; a range without one takes it from the nearest range that has
     one, over a table with a row for each range, so that a long trip is many tasks."""
-    mark = F.struct(F.col(ts).alias("at"), F.col(right_id).alias("id"))
-    both = left.withColumn("side", F.lit(1)).unionByName(right.where(F.col(ts).isNotNull()).select(key, ts, right_id).withColumn("side", F.lit(0)), allowMissingColumns=True)
-    seen = F.when(F.col("side") == 0, mark)
+    other = right.where(F.col(ts).isNotNull()).select(key, ts, right_id, F.struct(F.col(ts).alias("at"), F.col(right_id).alias("id"), *also).alias("right_row"))
+    both = left.withColumn("side", F.lit(1)).unionByName(other.withColumn("side", F.lit(0)), allowMissingColumns=True)
+    seen = F.col("right_row")  # null on the left
     last = F.max_by(seen, F.when(F.col("side") == 0, F.struct(F.col(ts), _falling(right_id, right))))
     rows = ordered.carry(ordered.bucketed(both, key, ts, width_ns), key, {"before_range": (last, "last"), "after_range": (F.min(seen), "next")})
     w = W.partitionBy(key, "bucket").orderBy(ts, "side", F.col(right_id).desc())
-    ahead = W.partitionBy(key, "bucket").orderBy(ts, F.col("side").desc(), right_id).rowsBetween(1, W.unboundedFollowing)
-    before, after = F.last(seen, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first(seen, ignorenulls=True).over(ahead)
+    ahead = W.partitionBy(key, "bucket").orderBy(F.col(ts).desc(), "side", F.col(right_id).desc()).rowsBetween(W.unboundedPreceding, -1)  # backwards, as Spark goes through all rows that follow for each row
+    before, after = F.last(seen, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.last(seen, ignorenulls=True).over(ahead)
     rows = rows.withColumn("here_before", before).withColumn("here_after", after).where("side = 1")
     return rows.withColumn("before", F.coalesce("here_before", "before_range")).withColumn("after", F.coalesce("here_after", "after_range"))
 
@@ -156,16 +157,16 @@ def _falling(name: str, df: DataFrame) -> Column:
     return -F.col(name)
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, key: str, ts: str, right_id: str, tolerance_ns: int, width_ns: int | None = None) -> DataFrame:
-    """Each left row with the id and time of the right row of its key that is nearest in time within a tolerance;
+def nearest_in_time(left: DataFrame, right: DataFrame, key: str, ts: str, right_id: str, tolerance_ns: int, width_ns: int | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """Each left row with the id and time, and the columns `also`, of the right row of its key that is nearest in time within a tolerance;
     null without one, and for a row without a time. Equal distances go to the earlier row, equal times to the smaller
     id, which is a number. Right rows without a time match nothing; null keys are a key."""
-    both = _beside(left, right, key, ts, right_id, width_ns)
+    both = _beside(left, right, key, ts, right_id, width_ns, also)
     back, forth = F.col(ts) - F.col("before.at"), F.col("after.at") - F.col(ts)
     pick = F.when(back.isNotNull() & (forth.isNull() | (back <= forth)), F.col("before")).otherwise(F.col("after"))
     gap = F.least(F.coalesce(back, forth), F.coalesce(forth, back))
     near = F.when(gap <= tolerance_ns, pick)
-    return both.select(*left.columns, near["id"].alias("matched_id"), near["at"].alias("matched_ns"))
+    return both.select(*left.columns, near["id"].alias("matched_id"), near["at"].alias("matched_ns"), *[near[c].alias(c) for c in also])
 
 
 def latest_before(left: DataFrame, right: DataFrame, key: str, ts: str, right_id: str, width_ns: int | None = None) -> DataFrame:

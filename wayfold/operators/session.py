@@ -42,10 +42,9 @@ def measures(poses: DataFrame, fixes: DataFrame, epochs: DataFrame, landmarks: D
     lost = lost.groupBy(F.col("stream_id").alias("trip_id")).agg(F.coalesce(F.sum(F.when(F.col("raw_ns") - F.col("before") > int(nominal_ns * monitor.GAP_PERIODS), gap)), F.lit(0)).alias("lost"), F.count("*").alias("n"))
     lost = lost.select("trip_id", (F.col("lost") / F.col("n")).alias("drop_rate"))
     drifts = monitor.drift(samples).groupBy(F.col("stream_id").alias("trip_id")).agg(F.count_if(F.abs("drift_ns") > drift_ns).cast("double").alias("drift_ms"))
-    near = rel.nearest_in_time(georef.fixes_in_enu(fixes), poses.where("state = 'TRACKING'"), "trip_id", "ts_ns", "pose_id", pair_ns).where("matched_id is not null")
-    places = poses.select(F.col("trip_id").alias("t"), F.col("pose_id").alias("p"), "vio_x", "vio_y", "vio_z")
-    pairs = near.join(places, (F.col("trip_id") == F.col("t")) & (F.col("matched_id") == F.col("p")))
-    fitted = solve.similarity_solve(pairs, "trip_id", ("vio_x", "vio_y", "vio_z"), ("east", "north", "up")).select("trip_id", "rms", F.lit(True).alias("aligned"))
+    at = ("vio_x", "vio_y", "vio_z")
+    pairs = rel.nearest_in_time(georef.fixes_in_enu(fixes), poses.where("state = 'TRACKING'"), "trip_id", "ts_ns", "pose_id", pair_ns, also=at).where("matched_id is not null")
+    fitted = solve.similarity_solve(pairs, "trip_id", at, ("east", "north", "up")).select("trip_id", "rms", F.lit(True).alias("aligned"))
     ground = georef.fixes_in_enu(fixes).select("trip_id", "east", "north")
     covered = solve.hull_area(ground, "trip_id", "east", "north").withColumnRenamed("area", "coverage")
     out = tracking
