@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -734,3 +735,26 @@ def test_a_forest_connects_what_all_pairs_would(across):
     assert joined(forests) == joined(every)
     similar_sets = {(a, b) for a in range(size) for b in range(a + 1, size) if label[a] != label[b] and set(cells[a]) & set(cells[b]) and (not across or (a + b) % 2) and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
     assert similar_sets <= set(every)
+
+
+def test_training_sample_stays_out_of_python_lists():
+    draw = np.random.default_rng(3)
+    ids = [str(draw.integers(900)) for _ in range(1000)]
+    lists = [draw.integers(0, langid.BUCKETS, 1000).astype(np.int32) for _ in ids]
+    got = pa.table({"doc_id": ids[:900] + [f"only {i}" for i in range(1000)], "buckets": pa.array(lists[:900] + lists, pa.list_(pa.int32()))})
+    by_id = sorted(range(got.num_rows), key=lambda i: (got["doc_id"][i].as_py(), got["buckets"][i].as_py()))
+    tracemalloc.start()
+    order = list(langid._order(got.slice(900)))  # ids that stand once
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(order) == list(range(1000)) and peak < 5_000_000
+    assert [int(x) for x in langid._order(got)] == np.array(by_id)[np.random.default_rng(5).permutation(got.num_rows)].tolist()
+
+
+def test_values_scaled_row_by_row_train_the_same():
+    draw = np.random.default_rng(4)
+    rows = [(np.unique(draw.integers(0, 500, 40)).astype(np.int32), int(draw.integers(3))) for _ in range(60)]
+    rows = [(b, draw.random(len(b)).astype(np.float32), y) for b, y in rows]
+    idf = draw.random(langid.BUCKETS) + 0.5
+    once = langid.ftrl([(b, langid.SCALE * s * idf[b], y) for b, s, y in rows], 3)
+    assert all(np.array_equal(x, y) for x, y in zip(once, langid.ftrl(rows, 3, scale=idf), strict=True))

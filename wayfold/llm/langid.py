@@ -9,6 +9,7 @@ learned from; only the weights are fitted on a bounded sample (SAMPLE_ROWS).
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -158,23 +159,29 @@ def _sample(rows: DataFrame, text: str, lang: str, doc_id: str, most: int) -> tu
 
     schema = T.StructType([drawn.schema["doc_id"], T.StructField("lang", T.StringType()), T.StructField("calibrates", T.BooleanType()), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("shares", T.ArrayType(T.FloatType()))])
     got = drawn.mapInArrow(sparse, schema).toArrow()
-    got = got.take(_order(got))
-    languages = sorted(set(got["lang"].to_pylist()))
+    labels, calibrates = got["lang"].to_pylist(), got["calibrates"].to_pylist()
+    languages = sorted(set(labels))
     number = {x: i for i, x in enumerate(languages)}
-    rows_out = [(got["buckets"][i].values.to_numpy(), got["shares"][i].values.to_numpy(), number[got["lang"][i].as_py()], got["calibrates"][i].as_py()) for i in range(got.num_rows)]
+    rows_out = [(got["buckets"][i].values.to_numpy(), got["shares"][i].values.to_numpy(), number[labels[i]], calibrates[i]) for i in _order(got)]
     return languages, rows_out
 
 
-def _order(got: pa.Table) -> pa.Array:
-    """The same order each time, whatever the tasks' order: by id and buckets, then mixed with a fixed seed."""
-    ids, sizes = got["doc_id"].to_pylist(), got["buckets"].to_pylist()
-    by_id = np.array(sorted(range(len(ids)), key=lambda i: (str(ids[i]), sizes[i])), np.int64)
-    return pa.array(by_id[np.random.default_rng(5).permutation(len(by_id))])
+def _order(got: pa.Table) -> list[int]:
+    """The same order each time, whatever the tasks' order: by id and buckets, then mixed with a fixed seed. Only where
+    an id repeats are buckets compared; as Python's lists those of all rows would take some 200 MB of the driver."""
+    ids = [str(x) for x in got["doc_id"].to_pylist()]
+    times = Counter(ids)
+    by_id = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], got["buckets"][i].as_py() if times[ids[i]] > 1 else None)), np.int64)
+    return by_id[np.random.default_rng(5).permutation(len(by_id))].tolist()
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.01, epochs: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (BUCKETS x classes) and bias by follow-the-regularised-leader, per coordinate."""
-    used = np.unique(np.concatenate([x[0] for x in rows]))  # other buckets keep a weight of zero
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.01, epochs: int = 3, scale: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (BUCKETS x classes) and bias by follow-the-regularised-leader, per coordinate. Values are multiplied by
+    SCALE and their bucket's `scale`, if given, a row at a time."""
+    seen = np.zeros(BUCKETS, bool)
+    for buckets, _, _ in rows:
+        seen[buckets] = True
+    used = np.flatnonzero(seen).astype(np.int32)  # other buckets keep a weight of zero
     z, n = np.zeros((len(used) + 1, classes)), np.zeros((len(used) + 1, classes))
 
     def weights(zs: np.ndarray, ns: np.ndarray, l1: float = l1) -> np.ndarray:
@@ -182,7 +189,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: fl
 
     for _ in range(epochs):
         for buckets, values, label in rows:
-            at, x = np.append(np.searchsorted(used, buckets), len(used)), np.append(values, 1.0)
+            at, x = np.append(np.searchsorted(used, buckets), len(used)), np.append(values if scale is None else SCALE * values * scale[buckets], 1.0)
             zs, ns = z[at], n[at]
             w = weights(zs, ns)
             p = _softmax(x @ w)
@@ -216,11 +223,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
     df, n = document_frequencies(rows, text)
     idf = np.log((1 + n) / (1 + df)) + 0.1
-    scaled = [(b, SCALE * s * idf[b], y, c) for b, s, y, c in sample]
-    weights, bias = ftrl([x[:3] for x in scaled if not x[3]] or [x[:3] for x in scaled], len(languages))
-    kept = [x for x in scaled if x[3]]
-    logits = np.array([bias + s @ weights[b] for b, s, _, _ in kept])
+    weights, bias = ftrl([x[:3] for x in sample if not x[3]] or [x[:3] for x in sample], len(languages), scale=idf)
+    kept = [x for x in sample if x[3]]
+    logits = np.array([bias + (SCALE * s * idf[b]) @ weights[b] for b, s, _, _ in kept])
     temperature = fit_temperature(logits, np.array([x[2] for x in kept], int))
+    del sample, kept
+    pa.default_memory_pool().release_unused()  # the driver's later work needs the room
     return Model(languages, weights * idf[:, None].astype(np.float32), bias, temperature)
 
 
