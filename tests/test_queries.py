@@ -742,6 +742,38 @@ def test_radius_joins_take_every_fix(spark):
         assert near.where("fix_id % 10 != 0").count() > near.where("fix_id % 10 = 0").count() > 0
 
 
+def test_radius_join_of_places_of_many_rows(spark, monkeypatch):
+    """Places of many rows, in chunks and blocks of a few, give each pair once: ids may be null or repeated, places null."""
+    draw = random.Random(4)
+    spots = [(12.97, 77.59), (12.97, 77.59 + 1e-5), (12.97 + 2e-4, 77.59), (None, 77.59), (12.97, None)]
+    rows = lambda n: [(draw.choice([None, *range(n // 2)]), draw.choice("abc"), *spots[min(4, int(draw.expovariate(1)))]) for _ in range(n)]
+    left, right = rows(150), rows(90)
+    a, b = spark.createDataFrame(left, "a long, s string, alat double, alon double"), spark.createDataFrame(right, "b long, t string, blat double, blon double")
+    apart = lambda x, y: geo.EARTH_RADIUS_M * math.hypot(math.radians(x[2] - y[2]), math.radians(x[3] - y[3]) * math.cos(math.radians(12.97)))
+    want = sorted([(x, y) for x in left for y in right if None not in (*x[2:], *y[2:]) and apart(x, y) <= 5], key=str)
+    for chunk, blocks, numbered in ((rel.CHUNK_ROWS, rel.BLOCK_ROWS, rel.NUMBERED_ROWS), (7, {"left": 3, "right": 2}, 20), (8, {"left": 4, "right": 8}, 1)):
+        monkeypatch.setattr(rel, "CHUNK_ROWS", chunk)
+        monkeypatch.setattr(rel, "BLOCK_ROWS", blocks)
+        monkeypatch.setattr(rel, "NUMBERED_ROWS", numbered)
+        monkeypatch.setattr(rel, "PAIRS", (100, 1000))
+        got = rel.radius_join(a, b, 5.0, ("alat", "blat"), ("alon", "blon"))
+        assert got.columns == ["a", "s", "alat", "alon", "b", "t", "blat", "blon", "distance_m"]
+        assert sorted([(tuple(r)[:4], tuple(r)[4:8]) for r in got.collect()], key=str) == want and len(want) > 3000
+    only = rel.radius_join(a.select("alat", "alon"), b.select("b", "blat", "blon"), 5.0, ("alat", "blat"), ("alon", "blon"))
+    assert only.count() == len(want) and only.columns == ["alat", "alon", "b", "blat", "blon", "distance_m"]
+
+
+def test_radius_join_of_one_place_is_many_tasks_and_little_disk(spark, tmp_path):
+    at = [F.lit(12.97).alias("lat"), F.lit(77.59).alias("lon")]
+    fixes = spark.range(12000).select((F.col("id") * 2000).alias("fix_id"), at[0].alias("flat"), at[1].alias("flon"))
+    near = rel.radius_join(fixes, spark.range(250).select((F.col("id") * 2000).alias("id"), *at), 50.0, ("flat", "lat"), ("flon", "lon"), 6)
+    near.select("fix_id", "id", "distance_m").write.parquet(str(tmp_path / "out"))
+    files = [p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")]
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == back.distinct().count() == 3_000_000
+    assert back.groupBy(F.input_file_name()).count().count() > 2 and sum(files) < 0.3 * 3_000_000
+
+
 def test_joins_in_time_take_every_fix(spark):
     fixes = registry.table(spark, SF, "v_fix").count()
     for name in ("nearest_pose_100ms", "latest_pose_asof", "pose_fix_stream_join"):
