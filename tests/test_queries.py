@@ -774,6 +774,18 @@ def test_radius_join_of_one_place_is_many_tasks_and_little_disk(spark, tmp_path)
     assert back.groupBy(F.input_file_name()).count().count() > 2 and sum(files) < 0.3 * 3_000_000
 
 
+def test_association_of_a_crowded_place_is_many_tasks(spark, tmp_path):
+    """Rows of one place, read from two small files, are dealt out by their pairs."""
+    numbers = lambda n: spark.range(n).select((F.col("id") * 2000).alias("id"))
+    events = numbers(9000).selectExpr("id as event_id", "timestamp '2024-01-01' as ts", "id % 7 as user_id", "'view' as event_type", "1.0D as value", "'{}' as props")
+    customers = numbers(120).selectExpr("id as c_custkey", "'c' as c_name", "1 as c_nationkey", "0.0D as c_acctbal", "'POLE' as c_mktsegment")
+    for name, df in (("events", events), ("customer", customers)):
+        df.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = registry.QUERIES["association_3m_grid"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id())
+    n, rows, tasks = got.agg(F.count("*"), F.count_distinct("fix_id", "id"), F.count_distinct("task")).first()
+    assert n == rows == 9000 * 120 and tasks > 2
+
+
 def test_joins_in_time_take_every_fix(spark):
     fixes = registry.table(spark, SF, "v_fix").count()
     for name in ("nearest_pose_100ms", "latest_pose_asof", "pose_fix_stream_join"):
